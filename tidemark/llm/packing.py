@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import WORD
+from tidemark.llm._common import WORD, checkpointed
 
 DIGITS, SLICE = 12, 4096
 BUCKETS, BUDGET = 16, 32768
@@ -95,7 +95,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     length = F.regexp_count(text, F.lit(WORD)) if length is None else length
-    rows = docs.select(F.col(id_col), length.cast("long").alias("n_tokens"), F.xxhash64(F.col(id_col), F.length(text)).alias("dealt"))
+    rows = checkpointed(docs.select(F.col(id_col), length.cast("long").alias("n_tokens"), F.xxhash64(F.col(id_col), F.length(text)).alias("dealt")))
     table = bucket_table(rows, "n_tokens", buckets)
     if not table:
         return rows.select(id_col, "n_tokens", *[F.lit(0).cast("long").alias(c) for c in ("bucket", "bound", "batch", "slot", "padding")])

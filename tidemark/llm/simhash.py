@@ -109,33 +109,31 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, jumps: int = 3) -> DataFrame:
     """(node, component) of each node that the edges (a, b) touch; component is its least node.
 
-    Every round hooks each node to its least neighbour, shortens the trees by pointer jumping, and contracts them; rounds
-    and jumps grow as the logarithm of the longest chain. Minima combine before the shuffle, so a hub is no hot group.
+    Every round hooks each node to its least neighbour, shortens the trees by a few pointer jumps, and contracts them, so
+    rounds grow as the logarithm of the longest chain. Minima combine before the shuffle, so a hub is no hot group.
     """
-    left = checkpointed(edges.select("a", "b").where("a <> b").distinct())
+    left = checkpointed(edges.select("a", "b").where("a <> b"))
     assigned = None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")))
-        while True:
-            above = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            jumped = checkpointed(up.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
-            up = jumped.select("node", "up")
-            if jumped.where("moved").isEmpty():
-                break
+        least = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")))
+        up = least
+        for _ in range(jumps):
+            up = up.join(least.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up"))
+        up = checkpointed(up)
         if assigned is None:
             assigned = up.select("node", F.col("up").alias("component"))
         else:
             then = up.select(F.col("node").alias("component"), "up")
-            assigned = checkpointed(assigned.join(then, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+            assigned = assigned.join(then, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
         ends = left
         for end in ("a", "b"):
             ends = ends.join(up.select(F.col("node").alias(end), F.col("up").alias(f"{end}2")), end)
         left = checkpointed(ends.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct())
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0) if assigned is None else assigned
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0) if assigned is None else checkpointed(assigned)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3) -> DataFrame:

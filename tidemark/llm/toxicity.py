@@ -126,10 +126,11 @@ def fit(rows: DataFrame) -> Model:
             found = [present(t, model, lookup).tolist() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["toxic", "found"])
 
-    got = rows.mapInArrow(features, "toxic int, found array<int>").collect()
-    y = np.array([float(r.toxic != 0) for r in got])
-    col = np.fromiter((j for r in got for j in r.found), np.int64)
-    row = np.repeat(np.arange(len(got)), [len(r.found) for r in got])
+    got = rows.mapInArrow(features, "toxic int, found array<int>").toArrow()
+    y = (got["toxic"].to_numpy() != 0).astype(float)
+    found = got["found"].combine_chunks()
+    col = found.flatten().to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(y)), found.value_lengths().to_numpy())
     bias, w = _logistic(row, col, ratio[col], y, len(cell))
     return Model(bias, cell, w * ratio)
 
