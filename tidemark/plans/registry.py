@@ -6,5 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tidemark.operators import activity, cascades, engagement, events, sessions
+from tidemark.plans.operator import Catalog
+from tidemark.sources.adapters import ADAPTERS
+
+CATALOG = Catalog()
+CATALOG.add(*ADAPTERS)
+_OPERATORS = [o for m in (events, activity, sessions, cascades, engagement) for o in m.OPERATORS]
+CATALOG.add(*_OPERATORS)
+
+
+def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return CATALOG.frame(spark, sf_dir, name)
+
+    return run
+
+
+QUERIES = {o.name: _query(o.name) for o in _OPERATORS}
+ORACLES = {o.name: CATALOG.oracle(o.name) for o in _OPERATORS}
