@@ -87,7 +87,8 @@ def _masks(width: int) -> list[tuple[int, int, bool]]:
 def anchored(spark: SparkSession, fps: DataFrame, max_bits: int) -> DataFrame:
     """(anchor, home, fp) for each of the distinct fingerprints of fps. The table of masks depends on the code alone: under 1,100 rows."""
     blocks = _blocks(max_bits)
-    masks = spark.createDataFrame([(k, *m) for k, (_, w) in enumerate(blocks) for m in _masks(w)], "block int, syndrome int, mask long, home boolean")
+    signed = lambda m: m - 2**64 if m >> 63 else m
+    masks = spark.createDataFrame([(k, s, signed(m), home) for k, (_, w) in enumerate(blocks) for s, m, home in _masks(w)], "block int, syndrome int, mask long, home boolean")
     parts = []
     for k, (first, width) in enumerate(blocks):
         r = (width + 1).bit_length() - 1
@@ -109,7 +110,7 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
-def components(edges: DataFrame, jumps: int = 3) -> DataFrame:
+def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     """(node, component) of each node that the edges (a, b) touch; component is its least node.
 
     Every round hooks each node to its least neighbour, shortens the trees by a few pointer jumps, and contracts them, so
@@ -122,7 +123,7 @@ def components(edges: DataFrame, jumps: int = 3) -> DataFrame:
         least = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")))
         up = least
         for _ in range(jumps):
-            up = up.join(least.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up"))
+            up = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up"))
         up = checkpointed(up)
         if assigned is None:
             assigned = up.select("node", F.col("up").alias("component"))
