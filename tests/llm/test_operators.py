@@ -111,7 +111,7 @@ def test_matroska_round_trip_and_damage(spark, odd):
     packets, cues, error = matroska.parse(media)
     assert error is None and b"".join(media[p[7] : p[7] + p[8]] for p in packets) == bytes(range(256)) * 100 and len(cues) == 1
     assert matroska.parse(media[: len(media) // 2])[2] == "truncated" and matroska.parse(b"junk")[2] == "not Matroska"
-    for kind, head in ((1, b"\x81\0\0\x82\x02\xff\x01\x02"), (3, b"\x81\0\0\x86\x02\x41\x00\x5f\x02")):
+    for kind, head in ((1, b"\x81\0\0\x82\x02\xff\x01\x02"), (3, b"\x81\0\0\x86\x02\x41\x00\x60\x02")):
         block = matroska.element(matroska.SIMPLE_BLOCK, head + bytes(600))
         cell = matroska.HEADER + matroska.element(matroska.SEGMENT, matroska.element(matroska.CLUSTER, matroska.number(matroska.TIMESTAMP, 0) + block))
         sizes = [p[8] for p in matroska.parse(cell)[0]]

@@ -46,7 +46,7 @@ def first_map(sizes: Mapping[int, tuple[int, int]], shards: int = SHARDS, slots:
 
 
 def rebalanced(old: Mapping[int, int], sizes: Mapping[int, tuple[int, int]], shards: int, slack: float = 0.02) -> dict[int, int]:
-    """The next version of a map: slots of shards that are gone or over (1 + slack) of the mean move to the lightest shards, smallest change first."""
+    """The next version of a map: slots of shards that are gone or over (1 + slack) of the mean move to the lightest shards, large slots first, so few move."""
     weight = lambda s: sizes.get(s, (0, 0))[1]
     mean = sum(map(weight, old)) / shards
     new = {s: k for s, k in old.items() if k < shards}
@@ -54,8 +54,8 @@ def rebalanced(old: Mapping[int, int], sizes: Mapping[int, tuple[int, int]], sha
     for s, k in new.items():
         loads[k] += weight(s)
     moving = [s for s in old if s not in new]
-    for s in sorted(new, key=lambda s: (weight(s), s)):
-        if weight(s) and loads[new[s]] > mean * (1 + slack):
+    for s in sorted(new, key=lambda s: (-weight(s), s)):
+        if loads[new[s]] > mean * (1 + slack) and weight(s) and loads[new[s]] - weight(s) >= mean * (1 - slack):
             loads[new[s]] -= weight(s)
             moving.append(s)
     heap = [(b, k) for k, b in loads.items()]
