@@ -16,8 +16,8 @@ the input are kept, but one named like the output is replaced; repeated rows sta
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -29,15 +29,35 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SPACE, UNKNOWN, CACHE = "▁", 10.0, 200_000
+SPACE, UNKNOWN, CACHE = "▁", 10.0, 250_000
 RUN = re.compile(r" *[^ ]*")
 
 
+class _Cache(dict):
+    """Results of work for texts seen lately, 2 * CACHE at most; long ones are not kept.
+
+    A full cache becomes the older half, out of which what is used again returns.
+    """
+
+    def __init__(self, work: Callable[[str], bytes]) -> None:
+        self.work, self.older = work, {}
+
+    def __missing__(self, text: str) -> bytes:
+        out = self.older.get(text)
+        if out is None:
+            out = self.work(text)
+        if len(text) <= 32:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[text] = out
+        return out
+
+
 @dataclass
 class Codec:
     pieces: list[tuple[str, float, str]]  # (piece, score, kind)
     automaton: ahocorasick.Automaton | None = None
-    cache: dict[str, list[int]] = field(default_factory=dict)
 
     @classmethod
     def load(cls, path: str = MODEL) -> Codec:
@@ -57,6 +77,8 @@ class Codec:
             self.by_byte = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(self.pieces) if k == "byte"}
             self.unknown = next((i for i, (_, _, k) in enumerate(self.pieces) if k == "unknown"), 0)
             self.splits = not any(SPACE in p.lstrip(SPACE) for p, _, _ in normal)
+            self.runs = _Cache(self._ids)
+            self.words = _Cache(lambda word: self._ids(f" {word}"))
         return self
 
     def viterbi(self, text: str) -> list[int]:
@@ -64,51 +86,49 @@ class Codec:
         # The mark itself may stand in the text: no piece has a NUL, so there it falls back to bytes.
         s = text.replace(SPACE, "\0").replace(" ", SPACE)
         n = len(s)
-        best, back = [0.0] + [float("-inf")] * n, [(0, -1)] * (n + 1)
-        covered, done = set(s) <= self.singles, 0
-        for end, (size, score, i) in self.automaton.iter(s):
+        best, back = [0.0] + [float("-inf")] * n, [(1, self.fallback, -1)] * (n + 1)
+        covered, done = self.singles.issuperset(s), 0
+        for end, found in self.automaton.iter(s):
             if not covered:  # places between that no piece ends at
-                for at in range(done, end + 1):
-                    if s[at] not in self.singles:
-                        self._unknown(best, back, at)
+                self._unknown(best, back, s, done, end + 1)
                 done = end + 1
             to = end + 1
-            x = best[to - size] + score
+            x = best[to - found[0]] + found[1]
             if x > best[to]:
-                best[to], back[to] = x, (to - size, i)
-        for at in () if covered else range(done, n):
-            if s[at] not in self.singles:
-                self._unknown(best, back, at)
+                best[to], back[to] = x, found
+        if not covered:
+            self._unknown(best, back, s, done, n)
         out, at = [], n
         while at:
-            start, i = back[at]
+            size, _, i = back[at]
+            at -= size
             if i >= 0:
                 out.append(i)
             else:
-                out += reversed([self.by_byte.get(b, self.unknown) for b in text[start].encode("utf-8", "surrogatepass")])
-            at = start
+                out += reversed([self.by_byte.get(b, self.unknown) for b in text[at].encode("utf-8", "surrogatepass")])
         return out[::-1]
 
-    def _unknown(self, best: list[float], back: list[tuple[int, int]], at: int) -> None:
-        if best[at] + self.fallback > best[at + 1]:
-            best[at + 1], back[at + 1] = best[at] + self.fallback, (at, -1)
+    def _unknown(self, best: list[float], back: list[tuple[int, float, int]], s: str, start: int, end: int) -> None:
+        """Characters from start to end that are no piece."""
+        for at in range(start, end):
+            if s[at] not in self.singles and best[at] + self.fallback > best[at + 1]:
+                best[at + 1], back[at + 1] = best[at] + self.fallback, (1, self.fallback, -1)
 
     def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a text, as 32-bit integers in the machine's order."""
         if not text:
-            return []
+            return b""
         if not self.splits:
-            return self.viterbi(f" {text}")
-        out: list[int] = []
-        for run in RUN.findall(f" {text}"):
-            ids = self.cache.get(run)
-            if ids is None:
-                ids = self.viterbi(run)
-                if len(run) <= 32:
-                    if len(self.cache) >= CACHE:
-                        self.cache.clear()
-                    self.cache[run] = ids
-            out += ids
-        return out
+            return self._ids(f" {text}")
+        if text[0] == " " or "  " in text:
+            return b"".join(map(self.runs.__getitem__, RUN.findall(f" {text}")))
+        return b"".join(map(self.words.__getitem__, text.split(" ")))
+
+    def _ids(self, run: str) -> bytes:
+        return np.array(self.viterbi(run), np.int32).tobytes()
 
     def surfaces(self) -> list[bytes]:
         """Bytes of each id."""
@@ -116,7 +136,15 @@ class Codec:
 
 
 def _decoded(ids: list[int | None], surfaces: list[bytes]) -> str:
-    return b"".join([surfaces[i] for i in ids if i is not None and 0 <= i < len(surfaces)]).decode("utf-8", "replace").removeprefix(" ")
+    return _decoded_all(pa.array([ids], pa.list_(pa.int32())), surfaces)[0].as_py()
+
+
+def _decoded_all(lists: pa.ListArray, surfaces: list[bytes]) -> pa.Array:
+    values, ends = lists.values.fill_null(-1).to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    known = np.where((values >= 0) & (values < len(surfaces)), values, len(surfaces))
+    parts = list(map([*surfaces, b""].__getitem__, known.tolist()))
+    texts = [b"".join(parts[a:b]).decode("utf-8", "replace").removeprefix(" ") for a, b in zip(ends, ends[1:], strict=False)]
+    return pa.array([t if ok else None for t, ok in zip(texts, lists.is_valid().to_pylist(), strict=True)], pa.string())
 
 
 def _mapped(df: DataFrame, col: str, out: str, kind: str, codec: Codec, work) -> DataFrame:  # noqa: ANN001
@@ -141,10 +169,10 @@ def encoded(df: DataFrame, text_col: str = "text", out: str = "ids", path: str =
         def do(texts: pa.Array) -> pa.Array:
             values, ends, missing = [], [0], []
             for t in texts.to_pylist():
-                values.append(np.array(codec.encode(t or ""), np.int32))
-                ends.append(ends[-1] + len(values[-1]))
+                values.append(codec.packed(t or ""))
+                ends.append(ends[-1] + len(values[-1]) // 4)
                 missing.append(t is None)
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *values])), mask=pa.array(missing))
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(values), np.int32)), mask=pa.array(missing))
 
         return do
 
@@ -156,7 +184,7 @@ def decoded(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str
 
     def work(codec: Codec):  # noqa: ANN202
         surfaces = codec.surfaces()
-        return lambda lists: pa.array([None if x is None else _decoded(x, surfaces) for x in lists.to_pylist()], pa.string())
+        return lambda lists: _decoded_all(lists, surfaces)
 
     return _mapped(df, ids_col, out, "string", Codec.load(path), work)
 
