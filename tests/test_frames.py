@@ -1,6 +1,10 @@
 """Hand-made frames."""
 
-from tidemark.operators import cascades, sessions
+import math
+
+import numpy as np
+
+from tidemark.operators import cascades, fits, sessions
 from tidemark.sources.io import read_cascade_tsv, sample_users
 from tidemark.streaming.live import deduplicated, hourly_counts, live_sessions
 
@@ -52,3 +56,41 @@ def test_streams_equal_batches(spark, tmp_path):
         assert got == want if name != "s" else got <= want  # an open session is not yet out
 
 
+def gaps(spark, values):
+    return spark.createDataFrame([("a", i, int(x * 1e6)) for i, x in enumerate(values)], "did string, time_us long, gap long")
+
+
+def test_gamma_and_weibull_fits_are_the_most_likely(spark):
+    x = np.round(np.random.default_rng(7).weibull(0.7, 500) * 30 + 1e-3, 6)
+    g = op(fits, "g8_gamma_fits")(gaps(spark, x)).first()
+    w = op(fits, "g8_weibull_fits")(gaps(spark, x)).first()
+    gamma = lambda k: len(x) * (k * math.log(k / x.mean()) - math.lgamma(k)) + ((k - 1) * np.log(x) - k / x.mean() * x).sum()
+    weibull = lambda k, s: (np.log(k / s) + (k - 1) * np.log(x / s) - (x / s) ** k).sum()
+    assert abs(w.shape - 0.7) < 0.1 and abs(g.rate - g.shape / x.mean()) < 1e-6
+    for d in (0.99, 1.01):
+        assert gamma(g.shape) > gamma(g.shape * d)
+        assert weibull(w.shape, w.scale) > max(weibull(w.shape * d, w.scale), weibull(w.shape, w.scale * d))
+
+
+def test_elbow_of_a_falling_histogram(spark):
+    counts = [400, 200, 100, 20, 10, 9, 8, 7, 6, 5]
+    elbow = op(fits, "d23_gap_elbow")(gaps(spark, [60 * i + 1 for i, c in enumerate(counts) for _ in range(c)]), bins=10).first().elbow_s
+    assert elbow == 3.5 * 60
+
+
+def test_fits_of_nothing(spark):
+    none = gaps(spark, [1.0]).limit(0)
+    assert op(fits, "g8_gamma_fits")(none).count() == op(fits, "g8_weibull_fits")(none).count() == 0
+    assert op(fits, "d23_gap_elbow")(none).first().elbow_s is None
+
+
+def test_peak_is_in_the_earliest_fullest_bin(spark):
+    times = [0, 5, 500, 501, 980, 981, 1000]
+    log = spark.createDataFrame([("a", i, t) for i, t in enumerate(times)] + [("b", 0, 3), ("b", 1, 9)], "subject_uri string, idx long, time_us long")
+    assert {r.subject_uri: r.time_to_peak_us for r in op(cascades, "h13_time_to_peak")(log).collect()} == {"a": 500, "b": 0}
+
+
+def test_other_acts_alone_count_twice(spark):
+    rows = [(1, 0, 0, 0, 0, 1), (0, 0, 0, 0, 0, 2), (0, 1, 1, 0, 0, 2)]
+    s = spark.createDataFrame(rows, "likes long, reposts long, posts_authored long, replies long, follows long, total_actions long")
+    assert {r.type: r.n for r in op(sessions, "d19_session_types")(s).collect()} == {"likes only": 1, "other only": 1, "mixed no likes": 2}

@@ -44,4 +44,7 @@ OPERATORS = (
       a AS (SELECT xmin, sum(n) AS t, 1 + sum(n) / nullif(sum(n * ln(x / xmin)), 0) AS alpha FROM c JOIN v ON x >= xmin GROUP BY xmin HAVING sum(n) >= 10),
       d AS (SELECT xmin, t, alpha, abs(sum(n) OVER (PARTITION BY xmin ORDER BY x) / t - (1 - pow(x / xmin, 1 - alpha))) AS d FROM a JOIN v ON x >= xmin)
       SELECT xmin, round(alpha, 6) AS alpha, round(max(d), 6) AS ks, cast(t AS BIGINT) AS n_tail FROM d GROUP BY xmin, alpha, t ORDER BY max(d), xmin LIMIT 1"""),
+    O("c2_collection_reach", "Users that create in each collection, and posts of each kind, as a share of all; major from 1 % up.", ("records", "posts"), """WITH a AS (SELECT collection AS kind, did FROM {records} WHERE operation = 'create' UNION ALL SELECT 'posts', did FROM {posts}
+        UNION ALL SELECT CASE WHEN reply_root_uri IS NULL THEN 'posts_top' ELSE 'posts_reply' END, did FROM {posts}), t AS (SELECT did FROM {records} UNION SELECT did FROM {posts})
+      SELECT kind, users, round(100.0E0 * users / (SELECT count(*) FROM t), 6) AS pct, users * 100 >= (SELECT count(*) FROM t) AS is_major FROM (SELECT kind, count(DISTINCT did) AS users FROM a GROUP BY kind) AS k"""),
 )

@@ -57,4 +57,11 @@ OPERATORS = (
     O("h16_topology_gap_stats", "Gaps under one parent, in seconds.", ("h14_repost_gaps",), "SELECT round($P(topology_gap_us, 0.5) / 1e6, 6) AS p50, round($P(topology_gap_us, 0.9) / 1e6, 6) AS p90, round(avg(topology_gap_us) / 1e6, 4) AS mean FROM {h14_repost_gaps} WHERE topology_gap_us >= 0"),
     O("h18_virality_stats", "Virality over cascades of two or more.", ("h8_cascades",), "SELECT count(*) AS n, round(avg(virality), 6) AS mean, round($P(virality, 0.5), 6) AS median, round(stddev_samp(virality), 6) AS std, min(virality) AS least, max(virality) AS most FROM {h8_cascades} WHERE size >= 2"),
     O("h20_depth_stats", "Cascades by depth.", ("h8_cascades",), "SELECT depth, count(*) AS n, max(size) AS largest FROM {h8_cascades} GROUP BY depth"),
+    O("h9_gap_trend", "Slope of the gaps between a cascade's reposts over their place; 0 under three reposts.", ("h1_cascade_events",), """WITH g AS (SELECT subject_uri, idx - 1 AS j, time_us - lag(time_us) OVER (PARTITION BY subject_uri ORDER BY idx) AS gap FROM {h1_cascade_events} WHERE idx > 0)
+      SELECT subject_uri, count(*) AS reposts, CASE WHEN count(*) >= 3 THEN round(regr_slope(gap, j), 3) ELSE 0.0E0 END AS gap_trend FROM g GROUP BY subject_uri"""),
+    O("h13_time_to_peak", "Time to the first repost of the fullest of 100 equal bins, the earliest on ties; 0 for one repost or no span.", ("h1_cascade_events",), """WITH r AS (SELECT subject_uri, idx, time_us, min(time_us) OVER p AS t0, max(time_us) OVER p AS t1, count(*) OVER p - 1 AS n FROM {h1_cascade_events} WINDOW p AS (PARTITION BY subject_uri)),
+      b AS (SELECT subject_uri, n, CASE WHEN n > 1 AND t1 > t0 THEN least(cast(floor(cast(time_us - t0 AS DOUBLE) / nullif(t1 - t0, 0) * 100) AS BIGINT), 99) ELSE -1 END AS bin, count(*) AS c, min(time_us) - min(t0) AS first_us FROM r WHERE idx > 0 GROUP BY 1, 2, 3)
+      SELECT subject_uri, n AS total_reposts, CASE WHEN bin < 0 THEN 0 ELSE first_us END AS time_to_peak_us FROM (SELECT *, row_number() OVER (PARTITION BY subject_uri ORDER BY c DESC, bin) AS place FROM b) AS q WHERE place = 1"""),
+    O("h17_peak_by_size", "Median seconds to the peak by reposts, from two up.", ("h13_time_to_peak",), "SELECT CASE WHEN total_reposts <= 5 THEN '2-5' WHEN total_reposts <= 20 THEN '6-20' WHEN total_reposts <= 100 THEN '21-100' ELSE '100+' END AS bucket, count(*) AS n, round($P(time_to_peak_us, 0.5) / 1e6, 6) AS median_peak_s FROM {h13_time_to_peak} WHERE total_reposts >= 2 GROUP BY 1"),
+    O("h19_virality_by_size", "Virality by size, from two nodes up.", ("h8_cascades",), "SELECT CASE " + " ".join(f"WHEN size <= {hi} THEN '{name}'" for hi, name in ((2, "2"), (3, "3"), (5, "4-5"), (10, "6-10"), (20, "11-20"), (50, "21-50"), (100, "51-100"), (500, "101-500"), (1000, "501-1000"))) + " ELSE '1001+' END AS bucket, count(*) AS n, round(avg(virality), 6) AS mean, round($P(virality, 0.5), 6) AS median, round($P(virality, 0.9), 6) AS p90, max(virality) AS most FROM {h8_cascades} WHERE size >= 2 GROUP BY 1"),
 )

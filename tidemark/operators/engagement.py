@@ -21,4 +21,8 @@ OPERATORS = (
     O("j6_follower_buckets", "Users by powers of two of followers.", ("follows", "customer"), "SELECT bucket, count(*) AS users, round(100.0E0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM (SELECT CASE WHEN d IS NULL THEN -1 ELSE cast(floor(ln(cast(d AS DOUBLE)) / ln(2.0E0) + 1e-9) AS BIGINT) END AS bucket FROM {customer} LEFT JOIN (SELECT subject_id, count(*) AS d FROM {follows} GROUP BY subject_id) AS f ON c_custkey = subject_id) AS b GROUP BY bucket"),
     O("j7_stratified_batch", "A proportional batch of users by follower bucket, at least one of each.", ("follows",), """WITH u AS (SELECT subject_id, floor(ln(cast(count(*) AS DOUBLE)) / ln(2.0E0) + 1e-9) AS b FROM {follows} GROUP BY subject_id),
       r AS (SELECT subject_id, b, row_number() OVER (PARTITION BY b ORDER BY subject_id) AS r, count(*) OVER (PARTITION BY b) AS n, count(*) OVER () AS t FROM u) SELECT subject_id FROM r WHERE r <= greatest(ceil(:n * 1.0E0 * n / t), 1)""", {"n": 100}),
+    O("i9_decay_pooled", "Slope of ln of the events so far on ln time, over quarter-octave time bins of all posts.", ("i1_engagement_events",), """WITH b AS (SELECT cast(floor(4 * ln((time_us - created_us) / 1e6) / ln(2.0E0)) AS INT) AS bin, count(*) AS c FROM {i1_engagement_events} WHERE time_us > created_us GROUP BY 1)
+      SELECT count(*) AS bins, round(regr_slope(y, x), 6) AS beta FROM (SELECT (bin + 1) * ln(2.0E0) / 4 AS x, ln(cast(sum(c) OVER (ORDER BY bin) AS DOUBLE)) AS y FROM b) AS s"""),
+    O("i9_decay_by_count", "Slopes of posts by number of engagements.", ("i9_decay_per_post",), "SELECT CASE WHEN n < 100 THEN '20-99' WHEN n < 1000 THEN '100-999' WHEN n < 10000 THEN '1K-10K' ELSE '10K+' END AS bucket, count(*) AS posts, round(avg(beta), 5) AS mean, round($P(beta, 0.5), 5) AS median FROM {i9_decay_per_post} GROUP BY 1"),
+    O("j1_follow_edges", "Distinct active follows between known users.", ("follow_log", "customer"), "SELECT DISTINCT actor_id, subject_id FROM {follow_log} WHERE valid_to IS NULL AND actor_id IN (SELECT c_custkey FROM {customer}) AND subject_id IN (SELECT c_custkey FROM {customer})"),
 )

@@ -49,4 +49,17 @@ OPERATORS = (
     O("f4_entropy_extremes", "Most and least regular users.", ("f1_gap_entropy",), """SELECT did, entropy_bits, e AS side FROM (SELECT did, entropy_bits, 'regular' AS e, row_number() OVER (ORDER BY entropy_bits, did) AS r FROM {f1_gap_entropy}
       UNION ALL SELECT did, entropy_bits, 'irregular', row_number() OVER (ORDER BY entropy_bits DESC, did) FROM {f1_gap_entropy}) AS x WHERE r <= 10"""),
     O("g7_closed_form_fits", "Exponential and lognormal fits per user.", ("d1_gaps",), "SELECT did, count(*) AS n, round(1e6 / avg(gap), 9) AS rate, round(avg(ln(gap / 1e6)), 6) AS meanlog, round(stddev_pop(ln(gap / 1e6)), 6) AS sdlog FROM {d1_gaps} WHERE gap > 0 GROUP BY did HAVING count(*) >= 10"),
+    O("d19_session_types", "Sessions by the acts they hold; other acts alone count under two types.", ("d4_sessions_rich",), """WITH t AS (SELECT CASE WHEN likes > 0 AND p + r + f + o = 0 THEN 'likes only' WHEN likes > 0 THEN 'mixed with likes' WHEN p > 0 AND r + f + o = 0 THEN 'posts/replies' WHEN r > 0 AND p + f + o = 0 THEN 'reposts only'
+          WHEN f > 0 AND p + r + o = 0 THEN 'network' WHEN p + r + f > 0 THEN 'mixed no likes' ELSE 'other only' END AS type, o
+        FROM (SELECT likes, posts_authored + replies AS p, reposts AS r, follows AS f, total_actions - likes - posts_authored - replies - reposts - follows AS o FROM {d4_sessions_rich}) AS s),
+      u AS (SELECT type FROM t UNION ALL SELECT 'mixed no likes' FROM t WHERE type = 'other only' AND o > 0)
+      SELECT type, count(*) AS n, round(100.0E0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM u GROUP BY type"""),
+)
+
+_RICH = next(o for o in OPERATORS if o.name == "d4_sessions_rich")
+OPERATORS += (
+    O("d4_sessions_engaged", "Rich sessions over events but likes.", ("ev_engaged",), _RICH.sql.replace("{ev}", "{ev_engaged}")),
+    O("d20_session_types_engaged", "Sessions over events but likes by the acts they hold.", ("d4_sessions_engaged",), """SELECT type, count(*) AS n, round(100.0E0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM (
+        SELECT CASE WHEN p + r + f = 0 THEN 'empty' WHEN r + f = 0 THEN 'posts/replies only' WHEN p + f = 0 THEN 'reposts only' WHEN p + r = 0 THEN 'follows/blocks only' ELSE 'mixed' END AS type
+        FROM (SELECT posts_authored + replies AS p, reposts AS r, follows AS f FROM {d4_sessions_engaged}) AS s) AS t GROUP BY type"""),
 )

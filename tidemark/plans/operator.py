@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 #: $NAME in a statement: the Spark and the DuckDB spelling.
-SPELLINGS = {"P": ("percentile", "quantile_cont"), "US": ("unix_micros(cast(ts AS TIMESTAMP))", "epoch_us(ts)"), "K": ("cast(get_json_object(props, '$.k') AS INT)", "cast(json_extract_string(props, '$.k') AS INT)")}
+SPELLINGS = {"EACH": ("explode(sequence(0, 199))", "unnest(range(200))"), "P": ("percentile", "quantile_cont"), "US": ("unix_micros(cast(ts AS TIMESTAMP))", "epoch_us(ts)"), "K": ("cast(get_json_object(props, '$.k') AS INT)", "cast(json_extract_string(props, '$.k') AS INT)")}
 
 
 @dataclass(frozen=True)
