@@ -70,7 +70,8 @@ OPERATORS = (
       c AS (SELECT DISTINCT round(exp((SELECT ln(min(x)) FROM v) + i * ((SELECT ln(max(x)) FROM v) - (SELECT ln(min(x)) FROM v)) / (:k - 1))) AS xmin FROM (SELECT $EACH AS i) AS g WHERE i < :k), {_TAILS}
       SELECT xmin, round(alpha, 6) AS alpha, round(max(d), 6) AS ks, cast(t AS BIGINT) AS n_tail FROM d GROUP BY xmin, alpha, t ORDER BY round(max(d), 9), xmin LIMIT 1""", {"k": 80}),
     O("g5_powerlaw_vs_lognormal", "Log-likelihood ratio of a power law from 1 and a lognormal, both by maximum likelihood, with a two-sided p.", ("order_counts",), """WITH f AS (SELECT count(*) AS n, 1 + count(*) / sum(ln(x)) AS alpha, avg(ln(x)) AS mu, stddev_pop(ln(x)) AS sd FROM {order_counts} WHERE x >= 1),
-      r AS (SELECT ln(alpha - 1) - alpha * ln(x) - (-ln(x) - ln(sd) - 0.5E0 * ln(2 * 3.141592653589793E0) - (ln(x) - mu) * (ln(x) - mu) / (2 * sd * sd)) AS ratio FROM {order_counts} CROSS JOIN f WHERE x >= 1),
+      b AS (SELECT x, (SELECT alpha FROM f) AS alpha, (SELECT mu FROM f) AS mu, (SELECT sd FROM f) AS sd FROM {order_counts} WHERE x >= 1),
+      r AS (SELECT ln(alpha - 1) - alpha * ln(x) - (-ln(x) - ln(sd) - 0.5E0 * ln(2 * 3.141592653589793E0) - (ln(x) - mu) * (ln(x) - mu) / (2 * sd * sd)) AS ratio FROM b),
       z AS (SELECT count(*) AS n, sum(ratio) AS total, abs(sum(ratio)) / sqrt(2.0E0 * count(*)) / stddev_pop(ratio) AS u FROM r),
       q AS (SELECT n, total, u, 1 / (1 + 0.3275911E0 * u) AS t FROM z),
       p AS (SELECT n, total, t * (0.254829592E0 + t * (-0.284496736E0 + t * (1.421413741E0 + t * (-1.453152027E0 + t * 1.061405429E0)))) * exp(-u * u) AS p FROM q)
