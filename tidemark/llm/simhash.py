@@ -113,15 +113,17 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
 def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     """(node, component) of each node that the edges (a, b) touch; component is its least node.
 
-    Every round hooks each node to its least neighbour, shortens the trees by a few pointer jumps, and contracts them, so
-    rounds grow as the logarithm of the longest chain. Minima combine before the shuffle, so a hub is no hot group.
+    Every round hooks each node to its first neighbour, shortens the trees by a few pointer jumps, and contracts them. First
+    is by a hash of the node: in a chain of rising nodes these runs are short, so rounds grow as the logarithm of the chain.
+    Minima combine before the shuffle, so a hub is no hot group.
     """
+    first = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
     left = checkpointed(edges.select("a", "b").where("a <> b"))
-    assigned = None
-    while not left.isEmpty():
-        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")))
-        up = least
+    assigned, rows = None, left.count()
+    while rows:
+        both = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+        met = both.groupBy(F.col("e.a").alias("node")).agg(F.min(F.struct(F.xxhash64("e.b").alias("h"), F.col("e.b").alias("n"))).alias("m"))
+        up = met.select("node", F.least(first("node"), "m")["n"].alias("up"))
         for _ in range(jumps):
             up = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up"))
         up = checkpointed(up)
@@ -134,7 +136,12 @@ def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
         for end in ("a", "b"):
             ends = ends.join(up.select(F.col("node").alias(end), F.col("up").alias(f"{end}2")), end)
         left = checkpointed(ends.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct())
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0) if assigned is None else checkpointed(assigned)
+        rows = left.count()
+    if assigned is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+    assigned = checkpointed(assigned)
+    least = assigned.groupBy("component").agg(F.min("node").alias("least"))
+    return assigned.join(least, "component").select("node", F.col("least").alias("component"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3) -> DataFrame:
