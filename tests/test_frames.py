@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-from tidemark.operators import cascades, fits, sessions
+from tidemark.operators import cascades, fits, sessions, tails
 from tidemark.sources.io import read_cascade_tsv, sample_users
 from tidemark.streaming.live import deduplicated, hourly_counts, live_sessions
 
@@ -94,3 +94,18 @@ def test_other_acts_alone_count_twice(spark):
     rows = [(1, 0, 0, 0, 0, 1), (0, 0, 0, 0, 0, 2), (0, 1, 1, 0, 0, 2)]
     s = spark.createDataFrame(rows, "likes long, reposts long, posts_authored long, replies long, follows long, total_actions long")
     assert {r.type: r.n for r in op(sessions, "d19_session_types")(s).collect()} == {"likes only": 1, "other only": 1, "mixed no likes": 2}
+
+
+def test_power_law_of_a_pareto_user_and_vuong(spark):
+    rng = np.random.default_rng(7)
+    pareto = 20 * (1 - rng.random(800)) ** (-1 / 1.5)
+    steady = rng.exponential(50, 800)
+    gaps = spark.createDataFrame([(u, int(x * 1e6)) for u, xs in (("p", pareto), ("e", steady), ("few", steady[:9])) for x in xs], "did string, gap long")
+    ops = {o.name: o for o in tails.OPERATORS}
+    fit = ops["g6_user_powerlaw"](gaps)
+    got = {r.did: r for r in fit.collect()}
+    assert abs(got["p"].alpha - 2.5) < 0.3 and "few" not in got
+    kept = [x for x in pareto if x >= got["p"].xmin]
+    assert got["p"].n_tail == len(kept) and abs(got["p"].alpha - 1 - len(kept) / np.log(np.array(kept) / got["p"].xmin).sum()) < 1e-5
+    tests = {r.did: r for r in ops["g9_vuong"](ops["g7_tail"](gaps, fit), fit).collect()}
+    assert tests["p"].r_exponential > 2 and tests["p"].p_exponential < 0.05

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import activity, cascades, engagement, events, fits, sessions
+from tidemark.operators import activity, cascades, engagement, events, fits, sessions, tails
 from tidemark.plans.operator import Catalog
 from tidemark.sources.adapters import ADAPTERS
 
 CATALOG = Catalog()
 CATALOG.add(*ADAPTERS)
-_OPERATORS = [o for m in (events, activity, sessions, fits, cascades, engagement) for o in m.OPERATORS]
+_OPERATORS = [o for m in (events, activity, sessions, fits, tails, cascades, engagement) for o in m.OPERATORS]
 CATALOG.add(*_OPERATORS)
 
 
