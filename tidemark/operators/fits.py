@@ -87,9 +87,9 @@ OPERATORS = (
 )
 
 OPERATORS += (
-    O("g12_best_fit_breakdown", "Users by best family.", ("g10_least_aic",), "SELECT best, count(*) AS users, round(100.0E0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM {g10_least_aic} GROUP BY best"),
-    O("g13_param_summary", "Shapes of users by best family.", ("g10_least_aic", "g8_weibull_fits"), "SELECT a.best, count(*) AS users, round(avg(w.shape), 4) AS mean, round($P(w.shape, 0.5), 4) AS median, round(stddev_samp(w.shape), 4) AS sd, round(avg(CASE WHEN w.shape < 1 THEN 1.0E0 ELSE 0.0E0 END), 6) AS share_under_1 FROM {g10_least_aic} AS a JOIN {g8_weibull_fits} AS w ON a.did = w.did GROUP BY a.best"),
+    O("g12_best_fit_breakdown", "Users by best family.", ("g11_fit_gaps",), "SELECT best, count(*) AS users, round(100.0E0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM {g11_fit_gaps} GROUP BY best"),
+    O("g13_param_summary", "Shapes of users by best family.", ("g11_fit_gaps",), "SELECT best, count(*) AS users, round(avg(weibull_shape), 4) AS mean, round($P(weibull_shape, 0.5), 4) AS median, round(stddev_samp(weibull_shape), 4) AS sd, round(avg(CASE WHEN weibull_shape < 1 THEN 1.0E0 ELSE 0.0E0 END), 6) AS share_under_1 FROM {g11_fit_gaps} WHERE weibull_shape IS NOT NULL GROUP BY best"),
     O("g14_param_percentiles", "Percentiles of fitted parameters.", ("g8_weibull_fits",), "SELECT " + ", ".join(f"round($P({c}, {p / 100}), 4) AS {c}_p{p}" for c in ("shape", "scale") for p in (1, 5, 25, 50, 75, 95, 99)) + " FROM {g8_weibull_fits}"),
     O("g14_param_correlation", "Correlation of the logarithms of shape and scale.", ("g8_weibull_fits",), "SELECT count(*) AS n, round(corr(ln(shape), ln(scale)), 4) AS r FROM {g8_weibull_fits} WHERE shape > 0 AND scale > 0"),
-    O("g16_gap_by_best_fit", "Median gap by best family.", ("d1_gaps", "g10_least_aic"), "SELECT f.best, count(*) AS n, round($P(g.gap / 1e6, 0.5), 6) AS median_s FROM {d1_gaps} AS g JOIN {g10_least_aic} AS f ON g.did = f.did WHERE g.gap > 0 GROUP BY f.best"),
+    O("g16_gap_by_best_fit", "Median gap by best family.", ("d1_gaps", "g11_fit_gaps"), "SELECT f.best, count(*) AS n, round($P(g.gap / 1e6, 0.5), 6) AS median_s FROM {d1_gaps} AS g JOIN {g11_fit_gaps} AS f ON g.did = f.did WHERE g.gap > 0 GROUP BY f.best"),
 )
