@@ -182,3 +182,33 @@ def test_pipeline(spark):
     assert {r.doc_id for r in kept.collect()} == want
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert set(out.doc_id) <= want and out.doc_id.is_unique and len(out) > 0.5 * len(want)
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(7)
+    texts = []
+    for _ in range(60):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(3, 120))]
+        texts.append(text)
+        for _ in range(4):  # edits in a chain, many of them beyond seven bits or under 0.8
+            text = [f"c{rng.randrange(10**6)}" if rng.random() < rng.choice((0.005, 0.02, 0.05)) else w for w in text]
+            texts.append(text)
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+    def shingles(t):
+        return {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))}
+
+    sets, least = [shingles(t) for t in texts], list(range(len(texts)))
+    find = lambda i: i if least[i] == i else find(least[i])
+    wide = 0
+    for a, b in combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            wide += ((simhash.fingerprint(docs[a][1].encode()) ^ simhash.fingerprint(docs[b][1].encode())) & (2**64 - 1)).bit_count() > 7
+            x, y = sorted((find(a), find(b)))
+            least[y] = x
+    want = {(i, find(i)) for i in range(len(texts)) if find(i) != i}
+    assert wide and {(r.doc_id, r.group_id) for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+
+
+def test_near_duplicates_of_odd_rows(odd):
+    assert {(r.doc_id, r.group_id) for r in simhash.near_duplicates(odd).collect()} == {(2, 1), (3, 1)}

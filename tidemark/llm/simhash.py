@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import SPACE, checkpointed, small_batches
@@ -146,7 +146,11 @@ def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3) -> DataFrame:
     """(id_col, fp, component_id): component_id is the least id whose fingerprint can be reached through links."""
-    marks = checkpointed(fingerprints(docs, id_col, text_col, words))
+    return _grouped(checkpointed(fingerprints(docs, id_col, text_col, words)), id_col, max_bits)
+
+
+def _grouped(marks: DataFrame, id_col: str, max_bits: int) -> DataFrame:
+    """marks (id_col, fp) with component_id."""
     least = marks.groupBy("fp").agg(F.min(id_col).alias("own"))
     joined = components(links(marks, max_bits)).select(F.col("node").alias("fp"), "component")
     linked = joined.join(least, "fp")
@@ -177,19 +181,97 @@ def similar(pairs: DataFrame, docs: DataFrame, words: int = 5, least: float = 0.
     return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, wide_bits: int = 7) -> DataFrame:
+def _sample_counts(docs: DataFrame, words: int, rows: int = 20000) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts), by hash: the shingles that three or more of about that many documents hold."""
+    n = docs.count()
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**20)) < 2**20 * min(1, rows / n)) if n else docs
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_shingles(text, words).view(np.int64))], ["s"])
+
+    often = some.select(F.col("text").cast("binary")).mapInArrow(hashed, "s long").groupBy("s").count().where("count > 2").toArrow()
+    found, counts = often["s"].to_numpy(), often["count"].to_numpy()
+    order = np.argsort(found)
+    return found[order], counts[order]
+
+
+def _shingles(text: bytes | None, words: int) -> np.ndarray:
+    """Distinct hashes of the text's shingles, all letters lower-cased, rising."""
+    raw = text or b""
+    if not raw.isascii():
+        raw = raw.decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape")
+    return np.unique(shingle_hashes(raw, words))
+
+
+def _features(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, fp, same, n, prefix): same is equal for equal sets of n shingles. Two sets with a Jaccard similarity of 0.8 or more share one of their prefixes' shingles.
+
+    A prefix is the first n - ceil(0.8 n) + 1 shingles of the set in an order that holds for all documents: those that are rare
+    in a sample, by hash, then the others, by count. The sample settles only how many candidates there are, not what is found.
+    """
+    small_batches(docs.sparkSession)
+    often, counts = _sample_counts(docs, words)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, same, sizes, prefixes = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                found = _shingles(text, words)
+                n = len(found)
+                fps.append(fingerprint(text))
+                same.append(xxhash.xxh3_128_digest(found.tobytes()))
+                sizes.append(n)
+                signed = found.view(np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, signed), len(often) - 1)
+                    signed = signed[np.lexsort((signed, np.where(often[at] == signed, counts[at], 0)))]
+                prefixes.append(signed[: n - (4 * n + 4) // 5 + 1])
+            columns = [batch.column(0), pa.array(fps, pa.int64()), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "same", "n", "prefix"])
+
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(hashed, f"doc_id {kind}, fp long, same binary, n int, prefix array<long>")
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """(a, b, label_a, label_b) of each pair of documents with unlike labels whose sets (doc_id, label, n, prefix) can reach 0.8.
+
+    The first shingle that two such sets share has enough shingles after it in both. Documents of one label are never paired,
+    so a large group of copies makes no square.
+    """
+    rows = sets.select("doc_id", "label", "n", F.posexplode("prefix").alias("place", "s"))
+    of = Window.partitionBy("s")
+    met = rows.withColumn("lo", F.min("label").over(of)).withColumn("hi", F.max("label").over(of)).where("lo <> hi")
+    lists = checkpointed(met.groupBy("s", "label").agg(F.collect_list(F.struct("doc_id", "n", "place")).alias("x")))
+    both = lists.join(lists.select("s", F.col("label").alias("label_b"), F.col("x").alias("y")), "s").where("label < label_b")
+    pairs = both.select("label", "label_b", F.explode("x").alias("x"), "y").select("label", "label_b", "x", F.explode("y").alias("y"))
+    enough = pairs.where("9 * least(x.n - x.place, y.n - y.place) >= 4 * (x.n + y.n)")
+    return enough.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("label").alias("label_a"), "label_b").distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, group_id) of every document that isn't the one to keep, the least id, of its group of near copies.
 
-    First the fingerprints within three bits are joined, exact copies among them; then the least documents of what is left are
-    compared within ``wide_bits``, and pairs whose five-word shingles are similar to 0.8 or more are joined too. The two
-    steps spare the pairs inside a large group. Rows that share an id stay or go together; rows with a null id stay.
+    A group is a component of the pairs whose sets of five-word shingles have a similarity of 0.8 or more; each such pair is
+    found. Equal sets count once. Fingerprints within three bits are joined through anchors, and each member that is similar to
+    its component's head is labelled by it; then all documents of unlike labels that share a shingle of their prefixes are
+    compared. Rows that share an id stay or go together; rows with a null id stay.
     """
-    first = checkpointed(simhash_components(docs).where("doc_id is not null"))
-    heads = first.where("doc_id = component_id").select("doc_id", "fp")
-    # One document for each fingerprint: equal ones are one component already.
-    pairs = links(heads, wide_bits)
-    named = pairs.join(heads.select(F.col("fp").alias("a"), F.col("doc_id").alias("ida")), "a").join(heads.select(F.col("fp").alias("b"), F.col("doc_id").alias("idb")), "b")
-    pairs = checkpointed(named.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct())
-    joined = components(similar(pairs, docs)).select(F.col("node").alias("component_id"), "component")
-    groups = first.join(joined, "component_id", "left").select("doc_id", F.coalesce("component", "component_id").alias("group_id"))
-    return groups.where("doc_id <> group_id").distinct()
+    marks = checkpointed(_features(docs.where("doc_id is not null"), words))
+    sets = marks.groupBy("same").agg(F.min(F.struct("doc_id", "fp", "n", "prefix")).alias("m")).select("same", "m.*")
+    sets = checkpointed(sets)
+    heads = _grouped(sets.select("doc_id", "fp"), "doc_id", 3)
+    stars = heads.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    near = checkpointed(similar(checkpointed(stars), docs, words).distinct())
+    labelled = sets.join(near.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("head")), "doc_id", "left")
+    # An id with several texts keeps its own label, as only one of them may be similar.
+    several = sets.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("several"))
+    labelled = labelled.join(several, "doc_id", "left").withColumn("label", F.when(F.col("several"), F.col("doc_id")).otherwise(F.coalesce("head", "doc_id")))
+    found = checkpointed(candidates(labelled))
+    alike = similar(found.select("a", "b").distinct(), docs, words)
+    copies = marks.join(sets.select("same", F.col("doc_id").alias("b")), "same").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+    joined = components(copies.unionByName(near).unionByName(alike.select("a", "b")).distinct())
+    return joined.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
