@@ -223,3 +223,13 @@ def test_near_fingerprints_of_unlike_texts_stay(spark):
     near = " ".join([*other, "more"])  # like the second text, not like the head
     docs = spark.createDataFrame([(1, a), (2, b), (3, near)], "doc_id long, text string")
     assert {(r.doc_id, r.group_id) for r in simhash.near_duplicates(docs).collect()} == {(3, 2)}
+
+
+def test_html_keeps_all_of_the_content(spark):
+    long = "A sentence of the story, told in some words. " * 7
+    parts = ["<ul>" + "<li>short item</li>" * 10 + "</ul>", "<ul><li><a href=x>linked item</a></li></ul>", "<table><tr><td>cell one<td>cell two</table>", "<blockquote>So it is.</blockquote>", "<p>Yes.</p>"]
+    for name in ("article", "div"):
+        for part in parts:
+            body = f"<h1>Head</h1>{f'<p>{long}</p>' * 6}{part}{f'<p>{long}</p>' * 6}"
+            want = " ".join(html_text.re.sub("<[^>]*>", " ", body).split())
+            assert html_text.main_text(f"<body><nav>n</nav><div class=sidebar>s</div><{name}>{body}</{name}></body>") == want

@@ -4,7 +4,9 @@ A page is cut into blocks of text, each with the path of block elements from the
 never content (scripts, menus, forms, ...) or whose class, id or role says so leave first. Over the rest, text length,
 punctuation and link text are summed per path; the path's score is the log of its text per block, without links, times the
 punctuation per block. Scores are smoothed along the page, fused with the shares of the page's text that the path's containers
-hold (and with a prior for article and main), and paths over a part of the best score are content.
+hold (and with a prior for article and main), and paths over a part of the best score are content. They choose the content
+root: article and main where most of that text is in them, else the deepest container that holds nearly all of it. All blocks
+under the root are kept, lists and tables included.
 
 Nulls and odd input: null or empty html gives an empty text; text outside any element is a block of the root; unclosed or
 crossed tags close as their parents do; what is cut off at the end is read as far as it goes; repeated rows stay rows; columns
@@ -38,32 +40,35 @@ NEVER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer form header login masthead"
     " menu modal nav navbar navigation newsletter notice notices pagination pager popup promo recommended related search share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary".split()
 )
+#: Elements that can be the content root.
+ROOTS = frozenset("html body main article div section center table tbody tr td".split())
 MAIN, MAIN_NAMES = frozenset(("article", "main")), frozenset(("articlebody", "main"))
 #: A start tag of the key closes open elements of the values, up to a container.
 CLOSES = {t: frozenset(c.split()) for t, c in {"li": "li p", "dt": "dt dd p", "dd": "dt dd p", "tr": "tr td th p", "td": "td th p", "th": "td th p", "option": "option"}.items()}
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SCOPE = frozenset("ul ol dl table div section article main body td th blockquote".split())
 PUNCTUATION = re.compile(r"[.,;:!?¿¡…。、，！？]")
-LEAST, MAIN_PRIOR, SMOOTHING = 0.15, 2.0, [exp(-(d * d) / 2) for d in range(3)]
+LEAST, NEARLY_ALL, MAIN_PRIOR, SMOOTHING = 0.15, 0.9, 2.0, [exp(-(d * d) / 2) for d in range(3)]
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], bool, bool, str, int]]:
-    """(path, never content, in article or main, text, characters in links) of each block with text, in order."""
-    stack: list[tuple[str, bool, bool]] = []
-    out, buffer, linked, links = [], [], 0, 0
+def blocks(page: str) -> list[tuple[tuple[str, ...], bool, bool, str, int, tuple[int, ...]]]:
+    """(path, never content, in article or main, text, characters in links, numbers of the path's elements) of each block with text, in order."""
+    stack: list[tuple[str, bool, bool, int]] = []
+    out, buffer, linked, links, opened = [], [], 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(buffer).split())
         if text:
             never, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append((tuple(t for t, _, _ in stack if t not in INLINE), never, main, text, linked))
+            path = [(e[0], e[3]) for e in stack if e[0] not in INLINE]
+            out.append((tuple(t for t, _ in path), never, main, text, linked, tuple(i for _, i in path)))
         buffer.clear()
         linked = 0
 
     def close(to: int) -> None:
         nonlocal links
-        links -= sum(t == "a" for t, _, _ in stack[to:])
+        links -= sum(e[0] == "a" for e in stack[to:])
         del stack[to:]
 
     def add(raw: str) -> None:
@@ -85,7 +90,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, bool, str, int]]:
             flush()
         if m[2]:
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if k >= 0 and not (tag in INLINE and any(t not in INLINE for t, _, _ in stack[k:])):
+            if k >= 0 and not (tag in INLINE and any(e[0] not in INLINE for e in stack[k:])):
                 close(k)
             continue
         if tag in VOID:
@@ -101,7 +106,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, bool, str, int]]:
             continue
         never, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         names = {w for n in NAMES.findall(m[4]) for w in re.split(r"[^a-z0-9]+", "".join(n).lower())} if m[4] else set()
-        stack.append((tag, never or tag in NEVER or bool(names & NEVER_NAMES), main or tag in MAIN or bool(names & MAIN_NAMES)))
+        hidden = tag in NEVER or bool(names & NEVER_NAMES)
+        opened += 1
+        stack.append((tag, never or hidden, main or tag in MAIN or bool(names & MAIN_NAMES), opened))
         links += tag == "a"
     if at < len(page):
         add(re.sub(r"<[a-zA-Z/!][^>]*\Z", "", page[at:]))
@@ -115,7 +122,7 @@ def main_text(page: str | None) -> str:
         return ""
     sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0, 0])
     under: dict[tuple[str, ...], int] = defaultdict(int)
-    for path, _, _, text, linked in kept:
+    for path, _, _, text, linked, _ in kept:
         for k, x in enumerate((1, len(text), len(PUNCTUATION.findall(text)), min(linked, len(text)))):
             sums[path][k] += x
         for k in range(1, len(path)):
@@ -135,7 +142,18 @@ def main_text(page: str | None) -> str:
             share *= x ** (1 / len(shares))
         fused[path] = sum(values) / len(values) * (0.1 + (share if shares else 0)) * (MAIN_PRIOR if path in in_main else 1)
     least = LEAST * max(fused.values())
-    return " ".join(b[3] for b in kept if fused[b[0]] >= least and fused[b[0]] > 0 and (b[2] or not in_main))
+    chosen = [b for b in kept if fused[b[0]] >= least and fused[b[0]] > 0]
+    size = sum(len(b[3]) for b in chosen)
+    if 2 * sum(len(b[3]) for b in chosen if b[2]) > size:
+        return " ".join(b[3] for b in kept if b[2])
+    held: dict[tuple[int, str], int] = defaultdict(int)
+    for b in chosen:
+        for tag, number in zip(b[0], b[5], strict=True):
+            if tag in ROOTS:
+                held[number, tag] += len(b[3])
+    # Elements are numbered as they open, so the last that holds enough is the deepest.
+    root = max((number for (number, _), n in held.items() if n >= NEARLY_ALL * size), default=None)
+    return " ".join(b[3] for b in kept if root is None or root in b[5] or (fused[b[0]] >= least and fused[b[0]] > 0)) if chosen else ""
 
 
 def main_texts(pages: DataFrame, html_col: str = "html") -> DataFrame:
