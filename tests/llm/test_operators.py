@@ -233,3 +233,13 @@ def test_html_keeps_all_of_the_content(spark):
             body = f"<h1>Head</h1>{f'<p>{long}</p>' * 6}{part}{f'<p>{long}</p>' * 6}"
             want = " ".join(html_text.re.sub("<[^>]*>", " ", body).split())
             assert html_text.main_text(f"<body><nav>n</nav><div class=sidebar>s</div><{name}>{body}</{name}></body>") == want
+
+
+def test_html_names_do_not_hide_the_page(spark):
+    text = " ".join(["One sentence, then one more."] * 9)
+    for page in ("<body class='has-sidebar'><p>{}</p></body>", "<main class='content with-comments'><p>{}</p></main>", "<article class='post share-enabled'><p>{}</p></article>", "<body class='sidebar'><p>{}</p></body>", "<div class='no-comments'><p>{}</p></div>"):
+        assert html_text.main_text(page.format(text)) == text
+    for name in ("ad", "site-footer", "cookie_notice", "related-posts"):
+        assert html_text.main_text(f"<article><p>{text}</p><div class='x {name}'>junk</div></article>") == text
+    teaser = "<article><p>A teaser, short.</p></article>"
+    assert text in html_text.main_text(f"<body><div><p>{text}</p><p>{text}</p></div>{teaser}</body>")

@@ -40,8 +40,11 @@ NEVER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer form header login masthead"
     " menu modal nav navbar navigation newsletter notice notices pagination pager popup promo recommended related search share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary".split()
 )
-#: Elements that can be the content root.
-ROOTS = frozenset("html body main article div section center table tbody tr td".split())
+#: Words that make a known compound with one of NEVER_NAMES (site-footer, ad-slot), while any other word (has-sidebar) does not.
+LAYOUT = frozenset("area bar block bottom box buttons container global icons inner items left links list main page panel posts primary right row secondary section site slot top unit wrap wrapper".split())
+#: Elements that no name excludes, and those that can be the content root.
+PAGE = frozenset("html body main article".split())
+ROOTS = PAGE | frozenset("div section center table tbody tr td".split())
 MAIN, MAIN_NAMES = frozenset(("article", "main")), frozenset(("articlebody", "main"))
 #: A start tag of the key closes open elements of the values, up to a container.
 CLOSES = {t: frozenset(c.split()) for t, c in {"li": "li p", "dt": "dt dd p", "dd": "dt dd p", "tr": "tr td th p", "td": "td th p", "th": "td th p", "option": "option"}.items()}
@@ -51,6 +54,15 @@ PUNCTUATION = re.compile(r"[.,;:!?¿¡…。、，！？]")
 LEAST, NEARLY_ALL, MAIN_PRIOR, SMOOTHING = 0.15, 0.9, 2.0, [exp(-(d * d) / 2) for d in range(3)]
 
 
+def excluded(value: str) -> bool:
+    """If a class, id or role says that the element is never content: one of its words is in NEVER_NAMES, or a compound of those and of LAYOUT."""
+    for word in value.lower().split():
+        parts = {x for x in re.split(r"[^a-z0-9]+", word) if x}
+        if parts & NEVER_NAMES and parts <= NEVER_NAMES | LAYOUT:
+            return True
+    return False
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], bool, bool, str, int, tuple[int, ...]]]:
     """(path, never content, in article or main, text, characters in links, numbers of the path's elements) of each block with text, in order."""
     stack: list[tuple[str, bool, bool, int]] = []
@@ -105,8 +117,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, bool, str, int, tuple
         if m[4].rstrip().endswith("/") and tag not in INLINE:
             continue
         never, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        names = {w for n in NAMES.findall(m[4]) for w in re.split(r"[^a-z0-9]+", "".join(n).lower())} if m[4] else set()
-        hidden = tag in NEVER or bool(names & NEVER_NAMES)
+        values = ["".join(n) for n in NAMES.findall(m[4])] if m[4] else []
+        hidden = tag in NEVER or (tag not in PAGE and any(map(excluded, values)))
+        names = {w for v in values for w in re.split(r"[^a-z0-9]+", v.lower())}
         opened += 1
         stack.append((tag, never or hidden, main or tag in MAIN or bool(names & MAIN_NAMES), opened))
         links += tag == "a"
