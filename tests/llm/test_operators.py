@@ -243,3 +243,19 @@ def test_html_names_do_not_hide_the_page(spark):
         assert html_text.main_text(f"<article><p>{text}</p><div class='x {name}'>junk</div></article>") == text
     teaser = "<article><p>A teaser, short.</p></article>"
     assert text in html_text.main_text(f"<body><div><p>{text}</p><p>{text}</p></div>{teaser}</body>")
+
+
+def test_matroska_times_of_laced_frames_and_tracks(spark):
+    packets, _, _ = matroska.parse(matroska.mux(bytes(512 * 20 + 64)))
+    assert [p[4] for p in packets] == [64_000_000 * k for k in range(21)]
+    tracks = matroska.parse_all(matroska.mux(bytes(64)))[3]
+    assert tracks == [(1, 1, "audio", "A_PCM/INT/LIT", 64_000_000, 8000.0, 1, 8)]
+    block = matroska.element(matroska.BLOCK, b"\x81\0\0\x04\x03" + bytes(40))
+    group = matroska.element(matroska.BLOCK_GROUP, block + matroska.number(matroska.BLOCK_DURATION, 80))
+    cluster = matroska.element(matroska.CLUSTER, matroska.number(matroska.TIMESTAMP, 5) + group)
+    for table, step in ((b"", 20), (matroska.TRACK_TABLE, 64)):
+        for parts in (table + cluster, cluster + table):
+            cell = matroska.HEADER + matroska.element(matroska.SEGMENT, parts)
+            assert [p[4] for p in matroska.parse(cell)[0]] == [(5 + step * k) * 1_000_000 for k in range(4)]
+    media = spark.createDataFrame([(1, matroska.mux(bytes(64)))], "doc_id long, media binary")
+    assert [t.codec for t in matroska.demuxed(media).first().tracks] == ["A_PCM/INT/LIT"]

@@ -3,7 +3,9 @@
 ``muxed`` stores a payload as 8-bit PCM at 8 kHz: frames of 512 bytes, eight laced frames a block (fixed-size lacing, EBML
 lacing where the last frame is shorter), sixteen blocks a cluster, one cue a cluster. ``demuxed`` parses any Matroska cell:
 variable-length ids and sizes, unknown-size segments and clusters, simple blocks and block groups, the four kinds of lacing,
-and cues. It returns each track's packets with time, byte range and flags, and the bytes of the first track.
+tracks and cues. It returns the tracks, each track's packets with time, byte range and flags, and the bytes of the first track.
+Frame k of a lace has its block's time plus k times the track's default duration; else k shares of the block's duration, if
+it has one; else the block's time.
 
 Nulls and odd input: a null payload is an empty one; a null or empty cell, or one without a header, has no packets and the
 error ``not Matroska``; a cell cut short yields its whole packets and the error ``truncated``. Repeated rows stay rows.
@@ -25,12 +27,14 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966,
 EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, DEFAULT_DURATION, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
 FRAME, BLOCK_FRAMES, CLUSTER_BLOCKS, RATE = 512, 8, 16, 8000
 PACKET = {"track": pa.int32(), "cluster": pa.int32(), "block": pa.int32(), "frame": pa.int32(), "timestamp_ns": pa.int64(), "keyframe": pa.bool_(), "lacing": pa.string(), "byte_offset": pa.int64(), "byte_length": pa.int64()}
 CUE = {"time_ns": pa.int64(), "track": pa.int32(), "cluster_offset": pa.int64()}
+TRACK = {"number": pa.int32(), "uid": pa.decimal128(20, 0), "type": pa.string(), "codec": pa.string(), "default_duration_ns": pa.int64(), "sampling_hz": pa.float64(), "channels": pa.int32(), "bit_depth": pa.int32()}
+TRACK_TYPES = {1: "video", 2: "audio", 3: "complex", 16: "logo", 17: "subtitle", 18: "buttons", 32: "control", 33: "metadata"}
 LACING = ("none", "xiph", "fixed", "ebml")
 
 
@@ -141,17 +145,39 @@ def unsigned(data: bytes, a: int, b: int) -> int:
     return int.from_bytes(data[a:b], "big")
 
 
+def real(data: bytes, a: int, b: int) -> float | None:
+    return struct.unpack(">f" if b - a == 4 else ">d", data[a:b])[0] if b - a in (4, 8) else None
+
+
+def track(data: bytes, a: int, b: int) -> tuple:
+    """The fields of TRACK of a track entry."""
+    of = {i: (c, d) for i, c, d in elements(data, a, b)}
+    audio = {i: (c, d) for i, c, d in elements(data, *of[AUDIO])} if AUDIO in of else {}
+    whole = lambda x, i: unsigned(data, *x[i]) if i in x else None
+    kind = whole(of, TRACK_TYPE)
+    codec = data[slice(*of[CODEC_ID])].rstrip(b"\0").decode("ascii", "replace") if CODEC_ID in of else None
+    hertz = real(data, *audio[SAMPLING]) if SAMPLING in audio else None
+    return whole(of, TRACK_NUMBER), whole(of, TRACK_UID), TRACK_TYPES.get(kind, kind and str(kind)), codec, whole(of, DEFAULT_DURATION), hertz, whole(audio, CHANNELS), whole(audio, BIT_DEPTH)
+
+
 def parse(data: bytes) -> tuple[list[tuple], list[tuple], str | None]:
     """(packets, cues, error), packets and cues with the fields of PACKET and CUE."""
+    return parse_all(data)[:3]
+
+
+def parse_all(data: bytes) -> tuple[list[tuple], list[tuple], str | None, list[tuple]]:
+    """(packets, cues, error, tracks), the last with the fields of TRACK."""
     packets: list[tuple] = []
     cues: list[tuple] = []
+    tracks: list[tuple] = []
+    shares: list[int] = []
     if not data or data[:4] != EBML.to_bytes(4, "big"):
-        return packets, cues, "not Matroska"
+        return packets, cues, "not Matroska", tracks
     scale, cluster, n_blocks, now = 1_000_000, -1, 0, 0
 
-    def block(a: int, b: int, simple: bool, key: bool) -> None:
+    def block(a: int, b: int, simple: bool, key: bool, lasts: int = 0) -> None:
         nonlocal n_blocks
-        track, a = vint(data, a, False)
+        number, a = vint(data, a, False)
         if a + 3 > b:
             raise Truncated
         shift, flags = struct.unpack_from(">hB", data, a)
@@ -159,7 +185,8 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], str | None]:
         sizes, at = frame_sizes(data, a + 3, b, kind)
         time = (now + shift) * scale
         for k, n in enumerate(sizes):
-            packets.append((track, cluster, n_blocks, k, time, bool(flags & 0x80) if simple else key, LACING[kind], at, n))
+            shares.append(k * lasts * scale // len(sizes))
+            packets.append((number, cluster, n_blocks, k, time, bool(flags & 0x80) if simple else key, LACING[kind], at, n))
             at += n
         n_blocks += 1
 
@@ -171,7 +198,9 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], str | None]:
             elif ident == CLUSTER:
                 cluster += 1
                 walk(a, b, base)
-            elif ident in (INFO, CUES):
+            elif ident == TRACK_ENTRY:
+                tracks.append(track(data, a, b))
+            elif ident in (INFO, TRACKS, CUES):
                 walk(a, b, base)
             elif ident == TIMESTAMP_SCALE:
                 scale = unsigned(data, a, b)
@@ -181,9 +210,10 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], str | None]:
                 block(a, b, True, False)
             elif ident == BLOCK_GROUP:
                 inner = list(elements(data, a, b))
+                lasts = next((unsigned(data, c, d) for i, c, d in inner if i == BLOCK_DURATION), 0)
                 for i, c, d in inner:
                     if i == BLOCK:
-                        block(c, d, False, all(j != REFERENCE for j, _, _ in inner))
+                        block(c, d, False, all(j != REFERENCE for j, _, _ in inner), lasts)
             elif ident == CUE_POINT:
                 inner = list(elements(data, a, b))
                 time = next((unsigned(data, c, d) for i, c, d in inner if i == CUE_TIME), 0)
@@ -192,11 +222,15 @@ def parse(data: bytes) -> tuple[list[tuple], list[tuple], str | None]:
                         of = {j: unsigned(data, e, f) for j, e, f in elements(data, c, d)}
                         cues.append((time * scale, of.get(CUE_TRACK, 0), base + of.get(CUE_CLUSTER, 0)))
 
+    error = None
     try:
         walk(0, len(data), 0)
     except Truncated:
-        return packets, cues, "truncated"
-    return packets, cues, None
+        error = "truncated"
+    # Only now, as the tracks may follow their packets.
+    step = {t[0]: t[4] for t in tracks if t[4]}
+    timed = [(*p[:4], p[4] + (p[3] * step[p[0]] if p[0] in step else share), *p[5:]) if p[3] else p for p, share in zip(packets, shares, strict=True)]
+    return timed, cues, error, tracks
 
 
 def _lists(rows: list[list[tuple]], fields: dict[str, pa.DataType]) -> pa.ListArray:
@@ -223,20 +257,20 @@ def muxed(df: DataFrame, id_col: str, payload: Column, also: dict[str, Column])
 
 
 def demuxed(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with payload (the bytes of the first packet's track), packets, cues and error; such columns that df has are replaced."""
+    """df with payload (the bytes of the first packet's track), packets, cues, tracks and error; such columns that df has are replaced."""
     small_batches(df.sparkSession)
-    rows = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in ("payload", "packets", "cues", "error")])
+    rows = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in ("payload", "packets", "cues", "tracks", "error")])
     at = rows.columns.index(media)
-    fields = lambda x: ", ".join(f"{k}: {({pa.int32(): 'int', pa.int64(): 'bigint', pa.bool_(): 'boolean', pa.string(): 'string'})[v]}" for k, v in x.items())
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes), "payload binary", f"packets array<struct<{fields(PACKET)}>>", f"cues array<struct<{fields(CUE)}>>", "error string"])
+    fields = lambda x: ", ".join(f"{k}: {({pa.int32(): 'int', pa.int64(): 'bigint', pa.bool_(): 'boolean', pa.string(): 'string', pa.float64(): 'double', pa.decimal128(20, 0): 'decimal(20,0)'})[v]}" for k, v in x.items())
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes), "payload binary", f"packets array<struct<{fields(PACKET)}>>", f"cues array<struct<{fields(CUE)}>>", f"tracks array<struct<{fields(TRACK)}>>", "error string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = batch.column(at).to_pylist()
-            found = [parse(x or b"") for x in cells]
-            payload = [b"".join(x[p[7] : p[7] + p[8]] for p in packets if p[0] == packets[0][0]) for x, (packets, _, _) in zip(cells, found, strict=True)]
-            new = [pa.array(payload, pa.binary()), _lists([f[0] for f in found], PACKET), _lists([f[1] for f in found], CUE), pa.array([f[2] for f in found], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "payload", "packets", "cues", "error"])
+            found = [parse_all(x or b"") for x in cells]
+            payload = [b"".join(x[p[7] : p[7] + p[8]] for p in packets if p[0] == packets[0][0]) for x, (packets, *_) in zip(cells, found, strict=True)]
+            new = [pa.array(payload, pa.binary()), _lists([f[0] for f in found], PACKET), _lists([f[1] for f in found], CUE), _lists([f[3] for f in found], TRACK), pa.array([f[2] for f in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "payload", "packets", "cues", "tracks", "error"])
 
     return rows.mapInArrow(run, schema)
 
