@@ -109,3 +109,12 @@ def test_power_law_of_a_pareto_user_and_vuong(spark):
     assert got["p"].n_tail == len(kept) and abs(got["p"].alpha - 1 - len(kept) / np.log(np.array(kept) / got["p"].xmin).sum()) < 1e-5
     tests = {r.did: r for r in ops["g9_vuong"](ops["g7_tail"](gaps, fit), fit).collect()}
     assert tests["p"].r_exponential > 2 and tests["p"].p_exponential < 0.05
+
+
+def test_closure_of_a_chain_beside_cycles(spark):
+    from tidemark.operators.cascades import ancestor_closure
+
+    chain = [("a", i, i - 1 if i else None) for i in range(40)]
+    nodes = [*chain, ("a", 40, 42), ("a", 41, 40), ("a", 42, 41), ("b", 0, None), ("b", 1, 2), ("b", 2, 3), ("b", 3, 1), ("b", 4, 1)]
+    got = {tuple(r) for r in ancestor_closure(spark.createDataFrame(nodes, "subject_uri string, idx long, pidx long")).collect()}
+    assert got == {("a", i, j, i - j) for i in range(40) for j in range(i + 1)} | {("b", 0, 0, 0)}

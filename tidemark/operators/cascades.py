@@ -7,23 +7,22 @@ from tidemark.functions.lineage import checkpointed
 from tidemark.plans.operator import Operator as O
 
 
-def ancestor_closure(nodes: DataFrame, max_rounds: int = 16) -> DataFrame:
+def ancestor_closure(nodes: DataFrame) -> DataFrame:
     """(subject_uri, idx, anc, dist) of each node that the root reaches and each of its ancestors, itself included.
 
-    Pointer jumping doubles the known distance each round, so chains of 2^max_rounds are covered; nodes in cycles never reach
-    the root and are left out.
+    Pointer jumping doubles the known distance each round, until no jump is left. A node is nearer to the root than its cascade
+    has nodes, so jumps as long as that are in cycles, which never reach the root, and leave.
     """
+    sizes = nodes.groupBy("subject_uri").agg(F.count("*").alias("size"))
     up = nodes.where("idx > 0 AND pidx <> idx").select("subject_uri", "idx", F.col("pidx").alias("anc"), F.lit(1).alias("dist"))
     known = nodes.select("subject_uri", "idx", F.col("idx").alias("anc"), F.lit(0).alias("dist")).unionByName(up)
     jump = up
-    for _ in range(max_rounds):
-        if jump.isEmpty():
-            break
+    while not jump.isEmpty():
         step = jump.select("subject_uri", F.col("idx").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("d2"))
         far = known.where(F.col("dist") > 0).join(step, ["subject_uri", "anc"]).select("subject_uri", "idx", F.col("anc2").alias("anc"), (F.col("dist") + F.col("d2")).alias("dist"))
         known = checkpointed(known.unionByName(far).distinct())
         jump = jump.join(step, ["subject_uri", "anc"]).select("subject_uri", "idx", F.col("anc2").alias("anc"), (F.col("dist") + F.col("d2")).alias("dist"))
-        jump = checkpointed(jump.where("idx <> anc"))
+        jump = checkpointed(jump.where("idx <> anc").join(sizes, "subject_uri").where("dist < size").drop("size"))
     rooted = known.where("anc = 0").select("subject_uri", "idx").distinct()
     return known.join(rooted, ["subject_uri", "idx"], "left_semi")
 
