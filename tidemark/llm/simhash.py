@@ -22,9 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import SPACE, checkpointed, small_batches
+from tidemark.llm._common import checkpointed, small_batches, spare_name
 
 SEED = 42
+#: Of the polynomials that hash words and shingles; odd.
+BASE, STEP = 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
+#: Cells in which shingles are counted: 2^CELL_BITS. Nodes that are broadcast at most. Nodes in a list.
+CELL_BITS, MOST_SENT, LIST = 20, 500_000, 64
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -115,7 +119,8 @@ def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
 
     Every round hooks each node to its first neighbour, shortens the trees by a few pointer jumps, and contracts them. First
     is by a hash of the node: in a chain of rising nodes these runs are short, so rounds grow as the logarithm of the chain.
-    Minima combine before the shuffle, so a hub is no hot group.
+    Minima combine before the shuffle. What is joined on a node or component that many rows share is checkpointed before, so
+    that both sides are plain shuffles and adaptive execution splits the large one.
     """
     first = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
     left = checkpointed(edges.select("a", "b").where("a <> b"))
@@ -123,7 +128,7 @@ def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     while rows:
         both = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
         met = both.groupBy(F.col("e.a").alias("node")).agg(F.min(F.struct(F.xxhash64("e.b").alias("h"), F.col("e.b").alias("n"))).alias("m"))
-        up = met.select("node", F.least(first("node"), "m")["n"].alias("up"))
+        up = checkpointed(met.select("node", F.least(first("node"), "m")["n"].alias("up")))
         for _ in range(jumps):
             up = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up"))
         up = checkpointed(up)
@@ -140,7 +145,7 @@ def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     if assigned is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
     assigned = checkpointed(assigned)
-    least = assigned.groupBy("component").agg(F.min("node").alias("least"))
+    least = checkpointed(assigned.groupBy("component").agg(F.min("node").alias("least")))
     return assigned.join(least, "component").select("node", F.col("least").alias("component"))
 
 
@@ -150,13 +155,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _grouped(marks: DataFrame, id_col: str, max_bits: int) -> DataFrame:
-    """marks (id_col, fp) with component_id."""
-    least = marks.groupBy("fp").agg(F.min(id_col).alias("own"))
-    joined = components(links(marks, max_bits)).select(F.col("node").alias("fp"), "component")
-    linked = joined.join(least, "fp")
-    named = linked.groupBy("component").agg(F.min("own").alias("group_id"))
-    groups = least.join(linked.join(named, "component").select("fp", "group_id"), "fp", "left")
-    return marks.join(groups.select("fp", F.coalesce("group_id", "own").alias("component_id")), "fp").select(id_col, "fp", "component_id")
+    """marks (id_col, fp) with component_id.
+
+    Many rows may share a fingerprint, and many fingerprints a component: the tables of one row each are checkpointed before
+    they are joined to those, for the reason given at ``components``.
+    """
+    least = checkpointed(marks.groupBy("fp").agg(F.min(id_col).alias("own")))
+    linked = checkpointed(components(links(least, max_bits)).select(F.col("node").alias("fp"), "component").join(least, "fp"))
+    named = checkpointed(linked.groupBy("component").agg(F.min("own").alias("group_id")))
+    groups = checkpointed(least.join(linked.join(named, "component").select("fp", "group_id"), "fp", "left").select("fp", F.coalesce("group_id", "own").alias("component_id")))
+    return marks.join(groups, "fp").select(id_col, "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -165,113 +173,195 @@ def digest(docs: DataFrame) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, shingles): distinct hashes of runs of that many lower-cased words; of the whole sequence if it is shorter."""
-    found = docs.select("doc_id", F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), f"[{SPACE}]+"), "").alias("w"))
-    runs = F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(words)]))
-    return found.select("doc_id", F.array_distinct(F.when(F.size("w") >= words, runs).otherwise(F.array(F.xxhash64("w")))).alias("shingles"))
-
-
-def similar(pairs: DataFrame, docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """The pairs (a, b) of ids whose texts' sets of shingles have a Jaccard similarity of ``least`` or more."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = checkpointed(_shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), words))
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
+class Shingler:
+    """Distinct hashes of the runs of some lower-cased words of a text; of the whole sequence if it is shorter; none of a blank text.
 
+    A word's hash is a polynomial of its bytes, taken from running sums over the text; a run's is a polynomial of its words'.
+    """
 
-def _sample_counts(docs: DataFrame, words: int, rows: int = 20000) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts), by hash: the shingles that three or more of about that many documents hold."""
-    n = docs.count()
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**20)) < 2**20 * min(1, rows / n)) if n else docs
+    def __init__(self, words: int) -> None:
+        self.words, self.space = words, np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.power) <= n:
+            size = 2 * n + 1
+            self.power, self.inverse = (np.cumprod(np.append(np.uint64(1), np.full(size, m, np.uint64))) for m in (BASE, pow(BASE, -1, 2**64)))
+
+    def hashes(self, text: bytes | None) -> np.ndarray:
+        """Unsigned, rising."""
+        raw = text or b""
+        raw = raw.lower() if raw.isascii() else raw.decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape")
+        c = np.frombuffer(raw, np.uint8)
+        edges = np.flatnonzero(np.diff(np.concatenate(([True], self.space[c], [True]))))
+        starts, ends = edges[::2], edges[1::2]
+        if not len(starts):
+            return np.empty(0, np.uint64)
+        self._grow(len(c))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((c + np.uint64(1)) * self.power[: len(c)])))
+        word = _mixed((sums[ends] - sums[starts]) * self.inverse[starts])
+        width = min(self.words, len(word))
+        run = word[: len(word) - width + 1]
+        for k in range(1, width):
+            run = run * np.uint64(STEP) + word[k : len(word) - width + 1 + k]
+        return np.unique(_mixed(run))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Every bit spread over the whole number; no two numbers become one."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def common_cells(docs: DataFrame, words: int) -> np.ndarray:
+    """For each of 2^CELL_BITS cells of hashes, the binary logarithm of how many times the mean number of shingles fall in it; 0 under four times.
+
+    All documents count, each shingle once in each. A task tells only of cells over twice its own mean, so it sends few rows;
+    a cell over four times the mean of all is over that in the tasks that hold most of it. So a shingle in over about a 500th
+    of the documents is told from the others, however many there are.
+    """
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, sums = Shingler(words), np.zeros(2**CELL_BITS, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(_shingles(text, words).view(np.int64))], ["s"])
-
-    often = some.select(F.col("text").cast("binary")).mapInArrow(hashed, "s long").groupBy("s").count().where("count > 2").toArrow()
-    found, counts = often["s"].to_numpy(), often["count"].to_numpy()
-    order = np.argsort(found)
-    return found[order], counts[order]
-
+                np.add.at(sums, _cell(shingler.hashes(text)), 1)
+        total = sums.sum()
+        cells = np.flatnonzero(sums > 2 * total / len(sums))
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *cells], pa.int32()), pa.array([total, *sums[cells]], pa.int64())], ["cell", "n"])
 
-def _shingles(text: bytes | None, words: int) -> np.ndarray:
-    """Distinct hashes of the text's shingles, all letters lower-cased, rising."""
-    raw = text or b""
-    if not raw.isascii():
-        raw = raw.decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape")
-    return np.unique(shingle_hashes(raw, words))
+    small_batches(docs.sparkSession)
+    counts = checkpointed(docs.select(F.col("text").cast("binary")).mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")))
+    total = counts.where("cell = -1").first()
+    mean = (total.n if total else 0) / 2**CELL_BITS
+    often, levels = counts.where((F.col("cell") >= 0) & (F.col("n") >= 4 * mean)).toArrow(), np.zeros(2**CELL_BITS, np.uint8)
+    levels[often["cell"].to_numpy()] = np.log2(often["n"].to_numpy() / (mean or 1)).astype(np.uint8)
+    return levels
 
 
 def _features(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, same, n, prefix): same is equal for equal sets of n shingles. Two sets with a Jaccard similarity of 0.8 or more share one of their prefixes' shingles.
+    """(node, fp, same, n, prefix) of docs (node, text): same is equal for equal sets of n shingles. Two sets with a Jaccard similarity of 0.8 or more share one of their prefixes' shingles.
 
-    A prefix is the first n - ceil(0.8 n) + 1 shingles of the set in an order that holds for all documents: those that are rare
-    in a sample, by hash, then the others, by count. The sample settles only how many candidates there are, not what is found.
+    A prefix is the first n - ceil(0.8 n) + 1 shingles of the set in an order that holds for all documents: shingles of
+    common cells last, then by hash. The order settles only how many candidates there are, not what is found.
     """
     small_batches(docs.sparkSession)
-    often, counts = _sample_counts(docs, words)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    levels = common_cells(docs, words)
+    kind = docs.schema["node"].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
         for batch in batches:
             fps, same, sizes, prefixes = [], [], [], []
             for text in batch.column(1).to_pylist():
-                found = _shingles(text, words)
+                found = shingler.hashes(text)
                 n = len(found)
                 fps.append(fingerprint(text))
                 same.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sizes.append(n)
-                signed = found.view(np.int64)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, signed), len(often) - 1)
-                    signed = signed[np.lexsort((signed, np.where(often[at] == signed, counts[at], 0)))]
-                prefixes.append(signed[: n - (4 * n + 4) // 5 + 1])
+                order = np.argsort(levels[_cell(found)], kind="stable")
+                prefixes.append(found[order[: n - (4 * n + 4) // 5 + 1]].view(np.int64))
             columns = [batch.column(0), pa.array(fps, pa.int64()), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "same", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, ["node", "fp", "same", "n", "prefix"])
+
+    rows = docs.select("node", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(hashed, f"node {kind}, fp long, same binary, n int, prefix array<long>")
+
 
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(hashed, f"doc_id {kind}, fp long, same binary, n int, prefix array<long>")
+def few_or_many(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """rows joined with keys, one row per key: by a broadcast if they are MOST_SENT at most, else by a shuffle of rows."""
+    keys = checkpointed(keys)
+    return rows.join(F.broadcast(keys) if keys.count() <= MOST_SENT else keys, key, how)
+
+
+def similar(pairs: DataFrame, docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' sets of shingles have a Jaccard similarity of ``least`` or more."""
+    pairs = checkpointed(pairs)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    kind = docs.schema["node"].dataType.simpleString()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            found = [shingler.hashes(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    texts = few_or_many(docs.select("node", F.col("text").cast("binary").alias("text")), nodes, "node", "left_semi")
+    # Repeated rows of a node hold one text.
+    sets = checkpointed(texts.mapInArrow(hashed, f"node {kind}, shingles array<long>").dropDuplicates(["node"]))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b, label_a, label_b) of each pair of documents with unlike labels whose sets (doc_id, label, n, prefix) can reach 0.8.
+    """(a, b) of each pair of nodes with unlike labels whose sets (node, label, size, n, prefix) can reach 0.8; size: nodes of the label.
 
-    The first shingle that two such sets share has enough shingles after it in both. Documents of one label are never paired,
-    so a large group of copies makes no square.
+    What two such sets share of their prefixes, and what is left of them after the last of it, must be enough for 0.8. Nodes
+    of one label are never paired, so a large group of copies makes no square; its nodes stand in lists of about LIST.
     """
-    rows = sets.select("doc_id", "label", "n", F.posexplode("prefix").alias("place", "s"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / LIST))
+    rows = sets.select("node", "label", part.alias("part"), "n", F.posexplode("prefix").alias("place", "s"))
     of = Window.partitionBy("s")
     met = rows.withColumn("lo", F.min("label").over(of)).withColumn("hi", F.max("label").over(of)).where("lo <> hi")
-    lists = checkpointed(met.groupBy("s", "label").agg(F.collect_list(F.struct("doc_id", "n", "place")).alias("x")))
+    lists = checkpointed(met.groupBy("s", "label", "part").agg(F.collect_list(F.struct("node", "n", "place")).alias("x")))
     both = lists.join(lists.select("s", F.col("label").alias("label_b"), F.col("x").alias("y")), "s").where("label < label_b")
-    pairs = both.select("label", "label_b", F.explode("x").alias("x"), "y").select("label", "label_b", "x", F.explode("y").alias("y"))
-    enough = pairs.where("9 * least(x.n - x.place, y.n - y.place) >= 4 * (x.n + y.n)")
-    return enough.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("label").alias("label_a"), "label_b").distinct()
+    pairs = both.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
+    pairs = pairs.where("9 * least(x.n, y.n) >= 4 * (x.n + y.n)").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"), (F.col("x.n") - F.col("x.place")).alias("rest_a"), (F.col("y.n") - F.col("y.place")).alias("rest_b"))
+    met = pairs.groupBy("a", "b").agg(F.min("both").alias("both"), F.count(F.lit(1)).alias("shared"), F.min("rest_a").alias("rest_a"), F.min("rest_b").alias("rest_b"))
+    return met.where("9 * (shared - 1 + least(rest_a, rest_b)) >= 4 * both").select("a", "b")
+
+
+def _near(docs: DataFrame, words: int) -> DataFrame:
+    """(node, component) over docs (node, text), a node for each text: components of the pairs whose sets of shingles have a similarity of 0.8 or more.
+
+    Each such pair is found. Equal sets count once. Fingerprints within three bits are joined through anchors, and each member
+    that is similar to its component's head is labelled by it; then all sets of unlike labels that share a shingle of their
+    prefixes are compared.
+    """
+    marks = checkpointed(_features(docs, words))
+    sets = checkpointed(marks.groupBy("same").agg(F.min(F.struct("node", "fp", "n", "prefix")).alias("m")).select("same", "m.*"))
+    heads = _grouped(sets.select("node", "fp"), "node", 3)
+    stars = heads.where("node <> component_id").select(F.col("component_id").alias("a"), F.col("node").alias("b"))
+    near = checkpointed(similar(stars, docs, words))
+    sizes = near.groupBy(F.col("a").alias("label")).agg((F.count(F.lit(1)) + 1).alias("size"))
+    labelled = sets.join(near.select(F.col("b").alias("node"), F.col("a").alias("head")), "node", "left").withColumn("label", F.coalesce("head", "node"))
+    labelled = checkpointed(labelled.join(checkpointed(sizes), "label", "left").select("node", "label", F.coalesce("size", F.lit(1)).alias("size"), "n", "prefix"))
+    alike = similar(candidates(labelled), docs, words)
+    copies = marks.join(sets.select("same", F.col("node").alias("b")), "same").where("node <> b").select(F.col("node").alias("a"), "b")
+    return components(copies.unionByName(near).unionByName(alike).distinct())
+
+
+def _noded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with node, of id and text: a null id is an id after all others."""
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    return docs.withColumn("node", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("told")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, group_id) of every document that isn't the one to keep, the least id, of its group of near copies.
+    """(doc_id, group_id) of every text that isn't the one to keep of its group of near copies, that of the least id.
 
-    A group is a component of the pairs whose sets of five-word shingles have a similarity of 0.8 or more; each such pair is
-    found. Equal sets count once. Fingerprints within three bits are joined through anchors, and each member that is similar to
-    its component's head is labelled by it; then all documents of unlike labels that share a shingle of their prefixes are
-    compared. Rows that share an id stay or go together; rows with a null id stay.
+    A group is a component as of ``_near``. Repeated rows, of one id and text, are one; a null id counts as the greatest.
     """
-    marks = checkpointed(_features(docs.where("doc_id is not null"), words))
-    sets = marks.groupBy("same").agg(F.min(F.struct("doc_id", "fp", "n", "prefix")).alias("m")).select("same", "m.*")
-    sets = checkpointed(sets)
-    heads = _grouped(sets.select("doc_id", "fp"), "doc_id", 3)
-    stars = heads.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    near = checkpointed(similar(checkpointed(stars), docs, words).distinct())
-    labelled = sets.join(near.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("head")), "doc_id", "left")
-    # An id with several texts keeps its own label, as only one of them may be similar.
-    several = sets.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("several"))
-    labelled = labelled.join(several, "doc_id", "left").withColumn("label", F.when(F.col("several"), F.col("doc_id")).otherwise(F.coalesce("head", "doc_id")))
-    found = checkpointed(candidates(labelled))
-    alike = similar(found.select("a", "b").distinct(), docs, words)
-    copies = marks.join(sets.select("same", F.col("doc_id").alias("b")), "same").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    joined = components(copies.unionByName(near).unionByName(alike.select("a", "b")).distinct())
-    return joined.where("node <> component").select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
+    joined = _near(_noded(docs.select("doc_id", "text"), "doc_id", "text").select("node", "text"), words)
+    return joined.where("node <> component").select(F.col("node.id").alias("doc_id"), F.col("component.id").alias("group_id"))
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """docs without near copies: of each group as of ``near_duplicates`` the text of the least id stays, in one row."""
+    names = [f"`{c}`" for c in docs.columns]
+    (node,) = spare_name(docs, "node")
+    noded = _noded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*names).alias("row")), "id", "text")
+    nodes = noded.select("node", "text")
+    gone = _near(nodes, words).where("node <> component").select("node")
+    rest = few_or_many(noded, gone, "node", "left_anti").select(F.col("node").alias(node), "row")
+    again = checkpointed(nodes.groupBy("node").count().where("count > 1").select(F.col("node").alias(node)))
+    if again.isEmpty():
+        return rest.select("row.*")
+    one = few_or_many(rest, again, node, "left_semi").groupBy(node).agg(F.first("row").alias("row"))
+    return few_or_many(rest, again, node, "left_anti").select("row.*").unionByName(one.select("row.*"))
