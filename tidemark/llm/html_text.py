@@ -5,8 +5,8 @@ never content (scripts, menus, forms, ...) or whose class, id or role says so le
 punctuation and link text are summed per path; the path's score is the log of its text per block, without links, times the
 punctuation per block. Scores are smoothed along the page, fused with the shares of the page's text that the path's containers
 hold (and with a prior for article and main), and paths over a part of the best score are content. They choose the content
-root: article and main where most of that text is in them, else the deepest container that holds nearly all of it. All blocks
-under the root are kept, lists and tables included.
+root, the deepest container that holds nearly all of their text. All blocks under the root are kept, lists and tables
+included, and blocks of content paths outside it.
 
 Nulls and odd input: null or empty html gives an empty text; text outside any element is a block of the root; unclosed or
 crossed tags close as their parents do; what is cut off at the end is read as far as it goes; repeated rows stay rows; columns
@@ -17,15 +17,16 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
-from collections.abc import Iterator
-from math import exp, log1p
+from collections import Counter, defaultdict
+from dataclasses import dataclass, field
+from math import exp, log, log1p
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from tidemark.llm._common import small_batches
+from tidemark.llm._common import with_arrow
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe|object|math)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
@@ -63,24 +64,41 @@ def excluded(value: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], bool, bool, str, int, tuple[int, ...]]]:
-    """(path, never content, in article or main, text, characters in links, numbers of the path's elements) of each block with text, in order."""
-    stack: list[tuple[str, bool, bool, int]] = []
-    out, buffer, linked, links, opened = [], [], 0, 0, 0
+@dataclass
+class Page:
+    """A page's blocks of text, elements and tag paths. Elements and paths are numbered as they open, after a root 0; a parent's number is less than its child's."""
+
+    #: (element, path, never content, in article or main, text, characters in links) of each block, in order.
+    blocks: list[tuple[int, int, bool, bool, str, int]] = field(default_factory=list)
+    #: Tag and parent of each element, inline ones left out.
+    tags: list[str] = field(default_factory=lambda: [""])
+    parents: list[int] = field(default_factory=lambda: [0])
+    #: Last tag and parent of each tag path.
+    last: list[str] = field(default_factory=lambda: [""])
+    above: list[int] = field(default_factory=lambda: [0])
+
+
+def read(page: str) -> Page:
+    """Work is in proportion to the page's length, however deep its elements nest."""
+    got, paths = Page(), {}
+    # (tag, never content, in article or main, number of the last element that is not inline, its path)
+    stack: list[tuple[str, bool, bool, int, int]] = [("", False, False, 0, 0)]
+    buffer, linked, links, opened = [], 0, 0, Counter()
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(buffer).split())
         if text:
-            never, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            path = [(e[0], e[3]) for e in stack if e[0] not in INLINE]
-            out.append((tuple(t for t, _ in path), never, main, text, linked, tuple(i for _, i in path)))
+            _, never, main, number, path = stack[-1]
+            got.blocks.append((number, path, never, main, text, linked))
         buffer.clear()
         linked = 0
 
     def close(to: int) -> None:
         nonlocal links
-        links -= sum(e[0] == "a" for e in stack[to:])
+        for e in stack[to:]:
+            links -= e[0] == "a"
+            opened[e[0]] -= 1
         del stack[to:]
 
     def add(raw: str) -> None:
@@ -101,88 +119,98 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, bool, str, int, tuple
         if tag not in INLINE:
             flush()
         if m[2]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if k >= 0 and not (tag in INLINE and any(e[0] not in INLINE for e in stack[k:])):
-                close(k)
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag and not (tag in INLINE and stack[k][0] not in INLINE):
+                    k -= 1
+                if stack[k][0] == tag:
+                    close(k)
             continue
         if tag in VOID:
             continue
         shut = CLOSES.get(tag, frozenset()) | (frozenset("p") if tag in CLOSES_P else frozenset())
-        for i in range(len(stack) - 1, -1, -1) if shut else ():
-            if stack[i][0] in shut:
-                close(i)
-                break
-            if stack[i][0] in SCOPE:
-                break
+        if any(opened[x] for x in shut):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] in shut:
+                    close(i)
+                    break
+                if stack[i][0] in SCOPE:
+                    break
         if m[4].rstrip().endswith("/") and tag not in INLINE:
             continue
-        never, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        _, never, main, number, path = stack[-1]
         values = ["".join(n) for n in NAMES.findall(m[4])] if m[4] else []
         hidden = tag in NEVER or (tag not in PAGE and any(map(excluded, values)))
         names = {w for v in values for w in re.split(r"[^a-z0-9]+", v.lower())}
-        opened += 1
-        stack.append((tag, never or hidden, main or tag in MAIN or bool(names & MAIN_NAMES), opened))
+        if tag not in INLINE:
+            got.tags.append(tag)
+            got.parents.append(number)
+            number = len(got.tags) - 1
+            if (path, tag) not in paths:
+                paths[path, tag] = len(got.last)
+                got.last.append(tag)
+                got.above.append(path)
+            path = paths[path, tag]
+        opened[tag] += 1
+        stack.append((tag, never or hidden, main or tag in MAIN or bool(names & MAIN_NAMES), number, path))
         links += tag == "a"
     if at < len(page):
         add(re.sub(r"<[a-zA-Z/!][^>]*\Z", "", page[at:]))
     flush()
-    return out
+    return got
 
 
-def main_text(page: str | None) -> str:
-    kept = [b for b in blocks(page or "") if not b[1]]
-    if not kept:
-        return ""
-    sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0, 0])
-    under: dict[tuple[str, ...], int] = defaultdict(int)
-    for path, _, _, text, linked, _ in kept:
+def path_scores(page: Page, kept: list[tuple[int, int, bool, bool, str, int]]) -> dict[int, float]:
+    """The fused score of each tag path that has blocks."""
+    sums: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    for _, path, _, _, text, linked in kept:
         for k, x in enumerate((1, len(text), len(PUNCTUATION.findall(text)), min(linked, len(text)))):
             sums[path][k] += x
-        for k in range(1, len(path)):
-            under[path[:k]] += len(text)
-    total = sum(len(b[3]) for b in kept)
     own = {p: log1p(size * (1 - linked / size) / n) * (1 + log1p(marks / n)) for p, (n, size, marks, linked) in sums.items()}
-    smooth: dict[tuple[str, ...], list[float]] = defaultdict(list)
+    smooth: dict[int, list[float]] = defaultdict(list)
     for i, block in enumerate(kept):
-        near = [(SMOOTHING[abs(i - j)], own[kept[j][0]]) for j in range(max(0, i - 2), min(len(kept), i + 3))]
-        smooth[block[0]].append(sum(w * x for w, x in near) / sum(w for w, _ in near))
-    in_main = {b[0] for b in kept if b[2]}
-    fused = {}
-    for path, values in smooth.items():
-        shares = [under[path[:k]] / total for k in range(1, len(path)) if path[k - 1] not in ("html", "body")]
-        share = 1.0
-        for x in shares:
-            share *= x ** (1 / len(shares))
-        fused[path] = sum(values) / len(values) * (0.1 + (share if shares else 0)) * (MAIN_PRIOR if path in in_main else 1)
+        near = [(SMOOTHING[abs(i - j)], own[kept[j][1]]) for j in range(max(0, i - 2), min(len(kept), i + 3))]
+        smooth[block[1]].append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+    # Text under each path, itself left out; then the mean logarithm of the shares of the page's text that the paths above hold.
+    under = [0] * len(page.last)
+    for p in range(len(under) - 1, 0, -1):
+        under[page.above[p]] += under[p] + sums[p][1] if p in sums else under[p]
+    total, logs = sum(len(b[4]) for b in kept), [(0.0, 0)] * len(under)
+    for p in range(1, len(under)):
+        up = page.above[p]
+        s, n = logs[up]
+        logs[p] = (s + log(under[up] / total), n + 1) if up and under[up] and page.last[up] not in ("html", "body") else (s, n)
+    in_main = {b[1] for b in kept if b[3]}
+    share = {p: exp(logs[p][0] / logs[p][1]) if logs[p][1] else 0.0 for p in smooth}
+    return {p: sum(v) / len(v) * (0.1 + share[p]) * (MAIN_PRIOR if p in in_main else 1) for p, v in smooth.items()}
+
+
+def main_text(html: str | None) -> str:
+    page = read(html or "")
+    kept = [b for b in page.blocks if not b[2]]
+    if not kept:
+        return ""
+    fused = path_scores(page, kept)
     least = LEAST * max(fused.values())
-    chosen = [b for b in kept if fused[b[0]] >= least and fused[b[0]] > 0]
-    size = sum(len(b[3]) for b in chosen)
-    if 2 * sum(len(b[3]) for b in chosen if b[2]) > size:
-        return " ".join(b[3] for b in kept if b[2])
-    held: dict[tuple[int, str], int] = defaultdict(int)
-    for b in chosen:
-        for tag, number in zip(b[0], b[5], strict=True):
-            if tag in ROOTS:
-                held[number, tag] += len(b[3])
+    good = {p for p, x in fused.items() if x >= least and x > 0}
+    if not good:
+        return ""
+    held = [0] * len(page.tags)
+    for b in kept:
+        held[b[0]] += len(b[4]) if b[1] in good else 0
+    for e in range(len(held) - 1, 0, -1):
+        held[page.parents[e]] += held[e]
     # Elements are numbered as they open, so the last that holds enough is the deepest.
-    root = max((number for (number, _), n in held.items() if n >= NEARLY_ALL * size), default=None)
-    return " ".join(b[3] for b in kept if root is None or root in b[5] or (fused[b[0]] >= least and fused[b[0]] > 0)) if chosen else ""
+    root = max((e for e in range(len(held)) if held[e] >= NEARLY_ALL * held[0] and (not e or page.tags[e] in ROOTS)), default=0)
+    inside = [False] * len(held)
+    for e in range(len(held)):
+        inside[e] = e == root or inside[page.parents[e]]
+    return " ".join(b[4] for b in kept if inside[b[0]] or b[1] in good)
 
 
 def main_texts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without html_col, with text."""
-    small_batches(pages.sparkSession)
-    rows = pages.select(*[f"`{c}`" for c in pages.columns if c.lower() != "text" or c == html_col])
-    at = rows.columns.index(html_col)
-    kept = [(n, t) for n, t in rows.dtypes if n != html_col and n.lower() != "text"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = pa.array([main_text(x) for x in batch.column(at).to_pylist()], pa.string())
-            others = [c for i, c in enumerate(batch.columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*others, text], [*(n for n, _ in kept), "text"])
-
-    return rows.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in kept), "text string"]))
+    return with_arrow(pages, html_col, lambda: lambda cells: [pa.array([main_text(x) for x in cells.to_pylist()], pa.string())], StructType([StructField("text", StringType())]), drop=True)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
