@@ -19,17 +19,23 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidemark.llm._common import small_batches, utf8_crc32
+from tidemark.llm._common import small_batches, with_arrow
 
 # Fixed values of the format: element ids.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
+SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
 EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, DEFAULT_DURATION, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
 TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
+#: Levels of elements that end those of unknown size, and elements whose children are read.
+LEVELS = {EBML: 0, SEGMENT: 0, INFO: 1, TRACKS: 1, CLUSTER: 1, CUES: 1, SEEK_HEAD: 1, CHAPTERS: 1, TAGS: 1, ATTACHMENTS: 1}
+ENTERED = frozenset((SEGMENT, INFO, TRACKS, CLUSTER, CUES))
+
 FRAME, BLOCK_FRAMES, CLUSTER_BLOCKS, RATE = 512, 8, 16, 8000
 PACKET = {"track": pa.int32(), "cluster": pa.int32(), "block": pa.int32(), "frame": pa.int32(), "timestamp_ns": pa.int64(), "keyframe": pa.bool_(), "lacing": pa.string(), "byte_offset": pa.int64(), "byte_length": pa.int64()}
 CUE = {"time_ns": pa.int64(), "track": pa.int32(), "cluster_offset": pa.int64()}
@@ -190,41 +196,52 @@ def parse_all(data: bytes) -> tuple[list[tuple], list[tuple], str | None, list[t
             at += n
         n_blocks += 1
 
-    def walk(at: int, end: int, base: int) -> None:
-        nonlocal scale, cluster, now
-        for ident, a, b in elements(data, at, end):
-            if ident == SEGMENT:
-                walk(a, b, a)
-            elif ident == CLUSTER:
-                cluster += 1
-                walk(a, b, base)
-            elif ident == TRACK_ENTRY:
-                tracks.append(track(data, a, b))
-            elif ident in (INFO, TRACKS, CUES):
-                walk(a, b, base)
-            elif ident == TIMESTAMP_SCALE:
-                scale = unsigned(data, a, b)
-            elif ident == TIMESTAMP:
-                now = unsigned(data, a, b)
-            elif ident == SIMPLE_BLOCK:
-                block(a, b, True, False)
-            elif ident == BLOCK_GROUP:
-                inner = list(elements(data, a, b))
-                lasts = next((unsigned(data, c, d) for i, c, d in inner if i == BLOCK_DURATION), 0)
-                for i, c, d in inner:
-                    if i == BLOCK:
-                        block(c, d, False, all(j != REFERENCE for j, _, _ in inner), lasts)
-            elif ident == CUE_POINT:
-                inner = list(elements(data, a, b))
-                time = next((unsigned(data, c, d) for i, c, d in inner if i == CUE_TIME), 0)
-                for i, c, d in inner:
-                    if i == CUE_POSITIONS:
-                        of = {j: unsigned(data, e, f) for j, e, f in elements(data, c, d)}
-                        cues.append((time * scale, of.get(CUE_TRACK, 0), base + of.get(CUE_CLUSTER, 0)))
-
-    error = None
+    def leaf(ident: int, a: int, b: int, base: int) -> None:
+        nonlocal scale, now
+        if ident == TRACK_ENTRY:
+            tracks.append(track(data, a, b))
+        elif ident == TIMESTAMP_SCALE:
+            scale = unsigned(data, a, b)
+        elif ident == TIMESTAMP:
+            now = unsigned(data, a, b)
+        elif ident == SIMPLE_BLOCK:
+            block(a, b, True, False)
+        elif ident == BLOCK_GROUP:
+            inner = list(elements(data, a, b))
+            lasts = next((unsigned(data, c, d) for i, c, d in inner if i == BLOCK_DURATION), 0)
+            for i, c, d in inner:
+                if i == BLOCK:
+                    block(c, d, False, all(j != REFERENCE for j, _, _ in inner), lasts)
+        elif ident == CUE_POINT:
+            inner = list(elements(data, a, b))
+            time = next((unsigned(data, c, d) for i, c, d in inner if i == CUE_TIME), 0)
+            for i, c, d in inner:
+                if i == CUE_POSITIONS:
+                    of = {j: unsigned(data, e, f) for j, e, f in elements(data, c, d)}
+                    cues.append((time * scale, of.get(CUE_TRACK, 0), base + of.get(CUE_CLUSTER, 0)))
+
+    at, base, error = 0, 0, None
+    opened: list[tuple[int, int, bool]] = []  # (level, end, whether the end is known) of each element that is entered
     try:
-        walk(0, len(data), 0)
+        while at < len(data):
+            while opened and at >= opened[-1][1]:
+                opened.pop()
+            ident, a = vint(data, at, True)
+            n, a = vint(data, a, False)
+            level = LEVELS.get(ident, 9)
+            while opened and not opened[-1][2] and opened[-1][0] >= level:  # an element of unknown size ends at one of its own level
+                opened.pop()
+            limit = opened[-1][1] if opened else len(data)
+            at = a + n if n >= 0 else limit
+            if at > limit:
+                error, at = "truncated", limit
+            if ident in ENTERED:
+                opened.append((level, at, n >= 0))
+                cluster += ident == CLUSTER
+                base = a if ident == SEGMENT else base
+                at = a
+            elif a + n <= limit:
+                leaf(ident, a, at, base)
     except Truncated:
         error = "truncated"
     # Only now, as the tracks may follow their packets.
@@ -258,21 +275,16 @@ def muxed(df: DataFrame, id_col: str, payload: Column, also: dict[str, Column])
 
 def demuxed(df: DataFrame, media: str = "media") -> DataFrame:
     """df with payload (the bytes of the first packet's track), packets, cues, tracks and error; such columns that df has are replaced."""
-    small_batches(df.sparkSession)
-    rows = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in ("payload", "packets", "cues", "tracks", "error")])
-    at = rows.columns.index(media)
     fields = lambda x: ", ".join(f"{k}: {({pa.int32(): 'int', pa.int64(): 'bigint', pa.bool_(): 'boolean', pa.string(): 'string', pa.float64(): 'double', pa.decimal128(20, 0): 'decimal(20,0)'})[v]}" for k, v in x.items())
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes), "payload binary", f"packets array<struct<{fields(PACKET)}>>", f"cues array<struct<{fields(CUE)}>>", f"tracks array<struct<{fields(TRACK)}>>", "error string"])
+    new = StructType.fromDDL(f"payload binary, packets array<struct<{fields(PACKET)}>>, cues array<struct<{fields(CUE)}>>, tracks array<struct<{fields(TRACK)}>>, error string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = batch.column(at).to_pylist()
-            found = [parse_all(x or b"") for x in cells]
-            payload = [b"".join(x[p[7] : p[7] + p[8]] for p in packets if p[0] == packets[0][0]) for x, (packets, *_) in zip(cells, found, strict=True)]
-            new = [pa.array(payload, pa.binary()), _lists([f[0] for f in found], PACKET), _lists([f[1] for f in found], CUE), _lists([f[3] for f in found], TRACK), pa.array([f[2] for f in found], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "payload", "packets", "cues", "tracks", "error"])
+    def read(column: pa.Array) -> list[pa.Array]:
+        cells = column.to_pylist()
+        found = [parse_all(x or b"") for x in cells]
+        payload = [b"".join(x[p[7] : p[7] + p[8]] for p in packets if p[0] == packets[0][0]) for x, (packets, *_) in zip(cells, found, strict=True)]
+        return [pa.array(payload, pa.binary()), _lists([f[0] for f in found], PACKET), _lists([f[1] for f in found], CUE), _lists([f[3] for f in found], TRACK), pa.array([f[2] for f in found], pa.string())]
 
-    return rows.mapInArrow(run, schema)
+    return with_arrow(df, media, lambda: read, new)
 
 
 def packet_table(df: DataFrame, id_col: str, media: str = "media") -> DataFrame:
