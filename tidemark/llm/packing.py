@@ -4,13 +4,15 @@ The lengths of all rows are counted once. Dynamic programming over that histogra
 minimise padding when each row is padded to the bound of its bucket. Inside a bucket, rows form batches of
 ``budget // bound`` rows (one at least), so a batch holds ``budget`` padded tokens at most, unless a single row is longer.
 
-The histogram keeps lengths below 2^DIGITS exactly and rounds longer ones up to DIGITS binary digits, which adds under 0.05 %
-padding and bounds the table that the driver solves to 2^DIGITS + 2^(DIGITS-1) * (63 - DIGITS) rows, however many rows there are.
+The histogram keeps every length, so the bounds are optimal; it has a row for each distinct length, so no more than the longest
+text has tokens, however many rows there are. ``digits`` rounds longer lengths up to that many binary digits, where even such a
+table is too large for the driver: twelve add under 0.05 % of padding and bound it to about 100,000 rows.
 Batch numbers need each row's rank in its bucket: rows are dealt by hash into slices of about SLICE rows, ranked in their slice,
 and shifted by the sizes of the slices before, so no bucket is one task.
 
 Nulls and odd input: a null text has length 0; rows of length 0 are packed like others, in a bucket whose bound is 1 at least;
-null ids are dealt by their text; repeated rows stay rows; an empty table gives an empty result; extra columns are ignored
+rows are dealt by id and text, so null ids by their text; of rows with
+one id and length any order is right; repeated rows stay rows; an empty table gives an empty result; extra columns are ignored
 by ``packed``.
 """
 
@@ -24,13 +26,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import WORD, checkpointed
 
-DIGITS, SLICE = 12, 4096
+SLICE = 4096
 BUCKETS, BUDGET = 16, 32768
 
 
-def cell(length: Column) -> Column:
-    """The length itself, or rounded up to DIGITS binary digits."""
-    step = F.pow(F.lit(2.0), F.greatest(F.length(F.bin(length)) - DIGITS, F.lit(0))).cast("long")
+def cell(length: Column, digits: int | None = None) -> Column:
+    """The length itself, or rounded up to that many binary digits."""
+    if digits is None:
+        return length
+    step = F.pow(F.lit(2.0), F.greatest(F.length(F.bin(length)) - digits, F.lit(0))).cast("long")
     return F.floor((length + step - 1) / step).cast("long") * step
 
 
@@ -74,9 +78,9 @@ def best_bounds(cells: Sequence[tuple[int, int]], buckets: int) -> list[int]:
     return sorted(set(out))
 
 
-def bucket_table(lengths: DataFrame, length_col: str = "n_tokens", buckets: int = BUCKETS) -> list[tuple[int, int]]:
+def bucket_table(lengths: DataFrame, length_col: str = "n_tokens", buckets: int = BUCKETS, digits: int | None = None) -> list[tuple[int, int]]:
     """(bound, rows) of each bucket, from the histogram over all rows."""
-    cells = lengths.groupBy(cell(F.col(length_col)).alias("x")).agg(F.count(F.lit(1)).alias("n")).collect()
+    cells = lengths.groupBy(cell(F.col(length_col), digits).alias("x")).agg(F.count(F.lit(1)).alias("n")).collect()
     cells = sorted((r.x, r.n) for r in cells)
     bounds = best_bounds(cells, buckets)
     rows = [0] * len(bounds)
@@ -88,15 +92,15 @@ def bucket_table(lengths: DataFrame, length_col: str = "n_tokens", buckets: int
     return list(zip(bounds, rows, strict=True))
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, digits: int | None = None) -> DataFrame:
     """(id_col, n_tokens, bucket, bound, batch, slot, padding): slot is the row's place in its batch, from 0.
 
     length: tokens of a row; the words of its text if not given.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     length = F.regexp_count(text, F.lit(WORD)) if length is None else length
-    rows = checkpointed(docs.select(F.col(id_col), length.cast("long").alias("n_tokens"), F.xxhash64(F.col(id_col), F.length(text)).alias("dealt")))
-    table = bucket_table(rows, "n_tokens", buckets)
+    rows = checkpointed(docs.select(F.col(id_col), length.cast("long").alias("n_tokens"), F.xxhash64(F.col(id_col), text).alias("dealt")))
+    table = bucket_table(rows, "n_tokens", buckets, digits)
     if not table:
         return rows.select(id_col, "n_tokens", *[F.lit(0).cast("long").alias(c) for c in ("bucket", "bound", "batch", "slot", "padding")])
     bucket = F.coalesce(*[F.when(F.col("n_tokens") <= b, F.lit(k)) for k, (b, _) in enumerate(table)])
