@@ -1,15 +1,18 @@
 """Sharding through fixed virtual slots and a versioned slot-to-shard map.
 
-A row's hash chooses one of SLOTS virtual slots for good. Bytes and rows are summed per slot, and the map gives each slot to a
-shard, largest slot first to the lightest shard, so shards are nearly equal in bytes. Rebalancing edits the map: a new version
-moves slots away from shards that are too heavy and leaves the rest in place. The map has SLOTS rows whatever the data are.
+A row's hash chooses one of SLOTS virtual slots for good. Bytes and rows are summed per slot. The first version of the map
+deals slots out evenly before any data are known. Rebalancing edits the newest version: slots leave shards that are too heavy
+by the bytes summed and go to the lightest, the rest stay in place, and the edit is stored as the next version. Rows are
+placed by the newest version as read back from the store. The map has SLOTS rows whatever the data are.
 
 Nulls and odd input: a null text has no bytes (size 1); the hash takes the id and the text's checksum, so rows with a null or
-repeated id are still dealt out; rows equal in both share a slot; an empty table gives an empty result and a map of idle slots.
+repeated id are still dealt out; rows equal in both share a slot, equal texts under unlike ids are spread like any others; an
+empty table gives an empty result and a map of idle slots; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections.abc import Mapping
 
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import utf8_crc32
+from tidemark.llm._common import new_folder, utf8_crc32
 
 SLOTS, SHARDS = 8192, 16
 MAP = "version int, virtual_slot int, shard int, n_rows long, n_bytes long"
@@ -33,20 +36,16 @@ def slot_sizes(rows: DataFrame) -> dict[int, tuple[int, int]]:
     return {r.virtual_slot: (r.n, r.b) for r in sums.collect()}
 
 
-def first_map(sizes: Mapping[int, tuple[int, int]], shards: int = SHARDS, slots: int = SLOTS) -> dict[int, int]:
-    """Each slot to the lightest shard so far (by bytes, then rows), largest slots first."""
-    loads = [(0, 0, k) for k in range(shards)]
-    placed = {}
-    for slot in sorted(range(slots), key=lambda s: (-sizes.get(s, (0, 0))[1], s)):
-        n, b = sizes.get(slot, (0, 0))
-        bytes_, rows, shard = loads[0]
-        placed[slot] = shard
-        heapq.heapreplace(loads, (bytes_ + b, rows + n, shard))
-    return placed
+def first_map(shards: int = SHARDS, slots: int = SLOTS) -> dict[int, int]:
+    """Slots dealt out in turn."""
+    return {s: s % shards for s in range(slots)}
 
 
 def rebalanced(old: Mapping[int, int], sizes: Mapping[int, tuple[int, int]], shards: int, slack: float = 0.02) -> dict[int, int]:
-    """The next version of a map: slots of shards that are gone or over (1 + slack) of the mean move to the lightest shards, large slots first, so few move."""
+    """The next version of a map: slots of shards that are gone or over (1 + slack) of the mean move to the lightest shards, large slots first, so few move.
+
+    Then the heaviest and the lightest shard trade one slot, or one for another, that brings them nearest, as long as they are over slack of the mean apart.
+    """
     weight = lambda s: sizes.get(s, (0, 0))[1]
     mean = sum(map(weight, old)) / shards
     new = {s: k for s, k in old.items() if k < shards}
@@ -63,7 +62,27 @@ def rebalanced(old: Mapping[int, int], sizes: Mapping[int, tuple[int, int]], sha
     for s in sorted(moving, key=lambda s: (-weight(s), s)):
         b, k = heap[0]
         new[s] = k
+        loads[k] += weight(s)
         heapq.heapreplace(heap, (b + weight(s), k))
+    for _ in range(64 * shards):
+        high, low = max(loads, key=loads.get), min(loads, key=loads.get)
+        gap = loads[high] - loads[low]
+        if gap <= slack * mean:
+            break
+        taken = sorted([(weight(s), s) for s, k in new.items() if k == low] + [(0, -1)])
+        best = (gap, -1, -1, 0)
+        for s in (s for s, k in new.items() if k == high):
+            at = bisect.bisect(taken, (weight(s) - gap / 2, -1))
+            for w, t in taken[max(0, at - 1) : at + 1]:
+                best = min(best, (abs(gap - 2 * (weight(s) - w)), s, t, weight(s) - w))
+        left, s, t, moved = best
+        if left >= gap:
+            break
+        new[s] = low
+        if t >= 0:
+            new[t] = high
+        loads[high] -= moved
+        loads[low] += moved
     return new
 
 
@@ -73,13 +92,26 @@ def map_table(spark: SparkSession, placed: Mapping[int, int], sizes: Mapping[int
 
 
 def write_map(new: DataFrame, path: str) -> None:
-    new.write.mode("append").partitionBy("version").parquet(path)
+    """Stores a version (one per frame); to store it again changes nothing."""
+    version = new.select("version").first()[0]
+    new.drop("version").write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
 def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The given or the newest version of a stored map."""
     kept = spark.read.parquet(path)
-    return kept.where(F.col("version") == (version or kept.agg(F.max("version")).first()[0])).select(*[c.split()[0] for c in MAP.split(", ")])
+    at = kept.agg(F.max("version")).first()[0] if version is None else version
+    return kept.where(F.col("version") == at).select(*[c.split()[0] for c in MAP.split(", ")])
+
+
+def edited(spark: SparkSession, path: str, sizes: Mapping[int, tuple[int, int]], shards: int, slots: int, slack: float) -> DataFrame:
+    """The newest map of the store after an edit for these sizes, stored as the version after it."""
+    old = read_map(spark, path).select("version", "virtual_slot", "shard").collect()
+    if len(old) != slots:
+        raise ValueError(f"the stored map has {len(old)} slots, not {slots}")
+    new = rebalanced({r.virtual_slot: r.shard for r in old}, sizes, shards, slack)
+    write_map(map_table(spark, new, sizes, old[0].version + 1), path)
+    return read_map(spark, path)
 
 
 def placed_rows(rows: DataFrame, mapping: DataFrame, order: str) -> DataFrame:
@@ -88,17 +120,23 @@ def placed_rows(rows: DataFrame, mapping: DataFrame, order: str) -> DataFrame:
     Places follow the virtual slots and in each the order column; only slots are ranked, which hold a SLOTS-th of the rows.
     """
     before = W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, -1)
-    starts = mapping.select("virtual_slot", "shard", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("start"))
+    starts = mapping.select("virtual_slot", "shard", "version", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("start"))
     rank = F.row_number().over(W.partitionBy("virtual_slot").orderBy(F.col(order).asc_nulls_first())) - 1
     return rows.withColumn("rank", rank).join(F.broadcast(starts), "virtual_slot").withColumn("slot", F.col("start") + F.col("rank")).drop("start", "rank")
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """The digest of op6 over doc_id and text. Law ``bytes``; virtual_slot follows."""
-    text = F.col("text")
+def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slack: float = 0.0005, store: str | None = None) -> DataFrame:
+    """The digest of op6 over doc_id and text. Law ``bytes``; virtual_slot and map_version follow.
+
+    store: a folder that holds the map's versions, a new one under ``spark.checkpoint.dir`` if not given; it may hold some already.
+    """
+    spark, text = docs.sparkSession, F.col("text")
     rows = docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), utf8_crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"))
     rows = rows.withColumn("virtual_slot", virtual_slot(F.col("doc_id"), F.col("text_crc32"), slots=slots))
     sizes = slot_sizes(rows)
-    mapping = map_table(docs.sparkSession, first_map(sizes, shards, slots), sizes)
+    if store is None:
+        store = new_folder(spark)
+        write_map(map_table(spark, first_map(shards, slots), {}), store)
+    mapping = edited(spark, store, sizes, shards, slots, slack)
     out = placed_rows(rows, mapping, "doc_id")
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"))
