@@ -2,30 +2,31 @@
 
 Features are the 3- to 6-grams of lower-cased words with a space on either side, told apart by 64-bit hashes (cells), present or absent.
 Document counts of each cell in toxic and clean training texts give its log-count ratio; cells whose two rates differ by Z_LEAST
-standard errors are kept (MAX_FEATURES at most, the clearest first). A logistic regression with an L2 penalty is then fitted
-on the ratios of the cells present. The fit takes about MAX_TRAIN labelled rows, chosen by a hash of the id (all, if there
-are fewer), whole texts; scoring covers every row.
+standard errors are kept, all of them. A logistic regression with an L2 penalty is then fitted
+on the ratios of the cells present. The fit takes about MAX_TRAIN labelled ids, chosen by a hash (all, if there are fewer), and
+one whole text of each, so what it gathers is bounded; scoring covers every row.
 
 Nulls and odd input: a null or blank text has no features and scores the model's intercept; rows whose label is null don't
-train; ids labelled twice count as toxic if either is; repeated rows train and score as rows; with one class or none the score is
+train; ids labelled twice count as toxic if either is; an id with several rows trains by its least text, once, and scores as rows; with one class or none the score is
 the smoothed rate; columns of the input are kept, but one named score is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidemark.llm._common import checkpointed, small_batches
+from tidemark.llm._common import checkpointed, small_batches, with_arrow
 
 #: BITS of a cell lead to the few that may be features.
 BITS, ORDERS = 20, (3, 4, 5, 6)
-MAX_TRAIN, MAX_FEATURES = 12_000, 20_000
+MAX_TRAIN = 12_000
 Z_LEAST, LEAST_DOCS, ALPHA, L2, STEPS, RATE = 5.0, 3, 1.0, 1e-4, 400, 0.05
 THRESHOLD = 0.7
 _MUL, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
@@ -81,11 +82,12 @@ def score(text: str | None, model: Model, lookup: np.ndarray) -> float:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, use: Column, most: int = MAX_TRAIN) -> DataFrame:
-    """(toxic, text) of about ``most`` labelled rows at most for which use holds. The ids of the choice are few enough to broadcast."""
+    """(toxic, text) of about ``most`` labelled ids at most for which use holds, a row each. The ids of the choice are few enough to broadcast."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(use).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, most / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +113,9 @@ def fit(rows: DataFrame) -> Model:
     pooled = (F.col("p") + F.col("q")) / (n1 + n0)
     z = F.abs(F.col("p") / n1 - F.col("q") / n0) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n1 + 1 / n0))
     clear = counts.where(F.col("p") + F.col("q") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= Z_LEAST)
-    kept = clear.orderBy(F.desc("z"), "cell").limit(MAX_FEATURES).collect()
+    kept = sorted(clear.collect(), key=lambda r: r.cell)
     if not kept:
         return empty
-    kept.sort(key=lambda r: r.cell)
     cell = np.array([r.cell for r in kept], np.int64)
     p, q = np.array([r.p for r in kept]) + ALPHA, np.array([r.q for r in kept]) + ALPHA
     ratio = np.log((p / (n1 + 2 * ALPHA)) / (q / (n0 + 2 * ALPHA)))
@@ -147,19 +148,14 @@ def _logistic(row: np.ndarray, col: np.ndarray, value: np.ndarray, y: np.ndarray
     return float(w[-1]), w[:-1]
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with score; its other columns pass through."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(*[f"`{c}`" for c in docs.columns if c.lower() != "score"])
-    at = rows.columns.index(text_col)
+def scored(docs: DataFrame, model: Model, text_col: str = "text", drop: bool = False) -> DataFrame:
+    """docs with score; its other columns pass through, the text too unless drop is set."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work() -> Callable[[pa.Array], list[pa.Array]]:
         lookup = model.lookup()
-        for batch in batches:
-            scores = [score(t, model, lookup) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+        return lambda texts: [pa.array([score(t, model, lookup) for t in texts.to_pylist()], pa.float64())]
 
-    return rows.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes), "score double"]))
+    return with_arrow(docs, text_col, work, StructType([StructField("score", DoubleType())]), drop)
 
 
 def fold(doc_id: Column) -> Column:
@@ -173,5 +169,5 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The digest of op2. A null doc_id is in no fold, so not held out."""
-    out = scored(docs.select("doc_id", "text"), trained(docs, labels))
+    out = scored(docs.select("doc_id", "text"), trained(docs, labels), drop=True)
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
