@@ -6,6 +6,11 @@ no piece covers costs UNKNOWN below the least score and becomes its UTF-8 bytes'
 stays. Where no piece has a space after another character (checked on the vocabulary), no piece crosses the start of a run of
 spaces, so the best path of a text is that of its runs joined, and runs seen before are looked up.
 
+The scores of a unigram model are log-probabilities and are used as they stand. Those of a BPE model are its merges' ranks, whose
+sums mean nothing: a piece of rank r gets ln(1 / ((r + 1) H)) instead, its probability under Zipf's law, H being the sum of
+1 / r. Nothing is trained. The ids are those of the likeliest path under these scores, not the ids of a BPE encoder, which
+applies merges in turn; both decode to the text.
+
 The vocabulary is read once on the driver and sent to the tasks: its size is the model file's.
 
 Nulls and odd input: a null text has null ids, an empty one none; a text may hold the space mark U+2581 itself or any other
@@ -15,8 +20,9 @@ the input are kept, but one named like the output is replaced; repeated rows sta
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import ahocorasick
@@ -25,8 +31,9 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidemark.llm._common import small_batches
+from tidemark.llm._common import WORD, with_arrow
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, UNKNOWN, CACHE = "▁", 10.0, 250_000
@@ -63,7 +70,13 @@ class Codec:
     def load(cls, path: str = MODEL) -> Codec:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         kind = lambda i: "byte" if model.is_byte(i) else "unknown" if model.is_unknown(i) else "control" if model.is_control(i) or model.is_unused(i) else "normal"
-        return cls([(model.id_to_piece(i), model.get_score(i), kind(i)) for i in range(model.get_piece_size())])
+        pieces = [(model.id_to_piece(i), model.get_score(i), kind(i)) for i in range(model.get_piece_size())]
+        normal = sorted((i for i, (_, _, k) in enumerate(pieces) if k == "normal"), key=lambda i: -pieces[i][1])
+        if all(pieces[i][1].is_integer() for i in normal):  # ranks of merges
+            total = math.log(sum(1 / (r + 1) for r in range(len(normal))))
+            for r, i in enumerate(normal):
+                pieces[i] = (pieces[i][0], -math.log(r + 1) - total, "normal")
+        return cls(pieces)
 
     def built(self) -> Codec:
         if self.automaton is None:
@@ -148,16 +161,13 @@ def _decoded_all(lists: pa.ListArray, surfaces: list[bytes]) -> pa.Array:
 
 
 def _mapped(df: DataFrame, col: str, out: str, kind: str, codec: Codec, work) -> DataFrame:  # noqa: ANN001
-    small_batches(df.sparkSession)
-    rows = df.select(*[f"`{c}`" for c in df.columns if c.lower() != out.lower() or c == col])
-    at, shared = rows.columns.index(col), df.sparkSession.sparkContext.broadcast(codec.pieces)
+    shared = df.sparkSession.sparkContext.broadcast(codec.pieces)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def started():  # noqa: ANN202
         do = work(Codec(shared.value))
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, do(batch.column(at))], [*batch.schema.names, out])
+        return lambda column: [do(column)]
 
-    return rows.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes), f"{out} {kind}"]))
+    return with_arrow(df, col, started, StructType.fromDDL(f"{out} {kind}"))
 
 
 def encoded(df: DataFrame, text_col: str = "text", out: str = "ids", path: str = MODEL) -> DataFrame:
@@ -190,6 +200,8 @@ def decoded(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str
 
 
 def tokens(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """The result of op10: ids of each whole text, and whether they decode to it."""
+    """The result of op10: ids of each whole text, ids a word (null without words), and whether they decode to the text."""
     both = decoded(encoded(docs.select("doc_id", "text"), path=path), path=path)
-    return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    n = F.coalesce(F.size("ids"), F.lit(0))
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
+    return both.select("doc_id", n.cast("long").alias("n_tokens"), F.round(F.try_divide(n, words), 6).alias("tokens_per_word"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
