@@ -6,8 +6,11 @@ conversations equal in all turns the one with the least id stays. What is left i
 
 Turns are ordered by (turn, role, text). The key after k turns is the running XOR of two 64-bit hashes of (place, role, text),
 so it depends on the order. Places and keys are summed up in blocks of BLOCK turn numbers first, then over the few blocks of
-a conversation, so a conversation that holds a third of all rows is shared out. Rendered text comes in pieces of BLOCK
-turns at most, as no row could hold such a conversation.
+a conversation, so a conversation that holds a third of all rows is shared out, unless its turns share few numbers. Rendered
+text comes in pieces of BLOCK turns at most, as no row could hold such a conversation.
+
+Roles and texts leave after they are ordered and hashed: keys are stored once, without them, and only the texts of kept
+conversations are read again.
 
 Nulls and odd input: rows with a null conv_id are one conversation; a null role or text differs from an empty one and renders
 as empty; null turns come first; repeated rows are turns of their own; extra columns are ignored; an empty table gives none.
@@ -19,33 +22,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm._common import checkpointed
+
 BLOCK = 1024
 
 
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
 
-def keyed_turns(turns: DataFrame) -> DataFrame:
-    """(conv_id, place, role, text, k1, k2, n_turns): places from 1, and the key of the prefix that ends there."""
+
+def _placed(turns: DataFrame) -> DataFrame:
+    """(conv_id, block, local, role, text): each turn's place in its block, from 1."""
     rows = turns.select("conv_id", "turn", "role", "text", F.floor(F.coalesce(F.col("turn").cast("double"), F.lit(-1.0)) / BLOCK).alias("block"))
     order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
-    in_block = W.partitionBy("conv_id", "block").orderBy(*order)
-    rows = rows.withColumn("local", F.row_number().over(in_block))
-    sizes = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("rows_in"))
-    before = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("conv_id", "block", F.coalesce(F.sum("rows_in").over(before), F.lit(0)).alias("start"), F.sum("rows_in").over(W.partitionBy("conv_id")).alias("n_turns"))
-    placed = _join(rows, offsets).withColumn("place", F.col("start") + F.col("local"))
-    told = [F.col("place"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
-    placed = placed.withColumn("h1", F.xxhash64(F.lit(1), *told)).withColumn("h2", F.xxhash64(F.lit(2), *told))
-    run = W.partitionBy("conv_id", "block").orderBy("local").rowsBetween(W.unboundedPreceding, 0)
-    placed = placed.withColumn("r1", F.bit_xor("h1").over(run)).withColumn("r2", F.bit_xor("h2").over(run))
-    whole = placed.groupBy("conv_id", "block").agg(F.bit_xor("h1").alias("b1"), F.bit_xor("h2").alias("b2"))
-    past = whole.select("conv_id", "block", *[F.coalesce(F.bit_xor(f"b{i}").over(before), F.lit(0)).alias(f"p{i}") for i in (1, 2)])
-    keys = [F.col(f"r{i}").bitwiseXOR(F.col(f"p{i}")).alias(f"k{i}") for i in (1, 2)]
-    return _join(placed, past).select("conv_id", "place", "role", "text", *keys, "n_turns")
+    return rows.withColumn("local", F.row_number().over(W.partitionBy("conv_id", "block").orderBy(*order)))
 
 
-def _join(rows: DataFrame, few: DataFrame) -> DataFrame:
-    few = few.withColumnsRenamed({"conv_id": "_c", "block": "_b"})
-    return rows.join(few, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b"))).drop("_c", "_b")
+def _blocks(placed: DataFrame) -> DataFrame:
+    """(c, b, start, n_turns) of each block: the turns before it, and those of the whole conversation."""
+    sizes = placed.groupBy("conv_id", "block").agg(F.max("local").alias("size"))
+    of = W.partitionBy("conv_id")
+    before = of.orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    return sizes.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.sum("size").over(of).alias("n_turns"))
+
+
+def keyed_turns(turns: DataFrame) -> DataFrame:
+    """(conv_id, place, k1, k2, n_turns): places from 1, and the key of the prefix that ends there."""
+    told = [F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
+    slim = checkpointed(_placed(turns).select("conv_id", "block", "local", F.xxhash64(F.lit(1), *told).alias("t1"), F.xxhash64(F.lit(2), *told).alias("t2")))
+    at = _blocks(slim)
+    rows = slim.join(at, _same("conv_id", "c") & (F.col("block") == F.col("b"))).withColumn("place", F.col("start") + F.col("local"))
+    rows = rows.withColumn("h1", F.xxhash64("place", "t1")).withColumn("h2", F.xxhash64("place", "t2"))
+    run = W.partitionBy("conv_id", "block").orderBy("local").rowsBetween(W.unboundedPreceding, 0)
+    rows = checkpointed(rows.select("conv_id", "block", "place", "n_turns", F.bit_xor("h1").over(run).alias("r1"), F.bit_xor("h2").over(run).alias("r2")))
+    last = rows.groupBy("conv_id", "block").agg(F.max(F.struct("place", "r1", "r2")).alias("e"))
+    before = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    past = last.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), *[F.coalesce(F.bit_xor(f"e.r{i}").over(before), F.lit(0)).alias(f"p{i}") for i in (1, 2)])
+    keys = [F.col(f"r{i}").bitwiseXOR(F.col(f"p{i}")).alias(f"k{i}") for i in (1, 2)]
+    return rows.join(past, _same("conv_id", "c") & (F.col("block") == F.col("b"))).select("conv_id", "place", *keys, "n_turns")
 
 
 def maximal(keyed: DataFrame) -> DataFrame:
@@ -55,18 +69,22 @@ def maximal(keyed: DataFrame) -> DataFrame:
     return whole.join(inner, ["n_turns", "k1", "k2"], "left_anti").select("conv_id", "n_turns", "n_copies")
 
 
-def rendered(keyed: DataFrame, kept: DataFrame) -> DataFrame:
+def rendered(turns: DataFrame, kept: DataFrame) -> DataFrame:
     """(conv_id, piece, n_turns, n_copies, chat): kept conversations in pieces of BLOCK turns at most, in order from 0."""
+    few = kept.select(F.col("conv_id").alias("k"), "n_copies")
+    placed = _placed(turns.join(few, _same("conv_id", "k"), "left_semi"))
     turn = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("<|end|>\n"))
-    lines = keyed.select(F.col("conv_id").alias("_c"), "place", F.floor((F.col("place") - 1) / BLOCK).alias("piece"), turn.alias("line"))
-    of = lines.join(kept, F.col("_c").eqNullSafe(F.col("conv_id")))
-    grouped = of.groupBy("conv_id", "piece").agg(F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), F.sort_array(F.collect_list(F.struct("place", "line"))).alias("turns"))
-    return grouped.select("conv_id", "piece", "n_turns", "n_copies", F.array_join(F.transform("turns", lambda x: x["line"]), "").alias("chat"))
+    place = F.col("start") + F.col("local")
+    # Sizes come of the turns' numbers alone, so that no text is read or sorted for them.
+    sized = _blocks(turns.select("conv_id", F.floor(F.coalesce(F.col("turn").cast("double"), F.lit(-1.0)) / BLOCK).alias("block")).groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("local")))
+    lines = placed.join(sized, _same("conv_id", "c") & (F.col("block") == F.col("b"))).select("conv_id", place.alias("place"), F.floor((place - 1) / BLOCK).alias("piece"), "n_turns", turn.alias("line"))
+    grouped = lines.groupBy("conv_id", "piece").agg(F.first("n_turns").alias("n_turns"), F.sort_array(F.collect_list(F.struct("place", "line"))).alias("turns"))
+    chats = grouped.select("conv_id", "piece", "n_turns", F.array_join(F.transform("turns", lambda x: x["line"]), "").alias("chat"))
+    return chats.join(few, _same("conv_id", "k")).select("conv_id", "piece", "n_turns", "n_copies", "chat")
 
 
 def collapse_and_render(turns: DataFrame) -> DataFrame:
-    keyed = keyed_turns(turns)
-    return rendered(keyed, maximal(keyed))
+    return rendered(turns, checkpointed(maximal(keyed_turns(turns))))
 
 
 ORACLE = """
