@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import SPACE, WORD
+from tidemark.llm._common import SPACE, WORD, columns
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -67,9 +67,10 @@ def _repeated(words: str, n: str) -> tuple[list[tuple[str, Column]], Column]:
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the text, with the measurements as longs."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = [c for c in docs.columns if c != text_col and c.lower() not in (*MEASURES, "fail_bits", "_words", "_lines", "_sorted", "_places", "_n", "_symbols")]
+    # The other columns wait in one struct, so that none clashes with the steps' names.
+    kept = [c for c, name in zip(columns(docs), docs.columns, strict=True) if name != text_col and name.lower() not in (*MEASURES, "fail_bits")]
     split = docs.select(
-        *[F.col(f"`{c}`") for c in kept],
+        F.struct(*kept, F.lit(0).alias("_")).alias("_row"),
         F.array_remove(F.split(text, f"[{SPACE}]+"), "").alias("_words"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)).alias("_lines"),
         (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).alias("_symbols"),
@@ -87,7 +88,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     }
     # A one-row generator: a filter on the measurements is not pushed below it, where each would be worked out again and again.
     once = F.explode(F.array(F.struct(*[v.cast("long").alias(k) for k, v in found.items()]))).alias("_found")
-    return split.select(*[F.col(f"`{c}`") for c in kept], once).select(*[F.col(f"`{c}`") for c in kept], "_found.*")
+    return split.select(F.col("_row").dropFields("_").alias("_row") if kept else "_row", once).select(*(["_row.*"] if kept else []), "_found.*")
 
 
 def fail_bits() -> Column:
