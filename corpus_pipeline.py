@@ -12,26 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import packing, quality, simhash, toxicity
-from tidemark.llm._common import checkpointed, spare_name, table
+from tidemark.llm._common import columns, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the current policy."""
-    (text,) = spare_name(docs, "judged_text")
-    plain = docs.select("doc_id", "text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    book = quality.ledger(plain.withColumn(text, F.col("text")), text)
-    return book.where(quality.verdict()).select(*[f"`{c}`" for c in docs.columns])
+    whole = docs.select(F.col("text"), F.struct(*columns(docs)).alias("row"))
+    return quality.ledger(whole).where(quality.verdict()).select("row.*")
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold of a model trained on those of them that are labelled, but for the held-out third."""
     model = toxicity.trained(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*[f"`{c}`" for c in docs.columns])
+    whole = docs.select(F.col("text"), F.struct(*columns(docs)).alias("row"))
+    return toxicity.scored(whole, model).where(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group of near copies."""
-    return docs.join(simhash.near_duplicates(docs).select("doc_id"), "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """One row of each group of near copies: that of the least id."""
+    return simhash.without_copies(docs)
 
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +44,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", length_packing),
 ]
 
-#: SQL can express neither the trained classifier nor the fingerprints; tests hold the stages against plain Python versions.
+#: SQL can express neither the trained classifier nor the fingerprints; ``tests/llm/test_pipeline.py`` holds each stage against a plain Python version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = checkpointed(stage(spark, docs, sf_dir))
+    """The rows of the last stage. A stage's table is deleted once the next one is written, but for that which the result reads."""
+    docs, gone = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES[:-1]:
+        docs, path = written(stage(spark, docs, sf_dir), *gone)
+        gone = [path]
     return STAGES[-1][1](spark, docs, sf_dir)
