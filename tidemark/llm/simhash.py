@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import checkpointed, small_batches, spare_name
+from tidemark.llm._common import checkpointed, columns, small_batches, written
 
 SEED = 42
 #: Of the polynomials that hash words and shingles; odd.
@@ -279,62 +279,75 @@ def few_or_many(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFra
     return rows.join(F.broadcast(keys) if keys.count() <= MOST_SENT else keys, key, how)
 
 
-def similar(pairs: DataFrame, docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts' sets of shingles have a Jaccard similarity of ``least`` or more."""
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """The pairs (a, b) of row numbers whose texts' sets of shingles have a Jaccard similarity of ``least`` or more.
+
+    nodes: (row, node); docs: (node, text), one row a node. Pairs meet with sixteen bits of each hash first: what those share, and
+    the hashes that fall together, are no fewer than what the sets share. The pairs that are left meet with whole hashes.
+    """
     pairs = checkpointed(pairs)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    kind = docs.schema["node"].dataType.simpleString()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(nodes, "row")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            found = [shingler.hashes(t).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+            found = [shingler.hashes(t) for t in batch.column(1).to_pylist()]
+            short = [np.unique((h >> np.uint64(48)).astype(np.uint16)).view(np.int16) for h in found]
+            columns = [pa.array([len(h) for h in found], pa.int32()), pa.array(short, pa.list_(pa.int16())), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", "n", "short", "whole"])
 
-    texts = few_or_many(docs.select("node", F.col("text").cast("binary").alias("text")), nodes, "node", "left_semi")
-    # Repeated rows of a node hold one text.
-    sets = checkpointed(texts.mapInArrow(hashed, f"node {kind}, shingles array<long>").dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= least * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    texts = few_or_many(docs.select("node", F.col("text").cast("binary").alias("text")), wanted, "node", "inner").select("row", "text")
+    sets, _ = written(texts.mapInArrow(hashed, "row long, n int, short array<smallint>, whole array<long>"))
+
+    def met(pairs: DataFrame, column: str) -> DataFrame:
+        for end, x in (("a", "x"), ("b", "y")):
+            pairs = pairs.join(sets.select(F.col("row").alias(end), F.struct("n", F.col(column).alias("of")).alias(x)), end)
+        shared = F.size(F.array_intersect("x.of", "y.of")) + F.least(F.col("x.n") - F.size("x.of"), F.col("y.n") - F.size("y.of"))
+        return checkpointed(pairs.where(shared >= least * (F.col("x.n") + F.col("y.n") - shared)).select("a", "b"))
+
+    return met(met(pairs, "short"), "whole")
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b) of each pair of nodes with unlike labels whose sets (node, label, size, n, prefix) can reach 0.8; size: nodes of the label.
+    """(a, b) of each pair of rows with unlike labels whose sets (row, label, size, n, prefix) can reach 0.8; size: rows of the label.
 
-    What two such sets share of their prefixes, and what is left of them after the last of it, must be enough for 0.8. Nodes
-    of one label are never paired, so a large group of copies makes no square; its nodes stand in lists of about LIST.
+    What two such sets share of their prefixes, and what is left of them after the last of it, must be enough for 0.8. Rows
+    of one label are never paired, so a large group of copies makes no square; its rows stand in lists of about LIST.
     """
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / LIST))
-    rows = sets.select("node", "label", part.alias("part"), "n", F.posexplode("prefix").alias("place", "s"))
+    part = F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / LIST)).cast("int")
+    rows = sets.select("row", "label", part.alias("part"), "n", F.posexplode("prefix").alias("place", "s"))
     of = Window.partitionBy("s")
     met = rows.withColumn("lo", F.min("label").over(of)).withColumn("hi", F.max("label").over(of)).where("lo <> hi")
-    lists = checkpointed(met.groupBy("s", "label", "part").agg(F.collect_list(F.struct("node", "n", "place")).alias("x")))
+    lists = checkpointed(met.groupBy("s", "label", "part").agg(F.collect_list(F.struct("row", "n", "place")).alias("x")))
     both = lists.join(lists.select("s", F.col("label").alias("label_b"), F.col("x").alias("y")), "s").where("label < label_b")
     pairs = both.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
-    pairs = pairs.where("9 * least(x.n, y.n) >= 4 * (x.n + y.n)").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"), (F.col("x.n") - F.col("x.place")).alias("rest_a"), (F.col("y.n") - F.col("y.place")).alias("rest_b"))
+    pairs = pairs.where("9 * least(x.n, y.n) >= 4 * (x.n + y.n)").select(F.col("x.row").alias("a"), F.col("y.row").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"), (F.col("x.n") - F.col("x.place")).alias("rest_a"), (F.col("y.n") - F.col("y.place")).alias("rest_b"))
     met = pairs.groupBy("a", "b").agg(F.min("both").alias("both"), F.count(F.lit(1)).alias("shared"), F.min("rest_a").alias("rest_a"), F.min("rest_b").alias("rest_b"))
     return met.where("9 * (shared - 1 + least(rest_a, rest_b)) >= 4 * both").select("a", "b")
 
 
 def _near(docs: DataFrame, words: int) -> DataFrame:
-    """(node, component) over docs (node, text), a node for each text: components of the pairs whose sets of shingles have a similarity of 0.8 or more.
+    """(node, component) over docs (node, text), which repeat no node: components of the pairs whose sets of shingles have a similarity of 0.8 or more.
 
     Each such pair is found. Equal sets count once. Fingerprints within three bits are joined through anchors, and each member
     that is similar to its component's head is labelled by it; then all sets of unlike labels that share a shingle of their
-    prefixes are compared.
+    prefixes are compared. A component is named by its least node.
     """
-    marks = checkpointed(_features(docs, words))
-    sets = checkpointed(marks.groupBy("same").agg(F.min(F.struct("node", "fp", "n", "prefix")).alias("m")).select("same", "m.*"))
-    heads = _grouped(sets.select("node", "fp"), "node", 3)
-    stars = heads.where("node <> component_id").select(F.col("component_id").alias("a"), F.col("node").alias("b"))
-    near = checkpointed(similar(stars, docs, words))
-    sizes = near.groupBy(F.col("a").alias("label")).agg((F.count(F.lit(1)) + 1).alias("size"))
-    labelled = sets.join(near.select(F.col("b").alias("node"), F.col("a").alias("head")), "node", "left").withColumn("label", F.coalesce("head", "node"))
-    labelled = checkpointed(labelled.join(checkpointed(sizes), "label", "left").select("node", "label", F.coalesce("size", F.lit(1)).alias("size"), "n", "prefix"))
-    alike = similar(candidates(labelled), docs, words)
-    copies = marks.join(sets.select("same", F.col("node").alias("b")), "same").where("node <> b").select(F.col("node").alias("a"), "b")
-    return components(copies.unionByName(near).unionByName(alike).distinct())
+    # Numbers of rows are short keys; the checkpoint settles them.
+    marks = checkpointed(_features(docs, words).withColumn("row", F.monotonically_increasing_id()))
+    sets = checkpointed(marks.groupBy("same").agg(F.min(F.struct("row", "node", "fp", "n")).alias("m")).select("same", "m.*"))
+    nodes = sets.select("row", "node")
+    heads = _grouped(sets.select("row", "fp"), "row", 3)
+    near = similar(heads.where("row <> component_id").select(F.col("component_id").alias("a"), F.col("row").alias("b")), nodes, docs, words)
+    sizes = checkpointed(near.groupBy(F.col("a").alias("label")).agg((F.count(F.lit(1)) + 1).alias("size")))
+    labelled = sets.select("row", "n").join(near.select(F.col("b").alias("row"), F.col("a").alias("head")), "row", "left").withColumn("label", F.coalesce("head", "row"))
+    labelled = checkpointed(labelled.join(sizes, "label", "left").select("row", "label", F.coalesce("size", F.lit(1)).alias("size"), "n"))
+    alike = similar(candidates(marks.select("row", "prefix").join(labelled, "row")), nodes, docs, words)
+    copies = marks.select(F.col("row").alias("a"), "same").join(sets.select("same", F.col("row").alias("b")), "same").where("a <> b").select("a", "b")
+    joined = components(copies.unionByName(near).unionByName(alike).distinct())
+    named = checkpointed(joined.select(F.col("node").alias("row"), "component").join(marks.select("row", "node"), "row"))
+    least = checkpointed(named.groupBy("component").agg(F.min("node").alias("least")))
+    return named.join(least, "component").select("node", F.col("least").alias("component"))
 
 
 def _noded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -343,25 +356,34 @@ def _noded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumn("node", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("told")))
 
 
+def _repeats(noded: DataFrame) -> DataFrame:
+    """Nodes that more than one row has."""
+    return checkpointed(noded.groupBy("node").count().where("count > 1").select("node"))
+
+
+def _once(noded: DataFrame, again: DataFrame) -> DataFrame:
+    """noded with one row for each node; only rows of the nodes of again move, and combine before they do."""
+    if again.isEmpty():
+        return noded
+    others = [c for c in noded.columns if c != "node"]
+    one = few_or_many(noded, again, "node", "left_semi").groupBy("node").agg(F.first(F.struct(*others)).alias("o")).select("node", "o.*")
+    return few_or_many(noded, again, "node", "left_anti").unionByName(one)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, group_id) of every text that isn't the one to keep of its group of near copies, that of the least id.
 
     A group is a component as of ``_near``. Repeated rows, of one id and text, are one; a null id counts as the greatest.
     """
-    joined = _near(_noded(docs.select("doc_id", "text"), "doc_id", "text").select("node", "text"), words)
+    noded = _noded(docs.select("doc_id", "text"), "doc_id", "text").select("node", "text")
+    joined = _near(_once(noded, _repeats(noded)), words)
     return joined.where("node <> component").select(F.col("node.id").alias("doc_id"), F.col("component.id").alias("group_id"))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """docs without near copies: of each group as of ``near_duplicates`` the text of the least id stays, in one row."""
-    names = [f"`{c}`" for c in docs.columns]
-    (node,) = spare_name(docs, "node")
-    noded = _noded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*names).alias("row")), "id", "text")
-    nodes = noded.select("node", "text")
-    gone = _near(nodes, words).where("node <> component").select("node")
-    rest = few_or_many(noded, gone, "node", "left_anti").select(F.col("node").alias(node), "row")
-    again = checkpointed(nodes.groupBy("node").count().where("count > 1").select(F.col("node").alias(node)))
-    if again.isEmpty():
-        return rest.select("row.*")
-    one = few_or_many(rest, again, node, "left_semi").groupBy(node).agg(F.first("row").alias("row"))
-    return few_or_many(rest, again, node, "left_anti").select("row.*").unionByName(one.select("row.*"))
+    noded = _noded(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*columns(docs)).alias("row")), "id", "text")
+    again = _repeats(noded)
+    gone = _near(_once(noded.select("node", "text"), again), words).where("node <> component").select("node")
+    rest = few_or_many(noded.select("node", "row"), gone, "node", "left_anti")
+    return _once(rest, again).select("row.*")
