@@ -7,24 +7,60 @@ from tidemark.functions.lineage import checkpointed
 from tidemark.plans.operator import Operator as O
 
 
+def depths(nodes: DataFrame) -> DataFrame:
+    """(subject_uri, idx, pidx, depth) of the nodes that the root, idx 0, reaches.
+
+    Children of the root are settled at once. Each other node points to an ancestor; every round doubles how far, and settles
+    the nodes whose pointer has come to a settled one. Depths have no holes, so the round that settles none is the last: what
+    is left then hangs on a ring.
+    """
+    key = ["subject_uri", "idx"]
+    rows = checkpointed(nodes.select("subject_uri", "idx", "pidx"))
+    done = [rows.where("idx = 0 OR pidx = 0").withColumn("depth", F.when(F.col("idx") > 0, 1).otherwise(0))]
+    left = checkpointed(rows.where("idx > 0 AND pidx > 0").select("*", F.col("pidx").alias("up"), F.lit(1).alias("far")))
+    while not left.isEmpty():
+        settled = done[-1].where("depth > 0").select("subject_uri", F.col("idx").alias("up"), F.col("depth").alias("base"))
+        for d in done[:-1]:
+            settled = settled.unionByName(d.where("depth > 0").select("subject_uri", F.col("idx").alias("up"), F.col("depth").alias("base")))
+        jump = left.select("subject_uri", F.col("idx").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"))
+        met = checkpointed(left.join(settled, ["subject_uri", "up"], "left").join(jump, ["subject_uri", "up"], "left"))
+        new = met.where("base IS NOT NULL").select(*key, "pidx", (F.col("far") + F.col("base")).alias("depth"))
+        if new.isEmpty():
+            break
+        done.append(new)
+        left = met.where("base IS NULL AND up2 IS NOT NULL").select(*key, "pidx", F.col("up2").alias("up"), (F.col("far") + F.col("far2")).alias("far"))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
 def ancestor_closure(nodes: DataFrame) -> DataFrame:
     """(subject_uri, idx, anc, dist) of each node that the root reaches and each of its ancestors, itself included.
 
-    Pointer jumping doubles the known distance each round, until no jump is left. A node is nearer to the root than its cascade
-    has nodes, so jumps as long as that are in cycles, which never reach the root, and leave.
+    Nodes of depth one need no search. For the others, pairs nearer than 2^k and pairs at just 2^k give all pairs nearer than
+    2^(k+1), each once, so rounds grow as the logarithm of the depth.
     """
-    sizes = nodes.groupBy("subject_uri").agg(F.count("*").alias("size"))
-    up = nodes.where("idx > 0 AND pidx <> idx").select("subject_uri", "idx", F.col("pidx").alias("anc"), F.lit(1).alias("dist"))
-    known = nodes.select("subject_uri", "idx", F.col("idx").alias("anc"), F.lit(0).alias("dist")).unionByName(up)
-    jump = up
-    while not jump.isEmpty():
-        step = jump.select("subject_uri", F.col("idx").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("d2"))
-        far = known.where(F.col("dist") > 0).join(step, ["subject_uri", "anc"]).select("subject_uri", "idx", F.col("anc2").alias("anc"), (F.col("dist") + F.col("d2")).alias("dist"))
-        known = checkpointed(known.unionByName(far).distinct())
-        jump = jump.join(step, ["subject_uri", "anc"]).select("subject_uri", "idx", F.col("anc2").alias("anc"), (F.col("dist") + F.col("d2")).alias("dist"))
-        jump = checkpointed(jump.where("idx <> anc").join(sizes, "subject_uri").where("dist < size").drop("size"))
-    rooted = known.where("anc = 0").select("subject_uri", "idx").distinct()
-    return known.join(rooted, ["subject_uri", "idx"], "left_semi")
+    known = checkpointed(depths(nodes))
+    pair = lambda df, anc, dist: df.select("subject_uri", "idx", anc.cast("long").alias("anc"), dist.cast("int").alias("dist"))
+    flat = pair(known, F.col("idx"), F.lit(0)).unionByName(pair(known.where("depth = 1"), F.lit(0), F.lit(1)))
+    deep = known.where("depth > 1")
+    jump = pair(known.where("depth > 0"), F.col("pidx"), F.lit(1))
+    near = checkpointed(pair(deep, F.col("pidx"), F.lit(1)))
+    parts, step = [flat, near], 1
+    while True:
+        on = jump.select("subject_uri", F.col("idx").alias("anc"), F.col("anc").alias("anc2"))
+        far = checkpointed(near.join(on, ["subject_uri", "anc"]).select("subject_uri", "idx", F.col("anc2").alias("anc"), (F.col("dist") + step).alias("dist")))
+        if far.isEmpty():
+            break
+        parts.append(far)
+        near = near.unionByName(far)
+        jump = checkpointed(jump.join(on, ["subject_uri", "anc"]).select("subject_uri", "idx", F.col("anc2").alias("anc"), (F.col("dist") + step).alias("dist")))
+        step *= 2
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return checkpointed(out)
 
 
 _CLOSURE = """WITH RECURSIVE c AS (SELECT subject_uri, idx, idx AS anc, 0 AS dist FROM {h2_parents} UNION ALL SELECT c.subject_uri, c.idx, n.pidx, c.dist + 1 FROM c JOIN {h2_parents} AS n ON n.subject_uri = c.subject_uri AND n.idx = c.anc WHERE n.idx > 0)
@@ -44,18 +80,27 @@ OPERATORS = (
     O("h8_cascades", "A row per cascade.", ("h2_parents", "h4_node_depths", "h5_out_degrees", "h7_structural_virality"), """SELECT r.subject_uri, r.actor_did AS author_did, r.time_us AS creation_time_us, c.size, d.depth, coalesce(o.most, 0) AS max_out_degree, v.virality
       FROM (SELECT * FROM {h2_parents} WHERE idx = 0) AS r JOIN (SELECT subject_uri, count(*) AS size FROM {h2_parents} GROUP BY subject_uri) AS c ON r.subject_uri = c.subject_uri JOIN (SELECT subject_uri, max(depth) AS depth FROM {h4_node_depths} GROUP BY subject_uri) AS d ON r.subject_uri = d.subject_uri
       LEFT JOIN (SELECT subject_uri, max(children) AS most FROM {h5_out_degrees} GROUP BY subject_uri) AS o ON r.subject_uri = o.subject_uri JOIN {h7_structural_virality} AS v ON r.subject_uri = v.subject_uri"""),
-    O("h10_broadcast_groups", "Children of one parent: size, gaps (true median and the middle one by place), trend.", ("h2_parents",), """WITH g AS (SELECT subject_uri, pidx, idx, time_us, time_us - lag(time_us) OVER w AS gap, row_number() OVER w - 1 AS j FROM {h2_parents} WHERE idx > 0 WINDOW w AS (PARTITION BY subject_uri, pidx ORDER BY idx))
-      SELECT subject_uri, pidx, count(*) AS broadcast_size, round(coalesce(avg(gap), 0), 3) AS mean_gap_us, coalesce($P(gap, 0.5), 0.0E0) AS median_gap_us, CASE WHEN count(*) >= 3 THEN round(regr_slope(gap, j), 3) ELSE 0.0E0 END AS gap_trend, min(time_us) AS first_child_us, max(time_us) AS last_child_us FROM g GROUP BY subject_uri, pidx"""),
-    O("h11_root_to_leaf_paths", "A row per leaf: depth, time from the first hop, speed.", ("h_closure", "h2_parents"), """WITH leaf AS (SELECT a.subject_uri, a.idx, max(dist) AS depth FROM {h_closure} AS a LEFT JOIN (SELECT DISTINCT subject_uri AS s, anc FROM {h_closure} WHERE dist = 1) AS p ON a.subject_uri = p.s AND a.idx = p.anc WHERE p.s IS NULL GROUP BY a.subject_uri, a.idx)
-      SELECT l.subject_uri, l.idx, l.depth, coalesce(n.time_us - f.time_us, 0) AS path_total_time_us FROM leaf AS l JOIN {h2_parents} AS n ON n.subject_uri = l.subject_uri AND n.idx = l.idx
-      LEFT JOIN {h_closure} AS c ON c.subject_uri = l.subject_uri AND c.idx = l.idx AND c.dist = l.depth - 1 LEFT JOIN {h2_parents} AS f ON f.subject_uri = c.subject_uri AND f.idx = c.anc"""),
+    O("h10_broadcast_groups", "Children of each parent that the root reaches: its author, size, gaps (true median, and the middle of them by place, the mean of two if they are even), trend.", ("h2_parents", "h4_node_depths"), """WITH g AS (SELECT c.subject_uri, c.pidx, c.idx, c.time_us, c.time_us - lag(c.time_us) OVER w AS gap, row_number() OVER w - 1 AS j, count(*) OVER (PARTITION BY c.subject_uri, c.pidx) AS k
+        FROM {h2_parents} AS c JOIN {h4_node_depths} AS d ON d.subject_uri = c.subject_uri AND d.idx = c.idx WHERE c.idx > 0 WINDOW w AS (PARTITION BY c.subject_uri, c.pidx ORDER BY c.idx)),
+      b AS (SELECT subject_uri, pidx, count(*) AS broadcast_size, round(coalesce(avg(gap), 0), 3) AS mean_gap_us, coalesce($P(gap, 0.5), 0.0E0) AS median_gap_us, coalesce(avg(CASE WHEN j IN (floor(k / 2), ceil(k / 2)) AND j > 0 THEN cast(gap AS DOUBLE) END), 0.0E0) AS mid_gap_us,
+        CASE WHEN count(*) >= 3 THEN round(regr_slope(gap, j), 3) ELSE 0.0E0 END AS gap_trend, min(time_us) AS first_child_us, max(time_us) AS last_child_us FROM g GROUP BY subject_uri, pidx)
+      SELECT b.*, p.actor_did AS parent_did FROM b JOIN {h2_parents} AS p ON p.subject_uri = b.subject_uri AND p.idx = b.pidx"""),
+    O("h11_root_to_leaf_paths", "A row per leaf: its author, depth, time from the first hop, time per hop, and the slope of the path's gaps over their place (0 under three hops).", ("h_closure", "h2_parents"), """WITH leaf AS (SELECT a.subject_uri, a.idx, max(dist) AS depth FROM {h_closure} AS a LEFT JOIN (SELECT DISTINCT subject_uri AS s, anc FROM {h_closure} WHERE dist = 1) AS p ON a.subject_uri = p.s AND a.idx = p.anc WHERE p.s IS NULL GROUP BY a.subject_uri, a.idx),
+      hops AS (SELECT l.subject_uri, l.idx, l.depth, l.depth - c.dist AS place, n.time_us FROM leaf AS l JOIN {h_closure} AS c ON c.subject_uri = l.subject_uri AND c.idx = l.idx JOIN {h2_parents} AS n ON n.subject_uri = c.subject_uri AND n.idx = c.anc WHERE c.dist < l.depth),
+      g AS (SELECT subject_uri, idx, time_us, place, time_us - lag(time_us) OVER (PARTITION BY subject_uri, idx ORDER BY place) AS gap FROM hops),
+      t AS (SELECT subject_uri, idx, max(CASE WHEN place = last THEN time_us END) - min(CASE WHEN place = 1 THEN time_us END) AS total, regr_slope(gap, place - 1) AS slope FROM (SELECT *, max(place) OVER (PARTITION BY subject_uri, idx) AS last FROM g) AS z GROUP BY subject_uri, idx)
+      SELECT l.subject_uri, l.idx, n.actor_did AS leaf_did, l.depth, coalesce(t.total, 0) AS path_total_time_us, CASE WHEN l.depth > 0 THEN round(t.total * 1.0E0 / l.depth, 3) ELSE 0.0E0 END AS traversal_speed, CASE WHEN l.depth >= 3 THEN round(t.slope, 3) ELSE 0.0E0 END AS gap_trend
+      FROM leaf AS l JOIN {h2_parents} AS n ON n.subject_uri = l.subject_uri AND n.idx = l.idx LEFT JOIN t ON t.subject_uri = l.subject_uri AND t.idx = l.idx"""),
     O("h12_cascade_lifetime", "Nearest-rank times to shares of a cascade's reposts.", ("h1_cascade_events",), """WITH r AS (SELECT subject_uri, time_us, idx, min(time_us) OVER (PARTITION BY subject_uri) AS t0, count(*) OVER (PARTITION BY subject_uri) - 1 AS n FROM {h1_cascade_events})
       SELECT subject_uri, n AS total_reposts, max(time_us) - min(t0) AS last_us, """ + ", ".join(f"min(CASE WHEN idx = ceil(0.{p}E0 * n) THEN time_us - t0 END) AS t{p}_us" for p in (50, 95, 99)) + " FROM r WHERE n >= 1 GROUP BY subject_uri, n"),
     O("h14_repost_gaps", "Gaps to the repost before, in the cascade and under the same parent; -1 for none.", ("h2_parents",), "SELECT subject_uri, idx, coalesce(time_us - lag(time_us) OVER (PARTITION BY subject_uri ORDER BY idx), -1) AS global_gap_us, coalesce(time_us - lag(time_us) OVER (PARTITION BY subject_uri, pidx ORDER BY idx), -1) AS topology_gap_us FROM {h2_parents} WHERE idx > 0"),
     O("h15_t50_buckets", "Cascades by time to half their reposts.", ("h12_cascade_lifetime",), "SELECT CASE WHEN t50_us < 60000000 THEN '<1m' WHEN t50_us < 3600000000 THEN '<1h' WHEN t50_us < 21600000000 THEN '<6h' WHEN t50_us < 86400000000 THEN '<1d' ELSE '1d+' END AS bucket, count(*) AS n FROM {h12_cascade_lifetime} WHERE total_reposts >= 2 GROUP BY 1"),
     O("h16_topology_gap_stats", "Gaps under one parent, in seconds.", ("h14_repost_gaps",), "SELECT round($P(topology_gap_us, 0.5) / 1e6, 6) AS p50, round($P(topology_gap_us, 0.9) / 1e6, 6) AS p90, round(avg(topology_gap_us) / 1e6, 4) AS mean FROM {h14_repost_gaps} WHERE topology_gap_us >= 0"),
-    O("h18_virality_stats", "Virality over cascades of two or more.", ("h8_cascades",), "SELECT count(*) AS n, round(avg(virality), 6) AS mean, round($P(virality, 0.5), 6) AS median, round(stddev_samp(virality), 6) AS std, min(virality) AS least, max(virality) AS most FROM {h8_cascades} WHERE size >= 2"),
+    O("h18_virality_stats", "Virality over cascades of two or more, and their share of all cascades.", ("h8_cascades",), "SELECT count(v) AS n, round(100.0E0 * count(v) / count(*), 6) AS coverage_pct, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS least, max(v) AS most, " + ", ".join(f"round($P(v, {p / 1000}), 6) AS p{str(p / 10).replace('.0', '').replace('.', '_')}" for p in (500, 900, 950, 990, 999)) + " FROM (SELECT CASE WHEN size >= 2 THEN virality END AS v FROM {h8_cascades}) AS c"),
     O("h20_depth_stats", "Cascades by depth.", ("h8_cascades",), "SELECT depth, count(*) AS n, max(size) AS largest FROM {h8_cascades} GROUP BY depth"),
+    O("h20_depth_summary", "Depths of cascades of two or more.", ("h8_cascades",), "SELECT count(*) AS n, round(avg(depth), 6) AS mean, $P(depth, 0.5) AS median, $P(depth, 0.9) AS p90, $P(depth, 0.99) AS p99, max(depth) AS most, round(100.0E0 * count(CASE WHEN depth = 1 THEN 1 END) / count(*), 6) AS depth_1_pct FROM {h8_cascades} WHERE size >= 2"),
+    O("h20_virality_regimes", "Cascades of two or more by virality: 1, over 1 to 3, over 3; and how many of each are stars.", ("h8_cascades",), "SELECT CASE WHEN virality <= 1 THEN '1' WHEN virality <= 3 THEN '1-3' ELSE '3+' END AS regime, count(*) AS n, round(100.0E0 * count(*) / sum(count(*)) OVER (), 6) AS pct, count(CASE WHEN max_out_degree = size - 1 THEN 1 END) AS stars FROM {h8_cascades} WHERE size >= 2 GROUP BY 1"),
+    O("h20_top_viral", "The :k most viral cascades.", ("h8_cascades",), "SELECT subject_uri, author_did, size, depth, max_out_degree, virality FROM {h8_cascades} ORDER BY virality DESC, size DESC, subject_uri LIMIT :k", {"k": 50}),
     O("h9_gap_trend", "Slope of the gaps between a cascade's reposts over their place; 0 under three reposts.", ("h1_cascade_events",), """WITH g AS (SELECT subject_uri, idx - 1 AS j, time_us - lag(time_us) OVER (PARTITION BY subject_uri ORDER BY idx) AS gap FROM {h1_cascade_events} WHERE idx > 0)
       SELECT subject_uri, count(*) AS reposts, CASE WHEN count(*) >= 3 THEN round(regr_slope(gap, j), 3) ELSE 0.0E0 END AS gap_trend FROM g GROUP BY subject_uri"""),
     O("h13_time_to_peak", "Time to the first repost of the fullest of 100 equal bins, the earliest on ties; 0 for one repost or no span.", ("h1_cascade_events",), """WITH r AS (SELECT subject_uri, idx, time_us, min(time_us) OVER p AS t0, max(time_us) OVER p AS t1, count(*) OVER p - 1 AS n FROM {h1_cascade_events} WINDOW p AS (PARTITION BY subject_uri)),

@@ -1,8 +1,17 @@
 """Knees of histograms, automated users, and fits of distributions."""
 
+from dataclasses import replace
+
+from tidemark.functions.lineage import checkpointed
+from tidemark.operators import activity
 from tidemark.plans.operator import Operator as O
 
 
+def _cut(op: O) -> O:
+    """op, its rows checkpointed in Spark: many later steps read them, and its expressions stay out of theirs."""
+    return replace(op, work=lambda *frames, **params: checkpointed(op(*frames, **params)))
+
+
 def _knee(y: str) -> str:
     """CTEs from grid (i, y), rows without gaps in i: knee holds the i of the first knee, if any. y: the curve's height, rising and concave, from y0 (0 to 1)."""
     return f"""unit AS (SELECT i, cast(i - min(i) OVER () AS DOUBLE) / nullif(max(i) OVER () - min(i) OVER (), 0) AS x, cast(y - min(y) OVER () AS DOUBLE) / nullif(max(y) OVER () - min(y) OVER (), 0) AS y0, count(*) OVER () AS m FROM grid),
@@ -56,18 +65,18 @@ def _weibull(steps: int = 7) -> str:
 
 OPERATORS = (
     O("d23_gap_elbow", "The knee of the falling histogram of a user's gaps by minutes, up to :bins; null if there is none.", ("d1_gaps",), f"""WITH c AS (SELECT cast(floor(gap / 60000000) AS INT) AS b, count(*) AS y FROM {{d1_gaps}} WHERE gap >= 0 AND gap / 60000000 < :bins GROUP BY 1),
-      grid AS (SELECT g.i, coalesce(c.y, 0) AS y FROM (SELECT $EACH AS i) AS g LEFT JOIN c ON g.i = c.b WHERE g.i < :bins), {_knee("1 - y0")}
+      grid AS (SELECT g.i, coalesce(c.y, 0) AS y FROM (SELECT $EACH(:bins) AS i) AS g LEFT JOIN c ON g.i = c.b), {_knee("1 - y0")}
       SELECT (i + 0.5E0) * 60 AS elbow_s FROM knee""", {"bins": 120}),
     O("f3_automation_threshold", "Entropy under which users count as automated: the knee of a histogram of 200 bins at most, else 1; and their share.", ("f1_gap_entropy",), f"""WITH s AS (SELECT count(*) AS n, max(entropy_bits) AS most, cast(least(200, floor(count(*) / 10)) AS INT) - 1 AS bins FROM {{f1_gap_entropy}}),
       c AS (SELECT cast(least(floor(entropy_bits * (SELECT bins FROM s) / (SELECT most FROM s)), (SELECT bins FROM s) - 1) AS INT) AS b, count(*) AS y FROM {{f1_gap_entropy}} WHERE (SELECT bins FROM s) >= 1 AND (SELECT most FROM s) > 0 GROUP BY 1),
-      grid AS (SELECT g.i, coalesce(c.y, 0) AS y FROM (SELECT $EACH AS i) AS g LEFT JOIN c ON g.i = c.b WHERE g.i >= (SELECT min(b) FROM c) AND g.i < (SELECT bins FROM s)), {_knee("y0")},
+      grid AS (SELECT g.i, coalesce(c.y, 0) AS y FROM (SELECT $EACH(200) AS i) AS g LEFT JOIN c ON g.i = c.b WHERE g.i >= (SELECT min(b) FROM c) AND g.i < (SELECT bins FROM s)), {_knee("y0")},
       t AS (SELECT CASE WHEN (SELECT count(*) FROM grid) = 0 THEN 1.0E0 WHEN (SELECT count(*) FROM grid) < 5 THEN ((SELECT min(i) FROM grid) + 0.5E0) * (SELECT most FROM s) / (SELECT bins FROM s)
         ELSE coalesce((i + 0.5E0) * (SELECT most FROM s) / (SELECT bins FROM s), 1.0E0) END AS threshold FROM knee)
       SELECT round((SELECT threshold FROM t), 6) AS threshold, count(*) AS users, count(CASE WHEN entropy_bits < (SELECT threshold FROM t) THEN 1 END) AS automated,
         round(100.0E0 * count(CASE WHEN entropy_bits < (SELECT threshold FROM t) THEN 1 END) / count(*), 6) AS pct FROM {{f1_gap_entropy}}"""),
     O("f3_flag_automated", "Users with entropy under the threshold.", ("f1_gap_entropy", "f3_automation_threshold"), "SELECT did, entropy_bits, entropy_bits < (SELECT threshold FROM {f3_automation_threshold}) AS automated FROM {f1_gap_entropy}"),
     O("g2_powerlaw_discrete", "Discrete power law: :k log-spaced candidates for xmin, least KS distance wins.", ("order_counts",), f"""WITH v AS (SELECT cast(x AS DOUBLE) AS x, cast(count(*) AS DOUBLE) AS n FROM {{order_counts}} GROUP BY x),
-      c AS (SELECT DISTINCT round(exp((SELECT ln(min(x)) FROM v) + i * ((SELECT ln(max(x)) FROM v) - (SELECT ln(min(x)) FROM v)) / (:k - 1))) AS xmin FROM (SELECT $EACH AS i) AS g WHERE i < :k), {_TAILS}
+      c AS (SELECT DISTINCT round(exp((SELECT ln(min(x)) FROM v) + i * ((SELECT ln(max(x)) FROM v) - (SELECT ln(min(x)) FROM v)) / (:k - 1))) AS xmin FROM (SELECT $EACH(:k) AS i) AS g), {_TAILS}
       SELECT xmin, round(alpha, 6) AS alpha, round(max(d), 6) AS ks, cast(t AS BIGINT) AS n_tail FROM d GROUP BY xmin, alpha, t ORDER BY round(max(d), 9), xmin LIMIT 1""", {"k": 80}),
     O("g5_powerlaw_vs_lognormal", "Log-likelihood ratio of a power law from 1 and a lognormal, both by maximum likelihood, with a two-sided p.", ("order_counts",), """WITH f AS (SELECT count(*) AS n, 1 + count(*) / sum(ln(x)) AS alpha, avg(ln(x)) AS mu, stddev_pop(ln(x)) AS sd FROM {order_counts} WHERE x >= 1),
       b AS (SELECT x, (SELECT alpha FROM f) AS alpha, (SELECT mu FROM f) AS mu, (SELECT sd FROM f) AS sd FROM {order_counts} WHERE x >= 1),
@@ -88,8 +97,26 @@ OPERATORS = (
 
 OPERATORS += (
     O("g12_best_fit_breakdown", "Users by best family.", ("g11_fit_gaps",), "SELECT best, count(*) AS users, round(100.0E0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM {g11_fit_gaps} GROUP BY best"),
-    O("g13_param_summary", "Shapes of users by best family.", ("g11_fit_gaps",), "SELECT best, count(*) AS users, round(avg(weibull_shape), 4) AS mean, round($P(weibull_shape, 0.5), 4) AS median, round(stddev_samp(weibull_shape), 4) AS sd, round(avg(CASE WHEN weibull_shape < 1 THEN 1.0E0 ELSE 0.0E0 END), 6) AS share_under_1 FROM {g11_fit_gaps} WHERE weibull_shape IS NOT NULL GROUP BY best"),
+    O("g13_param_summary", "Parameters of users by best family: mean, median and deviation; for Weibull the share of shapes under 1, for the exponential the mean wait, for the lognormal the median's median.", ("g11_fit_gaps",), " UNION ALL ".join(f"SELECT '{f}' AS best, '{c}' AS param, count({c}) AS users, round(avg({c}), 4) AS mean, round($P({c}, 0.5), 4) AS median, round(stddev_samp({c}), 4) AS sd, {extra} AS extra FROM {{g11_fit_gaps}} WHERE best = '{f}'"
+      for f, c, extra in (("powerlaw", "alpha", "CAST(NULL AS DOUBLE)"), ("powerlaw", "xmin", "CAST(NULL AS DOUBLE)"), ("exponential", "rate", "round(avg(1 / nullif(rate, 0)), 3)"), ("lognormal", "meanlog", "round(exp($P(meanlog, 0.5)), 4)"), ("lognormal", "sdlog", "CAST(NULL AS DOUBLE)"),
+        ("weibull", "weibull_shape", "round(avg(CASE WHEN weibull_shape < 1 THEN 1.0E0 ELSE 0.0E0 END), 6)"), ("weibull", "weibull_scale", "CAST(NULL AS DOUBLE)"), ("gamma", "gamma_shape", "CAST(NULL AS DOUBLE)"), ("gamma", "gamma_rate", "CAST(NULL AS DOUBLE)")))),
+    O("g4_lognormal_curve", "Density and distribution of the fitted lognormal at each distinct value, next to the shares of values.", ("c18_ecdf", "g3_lognormal_fit"), """WITH z AS (SELECT e.x, e.ecdf, f.sigma, (ln(cast(e.x AS DOUBLE)) - f.mu) / f.sigma AS z FROM {c18_ecdf} AS e CROSS JOIN {g3_lognormal_fit} AS f WHERE e.x > 0 AND f.sigma > 0),
+      t AS (SELECT *, 1 / (1 + 0.3275911E0 * abs(z) / sqrt(2.0E0)) AS t FROM z), p AS (SELECT *, t * (0.254829592E0 + t * (-0.284496736E0 + t * (1.421413741E0 + t * (-1.453152027E0 + t * 1.061405429E0)))) * exp(-z * z / 2) / 2 AS tail FROM t)
+      SELECT x, round(ecdf, 6) AS ecdf, round(CASE WHEN z > 0 THEN 1 - tail ELSE tail END, 5) AS cdf, round(exp(-z * z / 2) / (x * sigma * 2.5066282746310002E0), 6) AS pdf FROM p"""),
     O("g14_param_percentiles", "Percentiles of fitted parameters.", ("g8_weibull_fits",), "SELECT " + ", ".join(f"round($P({c}, {p / 100}), 4) AS {c}_p{p}" for c in ("shape", "scale") for p in (1, 5, 25, 50, 75, 95, 99)) + " FROM {g8_weibull_fits}"),
     O("g14_param_correlation", "Correlation of the logarithms of shape and scale.", ("g8_weibull_fits",), "SELECT count(*) AS n, round(corr(ln(shape), ln(scale)), 4) AS r FROM {g8_weibull_fits} WHERE shape > 0 AND scale > 0"),
     O("g16_gap_by_best_fit", "Median gap by best family.", ("d1_gaps", "g11_fit_gaps"), "SELECT f.best, count(*) AS n, round($P(g.gap / 1e6, 0.5), 6) AS median_s FROM {d1_gaps} AS g JOIN {g11_fit_gaps} AS f ON g.did = f.did WHERE g.gap > 0 GROUP BY f.best"),
+    _cut(O("lifetimes", "Lifetimes of posts, those outside P0.1 to P99.9 left out.", ("i2_post_engagement",), "SELECT 'all' AS did, cast(lifetime_s * 1e6 AS BIGINT) AS gap FROM {i2_post_engagement} WHERE lifetime_s > 0 AND lifetime_s BETWEEN (SELECT $P(lifetime_s, 0.001) FROM {i2_post_engagement} WHERE lifetime_s > 0) AND (SELECT $P(lifetime_s, 0.999) FROM {i2_post_engagement} WHERE lifetime_s > 0)")),
+    O("lifetime_counts", "The same in whole seconds.", ("lifetimes",), "SELECT did, greatest(cast(round(gap / 1e6) AS BIGINT), 1) AS x FROM {lifetimes}"),
+    _cut(O("lifetime_weibull", "Weibull fit of lifetimes.", ("lifetimes",), _weibull().replace("{d1_gaps}", "{lifetimes}"), {"least": 10})),
+    _cut(O("lifetime_powerlaw", "Power law of lifetimes, xmin by KS distance.", ("lifetime_counts",), next(o for o in activity.OPERATORS if o.name == "g1_powerlaw_fit").sql.replace("{order_counts}", "{lifetime_counts}"), {"k": 50})),
+    O("g17_rank_families", "Families of lifetimes by log-likelihood, with KS distance; the Pareto on its tail from xmin.", ("lifetimes", "lifetime_weibull", "lifetime_powerlaw"), f"""WITH v AS (SELECT gap / 1e6 AS x FROM {{lifetimes}}),
+      f AS (SELECT count(*) AS n, avg(x) AS mean, avg(ln(x)) AS mu, stddev_pop(ln(x)) AS sd FROM v), e AS (SELECT x, row_number() OVER (ORDER BY x) AS r, f.n AS n, f.mean AS mean, f.mu AS mu, f.sd AS sd, w.shape, w.scale, p.xmin, p.alpha FROM v CROSS JOIN f CROSS JOIN {{lifetime_weibull}} AS w CROSS JOIN {{lifetime_powerlaw}} AS p),
+      z AS (SELECT *, (ln(x) - mu) / sd AS z, 1 / (1 + 0.3275911E0 * abs(ln(x) - mu) / sd / sqrt(2.0E0)) AS t FROM e),
+      c AS (SELECT *, t * (0.254829592E0 + t * (-0.284496736E0 + t * (1.421413741E0 + t * (-1.453152027E0 + t * 1.061405429E0)))) * exp(-z * z / 2) / 2 AS tail FROM z),
+      k AS (SELECT 'exponential' AS family, sum(-ln(mean) - x / mean) AS log_lik, max(abs(r * 1.0E0 / n - (1 - exp(-x / mean)))) AS ks, count(*) AS n FROM c
+        UNION ALL SELECT 'lognormal', sum(-ln(x) - ln(sd) - 0.5E0 * ln(2 * 3.141592653589793E0) - z * z / 2), max(abs(r * 1.0E0 / n - CASE WHEN z > 0 THEN 1 - tail ELSE tail END)), count(*) FROM c
+        UNION ALL SELECT 'weibull', sum(ln(shape / scale) + (shape - 1) * ln(x / scale) - pow(x / scale, shape)), max(abs(r * 1.0E0 / n - (1 - exp(-pow(x / scale, shape))))), count(*) FROM c
+        UNION ALL SELECT 'pareto', sum(ln((alpha - 1) / xmin) - alpha * ln(x / xmin)), max(abs((r - below) * 1.0E0 / (n - below) - (1 - pow(x / xmin, 1 - alpha)))), count(*) FROM c CROSS JOIN (SELECT count(*) AS below FROM c WHERE x < xmin) AS b WHERE x >= xmin)
+      SELECT row_number() OVER (ORDER BY log_lik / n DESC, family) AS place, family, n, round(log_lik / n, 4) AS mean_log_lik, round(ks, 4) AS ks FROM k""", {}),
 )

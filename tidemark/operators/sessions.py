@@ -1,5 +1,6 @@
 """Sessions, gaps between posts, and the regularity of gaps."""
 
+from tidemark.functions import ranks
 from tidemark.plans.operator import Operator as O
 
 _ISLANDS = """SELECT did, time_us, sum(CASE WHEN gap > limit_us THEN 1 ELSE 0 END) OVER (PARTITION BY did ORDER BY time_us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island"""
@@ -16,24 +17,28 @@ OPERATORS = (
       FROM (SELECT did, island, limit_us, gaps, min(time_us) AS session_start, max(time_us) AS session_end, count(CASE WHEN event_type = 'feed_like' THEN 1 END) AS likes, count(CASE WHEN event_type = 'feed_repost' THEN 1 END) AS reposts,
         count(CASE WHEN event_type = 'post_top' THEN 1 END) AS posts_authored, count(CASE WHEN event_type = 'post_reply' THEN 1 END) AS replies, count(CASE WHEN event_type = 'graph_follow' THEN 1 END) AS follows, count(*) AS total_actions FROM i GROUP BY did, island, limit_us, gaps) AS s"""),
     O("d5_threshold_sessions", "Sessions cut at a fixed gap.", ("d1_gaps",), "SELECT did, min(time_us) AS session_start, max(time_us) AS session_end, count(*) AS events FROM (" + _ISLANDS.replace("limit_us", ":gap_us") + " FROM {d1_gaps}) AS i GROUP BY did, island", {"gap_us": 265000000}),
-    O("d7_session_summary", "Durations over sessions.", ("d3_tukey_sessions",), "SELECT count(*) AS n, round(avg(duration_s), 3) AS mean, round($P(duration_s, 0.5), 3) AS median, round($P(duration_s, 0.25), 3) AS p25, round($P(duration_s, 0.75), 3) AS p75, round($P(duration_s, 0.9), 3) AS p90 FROM {d3_tukey_sessions}"),
-    O("d9_session_gaps", "Positive gaps from a session's end to the next start.", ("d3_tukey_sessions",), "SELECT did, session_start, gap_us FROM (SELECT did, session_start, session_start - lag(session_end) OVER (PARTITION BY did ORDER BY session_start) AS gap_us FROM {d3_tukey_sessions}) AS g WHERE gap_us > 0"),
-    O("d8_session_user_stats", "Sessions, median duration and median positive gap per user.", ("d3_tukey_sessions", "d9_session_gaps"), """SELECT s.did, s.n_sessions, s.median_duration_s, g.median_gap_us FROM (SELECT did, count(*) AS n_sessions, round($P(duration_s, 0.5), 3) AS median_duration_s FROM {d3_tukey_sessions} GROUP BY did) AS s
+    O("d7_session_summary", "Durations over sessions.", ("d3_tukey_sessions",), "SELECT count(*) AS n, round(avg(duration_s), 3) AS mean, round($P(duration_s, 0.5), 6) AS median, round($P(duration_s, 0.25), 6) AS p25, round($P(duration_s, 0.75), 6) AS p75, round($P(duration_s, 0.9), 6) AS p90 FROM {d3_tukey_sessions}"),
+    O("d9_session_gaps", "Positive gaps from a session's end to the next start.", ("d3_tukey_sessions",), "SELECT did, session_start, gap_us FROM (SELECT did, session_start, session_start - lag(session_end) OVER (PARTITION BY did ORDER BY session_start) AS gap_us FROM {d3_tukey_sessions} WHERE duration_s >= :least) AS g WHERE gap_us > 0", {"least": 0}),
+    O("d8_session_user_stats", "Sessions, median duration and median positive gap per user.", ("d3_tukey_sessions", "d9_session_gaps"), """SELECT s.did, s.n_sessions, s.median_duration_s, g.median_gap_us FROM (SELECT did, count(*) AS n_sessions, round($P(duration_s, 0.5), 6) AS median_duration_s FROM {d3_tukey_sessions} GROUP BY did) AS s
       LEFT JOIN (SELECT did, $P(gap_us, 0.5) AS median_gap_us FROM {d9_session_gaps} GROUP BY did) AS g ON s.did = g.did"""),
+    O("real_sessions", "Sessions of some length.", ("d3_tukey_sessions",), "SELECT * FROM {d3_tukey_sessions} WHERE duration_s > 0"),
     O("d10_solo_vs_real", "Sessions of no length against others; medians over all users and over users that have any.", ("d3_tukey_sessions",), """SELECT cast(sum(solo) AS BIGINT) AS solo, cast(sum(real_n) AS BIGINT) AS real_n, count(CASE WHEN real_n = 0 THEN 1 END) AS all_solo_users, $P(real_n, 0.5) AS median_real, $P(CASE WHEN real_n > 0 THEN real_n END, 0.5) AS median_real_any
       FROM (SELECT did, count(CASE WHEN duration_s = 0 THEN 1 END) AS solo, count(CASE WHEN duration_s > 0 THEN 1 END) AS real_n FROM {d3_tukey_sessions} GROUP BY did) AS u"""),
-    O("d11_circadian", "Starts of real sessions by quarter of an hour.", ("d3_tukey_sessions",), "SELECT cast(floor((session_start % 86400000000) / 900000000) AS BIGINT) AS bin, count(*) AS starts FROM {d3_tukey_sessions} WHERE duration_s > 0 GROUP BY 1"),
-    O("d12_peak_hour", "The hour with most starts, the lowest on ties.", ("d3_tukey_sessions",), "SELECT cast(floor((session_start % 86400000000) / 3600000000) AS BIGINT) AS hour, count(*) AS starts FROM {d3_tukey_sessions} WHERE duration_s > 0 GROUP BY 1 ORDER BY starts DESC, hour LIMIT 1"),
+    O("d11_circadian", "Starts and ends of real sessions by quarter of an hour.", ("d3_tukey_sessions",), """SELECT bin, count(CASE WHEN side = 'start' THEN 1 END) AS starts, count(CASE WHEN side = 'end' THEN 1 END) AS ends
+      FROM (SELECT side, cast(floor((t_us % 86400000000) / 900000000) AS BIGINT) AS bin FROM (SELECT 'start' AS side, session_start AS t_us FROM {d3_tukey_sessions} WHERE duration_s > 0 UNION ALL SELECT 'end', session_end FROM {d3_tukey_sessions} WHERE duration_s > 0) AS s) AS b GROUP BY bin"""),
+    O("d12_peak_hour", "The hours with most starts and with most ends, the lowest on ties.", ("d11_circadian",), """WITH h AS (SELECT cast(floor(bin / 4) AS BIGINT) AS hour, cast(sum(starts) AS BIGINT) AS starts, cast(sum(ends) AS BIGINT) AS ends FROM {d11_circadian} GROUP BY 1)
+      SELECT min(CASE WHEN starts = (SELECT max(starts) FROM h) THEN hour END) AS start_hour, max(starts) AS starts, min(CASE WHEN ends = (SELECT max(ends) FROM h) THEN hour END) AS end_hour, max(ends) AS ends FROM h"""),
     O("d13_duration_by_hour", "Durations up to the hour's P95, for hours with over ten sessions.", ("d3_tukey_sessions",), """WITH h AS (SELECT cast(floor((session_start % 86400000000) / 3600000000) AS BIGINT) AS hour, duration_s FROM {d3_tukey_sessions} WHERE duration_s > 0),
-      p AS (SELECT hour, $P(duration_s, 0.95) AS p95 FROM h GROUP BY hour HAVING count(*) > 10) SELECT h.hour, count(*) AS n, round($P(duration_s, 0.25), 3) AS q1, round($P(duration_s, 0.5), 3) AS median, round($P(duration_s, 0.75), 3) AS q3 FROM h JOIN p ON h.hour = p.hour AND duration_s <= p95 GROUP BY h.hour"""),
-    O("d14_session_user_aggregates", "Sessions, acts and thresholds per user.", ("d4_sessions_rich",), "SELECT did, count(*) AS n_sessions, round(avg(duration_s), 3) AS avg_duration_s, cast(sum(total_actions) AS BIGINT) AS actions, round(avg(total_actions), 6) AS avg_actions, max(user_threshold_s) AS threshold_s, max(user_threshold_fallback) AS fallback FROM {d4_sessions_rich} GROUP BY did"),
+      p AS (SELECT hour, $P(duration_s, 0.95) AS p95 FROM h GROUP BY hour HAVING count(*) > 10) SELECT h.hour, count(*) AS n, round($P(duration_s, 0.25), 6) AS q1, round($P(duration_s, 0.5), 6) AS median, round($P(duration_s, 0.75), 6) AS q3 FROM h JOIN p ON h.hour = p.hour AND duration_s <= p95 GROUP BY h.hour"""),
+    O("d14_session_user_aggregates", "Sessions, acts and thresholds per user.", ("d4_sessions_rich",), "SELECT did, count(*) AS n_sessions, round(avg(duration_s), 3) AS avg_duration_s, round(avg(next_session_start - session_end) / 1e6, 3) AS avg_gap_s, cast(sum(total_actions) AS BIGINT) AS actions, round(avg(total_actions), 6) AS avg_actions, max(user_threshold_s) AS threshold_s, max(user_threshold_fallback) AS fallback FROM {d4_sessions_rich} GROUP BY did"),
     O("d15_threshold_stats", "Thresholds over users.", ("d14_session_user_aggregates",), "SELECT round(avg(threshold_s), 3) AS mean, round($P(threshold_s, 0.5), 3) AS median, round($P(threshold_s, 0.25), 3) AS p25, round($P(threshold_s, 0.75), 3) AS p75, round(avg(fallback * 1.0E0), 6) AS fallback_share FROM {d14_session_user_aggregates}"),
-    O("d16_session_global_stats", "Durations and gaps over all sessions.", ("d4_sessions_rich",), "SELECT round($P(duration_s, 0.5), 3) AS median_s, round($P(duration_s, 0.9), 3) AS p90_s, round(avg(CASE WHEN duration_s = 0 THEN 1.0E0 ELSE 0.0E0 END), 6) AS zero_share, round($P(next_session_start - session_end, 0.5), 3) AS median_gap_us FROM {d4_sessions_rich}"),
-    O("d17_action_buckets", "Sessions by number of acts.", ("d4_sessions_rich",), "SELECT CASE WHEN total_actions <= 2 THEN cast(total_actions AS STRING) WHEN total_actions <= 5 THEN '3-5' WHEN total_actions <= 10 THEN '6-10' WHEN total_actions <= 20 THEN '11-20' WHEN total_actions <= 50 THEN '21-50' ELSE '51+' END AS bucket, count(*) AS n FROM {d4_sessions_rich} GROUP BY 1"),
+    O("d16_session_global_stats", "Durations and gaps over all sessions, in seconds.", ("d4_sessions_rich",), "SELECT count(*) AS n, round(avg(CASE WHEN duration_s = 0 THEN 1.0E0 ELSE 0.0E0 END), 6) AS zero_share, round(avg(duration_s), 3) AS duration_mean, " + ", ".join(f"round($P({x}, 0.{p:02d}), 5) AS {n}_p{p}" for n, x in (("duration", "duration_s"), ("gap", "(next_session_start - session_end) / 1e6")) for p in (25, 50, 75, 90, 95, 99)) + " FROM {d4_sessions_rich}"),
+    O("d17_action_buckets", "Sessions by number of acts.", ("d4_sessions_rich",), "SELECT CASE WHEN total_actions <= 2 THEN cast(total_actions AS STRING) WHEN total_actions <= 5 THEN '3-5' WHEN total_actions <= 10 THEN '6-10' WHEN total_actions <= 20 THEN '11-20' WHEN total_actions <= 50 THEN '21-50' ELSE '51+' END AS bucket, count(*) AS n, round(100.0E0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM {d4_sessions_rich} GROUP BY 1"),
     O("d18_duration_buckets", "Sessions by duration.", ("d4_sessions_rich",), "SELECT CASE WHEN duration_s = 0 THEN '0' WHEN duration_s < 1 THEN '<1' WHEN duration_s < 5 THEN '1-5' WHEN duration_s < 60 THEN '5-60' WHEN duration_s < 300 THEN '60-300' ELSE '300+' END AS bucket, count(*) AS n FROM {d4_sessions_rich} GROUP BY 1"),
+    O("d18_duration_labels", "Sessions by duration under five labels.", ("d4_sessions_rich",), "SELECT CASE WHEN duration_s = 0 THEN 'instant' WHEN duration_s < 60 THEN 'under 1 min' WHEN duration_s < 300 THEN '1-5 min' WHEN duration_s < 1800 THEN '5-30 min' ELSE '30+ min' END AS label, count(*) AS n, round(100.0E0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM {d4_sessions_rich} GROUP BY 1"),
     O("d21_gap_duration_spearman", "Rank correlation of duration and next gap, ranks from value counts.", ("d4_sessions_rich",), """WITH p AS (SELECT duration_s AS x, next_session_start - session_end AS y FROM {d4_sessions_rich} WHERE duration_s > 0 AND next_session_start > session_end),
       a AS (SELECT x, sum(count(*)) OVER (ORDER BY x) - (count(*) - 1) / 2.0E0 AS rx FROM p GROUP BY x), b AS (SELECT y, sum(count(*)) OVER (ORDER BY y) - (count(*) - 1) / 2.0E0 AS ry FROM p GROUP BY y)
-      SELECT count(*) AS n, round(corr(cast(rx AS DOUBLE), cast(ry AS DOUBLE)), 6) AS rho FROM p JOIN a ON p.x = a.x JOIN b ON p.y = b.y"""),
+      SELECT count(*) AS n, round(corr(cast(rx AS DOUBLE), cast(ry AS DOUBLE)), 6) AS rho FROM p JOIN a ON p.x = a.x JOIN b ON p.y = b.y""", {}, ranks.spearman),
     O("d22_top_users", "Users with most acts in sessions.", ("d4_sessions_rich",), "SELECT did, cast(sum(total_actions) AS BIGINT) AS actions FROM {d4_sessions_rich} GROUP BY did ORDER BY actions DESC, did LIMIT :k", {"k": 20}),
     O("e1_tag_sessions", "The session that holds each post, if any, by one union and window.", ("posts", "d3_tukey_sessions"), """SELECT did, time_us, rkey, CASE WHEN time_us <= s_end THEN s_start END AS session_start FROM (
       SELECT did, time_us, rkey, kind, max(s_start) OVER w AS s_start, max(s_end) OVER w AS s_end FROM (
@@ -42,13 +47,13 @@ OPERATORS = (
       WINDOW w AS (PARTITION BY did ORDER BY time_us, kind, rkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS t WHERE kind = 1"""),
     O("e4_gap_table", "Gaps between a user's posts: all, and those within one session.", ("e1_tag_sessions",), """WITH g AS (SELECT did, session_start, time_us - lag(time_us) OVER w AS gap_us, lag(session_start) OVER w AS before FROM {e1_tag_sessions} WINDOW w AS (PARTITION BY did ORDER BY time_us, rkey))
       SELECT did, round(gap_us / 1e6, 6) AS gap_s, 'global' AS gap_type FROM g WHERE gap_us IS NOT NULL UNION ALL SELECT did, round(gap_us / 1e6, 6), 'within_session' FROM g WHERE session_start = before"""),
-    O("e5_gap_summary", "Positive gaps of each type.", ("e4_gap_table",), "SELECT gap_type, count(*) AS n, round(avg(gap_s), 4) AS mean, round(stddev_pop(gap_s), 3) AS std, min(gap_s) AS least, max(gap_s) AS most, round($P(gap_s, 0.5), 4) AS median, round($P(gap_s, 0.99), 4) AS p99 FROM {e4_gap_table} WHERE gap_s > 0 GROUP BY gap_type"),
+    O("e5_gap_summary", "Positive gaps of each type.", ("e4_gap_table",), "SELECT gap_type, count(*) AS n, round(avg(gap_s), 4) AS mean, round(stddev_pop(gap_s), 3) AS std, min(gap_s) AS least, max(gap_s) AS most, " + ", ".join(f"round($P(gap_s, {p / 1000}), 4) AS p{str(p / 10).replace('.0', '').replace('.', '_')}" for p in (250, 500, 750, 900, 950, 990, 999)) + " FROM {e4_gap_table} WHERE gap_s > 0 GROUP BY gap_type"),
+    O("e5_gap_ratio", "Median gap within sessions over the median of all.", ("e5_gap_summary",), "SELECT round(max(CASE WHEN gap_type = 'within_session' THEN p50 END) / max(CASE WHEN gap_type = 'global' THEN p50 END), 6) AS within_over_global FROM {e5_gap_summary}"),
     O("f1_gap_entropy", "Entropy of a user's gaps, rounded to 0.1 s and cut to whole seconds.", ("d1_gaps",), """WITH s AS (SELECT did, floor(round(gap / 1e6, 1)) AS sym, count(*) AS n FROM {d1_gaps} WHERE gap IS NOT NULL GROUP BY 1, 2)
       SELECT did, cast(sum(n) AS BIGINT) AS num_gaps, count(*) AS num_unique_gaps, round(greatest(ln(cast(sum(n) AS DOUBLE)) / ln(2.0E0) - sum(n * ln(cast(n AS DOUBLE)) / ln(2.0E0)) / sum(n), 0.0E0), 6) AS entropy_bits FROM s GROUP BY did HAVING sum(n) >= 5"""),
-    O("f2_entropy_stats", "Entropy over users.", ("f1_gap_entropy",), "SELECT min(entropy_bits) AS least, round($P(entropy_bits, 0.05), 6) AS p5, round($P(entropy_bits, 0.5), 6) AS median, round($P(entropy_bits, 0.95), 6) AS p95, max(entropy_bits) AS most FROM {f1_gap_entropy}"),
+    O("f2_entropy_stats", "Entropy over users.", ("f1_gap_entropy",), "SELECT min(entropy_bits) AS least, " + ", ".join(f"round($P(entropy_bits, 0.{p:02d}), 6) AS p{p}" for p in (1, 5, 10, 50, 90, 95, 99)) + ", max(entropy_bits) AS most FROM {f1_gap_entropy}"),
     O("f4_entropy_extremes", "Most and least regular users.", ("f1_gap_entropy",), """SELECT did, entropy_bits, e AS side FROM (SELECT did, entropy_bits, 'regular' AS e, row_number() OVER (ORDER BY entropy_bits, did) AS r FROM {f1_gap_entropy}
       UNION ALL SELECT did, entropy_bits, 'irregular', row_number() OVER (ORDER BY entropy_bits DESC, did) FROM {f1_gap_entropy}) AS x WHERE r <= 10"""),
-    O("g7_closed_form_fits", "Exponential and lognormal fits per user.", ("d1_gaps",), "SELECT did, count(*) AS n, round(1e6 / avg(gap), 9) AS rate, round(avg(ln(gap / 1e6)), 6) AS meanlog, round(stddev_pop(ln(gap / 1e6)), 6) AS sdlog FROM {d1_gaps} WHERE gap > 0 GROUP BY did HAVING count(*) >= 10"),
     O("d19_session_types", "Sessions by the acts they hold; other acts alone count under two types.", ("d4_sessions_rich",), """WITH t AS (SELECT CASE WHEN likes > 0 AND p + r + f + o = 0 THEN 'likes only' WHEN likes > 0 THEN 'mixed with likes' WHEN p > 0 AND r + f + o = 0 THEN 'posts/replies' WHEN r > 0 AND p + f + o = 0 THEN 'reposts only'
           WHEN f > 0 AND p + r + o = 0 THEN 'network' WHEN p + r + f > 0 THEN 'mixed no likes' ELSE 'other only' END AS type, o
         FROM (SELECT likes, posts_authored + replies AS p, reposts AS r, follows AS f, total_actions - likes - posts_authored - replies - reposts - follows AS o FROM {d4_sessions_rich}) AS s),
@@ -62,4 +67,6 @@ OPERATORS += (
     O("d20_session_types_engaged", "Sessions over events but likes by the acts they hold.", ("d4_sessions_engaged",), """SELECT type, count(*) AS n, round(100.0E0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM (
         SELECT CASE WHEN p + r + f = 0 THEN 'empty' WHEN r + f = 0 THEN 'posts/replies only' WHEN p + f = 0 THEN 'reposts only' WHEN p + r = 0 THEN 'follows/blocks only' ELSE 'mixed' END AS type
         FROM (SELECT posts_authored + replies AS p, reposts AS r, follows AS f FROM {d4_sessions_engaged}) AS s) AS t GROUP BY type"""),
+    O("d9_real_gaps", "Positive gaps between real sessions.", ("real_sessions",), next(o for o in OPERATORS if o.name == "d9_session_gaps").sql.replace("{d3_tukey_sessions}", "{real_sessions}"), {"least": 0}),
+    O("d8_real_user_stats", "Real sessions, their median duration and median positive gap per user.", ("real_sessions", "d9_real_gaps"), next(o for o in OPERATORS if o.name == "d8_session_user_stats").sql.replace("{d3_tukey_sessions}", "{real_sessions}").replace("{d9_session_gaps}", "{d9_real_gaps}")),
 )

@@ -1,9 +1,6 @@
 """Power-law tails per user, tests against other families, and the family that fits best."""
 
-from dataclasses import replace
-
-from tidemark.functions.lineage import checkpointed
-from tidemark.operators.fits import _gamma, _ln_gamma, _weibull
+from tidemark.operators.fits import _cut, _gamma, _ln_gamma, _weibull
 from tidemark.plans.operator import Operator as O
 
 _LN_2PI = "ln(2 * 3.141592653589793E0)"
@@ -15,17 +12,12 @@ def _two_sided(z: str) -> str:
     return f"{t} * (0.254829592E0 + {t} * (-0.284496736E0 + {t} * (1.421413741E0 + {t} * (-1.453152027E0 + {t} * 1.061405429E0)))) * exp(-({z}) * ({z}) / 2)"
 
 
-def _cut(op: O) -> O:
-    """op, its rows checkpointed in Spark: many later steps read them, and its expressions stay out of theirs."""
-    return replace(op, work=lambda *frames, **params: checkpointed(op(*frames, **params)))
-
-
 OPERATORS = (
     _cut(O("g7_tail", "Gaps that a user's fits use: the power law's tail, or all of them where there is none.", ("d1_gaps", "g6_user_powerlaw"), """WITH u AS (SELECT did FROM {d1_gaps} WHERE gap > 0 GROUP BY did HAVING count(*) >= :least)
       SELECT g.did, g.gap FROM {d1_gaps} AS g JOIN u ON u.did = g.did LEFT JOIN {g6_user_powerlaw} AS p ON p.did = g.did WHERE g.gap > 0 AND (p.xmin IS NULL OR g.gap / 1e6 >= p.xmin)""", {"least": 10})),
     O("g6_user_powerlaw", "Power law of each user's gaps in seconds: :k log-spaced whole candidates for xmin, the first with the least KS distance; none if its tail has under 5 gaps.", ("d1_gaps",), """WITH v AS (SELECT did, gap / 1e6 AS x, cast(count(*) AS DOUBLE) AS n FROM {d1_gaps} WHERE gap > 0 GROUP BY did, gap),
       u AS (SELECT did, ln(min(x)) AS lo, ln(max(x)) AS hi FROM v GROUP BY did HAVING sum(n) >= :least),
-      c AS (SELECT DISTINCT did, round(exp(lo + i * (hi - lo) / (:k - 1))) AS xmin FROM (SELECT did, lo, hi, $EACH AS i FROM u) AS e WHERE i < :k),
+      c AS (SELECT DISTINCT did, round(exp(lo + i * (hi - lo) / (:k - 1))) AS xmin FROM (SELECT did, lo, hi, $EACH(:k) AS i FROM u) AS e),
       a AS (SELECT c.did, c.xmin, sum(v.n) AS t, sum(v.n * ln(v.x / c.xmin)) AS s FROM c JOIN v ON c.did = v.did AND v.x >= c.xmin WHERE c.xmin > 0 GROUP BY c.did, c.xmin HAVING sum(v.n) >= 2 AND sum(v.n * ln(v.x / c.xmin)) > 1e-9),
       d AS (SELECT a.did, a.xmin, a.t, a.s, abs(sum(v.n) OVER (PARTITION BY a.did, a.xmin ORDER BY v.x) / a.t - (1 - pow(v.x / a.xmin, -a.t / a.s))) AS d FROM a JOIN v ON a.did = v.did AND v.x >= a.xmin),
       k AS (SELECT did, xmin, t, s, max(d) AS ks FROM d GROUP BY did, xmin, t, s),

@@ -8,8 +8,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: $NAME in a statement: the Spark and the DuckDB spelling.
-SPELLINGS = {"EACH": ("explode(sequence(0, 199))", "unnest(range(200))"), "P": ("percentile", "quantile_cont"), "US": ("unix_micros(cast(ts AS TIMESTAMP))", "epoch_us(ts)"), "K": ("cast(get_json_object(props, '$.k') AS INT)", "cast(json_extract_string(props, '$.k') AS INT)")}
+#: $NAME in a statement: the Spark and the DuckDB spelling; $EACH(n) gives 0 to n - 1 in rows.
+SPELLINGS = {"P": ("percentile", "quantile_cont"), "US": ("unix_micros(cast(ts AS TIMESTAMP))", "epoch_us(ts)"), "K": ("cast(get_json_object(props, '$.k') AS INT)", "cast(json_extract_string(props, '$.k') AS INT)")}
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,8 @@ class Operator:
             out = re.sub(rf":{k}\b", str(v), out)
         for k, v in SPELLINGS.items():
             out = re.sub(rf"\${k}\b", lambda _, v=v: v[engine], out)
-        return out
+        each = (r"explode(sequence(0, \1 - 1))", r"unnest(range(\1))")[engine]
+        return re.sub(r"\$EACH\(([^()]*)\)", each, out)
 
     def __call__(self, *frames: DataFrame, **params: object) -> DataFrame:
         if self.work:
@@ -44,13 +45,18 @@ class Catalog:
     operators: dict[str, Operator] = field(default_factory=dict)
 
     def add(self, *operators: Operator) -> None:
-        self.operators |= {o.name: o for o in operators}
-
-    def frame(self, spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-        if name not in self.operators:
-            return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        op = self.operators[name]
-        return op(*(self.frame(spark, sf_dir, i) for i in op.inputs))
+        for o in operators:
+            if o.name in self.operators:
+                raise ValueError(f"{o.name} is registered already")
+            self.operators[o.name] = o
+
+    def frame(self, spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
+        """The operator's rows; an input that several operators share is made once (made: those so far)."""
+        made = {} if made is None else made
+        if name not in made:
+            op = self.operators.get(name)
+            made[name] = op(*(self.frame(spark, sf_dir, i, made) for i in op.inputs)) if op else spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return made[name]
 
     def oracle(self, name: str) -> str:
         steps: dict[str, str] = {}

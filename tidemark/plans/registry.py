@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import activity, cascades, engagement, events, fits, sessions, tails
+from tidemark.operators import activity, cascades, density, engagement, events, fits, forest_fire, sessions, tails
 from tidemark.plans.operator import Catalog
 from tidemark.sources.adapters import ADAPTERS
 
 CATALOG = Catalog()
 CATALOG.add(*ADAPTERS)
-_OPERATORS = [o for m in (events, activity, sessions, fits, tails, cascades, engagement) for o in m.OPERATORS]
+_OPERATORS = [o for m in (events, activity, sessions, density, fits, tails, cascades, engagement, forest_fire) for o in m.OPERATORS]
 CATALOG.add(*_OPERATORS)
 
 
@@ -25,4 +25,5 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES = {o.name: _query(o.name) for o in _OPERATORS}
-ORACLES = {o.name: CATALOG.oracle(o.name) for o in _OPERATORS}
+#: An operator without a statement has no twin.
+ORACLES = {o.name: CATALOG.oracle(o.name) for o in _OPERATORS if o.sql}

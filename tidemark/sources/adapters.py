@@ -24,6 +24,8 @@ ADAPTERS = (
   FROM (SELECT $K AS k, event_id, event_type, $US AS time_us, cast(1 AS BIGINT) * row_number() OVER (PARTITION BY $K ORDER BY ts, event_id) - 1 AS idx FROM {events}) AS z"""),
     O("follows", "Follow edges: actor_id, subject_id.", ("orders", "customer"), """SELECT DISTINCT o_custkey AS actor_id, (o_orderkey * 7919) % (SELECT count(*) FROM {customer}) AS subject_id
   FROM {orders} WHERE o_orderstatus <> 'P' AND o_custkey <> (o_orderkey * 7919) % (SELECT count(*) FROM {customer})"""),
+    O("undoers", "Users that took a repost back.", ("records",), "SELECT DISTINCT did FROM {records} WHERE operation = 'delete' AND collection LIKE '%.repost'"),
+    O("users_done", "Users whose followers are known already: the followed with an order that is open.", ("follow_log",), "SELECT DISTINCT subject_id FROM {follow_log} WHERE valid_to = 1"),
     O("order_counts", "A heavy-tailed count per customer.", ("orders",), "SELECT o_custkey AS did, count(*) AS x FROM {orders} GROUP BY o_custkey"),
     O("ev_engaged", "Events but likes.", ("ev",), "SELECT did, time_us, event_type FROM {ev} WHERE event_type <> 'feed_like'"),
     O("follow_log", "Follow records with the time they ended, if they did.", ("orders", "customer"), "SELECT o_custkey AS actor_id, (o_orderkey * 7919) % (SELECT count(*) FROM {customer}) AS subject_id, CASE WHEN o_orderstatus = 'P' THEN 1 END AS valid_to FROM {orders}"),
