@@ -77,14 +77,18 @@ def new_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+def deleted(spark: SparkSession, *folders: str) -> None:
+    for folder in folders:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame, *gone: str) -> tuple[DataFrame, str]:
     """df as written to a new folder under ``spark.checkpoint.dir`` and read again, and that folder; then the folders of gone are deleted."""
     spark = df.sparkSession
     path = new_folder(spark)
     df.write.parquet(path)
-    for old in gone:
-        place = spark._jvm.org.apache.hadoop.fs.Path(old)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    deleted(spark, *gone)
     return spark.read.schema(df.schema).parquet(path), path
 
 

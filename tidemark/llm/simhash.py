@@ -22,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import checkpointed, columns, small_batches, written
+from tidemark.llm._common import checkpointed, columns, deleted, small_batches, written
 
 SEED = 42
 #: Of the polynomials that hash words and shingles; odd.
 BASE, STEP = 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
 #: Cells in which shingles are counted: 2^CELL_BITS. Nodes that are broadcast at most. Nodes in a list.
-CELL_BITS, MOST_SENT, LIST = 20, 500_000, 64
+CELL_BITS, MOST_SENT, LIST = 20, 200_000, 64
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -279,33 +279,32 @@ def few_or_many(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFra
     return rows.join(F.broadcast(keys) if keys.count() <= MOST_SENT else keys, key, how)
 
 
-def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = 5, least: float = 0.8, bits: int = 32) -> DataFrame:
     """The pairs (a, b) of row numbers whose texts' sets of shingles have a Jaccard similarity of ``least`` or more.
 
-    nodes: (row, node); docs: (node, text), one row a node. Pairs meet with sixteen bits of each hash first: what those share, and
-    the hashes that fall together, are no fewer than what the sets share. The pairs that are left meet with whole hashes.
+    nodes: (row, node); docs: (node, text), one row a node. Sets meet as that many bits, 16 or 32, of each hash. What those share,
+    and the hashes that fall together, are no fewer than what the sets share, so no pair is lost; with 32 bits a pair of sets of
+    a thousand shingles is taken for more alike than it is by one shingle in some thousands of pairs.
     """
     pairs = checkpointed(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(nodes, "row")
+    unsigned, signed, kind = (np.uint16, np.int16, "smallint") if bits == 16 else (np.uint32, np.int32, "int")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             found = [shingler.hashes(t) for t in batch.column(1).to_pylist()]
-            short = [np.unique((h >> np.uint64(48)).astype(np.uint16)).view(np.int16) for h in found]
-            columns = [pa.array([len(h) for h in found], pa.int32()), pa.array(short, pa.list_(pa.int16())), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", "n", "short", "whole"])
+            sets = [np.unique((h >> np.uint64(64 - bits)).astype(unsigned)).view(signed) for h in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in found], pa.int32()), pa.array(sets, pa.list_(pa.from_numpy_dtype(signed)))], ["row", "n", "of"])
 
     texts = few_or_many(docs.select("node", F.col("text").cast("binary").alias("text")), wanted, "node", "inner").select("row", "text")
-    sets, _ = written(texts.mapInArrow(hashed, "row long, n int, short array<smallint>, whole array<long>"))
-
-    def met(pairs: DataFrame, column: str) -> DataFrame:
-        for end, x in (("a", "x"), ("b", "y")):
-            pairs = pairs.join(sets.select(F.col("row").alias(end), F.struct("n", F.col(column).alias("of")).alias(x)), end)
-        shared = F.size(F.array_intersect("x.of", "y.of")) + F.least(F.col("x.n") - F.size("x.of"), F.col("y.n") - F.size("y.of"))
-        return checkpointed(pairs.where(shared >= least * (F.col("x.n") + F.col("y.n") - shared)).select("a", "b"))
-
-    return met(met(pairs, "short"), "whole")
+    sets, path = written(texts.mapInArrow(hashed, f"row long, n int, of array<{kind}>"))
+    for end, x in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(sets.select(F.col("row").alias(end), F.struct("n", "of").alias(x)), end)
+    shared = F.size(F.array_intersect("x.of", "y.of")) + F.least(F.col("x.n") - F.size("x.of"), F.col("y.n") - F.size("y.of"))
+    out = checkpointed(pairs.where(shared >= least * (F.col("x.n") + F.col("y.n") - shared)).select("a", "b"))
+    deleted(docs.sparkSession, path)
+    return out
 
 
 def candidates(sets: DataFrame) -> DataFrame:
@@ -342,7 +341,9 @@ def _near(docs: DataFrame, words: int) -> DataFrame:
     sizes = checkpointed(near.groupBy(F.col("a").alias("label")).agg((F.count(F.lit(1)) + 1).alias("size")))
     labelled = sets.select("row", "n").join(near.select(F.col("b").alias("row"), F.col("a").alias("head")), "row", "left").withColumn("label", F.coalesce("head", "row"))
     labelled = checkpointed(labelled.join(sizes, "label", "left").select("row", "label", F.coalesce("size", F.lit(1)).alias("size"), "n"))
-    alike = similar(candidates(marks.select("row", "prefix").join(labelled, "row")), nodes, docs, words)
+    # Sixteen bits leave few pairs that aren't alike, so whole sets of few texts move.
+    maybe = similar(candidates(marks.select("row", "prefix").join(labelled, "row")), nodes, docs, words, bits=16)
+    alike = similar(maybe, nodes, docs, words)
     copies = marks.select(F.col("row").alias("a"), "same").join(sets.select("same", F.col("row").alias("b")), "same").where("a <> b").select("a", "b")
     joined = components(copies.unionByName(near).unionByName(alike).distinct())
     named = checkpointed(joined.select(F.col("node").alias("row"), "component").join(marks.select("row", "node"), "row"))
