@@ -154,6 +154,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return _grouped(checkpointed(fingerprints(docs, id_col, text_col, words)), id_col, max_bits)
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """df for a join on a key that no row repeats: both sides grow with the documents, so they are sorted, not sent through the driver."""
+    return df.hint("merge")
+
+
 def _grouped(marks: DataFrame, id_col: str, max_bits: int) -> DataFrame:
     """marks (id_col, fp) with component_id.
 
@@ -161,9 +166,9 @@ def _grouped(marks: DataFrame, id_col: str, max_bits: int) -> DataFrame:
     they are joined to those, for the reason given at ``components``.
     """
     least = checkpointed(marks.groupBy("fp").agg(F.min(id_col).alias("own")))
-    linked = checkpointed(components(links(least, max_bits)).select(F.col("node").alias("fp"), "component").join(least, "fp"))
+    linked = checkpointed(components(links(least, max_bits)).select(F.col("node").alias("fp"), "component").join(sorted_side(least), "fp"))
     named = checkpointed(linked.groupBy("component").agg(F.min("own").alias("group_id")))
-    groups = checkpointed(least.join(linked.join(named, "component").select("fp", "group_id"), "fp", "left").select("fp", F.coalesce("group_id", "own").alias("component_id")))
+    groups = checkpointed(sorted_side(least).join(linked.join(named, "component").select("fp", "group_id"), "fp", "left").select("fp", F.coalesce("group_id", "own").alias("component_id")))
     return marks.join(groups, "fp").select(id_col, "fp", "component_id")
 
 
@@ -287,7 +292,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = 5,
     a thousand shingles is taken for more alike than it is by one shingle in some thousands of pairs.
     """
     pairs = checkpointed(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(nodes, "row")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(sorted_side(nodes), "row")
     unsigned, signed, kind = (np.uint16, np.int16, "smallint") if bits == 16 else (np.uint32, np.int32, "int")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,14 +344,14 @@ def _near(docs: DataFrame, words: int) -> DataFrame:
     heads = _grouped(sets.select("row", "fp"), "row", 3)
     near = similar(heads.where("row <> component_id").select(F.col("component_id").alias("a"), F.col("row").alias("b")), nodes, docs, words)
     sizes = checkpointed(near.groupBy(F.col("a").alias("label")).agg((F.count(F.lit(1)) + 1).alias("size")))
-    labelled = sets.select("row", "n").join(near.select(F.col("b").alias("row"), F.col("a").alias("head")), "row", "left").withColumn("label", F.coalesce("head", "row"))
+    labelled = sorted_side(sets.select("row", "n")).join(near.select(F.col("b").alias("row"), F.col("a").alias("head")), "row", "left").withColumn("label", F.coalesce("head", "row"))
     labelled = checkpointed(labelled.join(sizes, "label", "left").select("row", "label", F.coalesce("size", F.lit(1)).alias("size"), "n"))
     # Sixteen bits leave few pairs that aren't alike, so whole sets of few texts move.
-    maybe = similar(candidates(marks.select("row", "prefix").join(labelled, "row")), nodes, docs, words, bits=16)
+    maybe = similar(candidates(sorted_side(marks.select("row", "prefix")).join(labelled, "row")), nodes, docs, words, bits=16)
     alike = similar(maybe, nodes, docs, words)
     copies = marks.select(F.col("row").alias("a"), "same").join(sets.select("same", F.col("row").alias("b")), "same").where("a <> b").select("a", "b")
     joined = components(copies.unionByName(near).unionByName(alike).distinct())
-    named = checkpointed(joined.select(F.col("node").alias("row"), "component").join(marks.select("row", "node"), "row"))
+    named = checkpointed(joined.select(F.col("node").alias("row"), "component").join(sorted_side(marks.select("row", "node")), "row"))
     least = checkpointed(named.groupBy("component").agg(F.min("node").alias("least")))
     return named.join(least, "component").select("node", F.col("least").alias("component"))
 
