@@ -19,16 +19,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import checkpointed, columns, deleted, small_batches, written
+from tidemark.llm._common import columns, deleted, small_batches, written
 
 SEED = 42
 #: Of the polynomials that hash words and shingles; odd.
 BASE, STEP = 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
-#: Cells in which shingles are counted: 2^CELL_BITS. Nodes that are broadcast at most. Nodes in a list.
-CELL_BITS, MOST_SENT, LIST = 20, 200_000, 64
+#: Cells in which shingles are counted: 2^CELL_BITS. Nodes that are broadcast at most. Rounds of comparing with heads.
+CELL_BITS, MOST_SENT, ROUNDS = 20, 200_000, 3
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a written table. A checkpoint would hand the planner what it knows of df's columns, which doubles with each join of a loop."""
+    return written(df)[0]
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -119,19 +124,19 @@ def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
 
     Every round hooks each node to its first neighbour, shortens the trees by a few pointer jumps, and contracts them. First
     is by a hash of the node: in a chain of rising nodes these runs are short, so rounds grow as the logarithm of the chain.
-    Minima combine before the shuffle. What is joined on a node or component that many rows share is checkpointed before, so
+    Minima combine before the shuffle. What is joined on a node or component that many rows share is written before, so
     that both sides are plain shuffles and adaptive execution splits the large one.
     """
     first = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
-    left = checkpointed(edges.select("a", "b").where("a <> b"))
+    left = settled(edges.select("a", "b").where("a <> b"))
     assigned, rows = None, left.count()
     while rows:
         both = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
         met = both.groupBy(F.col("e.a").alias("node")).agg(F.min(F.struct(F.xxhash64("e.b").alias("h"), F.col("e.b").alias("n"))).alias("m"))
-        up = checkpointed(met.select("node", F.least(first("node"), "m")["n"].alias("up")))
+        up = settled(met.select("node", F.least(first("node"), "m")["n"].alias("up")))
         for _ in range(jumps):
             up = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up"))
-        up = checkpointed(up)
+        up = settled(up)
         if assigned is None:
             assigned = up.select("node", F.col("up").alias("component"))
         else:
@@ -140,18 +145,18 @@ def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
         ends = left
         for end in ("a", "b"):
             ends = ends.join(up.select(F.col("node").alias(end), F.col("up").alias(f"{end}2")), end)
-        left = checkpointed(ends.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct())
+        left = settled(ends.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct())
         rows = left.count()
     if assigned is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
-    assigned = checkpointed(assigned)
-    least = checkpointed(assigned.groupBy("component").agg(F.min("node").alias("least")))
+    assigned = settled(assigned)
+    least = settled(assigned.groupBy("component").agg(F.min("node").alias("least")))
     return assigned.join(least, "component").select("node", F.col("least").alias("component"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 3) -> DataFrame:
     """(id_col, fp, component_id): component_id is the least id whose fingerprint can be reached through links."""
-    return _grouped(checkpointed(fingerprints(docs, id_col, text_col, words)), id_col, max_bits)
+    return _grouped(settled(fingerprints(docs, id_col, text_col, words)), id_col, max_bits)
 
 
 def sorted_side(df: DataFrame) -> DataFrame:
@@ -162,13 +167,13 @@ def sorted_side(df: DataFrame) -> DataFrame:
 def _grouped(marks: DataFrame, id_col: str, max_bits: int) -> DataFrame:
     """marks (id_col, fp) with component_id.
 
-    Many rows may share a fingerprint, and many fingerprints a component: the tables of one row each are checkpointed before
+    Many rows may share a fingerprint, and many fingerprints a component: the tables of one row each are written before
     they are joined to those, for the reason given at ``components``.
     """
-    least = checkpointed(marks.groupBy("fp").agg(F.min(id_col).alias("own")))
-    linked = checkpointed(components(links(least, max_bits)).select(F.col("node").alias("fp"), "component").join(sorted_side(least), "fp"))
-    named = checkpointed(linked.groupBy("component").agg(F.min("own").alias("group_id")))
-    groups = checkpointed(sorted_side(least).join(linked.join(named, "component").select("fp", "group_id"), "fp", "left").select("fp", F.coalesce("group_id", "own").alias("component_id")))
+    least = settled(marks.groupBy("fp").agg(F.min(id_col).alias("own")))
+    linked = settled(components(links(least, max_bits)).select(F.col("node").alias("fp"), "component").join(sorted_side(least), "fp"))
+    named = settled(linked.groupBy("component").agg(F.min("own").alias("group_id")))
+    groups = settled(sorted_side(least).join(linked.join(named, "component").select("fp", "group_id"), "fp", "left").select("fp", F.coalesce("group_id", "own").alias("component_id")))
     return marks.join(groups, "fp").select(id_col, "fp", "component_id")
 
 
@@ -241,7 +246,7 @@ def common_cells(docs: DataFrame, words: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([-1, *cells], pa.int32()), pa.array([total, *sums[cells]], pa.int64())], ["cell", "n"])
 
     small_batches(docs.sparkSession)
-    counts = checkpointed(docs.select(F.col("text").cast("binary")).mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")))
+    counts = settled(docs.select(F.col("text").cast("binary")).mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")))
     total = counts.where("cell = -1").first()
     mean = (total.n if total else 0) / 2**CELL_BITS
     often, levels = counts.where((F.col("cell") >= 0) & (F.col("n") >= 4 * mean)).toArrow(), np.zeros(2**CELL_BITS, np.uint8)
@@ -249,8 +254,12 @@ def common_cells(docs: DataFrame, words: int) -> np.ndarray:
     return levels
 
 
+#: Longs that hold, for each of 256 values, whether an odd number of a set's hashes end in it.
+ODD = ["odd0", "odd1", "odd2", "odd3"]
+
+
 def _features(docs: DataFrame, words: int) -> DataFrame:
-    """(node, fp, same, n, prefix) of docs (node, text): same is equal for equal sets of n shingles. Two sets with a Jaccard similarity of 0.8 or more share one of their prefixes' shingles.
+    """(node, fp, same, n, prefix, ODD) of docs (node, text): same is equal for equal sets of n shingles. Two sets with a Jaccard similarity of 0.8 or more share one of their prefixes' shingles.
 
     A prefix is the first n - ceil(0.8 n) + 1 shingles of the set in an order that holds for all documents: shingles of
     common cells last, then by hash. The order settles only how many candidates there are, not what is found.
@@ -262,25 +271,26 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            fps, same, sizes, prefixes = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            fps, same, sizes, prefixes, odd = [], [], [], [], np.empty((4, batch.num_rows), np.int64)
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 found = shingler.hashes(text)
                 n = len(found)
+                odd[:, i] = np.packbits(np.bincount((found & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64)
                 fps.append(fingerprint(text))
                 same.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sizes.append(n)
                 order = np.argsort(levels[_cell(found)], kind="stable")
                 prefixes.append(found[order[: n - (4 * n + 4) // 5 + 1]].view(np.int64))
-            columns = [batch.column(0), pa.array(fps, pa.int64()), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "fp", "same", "n", "prefix"])
+            columns = [batch.column(0), pa.array(fps, pa.int64()), pa.array(same, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), *map(pa.array, odd)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "fp", "same", "n", "prefix", *ODD])
 
     rows = docs.select("node", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(hashed, f"node {kind}, fp long, same binary, n int, prefix array<long>")
+    return rows.mapInArrow(hashed, f"node {kind}, fp long, same binary, n int, prefix array<long>, odd0 long, odd1 long, odd2 long, odd3 long")
 
 
 def few_or_many(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
     """rows joined with keys, one row per key: by a broadcast if they are MOST_SENT at most, else by a shuffle of rows."""
-    keys = checkpointed(keys)
+    keys = settled(keys)
     return rows.join(F.broadcast(keys) if keys.count() <= MOST_SENT else keys, key, how)
 
 
@@ -291,7 +301,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = 5,
     and the hashes that fall together, are no fewer than what the sets share, so no pair is lost; with 32 bits a pair of sets of
     a thousand shingles is taken for more alike than it is by one shingle in some thousands of pairs.
     """
-    pairs = checkpointed(pairs)
+    pairs = settled(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(sorted_side(nodes), "row")
     unsigned, signed, kind = (np.uint16, np.int16, "smallint") if bits == 16 else (np.uint32, np.int32, "int")
 
@@ -307,52 +317,108 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = 5,
     for end, x in (("a", "x"), ("b", "y")):
         pairs = pairs.join(sets.select(F.col("row").alias(end), F.struct("n", "of").alias(x)), end)
     shared = F.size(F.array_intersect("x.of", "y.of")) + F.least(F.col("x.n") - F.size("x.of"), F.col("y.n") - F.size("y.of"))
-    out = checkpointed(pairs.where(shared >= least * (F.col("x.n") + F.col("y.n") - shared)).select("a", "b"))
+    out = settled(pairs.where(shared >= least * (F.col("x.n") + F.col("y.n") - shared)).select("a", "b"))
     deleted(docs.sparkSession, path)
     return out
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b) of each pair of rows with unlike labels whose sets (row, label, size, n, prefix) can reach 0.8; size: rows of the label.
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """(s, row, n, place, ODD) of sets (row, n, prefix, ODD): each shingle s of a prefix that another row's prefix has too, and its place in its own."""
+    rows = sets.select("row", "n", F.posexplode("prefix").alias("place", "s"))
+    of = Window.partitionBy("s")
+    rows = rows.withColumn("lo", F.min("row").over(of)).withColumn("hi", F.max("row").over(of)).where("lo <> hi").select("s", "row", "n", "place")
+    return settled(rows.join(sorted_side(sets.select("row", *ODD)), "row"))
+
+
+def _turned(x: str, y: str) -> Column:
+    """Bits of ODD in which two sets differ."""
+    return sum((F.bit_count(F.col(f"{x}.{o}").bitwiseXOR(F.col(f"{y}.{o}"))) for o in ODD), F.lit(0))
 
-    What two such sets share of their prefixes, and what is left of them after the last of it, must be enough for 0.8. Rows
-    of one label are never paired, so a large group of copies makes no square; its rows stand in lists of about LIST.
+
+def _can_meet(x: str, y: str) -> Column:
+    """Whether two sets, each a struct of n and ODD, may have a similarity of 0.8: they then differ in a ninth of their sizes' sum at most, and each difference turns one bit of ODD."""
+    both = F.col(f"{x}.n") + F.col(f"{y}.n")
+    return (9 * _turned(x, y) <= both) & (9 * F.least(f"{x}.n", f"{y}.n") >= 4 * both)
+
+
+def _reaching(pairs: DataFrame) -> DataFrame:
+    """(a, b) of pairs (x, y), each (row, n, place) of one shingle in two prefixes: those that can reach a similarity of 0.8.
+
+    What two sets share of their prefixes, and what is left of them after the last of it, must be enough for that.
     """
-    part = F.pmod(F.xxhash64("row"), F.ceil(F.col("size") / LIST)).cast("int")
-    rows = sets.select("row", "label", part.alias("part"), "n", F.posexplode("prefix").alias("place", "s"))
-    of = Window.partitionBy("s")
-    met = rows.withColumn("lo", F.min("label").over(of)).withColumn("hi", F.max("label").over(of)).where("lo <> hi")
-    lists = checkpointed(met.groupBy("s", "label", "part").agg(F.collect_list(F.struct("row", "n", "place")).alias("x")))
-    both = lists.join(lists.select("s", F.col("label").alias("label_b"), F.col("x").alias("y")), "s").where("label < label_b")
-    pairs = both.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
-    pairs = pairs.where("9 * least(x.n, y.n) >= 4 * (x.n + y.n)").select(F.col("x.row").alias("a"), F.col("y.row").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"), (F.col("x.n") - F.col("x.place")).alias("rest_a"), (F.col("y.n") - F.col("y.place")).alias("rest_b"))
-    met = pairs.groupBy("a", "b").agg(F.min("both").alias("both"), F.count(F.lit(1)).alias("shared"), F.min("rest_a").alias("rest_a"), F.min("rest_b").alias("rest_b"))
+    rows = pairs.select(F.col("x.row").alias("a"), F.col("y.row").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"), (F.col("x.n") - F.col("x.place")).alias("rest_a"), (F.col("y.n") - F.col("y.place")).alias("rest_b"))
+    met = rows.groupBy("a", "b").agg(F.min("both").alias("both"), F.count(F.lit(1)).alias("shared"), F.min("rest_a").alias("rest_a"), F.min("rest_b").alias("rest_b"))
     return met.where("9 * (shared - 1 + least(rest_a, rest_b)) >= 4 * both").select("a", "b")
 
 
+def hubs(rows: DataFrame, seed: int) -> DataFrame:
+    """(a, b): for a row b, of the rows of other labels that head one of its shingles and may be similar, that which differs in the least bits of ODD.
+
+    rows: those of ``shared_shingles`` with label. A shingle is headed by a row, another for each shingle, of the label that
+    hashes least, so that labels have few partners and rows may choose among many.
+    """
+    own = ["row", "n", *ODD]
+    first = F.struct(F.xxhash64("label", F.lit(seed)).alias("h"), "label", F.xxhash64("row", "s", F.lit(seed)).alias("k"), *own)
+    heads = settled(rows.groupBy("s").agg(F.min(first).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s", "x"))
+    pairs = rows.select("s", "label", F.struct(*own).alias("y")).join(heads, "s").where((F.col("label") != F.col("x.label")) & _can_meet("x", "y"))
+    return pairs.groupBy(F.col("y.row").alias("b")).agg(F.min(F.struct(_turned("x", "y").alias("turned"), F.col("x.row").alias("a"))).alias("m")).select("m.a", "b")
+
+
+def merged(labels: DataFrame, found: DataFrame, seed: int, jumps: int = 2) -> DataFrame:
+    """labels (row, label) after the labels that the pairs found (a, b) of ``hubs`` join are made one, but for chains longer than the jumps settle.
+
+    A label goes to one that hashes less, so there are no rings; labels that stay apart only cost comparisons.
+    """
+    pairs = found.join(labels.select(F.col("row").alias("a"), F.col("label").alias("to")), "a").join(labels.select(F.col("row").alias("b"), F.col("label").alias("of")), "b")
+    up = settled(pairs.groupBy("of").agg(F.min(F.struct(F.xxhash64("to", F.lit(seed)).alias("h"), "to")).alias("m")).select(F.col("of").alias("label"), F.col("m.to").alias("up")))
+    for _ in range(jumps):
+        then = up.select(F.col("label").alias("up"), F.col("up").alias("top"))
+        up = settled(up.join(then, "up", "left").select("label", F.coalesce("top", "up").alias("up")))
+    return settled(labels.join(up, "label", "left").select("row", F.coalesce("up", "label").alias("label")))
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """(a, b) of each pair of rows of unlike labels whose sets can reach a similarity of 0.8.
+
+    rows: those of ``shared_shingles`` with label. What cannot reach it is left out in the join itself, so pairs are written
+    for texts that are alike, or are long, and not yet of one label.
+    """
+    one = F.struct("row", "n", "place", *ODD)
+    both = rows.select("s", "label", one.alias("x")).join(rows.select("s", F.col("label").alias("label_b"), one.alias("y")), "s")
+    return _reaching(both.where((F.col("label") < F.col("label_b")) & _can_meet("x", "y")))
+
+
+def _labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
+    return settled(met.join(sorted_side(labels), "row"))
+
+
 def _near(docs: DataFrame, words: int) -> DataFrame:
     """(node, component) over docs (node, text), which repeat no node: components of the pairs whose sets of shingles have a similarity of 0.8 or more.
 
-    Each such pair is found. Equal sets count once. Fingerprints within three bits are joined through anchors, and each member
-    that is similar to its component's head is labelled by it; then all sets of unlike labels that share a shingle of their
-    prefixes are compared. A component is named by its least node.
+    Each such pair is found, or its texts are joined by others. Equal sets count once. Fingerprints within three bits are
+    joined through anchors, and each member that is similar to its component's head is labelled by it. Rows that share a
+    shingle of their prefixes are then compared with a head of these, one a row, and labels so joined become one, in ROUNDS
+    rounds, so that a large group of near copies is mostly of one label. Last, all sets of unlike labels that share such a
+    shingle are compared. A component is named by its least node.
     """
-    # Numbers of rows are short keys; the checkpoint settles them.
-    marks = checkpointed(_features(docs, words).withColumn("row", F.monotonically_increasing_id()))
-    sets = checkpointed(marks.groupBy("same").agg(F.min(F.struct("row", "node", "fp", "n")).alias("m")).select("same", "m.*"))
+    # Numbers of rows are short keys; the table settles them.
+    marks = settled(_features(docs, words).withColumn("row", F.monotonically_increasing_id()))
+    sets = settled(marks.groupBy("same").agg(F.min(F.struct("row", "node", "fp", "n")).alias("m")).select("same", "m.*"))
     nodes = sets.select("row", "node")
     heads = _grouped(sets.select("row", "fp"), "row", 3)
-    near = similar(heads.where("row <> component_id").select(F.col("component_id").alias("a"), F.col("row").alias("b")), nodes, docs, words)
-    sizes = checkpointed(near.groupBy(F.col("a").alias("label")).agg((F.count(F.lit(1)) + 1).alias("size")))
-    labelled = sorted_side(sets.select("row", "n")).join(near.select(F.col("b").alias("row"), F.col("a").alias("head")), "row", "left").withColumn("label", F.coalesce("head", "row"))
-    labelled = checkpointed(labelled.join(sizes, "label", "left").select("row", "label", F.coalesce("size", F.lit(1)).alias("size"), "n"))
+    links = similar(heads.where("row <> component_id").select(F.col("component_id").alias("a"), F.col("row").alias("b")), nodes, docs, words)
+    labels = settled(sorted_side(sets.select("row")).join(links.select(F.col("b").alias("row"), F.col("a").alias("head")), "row", "left").select("row", F.coalesce("head", "row").alias("label")))
+    met = shared_shingles(sorted_side(marks.select("row", "n", "prefix", *ODD)).join(sets.select("row"), "row"))
+    for seed in range(ROUNDS):
+        found = similar(hubs(_labelled(met, labels), seed), nodes, docs, words)
+        links, labels = links.unionByName(found), merged(labels, found, seed)
     # Sixteen bits leave few pairs that aren't alike, so whole sets of few texts move.
-    maybe = similar(candidates(sorted_side(marks.select("row", "prefix")).join(labelled, "row")), nodes, docs, words, bits=16)
+    maybe = similar(candidates(_labelled(met, labels)), nodes, docs, words, bits=16)
     alike = similar(maybe, nodes, docs, words)
     copies = marks.select(F.col("row").alias("a"), "same").join(sets.select("same", F.col("row").alias("b")), "same").where("a <> b").select("a", "b")
-    joined = components(copies.unionByName(near).unionByName(alike).distinct())
-    named = checkpointed(joined.select(F.col("node").alias("row"), "component").join(sorted_side(marks.select("row", "node")), "row"))
-    least = checkpointed(named.groupBy("component").agg(F.min("node").alias("least")))
+    joined = components(copies.unionByName(links).unionByName(alike).distinct())
+    named = settled(joined.select(F.col("node").alias("row"), "component").join(sorted_side(marks.select("row", "node")), "row"))
+    least = settled(named.groupBy("component").agg(F.min("node").alias("least")))
     return named.join(least, "component").select("node", F.col("least").alias("component"))
 
 
@@ -364,7 +430,7 @@ def _noded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _repeats(noded: DataFrame) -> DataFrame:
     """Nodes that more than one row has."""
-    return checkpointed(noded.groupBy("node").count().where("count > 1").select("node"))
+    return settled(noded.groupBy("node").count().where("count > 1").select("node"))
 
 
 def _once(noded: DataFrame, again: DataFrame) -> DataFrame:
