@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat, html_text, matroska, packing, quality, sentencepiece_codec, sharding, simhash, toxicity, urls
+from tidemark.llm import centroids, chat, divergence, html_text, matroska, packing, quality, sentencepiece_codec, sharding, simhash, subspace, toxicity, urls
 from tidemark.llm._common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_ledger": lambda s, d: quality.judged(table(s, d, "documents")),
     "op9_chat_collapse": lambda s, d: chat.collapse_and_render(table(s, d, "conversations")),
     "op10_sentencepiece": lambda s, d: sentencepiece_codec.tokens(table(s, d, "documents")),
+    "op11_source_divergence": lambda s, d: divergence.audited(table(s, d, "documents")),
+    "op12_embedding_near_dedup": lambda s, d: subspace.near_vectors(table(s, d, "embeddings")),
+    "op13_centroid_clusters": lambda s, d: centroids.clustered(table(s, d, "embeddings")),
 }
 
-ORACLES = {"op1_url_reputation": urls.ORACLE, "op8_quality_ledger": quality.ORACLE, "op9_chat_collapse": chat.ORACLE}
+ORACLES = {"op1_url_reputation": urls.ORACLE, "op8_quality_ledger": quality.ORACLE, "op9_chat_collapse": chat.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_embedding_near_dedup": subspace.ORACLE, "op13_centroid_clusters": centroids.ORACLE}
