@@ -1,11 +1,37 @@
 """Activity tables: counts, percentiles, histograms, distributions of values."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.functions import powerlaw as tails
 from tidemark.functions import ranks
+from tidemark.functions.lineage import checkpointed
 from tidemark.plans.operator import Operator as O
 
 _RATIOS = ("create", "engage", "amplify", "connect")
 _KINDS = {"posts": "post", "replies": "reply", "likes": "app.bsky.feed.like", "reposts": "app.bsky.feed.repost", "follows": "app.bsky.graph.follow", "blocks": "app.bsky.graph.block", "profiles": "app.bsky.actor.profile"}
 
+
+def powerlaw_sql(values: str) -> str:
+    """Of the rows with one value, those that come first and last are the farthest from the model."""
+    return f"""WITH v AS (SELECT cast(x AS DOUBLE) AS x, cast(count(*) AS DOUBLE) AS n FROM {{{values}}} WHERE x > 0 GROUP BY x),
+      w AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS place, count(*) OVER () AS m FROM v WHERE x <= (SELECT $P(x, 0.5) FROM {{{values}}} WHERE x > 0)),
+      c AS (SELECT x AS xmin FROM w WHERE m <= :k OR place IN (SELECT cast(floor(i * (m - 1.0E0) / (:k - 1)) AS BIGINT) FROM (SELECT $EACH(:k) AS i) AS g CROSS JOIN (SELECT max(m) AS m FROM w) AS q)),
+      a AS (SELECT xmin, sum(n) AS t, 1 + sum(n) / nullif(sum(n * ln(x / xmin)), 0) AS alpha FROM c JOIN v ON x >= xmin GROUP BY xmin HAVING sum(n) >= 10),
+      e AS (SELECT xmin, t, alpha, n, sum(n) OVER (PARTITION BY xmin ORDER BY x) AS upto, 1 - pow(x / xmin, 1 - alpha) AS model FROM a JOIN v ON x >= xmin),
+      b AS (SELECT xmin, round(alpha, 6) AS alpha, round(max(greatest(abs(upto / t - model), abs((upto - n + 1) / t - model))), 6) AS ks, cast(t AS BIGINT) AS n_tail FROM e GROUP BY xmin, alpha, t ORDER BY round(max(greatest(abs(upto / t - model), abs((upto - n + 1) / t - model))), 9), xmin LIMIT 1)
+      SELECT CASE WHEN n < 20 THEN 1.0E0 ELSE xmin END AS xmin, CASE WHEN n < 20 THEN 2.0E0 ELSE alpha END AS alpha, CASE WHEN n < 20 THEN 1.0E0 ELSE ks END AS ks, CASE WHEN n < 20 THEN n ELSE n_tail END AS n_tail FROM (SELECT count(*) AS n FROM {{{values}}} WHERE x > 0) AS s LEFT JOIN b ON 1 = 1"""
+
+
+def powerlaw(values: DataFrame, k: int = 50) -> DataFrame:
+    counts = checkpointed(tails.value_counts(values, F.col("x")))
+    found = tails.best(tails.fits(counts, tails.candidates_to_median(counts, k), ties=True))
+    one = found.agg(*[F.first(c).alias(c) for c in ("xmin", "alpha", "ks", "t")])
+    both = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).crossJoin(one)  # one row on either side
+    few = lambda value, c: F.when(F.col("n") < 20, value).otherwise(c)
+    return both.select(few(1.0, F.col("xmin")).alias("xmin"), few(2.0, F.round("alpha", 6)).alias("alpha"), few(1.0, F.round("ks", 6)).alias("ks"), few(F.col("n"), F.col("t").cast("long")).alias("n_tail"))
+
+
 OPERATORS = (
     O("c1_collection_operations", "Operations of each collection.", ("records",), """SELECT collection, count(*) AS total, count(CASE WHEN operation = 'create' THEN 1 END) AS creates, count(CASE WHEN operation = 'delete' THEN 1 END) AS deletes,
       count(CASE WHEN operation NOT IN ('create', 'delete') THEN 1 END) AS updates, round(100.0E0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM {records} GROUP BY collection"""),
@@ -38,10 +64,11 @@ OPERATORS = (
     O("c17_density_grid", "Cells of two logged values.", ("c9_events_per_active_day",), "SELECT cast(floor(log10(events) * 10 + 1e-9) AS BIGINT) AS cx, cast(floor(log10(days) * 10 + 1e-9) AS BIGINT) AS cy, count(*) AS n FROM {c9_events_per_active_day} GROUP BY 1, 2"),
     O("c18_ecdf", "ECDF and both CCDFs over distinct values.", ("order_counts",), """WITH s AS (SELECT x, n, sum(n) OVER (ORDER BY x) AS c, sum(n) OVER () AS t FROM (SELECT x, count(*) AS n FROM {order_counts} GROUP BY x) AS v)
       SELECT x, n, round(c * 1.0E0 / t, 9) AS ecdf, round(1 - c * 1.0E0 / t, 9) AS ccdf, round(1 - (c - n) * 1.0E0 / t, 9) AS ccdf_inclusive FROM s""", {}, ranks.ecdf),
-    O("c19_kde_grid", "Gaussian density on an even grid of :grid places from the least value to the greatest, Scott bandwidth, from distinct values.", ("order_counts",), """WITH v AS (SELECT x, count(*) AS n FROM {order_counts} GROUP BY x),
-      m AS (SELECT count(*) AS t, stddev_samp(x) * pow(count(*), -0.2) AS h, min(x) AS lo, max(x) AS hi FROM {order_counts}),
-      e AS (SELECT x, n, $EACH(:grid) AS i FROM v), p AS (SELECT e.*, t, h, lo + i * (hi - lo) / (:grid - 1.0E0) AS place FROM e CROSS JOIN m)
-      SELECT i, round(max(place), 6) AS place, round(sum(n * exp(-0.5 * pow((place - x) / h, 2))) / max(t * h * 2.5066282746310002), 9) AS density FROM p GROUP BY i""", {"grid": 200}),
+    O("c19_kde_grid", "Gaussian density on an even grid of :grid places from the least value to the greatest, Scott bandwidth, from distinct values, each of which tells on the places within :reach bandwidths; what lies beyond is under exp(-reach^2 / 2) of the kernel's top.", ("order_counts",), """WITH v AS (SELECT x, count(*) AS n FROM {order_counts} GROUP BY x),
+      m AS (SELECT t, h, lo, (hi - lo) / (:grid - 1.0E0) AS wide FROM (SELECT count(*) AS t, stddev_samp(x) * pow(count(*), -0.2) AS h, min(x) AS lo, max(x) AS hi FROM {order_counts}) AS q),
+      r AS (SELECT x, n, t, h, lo, wide, cast(greatest(ceil((x - :reach * h - lo) / nullif(wide, 0)), 0) AS INT) AS a, cast(least(floor((x + :reach * h - lo) / nullif(wide, 0)), :grid - 1) AS INT) AS b FROM v CROSS JOIN m WHERE wide > 0),
+      e AS (SELECT x, n, t, h, lo, wide, $SPAN(a, b) AS i FROM r WHERE a <= b), p AS (SELECT i, sum(n * exp(-0.5E0 * pow((lo + i * wide - x) / h, 2))) / max(t * h * 2.5066282746310002E0) AS density FROM e GROUP BY i)
+      SELECT g.i, round(m.lo + g.i * m.wide, 6) AS place, round(coalesce(p.density, 0.0E0), 9) AS density FROM (SELECT $EACH(:grid) AS i) AS g CROSS JOIN m LEFT JOIN p ON p.i = g.i""", {"grid": 200, "reach": 6}),
     O("c19_circular_kde", "Density of the hour of day of real sessions' starts, on :grid even places of a day that runs round; bandwidth :factor of the deviation.", ("d3_tukey_sessions",), """WITH v AS (SELECT floor((session_start % 86400000000) / 60000000) / 60.0E0 AS x, cast(count(*) AS DOUBLE) AS n FROM {d3_tukey_sessions} WHERE duration_s > 0 GROUP BY 1),
       m AS (SELECT sum(n) AS t, :factor * sqrt((sum(n * x * x) + sum(n * (x - 24) * (x - 24)) + sum(n * (x + 24) * (x + 24))) / (3 * sum(n)) - pow(sum(n * x) / sum(n), 2)) AS h FROM v),
       p AS (SELECT x, n, i, t, h, i * 24.0E0 / :grid AS place FROM (SELECT x, n, $EACH(:grid) AS i FROM v) AS e CROSS JOIN m)
@@ -53,13 +80,7 @@ OPERATORS = (
       t AS (SELECT x, mu, sd, exp(mu - 2 * sd) AS a, exp(mu - sd) AS b, p10 AS c, p25 AS d, exp(mu) AS e FROM {order_counts} CROSS JOIN f)
       SELECT round(max(mu), 6) AS mu, round(max(sd), 6) AS sd, """ + ", ".join(f"round(max({c}), 6) AS {n}, round(100.0E0 * count(CASE WHEN x < {c} THEN 1 END) / count(*), 6) AS {n}_pct" for c, n in zip("abcde", ("mu_less_2sd", "mu_less_sd", "p10", "p25", "exp_mu"), strict=True)) + " FROM t"),
     O("g3_lognormal_fit", "Lognormal by maximum likelihood.", ("order_counts",), "SELECT round(mu, 6) AS mu, round(sd, 6) AS sigma, round(exp(mu), 6) AS median, round(exp(mu + sd * sd / 2), 6) AS mean, round(exp(mu - sd * sd), 6) AS mode, n FROM (SELECT avg(ln(x)) AS mu, stddev_pop(ln(x)) AS sd, count(*) AS n FROM {order_counts}) AS f"),
-    O("g1_powerlaw_fit", "Power law: :k of the distinct values to the median, evenly by place, as xmin; least KS distance wins; (1, 2, 1) under twenty values.", ("order_counts",), """WITH v AS (SELECT cast(x AS DOUBLE) AS x, cast(count(*) AS DOUBLE) AS n FROM {order_counts} WHERE x > 0 GROUP BY x),
-      w AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS place, count(*) OVER () AS m FROM v WHERE x <= (SELECT $P(x, 0.5) FROM {order_counts} WHERE x > 0)),
-      c AS (SELECT x AS xmin FROM w WHERE m <= :k OR place IN (SELECT cast(floor(i * (m - 1.0E0) / (:k - 1)) AS BIGINT) FROM (SELECT $EACH(:k) AS i) AS g CROSS JOIN (SELECT max(m) AS m FROM w) AS q)),
-      a AS (SELECT xmin, sum(n) AS t, 1 + sum(n) / nullif(sum(n * ln(x / xmin)), 0) AS alpha FROM c JOIN v ON x >= xmin GROUP BY xmin HAVING sum(n) >= 10),
-      d AS (SELECT xmin, t, alpha, abs(sum(n) OVER (PARTITION BY xmin ORDER BY x) / t - (1 - pow(x / xmin, 1 - alpha))) AS d FROM a JOIN v ON x >= xmin),
-      b AS (SELECT xmin, round(alpha, 6) AS alpha, round(max(d), 6) AS ks, cast(t AS BIGINT) AS n_tail FROM d GROUP BY xmin, alpha, t ORDER BY max(d), xmin LIMIT 1)
-      SELECT CASE WHEN n < 20 THEN 1.0E0 ELSE xmin END AS xmin, CASE WHEN n < 20 THEN 2.0E0 ELSE alpha END AS alpha, CASE WHEN n < 20 THEN 1.0E0 ELSE ks END AS ks, CASE WHEN n < 20 THEN n ELSE n_tail END AS n_tail FROM (SELECT count(*) AS n FROM {order_counts} WHERE x > 0) AS s LEFT JOIN b ON 1 = 1""", {"k": 50}),
+    O("g1_powerlaw_fit", "Power law: :k of the distinct values to the median, evenly by place, as xmin; least KS distance over all rows wins; (1, 2, 1) under twenty values.", ("order_counts",), powerlaw_sql("order_counts"), {"k": 50}, powerlaw),
     O("c2_collection_reach", "Users that create in each collection, and posts of each kind, as a share of all; major from 1 % up.", ("records", "posts"), """WITH a AS (SELECT collection AS kind, did FROM {records} WHERE operation = 'create' UNION ALL SELECT 'posts', did FROM {posts}
         UNION ALL SELECT CASE WHEN reply_root_uri IS NULL THEN 'posts_top' ELSE 'posts_reply' END, did FROM {posts}), t AS (SELECT did FROM {records} UNION SELECT did FROM {posts})
       SELECT kind, users, round(100.0E0 * users / (SELECT count(*) FROM t), 6) AS pct, users * 100 >= (SELECT count(*) FROM t) AS is_major FROM (SELECT kind, count(DISTINCT did) AS users FROM a GROUP BY kind) AS k"""),

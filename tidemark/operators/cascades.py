@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import checkpointed
 from tidemark.plans.operator import Operator as O
+from tidemark.plans.operator import spread
 
 
 def depths(nodes: DataFrame) -> DataFrame:
@@ -95,8 +96,9 @@ OPERATORS = (
       SELECT subject_uri, n AS total_reposts, max(time_us) - min(t0) AS last_us, """ + ", ".join(f"min(CASE WHEN idx = ceil(0.{p}E0 * n) THEN time_us - t0 END) AS t{p}_us" for p in (50, 95, 99)) + " FROM r WHERE n >= 1 GROUP BY subject_uri, n"),
     O("h14_repost_gaps", "Gaps to the repost before, in the cascade and under the same parent; -1 for none.", ("h2_parents",), "SELECT subject_uri, idx, coalesce(time_us - lag(time_us) OVER (PARTITION BY subject_uri ORDER BY idx), -1) AS global_gap_us, coalesce(time_us - lag(time_us) OVER (PARTITION BY subject_uri, pidx ORDER BY idx), -1) AS topology_gap_us FROM {h2_parents} WHERE idx > 0"),
     O("h15_t50_buckets", "Cascades by time to half their reposts.", ("h12_cascade_lifetime",), "SELECT CASE WHEN t50_us < 60000000 THEN '<1m' WHEN t50_us < 3600000000 THEN '<1h' WHEN t50_us < 21600000000 THEN '<6h' WHEN t50_us < 86400000000 THEN '<1d' ELSE '1d+' END AS bucket, count(*) AS n FROM {h12_cascade_lifetime} WHERE total_reposts >= 2 GROUP BY 1"),
-    O("h16_topology_gap_stats", "Gaps under one parent, in seconds.", ("h14_repost_gaps",), "SELECT round($P(topology_gap_us, 0.5) / 1e6, 6) AS p50, round($P(topology_gap_us, 0.9) / 1e6, 6) AS p90, round(avg(topology_gap_us) / 1e6, 4) AS mean FROM {h14_repost_gaps} WHERE topology_gap_us >= 0"),
-    O("h18_virality_stats", "Virality over cascades of two or more, and their share of all cascades.", ("h8_cascades",), "SELECT count(v) AS n, round(100.0E0 * count(v) / count(*), 6) AS coverage_pct, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS least, max(v) AS most, " + ", ".join(f"round($P(v, {p / 1000}), 6) AS p{str(p / 10).replace('.0', '').replace('.', '_')}" for p in (500, 900, 950, 990, 999)) + " FROM (SELECT CASE WHEN size >= 2 THEN virality END AS v FROM {h8_cascades}) AS c"),
+    spread("h16_topology_gap_stats", "Gaps under one parent, in seconds.", ("h14_repost_gaps",), "SELECT topology_gap_us / 1e6 AS gap_s FROM {h14_repost_gaps} WHERE topology_gap_us >= 0", (), {"mean": "round(avg(gap_s), 4)"}, {"p50": ("gap_s", 0.5, 6), "p90": ("gap_s", 0.9, 6)}),
+    spread("h18_virality_stats", "Virality over cascades of two or more, and their share of all cascades.", ("h8_cascades",), "SELECT CASE WHEN size >= 2 THEN virality END AS v FROM {h8_cascades}", (), {"n": "count(v)", "coverage_pct": "round(100.0E0 * count(v) / count(*), 6)", "mean": "round(avg(v), 6)", "std": "round(stddev_samp(v), 6)", "least": "min(v)", "most": "max(v)"},
+      {n: ("v", p, 6) for n, p in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("p99_9", 0.999))}),
     O("h20_depth_stats", "Cascades by depth.", ("h8_cascades",), "SELECT depth, count(*) AS n, max(size) AS largest FROM {h8_cascades} GROUP BY depth"),
     O("h20_depth_summary", "Depths of cascades of two or more.", ("h8_cascades",), "SELECT count(*) AS n, round(avg(depth), 6) AS mean, $P(depth, 0.5) AS median, $P(depth, 0.9) AS p90, $P(depth, 0.99) AS p99, max(depth) AS most, round(100.0E0 * count(CASE WHEN depth = 1 THEN 1 END) / count(*), 6) AS depth_1_pct FROM {h8_cascades} WHERE size >= 2"),
     O("h20_virality_regimes", "Cascades of two or more by virality: 1, over 1 to 3, over 3; and how many of each are stars.", ("h8_cascades",), "SELECT CASE WHEN virality <= 1 THEN '1' WHEN virality <= 3 THEN '1-3' ELSE '3+' END AS regime, count(*) AS n, round(100.0E0 * count(*) / sum(count(*)) OVER (), 6) AS pct, count(CASE WHEN max_out_degree = size - 1 THEN 1 END) AS stars FROM {h8_cascades} WHERE size >= 2 GROUP BY 1"),
@@ -106,6 +108,7 @@ OPERATORS = (
     O("h13_time_to_peak", "Time to the first repost of the fullest of 100 equal bins, the earliest on ties; 0 for one repost or no span.", ("h1_cascade_events",), """WITH r AS (SELECT subject_uri, idx, time_us, min(time_us) OVER p AS t0, max(time_us) OVER p AS t1, count(*) OVER p - 1 AS n FROM {h1_cascade_events} WINDOW p AS (PARTITION BY subject_uri)),
       b AS (SELECT subject_uri, n, CASE WHEN n > 1 AND t1 > t0 THEN least(cast(floor(cast(time_us - t0 AS DOUBLE) / nullif(t1 - t0, 0) * 100) AS BIGINT), 99) ELSE -1 END AS bin, count(*) AS c, min(time_us) - min(t0) AS first_us FROM r WHERE idx > 0 GROUP BY 1, 2, 3)
       SELECT subject_uri, n AS total_reposts, CASE WHEN bin < 0 THEN 0 ELSE first_us END AS time_to_peak_us FROM (SELECT *, row_number() OVER (PARTITION BY subject_uri ORDER BY c DESC, bin) AS place FROM b) AS q WHERE place = 1"""),
-    O("h17_peak_by_size", "Median seconds to the peak by reposts, from two up.", ("h13_time_to_peak",), "SELECT CASE WHEN total_reposts <= 5 THEN '2-5' WHEN total_reposts <= 20 THEN '6-20' WHEN total_reposts <= 100 THEN '21-100' ELSE '100+' END AS bucket, count(*) AS n, round($P(time_to_peak_us, 0.5) / 1e6, 6) AS median_peak_s FROM {h13_time_to_peak} WHERE total_reposts >= 2 GROUP BY 1"),
-    O("h19_virality_by_size", "Virality by size, from two nodes up.", ("h8_cascades",), "SELECT CASE " + " ".join(f"WHEN size <= {hi} THEN '{name}'" for hi, name in ((2, "2"), (3, "3"), (5, "4-5"), (10, "6-10"), (20, "11-20"), (50, "21-50"), (100, "51-100"), (500, "101-500"), (1000, "501-1000"))) + " ELSE '1001+' END AS bucket, count(*) AS n, round(avg(virality), 6) AS mean, round($P(virality, 0.5), 6) AS median, round($P(virality, 0.9), 6) AS p90, max(virality) AS most FROM {h8_cascades} WHERE size >= 2 GROUP BY 1"),
+    spread("h17_peak_by_size", "Median seconds to the peak by reposts, from two up.", ("h13_time_to_peak",), "SELECT CASE WHEN total_reposts <= 5 THEN '2-5' WHEN total_reposts <= 20 THEN '6-20' WHEN total_reposts <= 100 THEN '21-100' ELSE '100+' END AS bucket, time_to_peak_us / 1e6 AS peak_s FROM {h13_time_to_peak} WHERE total_reposts >= 2", ("bucket",), {"n": "count(*)"}, {"median_peak_s": ("peak_s", 0.5, 6)}),
+    spread("h19_virality_by_size", "Virality by size, from two nodes up.", ("h8_cascades",), "SELECT CASE " + " ".join(f"WHEN size <= {hi} THEN '{name}'" for hi, name in ((2, "2"), (3, "3"), (5, "4-5"), (10, "6-10"), (20, "11-20"), (50, "21-50"), (100, "51-100"), (500, "101-500"), (1000, "501-1000"))) + " ELSE '1001+' END AS bucket, virality FROM {h8_cascades} WHERE size >= 2", ("bucket",),
+      {"n": "count(*)", "mean": "round(avg(virality), 6)", "most": "max(virality)"}, {"median": ("virality", 0.5, 6), "p90": ("virality", 0.9, 6)}),
 )

@@ -2,15 +2,16 @@
 
 from tidemark.functions import ranks
 from tidemark.plans.operator import Operator as O
+from tidemark.plans.operator import spread
 
 _T = ("like", "repost", "reply")
-_SPREAD = ", ".join(f"round($P(x_, 0.{p:02d}), 6) AS p{p}" for p in (10, 25, 50, 75, 90, 95, 99))
 
 OPERATORS = (
     O("i1_engagement_events", "Likes, reposts and replies with their post's creation.", ("engagement_log",), "SELECT e.k, e.event_id, e.time_us, e.type, c.time_us AS created_us FROM {engagement_log} AS e JOIN (SELECT k, time_us FROM {engagement_log} WHERE idx = 0) AS c ON e.k = c.k WHERE e.idx > 0 AND e.type IS NOT NULL"),
     O("i2_post_engagement", "A row per post.", ("i1_engagement_events",), "SELECT k, " + ", ".join(f"count(CASE WHEN type = '{t}' THEN 1 END) AS n_{t}, min(CASE WHEN type = '{t}' THEN time_us END) AS first_{t}_us" for t in _T) + ", max(time_us) AS last_us, round((max(time_us) - min(created_us)) / 1e6, 6) AS lifetime_s, min(created_us) AS created_us FROM {i1_engagement_events} GROUP BY k"),
     O("i3_coverage", "Posts with each type, with any and with none.", ("i2_post_engagement", "engagement_log"), "SELECT (SELECT count(*) FROM {engagement_log} WHERE idx = 0) AS posts, " + ", ".join(f"count(CASE WHEN n_{t} > 0 THEN 1 END) AS with_{t}, round(100.0E0 * count(CASE WHEN n_{t} > 0 THEN 1 END) / (SELECT count(*) FROM {{engagement_log}} WHERE idx = 0), 6) AS {t}_pct" for t in _T) + ", count(*) AS with_any, (SELECT count(*) FROM {engagement_log} WHERE idx = 0) - count(*) AS with_none, round(100.0E0 * count(*) / (SELECT count(*) FROM {engagement_log} WHERE idx = 0), 6) AS any_pct FROM {i2_post_engagement}"),
-    O("i4_time_to_first", "Seconds to the first of each type.", ("i2_post_engagement",), " UNION ALL ".join(f"SELECT '{t}' AS type, count(first_{t}_us) AS n, round(avg((first_{t}_us - created_us) / 1e6), 4) AS mean, {_SPREAD.replace('x_', f'(first_{t}_us - created_us) / 1e6')} FROM {{i2_post_engagement}}" for t in _T)),
+    spread("i4_time_to_first", "Seconds to the first of each type.", ("i2_post_engagement",), "SELECT CASE i " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_T)) + " END AS type, (CASE i " + " ".join(f"WHEN {i} THEN first_{t}_us" for i, t in enumerate(_T)) + " END - created_us) / 1e6 AS wait_s FROM (SELECT *, $EACH(3) AS i FROM {i2_post_engagement}) AS e", ("type",),
+      {"n": "count(wait_s)", "mean": "round(avg(wait_s), 4)"}, {f"p{p}": ("wait_s", p / 100, 6) for p in (10, 25, 50, 75, 90, 95, 99)}),
     O("i5_first_event", "Which type comes first.", ("i2_post_engagement",), "SELECT CASE " + " ".join(f"WHEN first_{t}_us = least(first_like_us, first_repost_us, first_reply_us) THEN '{t}'" for t in _T) + " END AS first, count(*) AS n FROM {i2_post_engagement} WHERE n_like > 0 AND n_repost > 0 AND n_reply > 0 GROUP BY 1"),
     O("i6_pairwise_order", "Which of two types comes first.", ("i2_post_engagement",), " UNION ALL ".join(f"SELECT '{a}-{b}' AS pair, count(CASE WHEN first_{a}_us < first_{b}_us THEN 1 END) AS a_first, count(CASE WHEN first_{a}_us > first_{b}_us THEN 1 END) AS b_first, count(CASE WHEN first_{a}_us = first_{b}_us THEN 1 END) AS tie FROM {{i2_post_engagement}}" for a, b in (("like", "repost"), ("like", "reply"), ("repost", "reply")))),
     O("i7_transition_matrix", "Chance of the next type given this one.", ("i1_engagement_events",), """WITH n AS (SELECT type, lead(type) OVER (PARTITION BY k ORDER BY time_us, event_id) AS next, count(*) OVER (PARTITION BY k) AS c FROM {i1_engagement_events})
@@ -26,7 +27,7 @@ OPERATORS = (
     O("j6_follower_buckets", "Users by powers of two of followers.", ("follows", "customer"), "SELECT bucket, count(*) AS users, round(100.0E0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM (SELECT CASE WHEN d IS NULL THEN -1 ELSE cast(floor(ln(cast(d AS DOUBLE)) / ln(2.0E0) + 1e-9) AS BIGINT) END AS bucket FROM {customer} LEFT JOIN (SELECT subject_id, count(*) AS d FROM {follows} GROUP BY subject_id) AS f ON c_custkey = subject_id) AS b GROUP BY bucket"),
     O("j7_stratified_batch", "About :n users not yet done, in proportion to all users' follower buckets, one of each at least; what buckets lack is topped up from the others.", ("follows", "users_done"), """WITH f AS (SELECT subject_id, floor(ln(cast(count(*) AS DOUBLE)) / ln(2.0E0) + 1e-9) AS b FROM {follows} GROUP BY subject_id),
       share AS (SELECT b, greatest(ceil(:n * 1.0E0 * count(*) / sum(count(*)) OVER ()), 1) AS most FROM f GROUP BY b),
-      r AS (SELECT f.subject_id, f.b, row_number() OVER (PARTITION BY f.b ORDER BY f.subject_id) AS r FROM f WHERE f.subject_id NOT IN (SELECT subject_id FROM {users_done})),
+      r AS (SELECT f.subject_id, f.b, row_number() OVER (PARTITION BY f.b ORDER BY f.subject_id) AS r FROM f WHERE NOT EXISTS (SELECT 1 FROM {users_done} AS u WHERE u.subject_id = f.subject_id)),
       first AS (SELECT r.subject_id, r.b, r.r <= share.most AS chosen FROM r JOIN share ON r.b = share.b),
       lack AS (SELECT greatest((SELECT sum(most) FROM share) - count(*), 0) AS n FROM first WHERE chosen),
       rest AS (SELECT subject_id, row_number() OVER (ORDER BY subject_id) AS r FROM (SELECT subject_id FROM first WHERE NOT chosen ORDER BY subject_id LIMIT :n) AS q)
