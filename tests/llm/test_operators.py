@@ -27,7 +27,7 @@ def odd(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "conversations"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     rows = lambda df: sorted(repr([None if pd.isna(v) else str(v) for v in r]) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(con.sql(ORACLES[name]).df())

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import columns, deleted, small_batches, written
@@ -128,28 +128,28 @@ def components(edges: DataFrame, jumps: int = 2) -> DataFrame:
     that both sides are plain shuffles and adaptive execution splits the large one.
     """
     first = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
-    left = settled(edges.select("a", "b").where("a <> b"))
-    assigned, rows = None, left.count()
+    left, left_path = written(edges.select("a", "b").where("a <> b"))
+    assigned, assigned_path, rows = None, None, left.count()
     while rows:
         both = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
         met = both.groupBy(F.col("e.a").alias("node")).agg(F.min(F.struct(F.xxhash64("e.b").alias("h"), F.col("e.b").alias("n"))).alias("m"))
-        up = settled(met.select("node", F.least(first("node"), "m")["n"].alias("up")))
+        up, gone = written(met.select("node", F.least(first("node"), "m")["n"].alias("up")))
         for _ in range(jumps):
             up = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up"))
-        up = settled(up)
+        up, up_path = written(up, gone)
         if assigned is None:
-            assigned = up.select("node", F.col("up").alias("component"))
+            assigned, assigned_path = written(up.select("node", F.col("up").alias("component")))
         else:
             then = up.select(F.col("node").alias("component"), "up")
-            assigned = assigned.join(then, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+            assigned, assigned_path = written(assigned.join(then, "component", "left").select("node", F.coalesce("up", "component").alias("component")), assigned_path)
         ends = left
         for end in ("a", "b"):
             ends = ends.join(up.select(F.col("node").alias(end), F.col("up").alias(f"{end}2")), end)
-        left = settled(ends.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct())
+        left, left_path = written(ends.select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct(), left_path, up_path)
         rows = left.count()
+    deleted(edges.sparkSession, left_path)
     if assigned is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
-    assigned = settled(assigned)
     least = settled(assigned.groupBy("component").agg(F.min("node").alias("least")))
     return assigned.join(least, "component").select("node", F.col("least").alias("component"))
 
@@ -301,7 +301,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = 5,
     and the hashes that fall together, are no fewer than what the sets share, so no pair is lost; with 32 bits a pair of sets of
     a thousand shingles is taken for more alike than it is by one shingle in some thousands of pairs.
     """
-    pairs = settled(pairs)
+    pairs, pairs_path = written(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(sorted_side(nodes), "row")
     unsigned, signed, kind = (np.uint16, np.int16, "smallint") if bits == 16 else (np.uint32, np.int32, "int")
 
@@ -318,16 +318,19 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = 5,
         pairs = pairs.join(sets.select(F.col("row").alias(end), F.struct("n", "of").alias(x)), end)
     shared = F.size(F.array_intersect("x.of", "y.of")) + F.least(F.col("x.n") - F.size("x.of"), F.col("y.n") - F.size("y.of"))
     out = settled(pairs.where(shared >= least * (F.col("x.n") + F.col("y.n") - shared)).select("a", "b"))
-    deleted(docs.sparkSession, path)
+    deleted(docs.sparkSession, path, pairs_path)
     return out
 
 
-def shared_shingles(sets: DataFrame) -> DataFrame:
-    """(s, row, n, place, ODD) of sets (row, n, prefix, ODD): each shingle s of a prefix that another row's prefix has too, and its place in its own."""
-    rows = sets.select("row", "n", F.posexplode("prefix").alias("place", "s"))
-    of = Window.partitionBy("s")
-    rows = rows.withColumn("lo", F.min("row").over(of)).withColumn("hi", F.max("row").over(of)).where("lo <> hi").select("s", "row", "n", "place")
-    return settled(rows.join(sorted_side(sets.select("row", *ODD)), "row"))
+def shared_shingles(sets: DataFrame) -> tuple[DataFrame, str]:
+    """(row, n, ODD, shared) of sets (row, n, prefix, ODD) as a written table, and its folder: shared lists (s, place), each shingle of the prefix that another row's prefix has too, and its place in its own.
+
+    Which shingles are shared is counted before the rows meet them, so that a shingle in very many rows is a plain join on one row, which adaptive execution splits.
+    """
+    rows = sets.select("row", F.posexplode("prefix").alias("place", "s"))
+    more, gone = written(rows.groupBy("s").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("s"))
+    of = rows.join(more, "s").groupBy("row").agg(F.collect_list(F.struct("s", "place")).alias("shared"))
+    return written(of.join(sorted_side(sets.select("row", "n", *ODD)), "row").select("row", "n", *ODD, "shared"), gone)
 
 
 def _turned(x: str, y: str) -> Column:
@@ -341,10 +344,17 @@ def _can_meet(x: str, y: str) -> Column:
     return (9 * _turned(x, y) <= both) & (9 * F.least(f"{x}.n", f"{y}.n") >= 4 * both)
 
 
+def _first_can_be(x: str, y: str) -> Column:
+    """Whether two sets of a similarity of 0.8 may share, as their first in the order of prefixes, the shingle at these places: what follows it in either is then enough."""
+    rest = F.least(F.col(f"{x}.n") - F.col(f"{x}.place"), F.col(f"{y}.n") - F.col(f"{y}.place"))
+    return 9 * rest >= 4 * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
 def _reaching(pairs: DataFrame) -> DataFrame:
     """(a, b) of pairs (x, y), each (row, n, place) of one shingle in two prefixes: those that can reach a similarity of 0.8.
 
-    What two sets share of their prefixes, and what is left of them after the last of it, must be enough for that.
+    What two sets share of their prefixes, and what is left of them after the last of it, must be enough for that. Shared
+    shingles that ``_first_can_be`` leaves out follow the others, so they are among what is left.
     """
     rows = pairs.select(F.col("x.row").alias("a"), F.col("y.row").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"), (F.col("x.n") - F.col("x.place")).alias("rest_a"), (F.col("y.n") - F.col("y.place")).alias("rest_b"))
     met = rows.groupBy("a", "b").agg(F.min("both").alias("both"), F.count(F.lit(1)).alias("shared"), F.min("rest_a").alias("rest_a"), F.min("rest_b").alias("rest_b"))
@@ -354,7 +364,7 @@ def _reaching(pairs: DataFrame) -> DataFrame:
 def hubs(rows: DataFrame, seed: int) -> DataFrame:
     """(a, b): for a row b, of the rows of other labels that head one of its shingles and may be similar, that which differs in the least bits of ODD.
 
-    rows: those of ``shared_shingles`` with label. A shingle is headed by a row, another for each shingle, of the label that
+    rows: those of ``_labelled``. A shingle is headed by a row, another for each shingle, of the label that
     hashes least, so that labels have few partners and rows may choose among many.
     """
     own = ["row", "n", *ODD]
@@ -380,16 +390,17 @@ def merged(labels: DataFrame, found: DataFrame, seed: int, jumps: int = 2) -> Da
 def candidates(rows: DataFrame) -> DataFrame:
     """(a, b) of each pair of rows of unlike labels whose sets can reach a similarity of 0.8.
 
-    rows: those of ``shared_shingles`` with label. What cannot reach it is left out in the join itself, so pairs are written
+    rows: those of ``_labelled``. What cannot reach it is left out in the join itself, by size, by place and by bits, so pairs are written
     for texts that are alike, or are long, and not yet of one label.
     """
     one = F.struct("row", "n", "place", *ODD)
     both = rows.select("s", "label", one.alias("x")).join(rows.select("s", F.col("label").alias("label_b"), one.alias("y")), "s")
-    return _reaching(both.where((F.col("label") < F.col("label_b")) & _can_meet("x", "y")))
+    return _reaching(both.where((F.col("label") < F.col("label_b")) & _first_can_be("x", "y") & _can_meet("x", "y")))
 
 
 def _labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
-    return settled(met.join(sorted_side(labels), "row"))
+    """(s, place, row, n, ODD, label) of the rows of ``shared_shingles``: lists move, not their shingles one by one."""
+    return met.join(sorted_side(labels), "row").select("row", "n", *ODD, "label", F.inline("shared"))
 
 
 def _near(docs: DataFrame, words: int) -> DataFrame:
@@ -408,12 +419,13 @@ def _near(docs: DataFrame, words: int) -> DataFrame:
     heads = _grouped(sets.select("row", "fp"), "row", 3)
     links = similar(heads.where("row <> component_id").select(F.col("component_id").alias("a"), F.col("row").alias("b")), nodes, docs, words)
     labels = settled(sorted_side(sets.select("row")).join(links.select(F.col("b").alias("row"), F.col("a").alias("head")), "row", "left").select("row", F.coalesce("head", "row").alias("label")))
-    met = shared_shingles(sorted_side(marks.select("row", "n", "prefix", *ODD)).join(sets.select("row"), "row"))
+    met, met_path = shared_shingles(sorted_side(marks.select("row", "n", "prefix", *ODD)).join(sets.select("row"), "row"))
     for seed in range(ROUNDS):
         found = similar(hubs(_labelled(met, labels), seed), nodes, docs, words)
         links, labels = links.unionByName(found), merged(labels, found, seed)
     # Sixteen bits leave few pairs that aren't alike, so whole sets of few texts move.
     maybe = similar(candidates(_labelled(met, labels)), nodes, docs, words, bits=16)
+    deleted(docs.sparkSession, met_path)
     alike = similar(maybe, nodes, docs, words)
     copies = marks.select(F.col("row").alias("a"), "same").join(sets.select("same", F.col("row").alias("b")), "same").where("a <> b").select("a", "b")
     joined = components(copies.unionByName(links).unionByName(alike).distinct())
