@@ -108,7 +108,8 @@ def test_power_law_of_a_pareto_user_and_vuong(spark):
     assert abs(got["p"].alpha - 2.5) < 0.3 and "few" not in got
     kept = [x for x in pareto if x >= got["p"].xmin]
     assert got["p"].n_tail == len(kept) and abs(got["p"].alpha - 1 - len(kept) / np.log(np.array(kept) / got["p"].xmin).sum()) < 1e-5
-    tests = {r.did: r for r in ops["g9_vuong"](ops["g7_tail"](gaps, fit), fit).collect()}
+    tail = ops["g7_tail"](gaps, fit)
+    tests = {r.did: r for r in ops["g9_vuong"](tail, fit, ops["g9_cut_lognormal"](tail, fit)).collect()}
     assert tests["p"].r_exponential > 2 and tests["p"].p_exponential < 0.05
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TERMS, HALVINGS, FIRST = 60, 52, 20.0
+TERMS, HALVINGS, FIRST = 60, 44, 20.0
 _LN_2PI = "1.8378770664093453E0"
 
 
@@ -32,7 +32,9 @@ def truncated(moments: DataFrame) -> DataFrame:
         d = _excess(z)
         return z + F.when((1 - z * d) / (d * d) < F.col("q"), h).otherwise(-h)
 
-    found = moments.where("q < 2").withColumn("z", F.aggregate(steps, F.lit(0.0), step)).withColumn("d", _excess(F.col("z")))
+    # A row takes some thousands of steps, so even few rows are dealt to all cores.
+    dealt = moments.where("q < 2").repartition(moments.sparkSession.sparkContext.defaultParallelism, "did")
+    found = dealt.withColumn("z", F.aggregate(steps, F.lit(0.0), step)).withColumn("d", _excess(F.col("z")))
     sigma = F.col("m1") / F.col("d")
     ln_q = F.when(F.col("z") < -8, 0.0).otherwise(F.expr(f"-z * z / 2 - {_LN_2PI} / 2 - ln(d + z)"))
     return found.select("did", F.round(F.col("a") - F.col("z") * sigma, 5).alias("mu"), F.round(sigma, 6).alias("sigma"), F.round(ln_q, 7).alias("ln_q"))

@@ -1,5 +1,7 @@
 """Activity tables: counts, percentiles, histograms, distributions of values."""
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +59,21 @@ OPERATORS = (
       FROM {order_counts}, (SELECT log10(min(x)) AS lo, log10(max(x)) AS hi FROM {order_counts} WHERE x > 0) AS m WHERE x > 0) AS b WHERE bin >= 0 GROUP BY bin""", {"edges": 20}),
     O("c15_session_histogram", "Log-spaced bins of durations; those under 0.1 s fall out.", ("session_lengths",), """SELECT bin, count(*) AS n FROM (SELECT least(cast(floor((:edges - 1) * (log10(x) - lo) / nullif(hi - lo, 0) + 1e-9) AS BIGINT), :edges - 2) AS bin
       FROM {session_lengths}, (SELECT greatest(log10(min(x)), -1) AS lo, log10(max(x)) + 0.1E0 AS hi FROM {session_lengths} WHERE x > 0) AS m WHERE x > 0) AS b WHERE bin >= 0 GROUP BY bin""", {"edges": 60}),
+    O("c15_integer_histogram", "Whole values in bins between log-spaced edges from the least to 10^0.1 times the greatest, rounded to whole numbers, each once, the last bin closed.", ("order_counts",), """WITH m AS (SELECT greatest(log10(min(x)), -1) AS lo, log10(max(x)) + 0.1E0 AS hi FROM {order_counts} WHERE x > 0),
+      d AS (SELECT DISTINCT cast(round(pow(10.0E0, lo + i * (hi - lo) / (:edges - 1)), 0) AS BIGINT) AS edge FROM (SELECT lo, hi, $EACH(:edges) AS i FROM m) AS g),
+      e AS (SELECT edge, lead(edge) OVER (ORDER BY edge) AS upto, row_number() OVER (ORDER BY edge) - 1 AS bin, count(*) OVER () AS m FROM d),
+      w AS (SELECT edge, upto, bin, $SPAN(edge, last) AS x FROM (SELECT edge, upto, bin, CASE WHEN bin = m - 2 THEN upto ELSE upto - 1 END AS last FROM e WHERE upto IS NOT NULL) AS q),
+      v AS (SELECT x, count(*) AS n FROM {order_counts} WHERE x > 0 GROUP BY x)
+      SELECT w.bin, w.edge, w.upto, cast(sum(v.n) AS BIGINT) AS n FROM w JOIN v ON v.x = w.x GROUP BY w.bin, w.edge, w.upto""", {"edges": 60}),
     O("session_lengths", "Durations of sessions.", ("d3_tukey_sessions",), "SELECT did, duration_s AS x FROM {d3_tukey_sessions}"),
     O("c16_histogram", "Equal bins over a fixed range.", ("order_counts",), "SELECT bin, count(*) AS n FROM (SELECT cast(floor((x - :lo) * :n / (:hi - :lo)) AS BIGINT) AS bin FROM {order_counts} WHERE x >= :lo AND x < :hi) AS b GROUP BY bin", {"lo": 0, "hi": 50, "n": 25}),
     O("c16_clipped_histogram", "Equal bins from the least value to the percentile :clip, values over it left out, the last bin closed.", ("session_lengths",), """SELECT bin, count(*) AS n FROM (SELECT least(cast(floor((x - lo) * :n / nullif(hi - lo, 0)) AS BIGINT), :n - 1) AS bin
       FROM {session_lengths}, (SELECT min(x) AS lo, $P(x, :clip) AS hi FROM {session_lengths}) AS m WHERE x <= hi) AS b GROUP BY bin""", {"n": 25, "clip": 0.95}),
     O("c17_density_grid", "Cells of two logged values.", ("c9_events_per_active_day",), "SELECT cast(floor(log10(events) * 10 + 1e-9) AS BIGINT) AS cx, cast(floor(log10(days) * 10 + 1e-9) AS BIGINT) AS cy, count(*) AS n FROM {c9_events_per_active_day} GROUP BY 1, 2"),
+    O("c17_density_cells", "Cells of two values, :nx by :ny, even between the least and the greatest of each, by logarithm if :log is 1; the last cells closed.", ("session_sizes",), """WITH v AS (SELECT CASE WHEN :log = 1 THEN log10(cast(x AS DOUBLE)) ELSE cast(x AS DOUBLE) END AS x, CASE WHEN :log = 1 THEN log10(cast(y AS DOUBLE)) ELSE cast(y AS DOUBLE) END AS y FROM {session_sizes} WHERE x > 0 AND y > 0),
+      m AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM v)
+      SELECT cx, cy, count(*) AS n FROM (SELECT coalesce(least(cast(floor((x - x0) * :nx / nullif(x1 - x0, 0) + 1e-9) AS BIGINT), :nx - 1), 0) AS cx, coalesce(least(cast(floor((y - y0) * :ny / nullif(y1 - y0, 0) + 1e-9) AS BIGINT), :ny - 1), 0) AS cy FROM v CROSS JOIN m) AS c GROUP BY cx, cy""", {"nx": 50, "ny": 50, "log": 1}),
+    O("session_sizes", "Acts and duration of each session.", ("d4_sessions_rich",), "SELECT total_actions AS x, duration_s AS y FROM {d4_sessions_rich}"),
     O("c18_ecdf", "ECDF and both CCDFs over distinct values.", ("order_counts",), """WITH s AS (SELECT x, n, sum(n) OVER (ORDER BY x) AS c, sum(n) OVER () AS t FROM (SELECT x, count(*) AS n FROM {order_counts} GROUP BY x) AS v)
       SELECT x, n, round(c * 1.0E0 / t, 9) AS ecdf, round(1 - c * 1.0E0 / t, 9) AS ccdf, round(1 - (c - n) * 1.0E0 / t, 9) AS ccdf_inclusive FROM s""", {}, ranks.ecdf),
     O("c19_kde_grid", "Gaussian density on an even grid of :grid places from the least value to the greatest, Scott bandwidth, from distinct values, each of which tells on the places within :reach bandwidths; what lies beyond is under exp(-reach^2 / 2) of the kernel's top.", ("order_counts",), """WITH v AS (SELECT x, count(*) AS n FROM {order_counts} GROUP BY x),
@@ -85,3 +97,6 @@ OPERATORS = (
         UNION ALL SELECT CASE WHEN reply_root_uri IS NULL THEN 'posts_top' ELSE 'posts_reply' END, did FROM {posts}), t AS (SELECT did FROM {records} UNION SELECT did FROM {posts})
       SELECT kind, users, round(100.0E0 * users / (SELECT count(*) FROM t), 6) AS pct, users * 100 >= (SELECT count(*) FROM t) AS is_major FROM (SELECT kind, count(DISTINCT did) AS users FROM a GROUP BY kind) AS k"""),
 )
+
+_CELLS = next(o for o in OPERATORS if o.name == "c17_density_cells")
+OPERATORS += (replace(_CELLS, name="c17_linear_cells", doc="The same without logarithms.", params={**_CELLS.params, "log": 0}),)

@@ -112,3 +112,14 @@ OPERATORS = (
     spread("h19_virality_by_size", "Virality by size, from two nodes up.", ("h8_cascades",), "SELECT CASE " + " ".join(f"WHEN size <= {hi} THEN '{name}'" for hi, name in ((2, "2"), (3, "3"), (5, "4-5"), (10, "6-10"), (20, "11-20"), (50, "21-50"), (100, "51-100"), (500, "101-500"), (1000, "501-1000"))) + " ELSE '1001+' END AS bucket, virality FROM {h8_cascades} WHERE size >= 2", ("bucket",),
       {"n": "count(*)", "mean": "round(avg(virality), 6)", "most": "max(virality)"}, {"median": ("virality", 0.5, 6), "p90": ("virality", 0.9, 6)}),
 )
+
+_PARENTS = next(o for o in OPERATORS if o.name == "h2_parents")
+OPERATORS += (
+    O("h1_cascade_dump", "Posts as creations and reposts created, with their URIs.", ("cascade_posts", "repost_records"), """SELECT concat('at://', did, '/app.bsky.feed.post/', rkey) AS subject_uri, CAST(NULL AS STRING) AS repost_uri, CAST(NULL AS STRING) AS via_uri, did AS actor_did, time_us, 0 AS is_repost FROM {cascade_posts}
+      UNION ALL SELECT subject_uri, concat('at://', did, '/app.bsky.feed.repost/', rkey), via_uri, did, time_us, 1 FROM {repost_records} WHERE collection = 'app.bsky.feed.repost' AND operation = 'create' AND time_us > 0 AND subject_uri IS NOT NULL"""),
+    O("h1_dump_events", "Nodes of each cascade by time, a creation first on ties, whatever the first row is.", ("h1_cascade_dump",), "SELECT subject_uri, repost_uri, via_uri, actor_did, time_us, is_repost, cast(1 AS BIGINT) * row_number() OVER (PARTITION BY subject_uri ORDER BY time_us, is_repost, repost_uri) - 1 AS idx FROM {h1_cascade_dump}"),
+    O("h1_whole_cascades", "Nodes of the cascades that have a creation, which is their root whatever its time.", ("h1_cascade_dump",), """SELECT subject_uri, repost_uri, via_uri, actor_did, time_us, is_repost, cast(1 AS BIGINT) * row_number() OVER (PARTITION BY subject_uri ORDER BY is_repost, time_us, repost_uri) - 1 AS idx FROM {h1_cascade_dump} AS d
+      WHERE EXISTS (SELECT 1 FROM {h1_cascade_dump} AS c WHERE c.subject_uri = d.subject_uri AND c.is_repost = 0)"""),
+    O("h1_orphan_reposts", "Reposts of posts that have no creation, set aside: a row per post.", ("h1_cascade_dump",), "SELECT subject_uri, count(*) AS reposts, count(DISTINCT actor_did) AS actors, min(time_us) AS first_us, max(time_us) AS last_us FROM {h1_cascade_dump} GROUP BY subject_uri HAVING max(1 - is_repost) = 0"),
+    *(O(name, doc, (events,), _PARENTS.sql.replace("{h1_cascade_events}", f"{{{events}}}")) for name, doc, events in (("h2_dump_parents", "Parents in cascades rooted at their first row.", "h1_dump_events"), ("h2_whole_parents", "Parents in cascades rooted at their creation.", "h1_whole_cascades"))),
+)

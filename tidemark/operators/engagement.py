@@ -25,13 +25,16 @@ OPERATORS = (
     O("j5_degree_stats", "In and out degrees over all nodes, those without edges on that side too.", ("follows",), """WITH d AS (SELECT node, cast(sum(i) AS BIGINT) AS i, cast(sum(o) AS BIGINT) AS o FROM (SELECT subject_id AS node, 1 AS i, 0 AS o FROM {follows} UNION ALL SELECT actor_id, 0, 1 FROM {follows}) AS e GROUP BY node)
       SELECT count(*) AS nodes, cast(sum(o) AS BIGINT) AS edges, round(sum(o) * 1.0E0 / count(*), 6) AS density, """ + ", ".join(f"round(avg({c}), 6) AS {n}_mean, $P({c}, 0.5) AS {n}_median, max({c}) AS {n}_most" for n, c in (("in", "i"), ("out", "o"))) + " FROM d"),
     O("j6_follower_buckets", "Users by powers of two of followers.", ("follows", "customer"), "SELECT bucket, count(*) AS users, round(100.0E0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM (SELECT CASE WHEN d IS NULL THEN -1 ELSE cast(floor(ln(cast(d AS DOUBLE)) / ln(2.0E0) + 1e-9) AS BIGINT) END AS bucket FROM {customer} LEFT JOIN (SELECT subject_id, count(*) AS d FROM {follows} GROUP BY subject_id) AS f ON c_custkey = subject_id) AS b GROUP BY bucket"),
-    O("j7_stratified_batch", "About :n users not yet done, in proportion to all users' follower buckets, one of each at least; what buckets lack is topped up from the others.", ("follows", "users_done"), """WITH f AS (SELECT subject_id, floor(ln(cast(count(*) AS DOUBLE)) / ln(2.0E0) + 1e-9) AS b FROM {follows} GROUP BY subject_id),
+    O("j7_stratified_batch", "About :n users not yet done, drawn by hash of :seed and user, in proportion to all users' follower buckets, one of each at least; what buckets lack is topped up from the others. Of a bucket only the first of :slices slices of hashes that hold enough are ranked.", ("follows", "users_done"), """WITH f AS (SELECT subject_id, floor(ln(cast(count(*) AS DOUBLE)) / ln(2.0E0) + 1e-9) AS b FROM {follows} GROUP BY subject_id),
       share AS (SELECT b, greatest(ceil(:n * 1.0E0 * count(*) / sum(count(*)) OVER ()), 1) AS most FROM f GROUP BY b),
-      r AS (SELECT f.subject_id, f.b, row_number() OVER (PARTITION BY f.b ORDER BY f.subject_id) AS r FROM f WHERE NOT EXISTS (SELECT 1 FROM {users_done} AS u WHERE u.subject_id = f.subject_id)),
-      first AS (SELECT r.subject_id, r.b, r.r <= share.most AS chosen FROM r JOIN share ON r.b = share.b),
-      lack AS (SELECT greatest((SELECT sum(most) FROM share) - count(*), 0) AS n FROM first WHERE chosen),
-      rest AS (SELECT subject_id, row_number() OVER (ORDER BY subject_id) AS r FROM (SELECT subject_id FROM first WHERE NOT chosen ORDER BY subject_id LIMIT :n) AS q)
-      SELECT subject_id, false AS topped_up FROM first WHERE chosen UNION ALL SELECT subject_id, true FROM rest WHERE r <= (SELECT n FROM lack)""", {"n": 100}),
+      u AS (SELECT f.subject_id, f.b, $UNIFORM(':seed:' || f.subject_id) AS u FROM f WHERE NOT EXISTS (SELECT 1 FROM {users_done} AS d WHERE d.subject_id = f.subject_id)),
+      c AS (SELECT b, floor(u * :slices) AS slice, count(*) AS n FROM u GROUP BY 1, 2),
+      s AS (SELECT b, slice, sum(n) OVER (PARTITION BY b ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS before FROM c),
+      near AS (SELECT u.subject_id, u.b, u.u, share.most FROM u JOIN s ON s.b = u.b AND s.slice = floor(u.u * :slices) JOIN share ON share.b = u.b WHERE s.before < share.most),
+      first AS (SELECT subject_id FROM (SELECT subject_id, most, row_number() OVER (PARTITION BY b ORDER BY u, subject_id) AS r FROM near) AS q WHERE r <= most),
+      lack AS (SELECT greatest((SELECT sum(most) FROM share) - count(*), 0) AS n FROM first),
+      rest AS (SELECT subject_id, row_number() OVER (ORDER BY u, subject_id) AS r FROM (SELECT subject_id, u FROM u WHERE NOT EXISTS (SELECT 1 FROM first WHERE first.subject_id = u.subject_id) ORDER BY u, subject_id LIMIT :n) AS q)
+      SELECT subject_id, false AS topped_up FROM first UNION ALL SELECT subject_id, true FROM rest WHERE r <= (SELECT n FROM lack)""", {"n": 100, "seed": 42, "slices": 4096}),
     O("i9_decay_pooled", "Slope of ln of the events so far on ln time, over quarter-octave time bins of all posts.", ("i1_engagement_events",), """WITH b AS (SELECT cast(floor(4 * ln((time_us - created_us) / 1e6) / ln(2.0E0)) AS INT) AS bin, count(*) AS c FROM {i1_engagement_events} WHERE time_us > created_us GROUP BY 1)
       SELECT count(*) AS bins, round(regr_slope(y, x), 6) AS beta FROM (SELECT (bin + 1) * ln(2.0E0) / 4 AS x, ln(cast(sum(c) OVER (ORDER BY bin) AS DOUBLE)) AS y FROM b) AS s"""),
     O("i9_decay_by_count", "Slopes of posts by number of engagements.", ("i9_decay_per_post",), "SELECT CASE WHEN n < 100 THEN '20-99' WHEN n < 1000 THEN '100-999' WHEN n < 10000 THEN '1K-10K' ELSE '10K+' END AS bucket, count(*) AS posts, round(avg(beta), 5) AS mean, round($P(beta, 0.5), 5) AS median FROM {i9_decay_per_post} GROUP BY 1"),

@@ -19,6 +19,12 @@ ADAPTERS = (
   CASE WHEN idx > 0 AND event_id % 10 < 3 AND greatest(idx - 1 - event_id % 5, 0) > 0 THEN concat('r:', cast(k AS STRING), ':', cast(greatest(idx - 1 - event_id % 5, 0) AS STRING)) END AS via_uri,
   concat('did:', cast(user_id AS STRING)) AS actor_did, time_us, event_id
   FROM (SELECT $K AS k, event_id, user_id, $US AS time_us, cast(1 AS BIGINT) * row_number() OVER (PARTITION BY $K ORDER BY ts, event_id) - 1 AS idx FROM {events}) AS z"""),
+    O("cascade_rows", "Events of each cascade, numbered, with the author of the first.", ("events",), """SELECT k, idx, event_id, event_type, user_id, time_us, first_value(user_id) OVER (PARTITION BY k ORDER BY idx) AS author
+  FROM (SELECT $K AS k, event_id, event_type, user_id, $US AS time_us, cast(1 AS BIGINT) * row_number() OVER (PARTITION BY $K ORDER BY ts, event_id) - 1 AS idx FROM {events}) AS z"""),
+    O("cascade_posts", "The posts that cascades begin with, but for those that are follows in the log: their post is missing.", ("cascade_rows",), "SELECT concat('did:', cast(user_id AS STRING)) AS did, cast(k AS STRING) AS rkey, time_us FROM {cascade_rows} WHERE idx = 0 AND event_type <> 'error'"),
+    O("repost_records", "What follows the first of a cascade as records: likes, and reposts that are created, updated or deleted, with the repost they came by.", ("cascade_rows",), """SELECT concat('did:', cast(a.user_id AS STRING)) AS did, cast(a.event_id AS STRING) AS rkey, a.time_us, CASE WHEN a.event_type = 'view' THEN 'app.bsky.feed.like' ELSE 'app.bsky.feed.repost' END AS collection,
+  CASE WHEN a.event_type = 'error' THEN 'delete' ELSE 'create' END AS operation, concat('at://did:', cast(a.author AS STRING), '/app.bsky.feed.post/', cast(a.k AS STRING)) AS subject_uri, CASE WHEN b.idx > 0 THEN concat('at://did:', cast(b.user_id AS STRING), '/app.bsky.feed.repost/', cast(b.event_id AS STRING)) END AS via_uri
+  FROM {cascade_rows} AS a LEFT JOIN {cascade_rows} AS b ON a.k = b.k AND b.idx = a.idx - 1 - a.event_id % 5 AND b.idx > 0 AND a.event_id % 10 < 3 WHERE a.idx > 0"""),
     O("engagement_log", "Engagements of one post per k: the first event creates it.", ("events",), """SELECT k, event_id, time_us, idx,
   CASE event_type WHEN 'view' THEN 'like' WHEN 'click' THEN 'repost' WHEN 'signup' THEN 'reply' END AS type
   FROM (SELECT $K AS k, event_id, event_type, $US AS time_us, cast(1 AS BIGINT) * row_number() OVER (PARTITION BY $K ORDER BY ts, event_id) - 1 AS idx FROM {events}) AS z"""),

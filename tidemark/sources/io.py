@@ -1,17 +1,35 @@
 """Readers, exports and samples."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CASCADE_COLUMNS = ("subject_uri", "repost_uri", "via_uri", "actor_did", "time_us", "is_repost")
 
 
+def cascade_lines(spark: SparkSession, path: str) -> DataFrame:
+    r"""Lines of a cascade dump with their fields and why they can't be read (reason): empty, under six fields, a time that is no whole number, or one beyond a long."""
+    fields = F.split("line", "\t", -1)
+    lines = spark.read.text(path).select(F.col("value").alias("line"), fields.alias("fields"), F.size(fields).alias("n"))
+    time = F.get("fields", F.lit(4))
+    whole = time.rlike("^[+-]?[0-9]+$")
+    reason = F.when(F.length("line") == 0, "empty").when(F.col("n") < 6, "short").when(~whole, "time").when(time.try_cast("long").isNull(), "time range")
+    return lines.withColumn("reason", reason)
+
+
 def read_cascade_tsv(spark: SparkSession, path: str) -> DataFrame:
-    r"""Tab-separated cascade dump: \N and NULL are null; short rows and rows without a whole time are dropped."""
-    raw = spark.read.schema(", ".join(f"{c} string" for c in CASCADE_COLUMNS)).option("sep", "\t").option("quote", "").csv(path)
-    null = lambda c: F.when(~F.col(c).isin("\\N", "NULL"), F.col(c))
-    rows = raw.where(F.col("is_repost").isNotNull()).select(*[null(c).alias(c) for c in CASCADE_COLUMNS])
-    return rows.withColumn("time_us", F.col("time_us").try_cast("long")).where("time_us is not null").withColumn("is_repost", F.col("is_repost").isin("1", "true"))
+    r"""Tab-separated cascade dump: \N and NULL are null; what ``rejected_lines`` counts is dropped; fields after the sixth are ignored."""
+    null = lambda c: F.when(~c.isin("\\N", "NULL"), c)
+    field = {c: F.col("fields")[i] for i, c in enumerate(CASCADE_COLUMNS)}
+    texts = [(null(c) if n in ("repost_uri", "via_uri") else c).alias(n) for n, c in field.items() if n not in ("time_us", "is_repost")]
+    rows = cascade_lines(spark, path).where("reason IS NULL")
+    return rows.select(*texts, field["time_us"].try_cast("long").alias("time_us"), field["is_repost"].isin("1", "true").alias("is_repost"))
+
+
+def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(reason, lines, example) of the lines of a cascade dump that are dropped."""
+    return cascade_lines(spark, path).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("lines"), F.min("line").alias("example"))
 
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
@@ -21,9 +39,14 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("did", "time_us", "operation", "collection", "rkey", get("$.subject.uri").alias("subject_uri"), get("$.via.uri").alias("via_uri"), get("$['$type']").alias("type"))
 
 
-def export_sessions(sessions: DataFrame, path: str, source: str) -> None:
-    """CSV part files sorted by user and start, with a source column."""
-    sessions.withColumn("source", F.lit(source)).repartitionByRange("did", "session_start").sortWithinPartitions("did", "session_start").write.option("header", True).csv(path)
+#: The columns that reports read, in order; the tag of that layout is source_table.
+EXPORT_COLUMNS = ("did", "session_start", "session_end", "next_session_start", "duration_s", "reposts", "posts_authored")
+
+
+def export_sessions(sessions: DataFrame, path: str, source: str, columns: Sequence[str] = (), tag: str = "source") -> None:
+    """CSV part files sorted by user and start: those columns in that order (all, if none are named), then the source; a null is empty. A column that isn't there is an error."""
+    rows = sessions.select(*(columns or sessions.columns), F.lit(source).alias(tag))
+    rows.repartitionByRange("did", "session_start").sortWithinPartitions("did", "session_start").write.option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 
 def sample_users(df: DataFrame, n: int, seed: int = 0, user: str = "did") -> DataFrame:
