@@ -302,7 +302,8 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = 5,
     a thousand shingles is taken for more alike than it is by one shingle in some thousands of pairs.
     """
     pairs, pairs_path = written(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(sorted_side(nodes), "row")
+    ends = [pairs.select(F.col(end).alias("row")).distinct() for end in ("a", "b")]
+    wanted = ends[0].union(ends[1]).distinct().join(sorted_side(nodes), "row")
     unsigned, signed, kind = (np.uint16, np.int16, "smallint") if bits == 16 else (np.uint32, np.int32, "int")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
