@@ -69,7 +69,9 @@ def counted(docs: DataFrame, lang_col: str = "lang", source_col: str = "source",
 
 
 def _share(count: str, total: str, kept: str) -> str:
-    return f"(1 + (CAST(1000000000 AS DECIMAL(10, 0)) * CAST({count} + 1 AS DECIMAL(20, 0))) div CAST({total} + {kept} AS DECIMAL(20, 0)))"
+    """In longs, or in decimals where 10^9 times the count is beyond one."""
+    of = f"({total} + {kept})"
+    return f"(1 + CASE WHEN {count} < 9000000000 THEN (1000000000 * CAST({count} + 1 AS BIGINT)) div {of} ELSE (CAST(1000000000 AS DECIMAL(10, 0)) * CAST({count} + 1 AS DECIMAL(20, 0))) div CAST({of} AS DECIMAL(20, 0)) END)"
 
 
 def _apart(p: str, q: str) -> str:
