@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tidemark.llm import centroids, divergence, subspace
+from tidemark.llm import centroids, divergence, matroska, subspace
 
 SF = "/root/testdata/sf0.001"
 
@@ -147,3 +147,18 @@ def test_planes_are_exact():
     a[0], b[0] = -(2**26), 2**9 - 1
     assert (centroids.numbers(centroids.planes(a)) == a).all() and (centroids.dots(centroids.planes(a), centroids.planes(b)) == a @ b.T).all()
     assert (centroids.squares(centroids.planes(a)) == (a * a).sum(1)).all()
+
+
+def test_damaged_media_never_end_a_job():
+    rng = np.random.default_rng(8)
+    whole = [matroska.mux(rng.bytes(64 * n)) for n in (1, 9, 40)]
+    cells = []
+    for i in range(10_000):
+        cell = bytearray(whole[i % 3])
+        for at in rng.integers(0, min(len(cell), 400), rng.integers(1, 4)):
+            cell[at] = rng.integers(0, 256)
+        cells.append(bytes(cell))
+    cells += [None, b"", b"\x1a\x45\xdf\xa3", rng.bytes(500)]
+    told = matroska.tables(cells)
+    assert {len(x) for x in told} == {len(cells)} and set(told[4].to_pylist()) == {None, "truncated", "not Matroska", "number out of range"}
+    assert [x.to_pylist() for x in matroska.tables(whole)[:1]] == [[matroska.tables([w])[0][0].as_py() for w in whole]]

@@ -14,6 +14,7 @@ error ``not Matroska``; a cell cut short yields its whole packets and the error
 from __future__ import annotations
 
 import struct
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -163,7 +164,7 @@ def track(data: bytes, a: int, b: int) -> tuple:
     kind = whole(of, TRACK_TYPE)
     codec = data[slice(*of[CODEC_ID])].rstrip(b"\0").decode("ascii", "replace") if CODEC_ID in of else None
     hertz = real(data, *audio[SAMPLING]) if SAMPLING in audio else None
-    return whole(of, TRACK_NUMBER), whole(of, TRACK_UID), TRACK_TYPES.get(kind, kind and str(kind)), codec, whole(of, DEFAULT_DURATION), hertz, whole(audio, CHANNELS), whole(audio, BIT_DEPTH)
+    return whole(of, TRACK_NUMBER), whole(of, TRACK_UID), TRACK_TYPES.get(kind, None if kind is None else str(kind)), codec, whole(of, DEFAULT_DURATION), hertz, whole(audio, CHANNELS), whole(audio, BIT_DEPTH)
 
 
 def parse(data: bytes) -> tuple[list[tuple], list[tuple], str | None]:
@@ -250,16 +251,34 @@ def parse_all(data: bytes) -> tuple[list[tuple], list[tuple], str | None, list[t
     return timed, cues, error, tracks
 
 
-def _lists(rows: list[list[tuple]], fields: dict[str, pa.DataType]) -> pa.ListArray:
+#: First whole number that a field of the type can't hold; the least is its opposite.
+BEYOND = {pa.int32(): 2**31, pa.int64(): 2**63, pa.decimal128(20, 0): 10**20}
+
+
+def _lists(rows: list[list[tuple]], fields: dict[str, pa.DataType], wild: set[int]) -> pa.ListArray:
+    """A list of structs a cell. A number that its field can't hold is null, and the cell is added to wild."""
     ends, columns = [0], [[] for _ in fields]
     for row in rows:
         ends.append(ends[-1] + len(row))
         for values, x in zip(columns, zip(*row, strict=True), strict=False):
             values.extend(x)
+    for values, most in zip(columns, map(BEYOND.get, fields.values()), strict=True):
+        if most:
+            for i in [i for i, x in enumerate(values) if x is not None and not -most <= x < most]:
+                values[i] = None
+                wild.add(bisect_right(ends, i) - 1)
     arrays = [pa.array(v, t) for v, t in zip(columns, fields.values(), strict=True)]
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, list(fields)))
 
 
+def tables(cells: list[bytes | None]) -> list[pa.Array]:
+    """payload, packets, cues, tracks and error of each cell."""
+    found, wild = [parse_all(x or b"") for x in cells], set()
+    payload = [b"".join(x[p[7] : p[7] + p[8]] for p in packets if p[0] == packets[0][0]) for x, (packets, *_) in zip(cells, found, strict=True)]
+    lists = [_lists([f[i] for f in found], fields, wild) for i, fields in ((0, PACKET), (1, CUE), (3, TRACK))]
+    return [pa.array(payload, pa.binary()), *lists, pa.array([f[2] or ("number out of range" if i in wild else None) for i, f in enumerate(found)], pa.string())]
+
+
 def muxed(df: DataFrame, id_col: str, payload: Column, also: dict[str, Column]) -> DataFrame:
     """(id_col, also's columns, media)."""
     small_batches(df.sparkSession)
@@ -274,17 +293,14 @@ def muxed(df: DataFrame, id_col: str, payload: Column, also: dict[str, Column])
 
 
 def demuxed(df: DataFrame, media: str = "media") -> DataFrame:
-    """df with payload (the bytes of the first packet's track), packets, cues, tracks and error; such columns that df has are replaced."""
+    """df with payload (the bytes of the first packet's track), packets, cues, tracks and error; such columns that df has are replaced.
+
+    Any bytes are read: what is cut off, or holds a number beyond its field, which is then null, has an error.
+    """
     fields = lambda x: ", ".join(f"{k}: {({pa.int32(): 'int', pa.int64(): 'bigint', pa.bool_(): 'boolean', pa.string(): 'string', pa.float64(): 'double', pa.decimal128(20, 0): 'decimal(20,0)'})[v]}" for k, v in x.items())
     new = StructType.fromDDL(f"payload binary, packets array<struct<{fields(PACKET)}>>, cues array<struct<{fields(CUE)}>>, tracks array<struct<{fields(TRACK)}>>, error string")
 
-    def read(column: pa.Array) -> list[pa.Array]:
-        cells = column.to_pylist()
-        found = [parse_all(x or b"") for x in cells]
-        payload = [b"".join(x[p[7] : p[7] + p[8]] for p in packets if p[0] == packets[0][0]) for x, (packets, *_) in zip(cells, found, strict=True)]
-        return [pa.array(payload, pa.binary()), _lists([f[0] for f in found], PACKET), _lists([f[1] for f in found], CUE), _lists([f[3] for f in found], TRACK), pa.array([f[2] for f in found], pa.string())]
-
-    return with_arrow(df, media, lambda: read, new)
+    return with_arrow(df, media, lambda: lambda column: tables(column.to_pylist()), new)
 
 
 def packet_table(df: DataFrame, id_col: str, media: str = "media") -> DataFrame:
