@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tidemark.llm import centroids, divergence, matroska, subspace
+from tidemark.llm import centroids, divergence, html_text, matroska, subspace
 
 SF = "/root/testdata/sf0.001"
 
@@ -162,3 +162,13 @@ def test_damaged_media_never_end_a_job():
     told = matroska.tables(cells)
     assert {len(x) for x in told} == {len(cells)} and set(told[4].to_pylist()) == {None, "truncated", "not Matroska", "number out of range"}
     assert [x.to_pylist() for x in matroska.tables(whole)[:1]] == [[matroska.tables([w])[0][0].as_py() for w in whole]]
+
+
+@pytest.mark.parametrize("name", ["reader-comments", "user-comments", "visitor_comments", "alert", "site-alert"])
+def test_comments_and_alerts_by_compound_names(spark, name):
+    body = "".join(f"<p>Paragraph {i} of the story, which says a good deal, and then some more.</p>" for i in range(6))
+    aside = "<p>I do not agree at all, said a reader, at some length, and twice.</p>" * 3
+    html = [f"<html><body><article>{body}<div class='{name}'>{aside}</div></article></body></html>", f"<html><body class='has-alert user-page'><article>{body}</article><div id='{name}'>{aside}</div></body></html>"]
+    rows = html_text.extracted(spark.createDataFrame([(i, "http://x", h) for i, h in enumerate(html)], "page_id long, url string, html string")).collect()
+    want = " ".join(f"Paragraph {i} of the story, which says a good deal, and then some more." for i in range(6))
+    assert [r.text for r in rows] == [want, want]

@@ -38,11 +38,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 NEVER = frozenset("head title nav footer header aside form button menu dialog figure fieldset".split())
 NEVER_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer form header login masthead"
+    "ad ads advert adverts advertisement advertising alert alerts banner banners breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer form header login masthead"
     " menu modal nav navbar navigation newsletter notice notices pagination pager popup promo recommended related search share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary".split()
 )
 #: Words that make a known compound with one of NEVER_NAMES (site-footer, ad-slot), while any other word (has-sidebar) does not.
-LAYOUT = frozenset("area bar block bottom box buttons container global icons inner items left links list main page panel posts primary right row secondary section site slot top unit wrap wrapper".split())
+LAYOUT = frozenset("area bar block bottom box buttons container global icons inner items left links list main page panel posts primary reader readers right row secondary section site slot top unit user users visitor visitors wrap wrapper".split())
 #: Elements that no name excludes, and those that can be the content root.
 PAGE = frozenset("html body main article".split())
 ROOTS = PAGE | frozenset("div section center table tbody tr td".split())
