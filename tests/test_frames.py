@@ -15,8 +15,7 @@ def op(module, name):
 
 def test_virality_of_star_and_chain(spark):
     nodes = [("s", i, None if i == 0 else 0) for i in range(5)] + [("c", i, None if i == 0 else i - 1) for i in range(5)]
-    closure = cascades.ancestor_closure(spark.createDataFrame(nodes, "subject_uri string, idx long, pidx long"))
-    sizes = op(cascades, "h6_subtree_sizes")(closure)
+    sizes = op(cascades, "h6_subtree_sizes")(cascades.shape(spark.createDataFrame(nodes, "subject_uri string, idx long, pidx long")))
     got = {r.subject_uri: r.virality for r in op(cascades, "h7_structural_virality")(sizes).collect()}
     assert got == {"s": 1.6, "c": 2.0}
 
@@ -131,6 +130,27 @@ def test_rings_and_deep_chains(spark):
     assert cascades.ancestor_closure(nodes.limit(0)).count() == 0
 
 
+def test_shape_equals_counting_in_plain_python(spark):
+    rng = np.random.default_rng(11)
+    forests = {"empty": [None], "none": [None, 7, 1], "chain": [None, *range(500)], "star": [None] + [0] * 50, "ring": [None, 0, 1, 4, 3, 4, 6]}
+    forests |= {f"r{t}": [None] + [int(rng.integers(max(0, i - 3), i + (rng.random() < 0.05))) for i in range(1, 40)] for t in range(12)}
+    want = set()
+    for name, parents in forests.items():
+        path = {}
+        for i in range(len(parents)):
+            way = [i]
+            while way[-1] and len(way) <= len(parents) and (parents[way[-1]] or 0) < len(parents):
+                way.append(parents[way[-1]])
+            if way[-1] == 0:
+                path[i] = way
+        for i in path:
+            want.add((name, i, len(path[i]) - 1, sum(p[1] == i for p in path.values() if len(p) > 1), sum(i in p for p in path.values())))
+    nodes = spark.createDataFrame([(n, i, p) for n, ps in forests.items() for i, p in enumerate(ps)], "subject_uri string, idx long, pidx long")
+    got = [tuple(r) for r in cascades.shape(nodes).select("subject_uri", "idx", "depth", "children", "size").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert cascades.shape(nodes.limit(0)).count() == 0
+
+
 def tree(spark):
     """Root 0 with children 1 to 4 at 10, 11, 20 and 22; 5 and 6 under 1, 7 under 5, 8 under 7; 9 and 10 hang on each other."""
     rows = [(0, "r", 0, None), (1, "a", 10, 0), (2, "b", 11, 0), (3, "c", 20, 0), (4, "d", 22, 0), (5, "e", 30, 1), (6, "f", 34, 1), (7, "g", 50, 5), (8, "h", 51, 7), (9, "x", 60, 10), (10, "y", 61, 9)]
@@ -139,7 +159,7 @@ def tree(spark):
 
 def test_broadcast_groups_by_hand(spark):
     nodes = tree(spark)
-    depth = op(cascades, "h4_node_depths")(cascades.ancestor_closure(nodes))
+    depth = op(cascades, "h4_node_depths")(cascades.shape(nodes))
     got = {r.pidx: r for r in op(cascades, "h10_broadcast_groups")(nodes, depth).collect()}
     assert set(got) == {0, 1, 5, 7}  # 9 and 10 are not reached
     assert (got[0].broadcast_size, got[0].mean_gap_us, got[0].median_gap_us, got[0].mid_gap_us, got[0].parent_did) == (4, 4, 2, 9, "r")
@@ -160,7 +180,7 @@ def test_virality_equals_all_pairs(spark):
     rng = np.random.default_rng(3)
     parents = {t: [None] + [int(rng.integers(0, i)) for i in range(1, 3 + 3 * t)] for t in range(8)}
     nodes = spark.createDataFrame([(str(t), i, p) for t, ps in parents.items() for i, p in enumerate(ps)], "subject_uri string, idx long, pidx long")
-    got = {r.subject_uri: r.virality for r in op(cascades, "h7_structural_virality")(op(cascades, "h6_subtree_sizes")(cascades.ancestor_closure(nodes))).collect()}
+    got = {r.subject_uri: r.virality for r in op(cascades, "h7_structural_virality")(op(cascades, "h6_subtree_sizes")(cascades.shape(nodes))).collect()}
     for t, ps in parents.items():
         n = len(ps)
         d = np.zeros((n, n))

@@ -64,6 +64,41 @@ def ancestor_closure(nodes: DataFrame) -> DataFrame:
     return checkpointed(out)
 
 
+def shape(nodes: DataFrame) -> DataFrame:
+    """(subject_uri, idx, depth, children, size) of the nodes that the root, idx 0, reaches; size counts the nodes under one, itself included.
+
+    No pairs of nodes and ancestors are made: each node holds a pointer that a round sends twice as far up, and the nodes less
+    far below it, counted. A node that points to another at just 2^k adds its count to that one's, so rows times the logarithm of
+    the depth are the work. Nodes right under the root that have no children stay out of the rounds. A round in which no pointer
+    comes to the root is the last: depths have no holes, so what still points elsewhere hangs on a ring or on no node at all.
+    """
+    key = ["subject_uri", "idx"]
+    rows = checkpointed(nodes.select("subject_uri", "idx", "pidx"))
+    deep, top = rows.where("idx > 0 AND pidx > 0"), rows.where("idx > 0 AND pidx = 0")
+    over = deep.select("subject_uri", F.col("pidx").alias("idx")).distinct()
+    start = deep.unionByName(top.join(over, key, "left_semi"))
+    state = checkpointed(start.select(*key, "pidx", F.col("pidx").alias("up"), F.lit(1).alias("far"), F.lit(1).cast("long").alias("size")))
+    at = F.expr("CASE WHEN up > 0 THEN up ELSE -idx END")  # no two rows whose pointer has come to its end share a key
+    counts = lambda df: df.agg(F.count_if(F.col("up") == 0), F.count_if(F.col("up") > 0)).first()
+    ended, moving = counts(state)
+    while moving:
+        more = state.where("up > 0").groupBy("subject_uri", F.col("up").alias("idx")).agg(F.sum("size").alias("more"))
+        hop = state.select("subject_uri", F.col("idx").alias("at"), F.col("up").alias("up2"), F.col("far").alias("far2"))
+        met = state.join(more, key, "left").withColumn("at", at).join(hop, ["subject_uri", "at"], "left")
+        state = checkpointed(met.select(*key, "pidx", F.expr("CASE WHEN up > 0 THEN coalesce(up2, -1) ELSE up END").alias("up"), F.expr("far + coalesce(far2, 0)").alias("far"), F.expr("size + coalesce(more, 0)").alias("size")))
+        before = ended
+        ended, moving = counts(state)
+        if ended == before:
+            break
+    lone = top.join(over, key, "left_anti").select(*key, "pidx", F.lit(1).alias("depth"), F.lit(1).cast("long").alias("size"))
+    reached = state.where("up = 0").select(*key, "pidx", F.col("far").alias("depth"), "size").unionByName(lone)
+    kids = checkpointed(reached.groupBy("subject_uri", F.col("pidx").alias("idx")).agg(F.count(F.lit(1)).alias("children")))
+    under = kids.groupBy("subject_uri").agg(F.sum("children").alias("under"))
+    root = rows.where("idx = 0").join(under, "subject_uri", "left").select(*key, F.lit(0).alias("depth"), (F.coalesce("under", F.lit(0)) + 1).alias("size"))
+    out = reached.drop("pidx").unionByName(root).join(kids, key, "left")
+    return checkpointed(out.select(*key, "depth", F.coalesce("children", F.lit(0)).cast("long").alias("children"), "size"))
+
+
 _CLOSURE = """WITH RECURSIVE c AS (SELECT subject_uri, idx, idx AS anc, 0 AS dist FROM {h2_parents} UNION ALL SELECT c.subject_uri, c.idx, n.pidx, c.dist + 1 FROM c JOIN {h2_parents} AS n ON n.subject_uri = c.subject_uri AND n.idx = c.anc WHERE n.idx > 0)
   SELECT subject_uri, idx, anc, dist FROM c"""
 
@@ -73,14 +108,16 @@ OPERATORS = (
       LEFT JOIN (SELECT subject_uri, repost_uri, max(idx) AS idx FROM {h1_cascade_events} WHERE repost_uri IS NOT NULL GROUP BY subject_uri, repost_uri) AS v ON n.subject_uri = v.subject_uri AND n.via_uri = v.repost_uri"""),
     O("h3_cascade_edges", "Reposts with their parent's author.", ("h2_parents",), "SELECT n.subject_uri, n.idx, n.actor_did, n.time_us, p.actor_did AS parent_did FROM {h2_parents} AS n JOIN {h2_parents} AS p ON n.subject_uri = p.subject_uri AND n.pidx = p.idx WHERE n.idx > 0"),
     O("h_closure", "Ancestors of each node.", ("h2_parents",), _CLOSURE, {}, ancestor_closure),
-    O("h4_node_depths", "Depth of each node.", ("h_closure",), "SELECT subject_uri, idx, max(dist) AS depth FROM {h_closure} GROUP BY subject_uri, idx"),
-    O("h5_out_degrees", "Children of each node.", ("h_closure",), "SELECT subject_uri, anc AS idx, count(*) AS children FROM {h_closure} WHERE dist = 1 GROUP BY subject_uri, anc"),
-    O("h6_subtree_sizes", "Nodes under each node, itself included.", ("h_closure",), "SELECT subject_uri, anc AS idx, count(*) AS size FROM {h_closure} GROUP BY subject_uri, anc"),
-    O("h7_structural_virality", "Mean distance between nodes.", ("h6_subtree_sizes",), """SELECT subject_uri, n, CASE WHEN n > 1 THEN round(2.0E0 * s / (n * (n - 1.0E0)), 9) ELSE 0.0E0 END AS virality
-      FROM (SELECT subject_uri, max(size) AS n, coalesce(sum(CASE WHEN idx > 0 THEN size * (t - size) END), 0) AS s FROM (SELECT *, max(size) OVER (PARTITION BY subject_uri) AS t FROM {h6_subtree_sizes}) AS z GROUP BY subject_uri) AS v"""),
-    O("h8_cascades", "A row per cascade.", ("h2_parents", "h4_node_depths", "h5_out_degrees", "h7_structural_virality"), """SELECT r.subject_uri, r.actor_did AS author_did, r.time_us AS creation_time_us, c.size, d.depth, coalesce(o.most, 0) AS max_out_degree, v.virality
-      FROM (SELECT * FROM {h2_parents} WHERE idx = 0) AS r JOIN (SELECT subject_uri, count(*) AS size FROM {h2_parents} GROUP BY subject_uri) AS c ON r.subject_uri = c.subject_uri JOIN (SELECT subject_uri, max(depth) AS depth FROM {h4_node_depths} GROUP BY subject_uri) AS d ON r.subject_uri = d.subject_uri
-      LEFT JOIN (SELECT subject_uri, max(children) AS most FROM {h5_out_degrees} GROUP BY subject_uri) AS o ON r.subject_uri = o.subject_uri JOIN {h7_structural_virality} AS v ON r.subject_uri = v.subject_uri"""),
+    O("h_shape", "Depth of each node, its children, and the nodes under it, itself included.", ("h2_parents",), f"""SELECT a.subject_uri, a.idx, a.depth, coalesce(b.children, 0) AS children, b.size FROM (SELECT subject_uri, idx, max(dist) AS depth FROM ({_CLOSURE}) AS p GROUP BY subject_uri, idx) AS a
+      JOIN (SELECT subject_uri, anc, count(*) AS size, count(CASE WHEN dist = 1 THEN 1 END) AS children FROM ({_CLOSURE}) AS q GROUP BY subject_uri, anc) AS b ON b.subject_uri = a.subject_uri AND b.anc = a.idx""", {}, shape),
+    O("h4_node_depths", "Depth of each node.", ("h_shape",), "SELECT subject_uri, idx, depth FROM {h_shape}"),
+    O("h5_out_degrees", "Children of each node that has some.", ("h_shape",), "SELECT subject_uri, idx, children FROM {h_shape} WHERE children > 0"),
+    O("h6_subtree_sizes", "Nodes under each node, itself included.", ("h_shape",), "SELECT subject_uri, idx, size FROM {h_shape}"),
+    O("h7_structural_virality", "Mean distance between nodes: each edge parts a subtree from the rest, so the sizes' sum and sum of squares give it.", ("h6_subtree_sizes",), """SELECT subject_uri, n, CASE WHEN n > 1 THEN round(2.0E0 * (n * a - b) / (n * (n - 1.0E0)), 9) ELSE 0.0E0 END AS virality
+      FROM (SELECT subject_uri, max(size) AS n, coalesce(sum(CASE WHEN idx > 0 THEN size END), 0) AS a, coalesce(sum(CASE WHEN idx > 0 THEN size * size END), 0) AS b FROM {h6_subtree_sizes} GROUP BY subject_uri) AS v"""),
+    O("h8_cascades", "A row per cascade.", ("h2_parents", "h_shape", "h7_structural_virality"), """SELECT r.subject_uri, r.author_did, r.creation_time_us, r.size, d.depth, d.max_out_degree, v.virality
+      FROM (SELECT subject_uri, max(CASE WHEN idx = 0 THEN actor_did END) AS author_did, max(CASE WHEN idx = 0 THEN time_us END) AS creation_time_us, count(*) AS size FROM {h2_parents} GROUP BY subject_uri) AS r
+      JOIN (SELECT subject_uri, max(depth) AS depth, max(children) AS max_out_degree FROM {h_shape} GROUP BY subject_uri) AS d ON r.subject_uri = d.subject_uri JOIN {h7_structural_virality} AS v ON r.subject_uri = v.subject_uri"""),
     O("h10_broadcast_groups", "Children of each parent that the root reaches: its author, size, gaps (true median, and the middle of them by place, the mean of two if they are even), trend.", ("h2_parents", "h4_node_depths"), """WITH g AS (SELECT c.subject_uri, c.pidx, c.idx, c.time_us, c.time_us - lag(c.time_us) OVER w AS gap, row_number() OVER w - 1 AS j, count(*) OVER (PARTITION BY c.subject_uri, c.pidx) AS k
         FROM {h2_parents} AS c JOIN {h4_node_depths} AS d ON d.subject_uri = c.subject_uri AND d.idx = c.idx WHERE c.idx > 0 WINDOW w AS (PARTITION BY c.subject_uri, c.pidx ORDER BY c.idx)),
       b AS (SELECT subject_uri, pidx, count(*) AS broadcast_size, round(coalesce(avg(gap), 0), 3) AS mean_gap_us, coalesce($P(gap, 0.5), 0.0E0) AS median_gap_us, coalesce(avg(CASE WHEN j IN (floor(k / 2), ceil(k / 2)) AND j > 0 THEN cast(gap AS DOUBLE) END), 0.0E0) AS mid_gap_us,
