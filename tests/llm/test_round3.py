@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tidemark.llm import centroids, divergence, html_text, matroska, subspace
+from tidemark.llm import centroids, divergence, html_text, matroska, sharding, subspace
 
 SF = "/root/testdata/sf0.001"
 
@@ -172,3 +172,15 @@ def test_comments_and_alerts_by_compound_names(spark, name):
     rows = html_text.extracted(spark.createDataFrame([(i, "http://x", h) for i, h in enumerate(html)], "page_id long, url string, html string")).collect()
     want = " ".join(f"Paragraph {i} of the story, which says a good deal, and then some more." for i in range(6))
     assert [r.text for r in rows] == [want, want]
+
+
+@pytest.mark.parametrize("part", [64, 1 << 16])
+def test_equal_rows_are_dealt_over_all_shards(spark, monkeypatch, part):
+    monkeypatch.setattr(sharding, "COPIES", part)
+    rows = spark.range(20000).selectExpr("CAST(7 AS BIGINT) AS doc_id", "'the same text' AS text").unionByName(spark.createDataFrame([(None, None)] * 700 + [(7, "ä"), (8, ""), (8, None)], "doc_id long, text string"))
+    got = sharding.sharded(rows).toPandas()
+    load, counts = got.groupby("shard")["size"].sum(), Counter(zip(got.doc_id.fillna(-1), got["size"], strict=True))
+    assert counts == {(7, 14): 20000, (-1, 1): 700, (7, 3): 1, (8, 1): 2}
+    assert set(load.index) == set(range(16)) and load.max() - load.min() <= 0.01 * load.mean()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    assert sorted(map(str, got.values.tolist())) == sorted(map(str, sharding.sharded(rows.repartition(5)).toPandas().values.tolist()))

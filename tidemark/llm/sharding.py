@@ -6,8 +6,9 @@ by the bytes summed and go to the lightest, the rest stay in place, and the edit
 placed by the newest version as read back from the store. The map has SLOTS rows whatever the data are.
 
 Nulls and odd input: a null text has no bytes (size 1); the hash takes the id and the text's checksum, so rows with a null or
-repeated id are still dealt out; rows equal in both share a slot, equal texts under unlike ids are spread like any others; an
-empty table gives an empty result and a map of idle slots; extra columns are ignored.
+repeated id are still dealt out; rows equal in both are numbered, and all but the first hash their number too, so they are
+spread like any others, as are equal texts under unlike ids; an empty table gives an empty result and a map of idle slots;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import new_folder, utf8_crc32
+from tidemark.llm._common import new_folder, utf8_crc32, written
 
 SLOTS, SHARDS = 8192, 16
+#: Equal rows that one task writes out from their count.
+COPIES = 1 << 16
 MAP = "version int, virtual_slot int, shard int, n_rows long, n_bytes long"
 
 
@@ -114,14 +117,28 @@ def edited(spark: SparkSession, path: str, sizes: Mapping[int, tuple[int, int]],
     return read_map(spark, path)
 
 
-def placed_rows(rows: DataFrame, mapping: DataFrame, order: str) -> DataFrame:
+def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """(doc_id, size, text_crc32, copy, virtual_slot) of each row, written once; copy numbers rows that are equal in the first three.
+
+    Equal rows meet as a count, made before the shuffle, and are written out from it in parts of COPIES, each in a place of its own.
+    """
+    text, key = F.col("text"), ["doc_id", "size", "text_crc32"]
+    rows = docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), utf8_crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"))
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    parts = counted.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long")))).repartition("doc_id", "text_crc32", "first")
+    each = parts.withColumn("copy", F.explode(F.sequence("first", F.least(F.col("n"), F.col("first") + COPIES) - 1)))
+    once, again = virtual_slot(F.col("doc_id"), F.col("text_crc32"), slots=slots), virtual_slot(F.col("doc_id"), F.col("text_crc32"), F.col("copy"), slots=slots)
+    return written(each.select(*key, "copy", F.when(F.col("copy") == 0, once).otherwise(again).alias("virtual_slot")))[0]
+
+
+def placed_rows(rows: DataFrame, mapping: DataFrame, *order: str) -> DataFrame:
     """rows (with virtual_slot) with their shard, and slot: the row's place in its shard, gapless from 0.
 
-    Places follow the virtual slots and in each the order column; only slots are ranked, which hold a SLOTS-th of the rows.
+    Places follow the virtual slots and in each the order columns; only slots are ranked, which hold a SLOTS-th of the rows.
     """
     before = W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, -1)
     starts = mapping.select("virtual_slot", "shard", "version", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("start"))
-    rank = F.row_number().over(W.partitionBy("virtual_slot").orderBy(F.col(order).asc_nulls_first())) - 1
+    rank = F.row_number().over(W.partitionBy("virtual_slot").orderBy(*[F.col(c).asc_nulls_first() for c in order])) - 1
     return rows.withColumn("rank", rank).join(F.broadcast(starts), "virtual_slot").withColumn("slot", F.col("start") + F.col("rank")).drop("start", "rank")
 
 
@@ -130,13 +147,11 @@ def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slack: fl
 
     store: a folder that holds the map's versions, a new one under ``spark.checkpoint.dir`` if not given; it may hold some already.
     """
-    spark, text = docs.sparkSession, F.col("text")
-    rows = docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), utf8_crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"))
-    rows = rows.withColumn("virtual_slot", virtual_slot(F.col("doc_id"), F.col("text_crc32"), slots=slots))
+    spark, rows = docs.sparkSession, slotted(docs, slots)
     sizes = slot_sizes(rows)
     if store is None:
         store = new_folder(spark)
         write_map(map_table(spark, first_map(shards, slots), {}), store)
     mapping = edited(spark, store, sizes, shards, slots, slack)
-    out = placed_rows(rows, mapping, "doc_id")
+    out = placed_rows(rows, mapping, "doc_id", "text_crc32", "size", "copy")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"))
