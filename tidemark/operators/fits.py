@@ -160,7 +160,7 @@ OPERATORS += (
       z AS (SELECT c.i, c.l, c.upto * 1.0E0 / c.total AS ecdf, f.sigma, (c.l - f.mu) / f.sigma AS z FROM c CROSS JOIN {g3_lognormal_fit} AS f WHERE f.sigma > 0),
       t AS (SELECT *, 1 / (1 + 0.3275911E0 * abs(z) / sqrt(2.0E0)) AS t FROM z), p AS (SELECT *, t * (0.254829592E0 + t * (-0.284496736E0 + t * (1.421413741E0 + t * (-1.453152027E0 + t * 1.061405429E0)))) * exp(-z * z / 2) / 2 AS tail FROM t)
       SELECT i, round(exp(l), 5) AS place, round(ecdf, 6) AS ecdf, round(CASE WHEN z > 0 THEN 1 - tail ELSE tail END, 5) AS cdf, round(exp(-z * z / 2) / (exp(l) * sigma * 2.5066282746310002E0), 6) AS pdf FROM p""", {"grid": 200}),
-    spread("g14_param_percentiles", "Percentiles of fitted parameters.", ("g8_weibull_fits",), "SELECT shape, scale FROM {g8_weibull_fits}", (), {"n": "count(*)"}, {f"{c}_p{p}": (c, p / 100, 4) for c in ("shape", "scale") for p in (1, 5, 25, 50, 75, 95, 99)}),
+    spread("g14_param_percentiles", "Percentiles of fitted parameters.", ("g8_weibull_fits",), "SELECT shape, scale FROM {g8_weibull_fits}", (), {"n": "count(*)"}, {f"{c}_p{p}": (c, p / 100, 6) for c in ("shape", "scale") for p in (1, 5, 25, 50, 75, 95, 99)}),
     O("g14_param_correlation", "Correlation of the logarithms of shape and scale.", ("g8_weibull_fits",), "SELECT count(*) AS n, round(corr(ln(shape), ln(scale)), 4) AS r FROM {g8_weibull_fits} WHERE shape > 0 AND scale > 0"),
     spread("g16_gap_by_best_fit", "Median gap by best family.", ("d1_gaps", "g11_fit_gaps"), "SELECT f.best, g.gap / 1e6 AS gap_s FROM {d1_gaps} AS g JOIN {g11_fit_gaps} AS f ON g.did = f.did WHERE g.gap > 0", ("best",), {"n": "count(*)"}, {"median_s": ("gap_s", 0.5, 6)}),
     spread("lifetime_limits", "P0.1 and P99.9 of the lifetimes of posts, in microseconds.", ("i2_post_engagement",), "SELECT last_us - created_us AS life FROM {i2_post_engagement} WHERE last_us > created_us", (), {"n": "count(*)"}, {"lo": ("life", 0.001, 6), "hi": ("life", 0.999, 6)}),

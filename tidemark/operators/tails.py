@@ -95,9 +95,9 @@ OPERATORS = (
       f.r_exponential, f.p_exponential, f.r_lognormal, f.p_lognormal, f.aic_powerlaw, f.aic_exponential, f.aic_lognormal, f.aic_weibull, f.aic_gamma, f.best FROM {g11_sessions_fits} AS f LEFT JOIN {g11_sessions_powerlaw} AS p ON p.did = f.did"""),
     O("g12_best_fit_sessions", "Users by best family, for each source and quantity.", ("g11_fit_sessions",), "SELECT source, quantity, best, count(*) AS users, round(100.0E0 * count(*) / sum(count(*)) OVER (PARTITION BY source, quantity), 6) AS pct FROM {g11_fit_sessions} GROUP BY source, quantity, best"),
     spread("g13_param_stats_sessions", "Parameters of the users that a family fits best, for each source and quantity.", ("g11_fit_sessions",), f"SELECT * FROM ({_LONG}) AS l WHERE best = family AND value IS NOT NULL", _KEYS,
-      {"users": "count(*)", "mean": "round(avg(value), 4)", "sd": "round(stddev_samp(value), 4)", "under_1": "round(avg(CASE WHEN value < 1 THEN 1.0E0 ELSE 0.0E0 END), 6)", "mean_inverse": "round(avg(1 / nullif(value, 0)), 3)"}, {"median": ("value", 0.5, 4)}),
+      {"users": "count(*)", "mean": "round(avg(value), 4)", "sd": "round(stddev_samp(value), 4)", "under_1": "round(avg(CASE WHEN value < 1 THEN 1.0E0 ELSE 0.0E0 END), 6)", "mean_inverse": "round(avg(1 / nullif(value, 0)), 3)"}, {"median": ("value", 0.5, 6)}),
     O("g13_param_summary_sessions", "The same with what each family is read by: the share of Weibull shapes under 1, the mean wait of exponentials, the median of lognormals.", ("g13_param_stats_sessions",), """SELECT source, quantity, family, param, users, mean, sd, median, CASE WHEN param = 'weibull_shape' THEN under_1 WHEN param = 'rate' THEN mean_inverse WHEN param = 'meanlog' THEN round(exp(median), 4) END AS extra FROM {g13_param_stats_sessions}"""),
-    spread("g14_param_percentiles_sessions", "Percentiles of every family's parameters over all users fitted, for each source and quantity.", ("g11_fit_sessions",), f"SELECT * FROM ({_LONG}) AS l WHERE value IS NOT NULL", _KEYS, {"users": "count(*)"}, {f"p{p}": ("value", p / 100, 4) for p in (1, 5, 25, 50, 75, 95, 99)}),
+    spread("g14_param_percentiles_sessions", "Percentiles of every family's parameters over all users fitted, for each source and quantity.", ("g11_fit_sessions",), f"SELECT * FROM ({_LONG}) AS l WHERE value IS NOT NULL", _KEYS, {"users": "count(*)"}, {f"p{p}": ("value", p / 100, 6) for p in (1, 5, 25, 50, 75, 95, 99)}),
     O("g14_param_correlations_sessions", "Correlation of the logarithms of each family's two parameters, of the lognormal's as they are, for each source and quantity.", ("g11_fit_sessions",), """SELECT source, quantity, CASE i WHEN 0 THEN 'powerlaw' WHEN 1 THEN 'lognormal' WHEN 2 THEN 'weibull' ELSE 'gamma' END AS family, count(*) AS users, round(corr(x, y), 4) AS r FROM (SELECT source, quantity, i, CASE i WHEN 0 THEN ln(nullif(alpha, 0)) WHEN 1 THEN meanlog WHEN 2 THEN ln(nullif(weibull_shape, 0)) ELSE ln(nullif(gamma_shape, 0)) END AS x,
         CASE i WHEN 0 THEN ln(nullif(xmin, 0)) WHEN 1 THEN sdlog WHEN 2 THEN ln(nullif(weibull_scale, 0)) ELSE ln(nullif(gamma_rate, 0)) END AS y FROM (SELECT *, $EACH(4) AS i FROM {g11_fit_sessions}) AS e) AS p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY source, quantity, i HAVING count(*) >= 2"""),
     O("g15_export_sessions", "The fits within the windows that reports keep, one row for each source, quantity and user.", ("g11_fit_sessions",), """SELECT * FROM {g11_fit_sessions} WHERE best = 'exponential' OR best = 'powerlaw' AND alpha BETWEEN 1 AND 10 AND xmin / 3600 BETWEEN 0.001E0 AND 24 OR best = 'lognormal' AND sdlog BETWEEN 0 AND 10
