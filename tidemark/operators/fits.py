@@ -163,7 +163,7 @@ OPERATORS += (
     spread("g14_param_percentiles", "Percentiles of fitted parameters.", ("g8_weibull_fits",), "SELECT shape, scale FROM {g8_weibull_fits}", (), {"n": "count(*)"}, {f"{c}_p{p}": (c, p / 100, 6) for c in ("shape", "scale") for p in (1, 5, 25, 50, 75, 95, 99)}),
     O("g14_param_correlation", "Correlation of the logarithms of shape and scale.", ("g8_weibull_fits",), "SELECT count(*) AS n, round(corr(ln(shape), ln(scale)), 4) AS r FROM {g8_weibull_fits} WHERE shape > 0 AND scale > 0"),
     spread("g16_gap_by_best_fit", "Median gap by best family.", ("d1_gaps", "g11_fit_gaps"), "SELECT f.best, g.gap / 1e6 AS gap_s FROM {d1_gaps} AS g JOIN {g11_fit_gaps} AS f ON g.did = f.did WHERE g.gap > 0", ("best",), {"n": "count(*)"}, {"median_s": ("gap_s", 0.5, 6)}),
-    spread("lifetime_limits", "P0.1 and P99.9 of the lifetimes of posts, in microseconds.", ("i2_post_engagement",), "SELECT last_us - created_us AS life FROM {i2_post_engagement} WHERE last_us > created_us", (), {"n": "count(*)"}, {"lo": ("life", 0.001, 6), "hi": ("life", 0.999, 6)}),
+    spread("lifetime_limits", "P0.1 and P99.9 of the lifetimes of posts, in whole microseconds.", ("i2_post_engagement",), "SELECT last_us - created_us AS life FROM {i2_post_engagement} WHERE last_us > created_us", (), {"n": "count(*)"}, {"lo": ("life", 0.001, 0), "hi": ("life", 0.999, 0)}),
     _cut(O("lifetimes", "Lifetimes of posts in whole microseconds, those outside P0.1 to P99.9 left out.", ("i2_post_engagement", "lifetime_limits"), "SELECT 'all' AS did, last_us - created_us AS gap FROM {i2_post_engagement} CROSS JOIN {lifetime_limits} WHERE last_us > created_us AND last_us - created_us BETWEEN lo AND hi")),
     O("lifetime_ranks", "Distinct lifetimes in seconds with how many there are, up to each and in all.", ("lifetimes",), "SELECT x, n, sum(n) OVER (ORDER BY x) AS c, sum(n) OVER () AS total FROM (SELECT gap / 1e6 AS x, count(*) AS n FROM {lifetimes} GROUP BY gap) AS v", {}, _ranks),
     O("lifetime_counts", "The same in whole seconds.", ("lifetimes",), "SELECT did, greatest(cast(round(gap / 1e6) AS BIGINT), 1) AS x FROM {lifetimes}"),
