@@ -207,3 +207,105 @@ def test_fits_run_first_in_a_session_of_their_own():
 
     code = "from pyspark.sql import SparkSession; import __spark_entry__ as e; s = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '2').config('spark.ui.enabled', 'false').getOrCreate(); assert e.queries()['g11_fit_gaps'](s, '/root/testdata/sf0.001').count() > 0"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=300, cwd=__file__.rsplit("/", 2)[0])
+
+
+def plain_density(x, least, neighbours, epsilon):
+    """Labels by all pairs: components at every distance, from the widest down, by definition."""
+    n = len(x)
+    k = min(neighbours, n - 1)
+    core = [sorted(abs(a - b) for b in x)[k] for a in x]
+    apart = [[max(abs(x[i] - x[j]), core[i], core[j]) for j in range(n)] for i in range(n)]
+
+    def components(members, d):
+        """Parts of members linked at distances under d."""
+        left, out = set(members), []
+        while left:
+            part, edge = set(), {min(left)}
+            while edge:
+                part |= edge
+                left -= edge
+                edge = {j for j in left if any(apart[i][j] < d for i in edge)}
+            out.append(sorted(part))
+        return out
+
+    def widest(members):
+        """The least distance that links all members: the widest edge of a spanning tree."""
+        seen, best = {members[0]}, 0
+        near = {j: apart[members[0]][j] for j in members[1:]}
+        while near:
+            j = min(near, key=near.get)
+            best = max(best, near.pop(j))
+            near = {i: min(d, apart[i][j]) for i, d in near.items()}
+        return best
+
+    clusters = []  # members at birth, density at birth, parent, mass
+
+    def grow(members, c):
+        while len(members) > 1:
+            d = widest(members)
+            big = [p for p in components(members, d) if len(p) >= least]
+            kept = sum(map(len, big)) if len(big) == 1 else 0
+            clusters[c][3] += (len(members) - kept) * (1 / d - clusters[c][1])
+            if len(big) != 1:
+                for p in big:
+                    clusters.append([p, 1 / d, c, 0.0])
+                    grow(p, len(clusters) - 1)
+                return
+            members = big[0]
+
+    clusters.append([list(range(n)), 0.0, -1, 0.0])
+    grow(clusters[0][0], 0)
+
+    def best(c):
+        """Mass and clusters of the best choice in and under c."""
+        under = [best(k) for k in range(len(clusters)) if clusters[k][2] == c]
+        mass, picked = sum(m for m, _ in under), [k for _, ks in under for k in ks]
+        return (clusters[c][3], [c]) if c and clusters[c][3] >= mass - 1e-12 * abs(mass) else (mass, picked)
+
+    out = [-1] * n
+    for c in best(0)[1]:
+        if 1 / clusters[c][1] < epsilon:
+            while clusters[c][2] > 0:
+                c = clusters[c][2]
+                if 1 / clusters[c][1] > epsilon:
+                    break
+        for i in clusters[c][0]:
+            out[i] = c
+    return out
+
+
+def grouping(labels):
+    first = {}
+    return [-1 if c < 0 else first.setdefault(c, i) for i, c in enumerate(labels)]
+
+
+@pytest.mark.parametrize("neighbours", [1, 2, 3, 4, 5])
+def test_density_labels_equal_all_pairs(neighbours):
+    from tidemark.operators.density import core_distances, density_labels
+
+    rng = np.random.default_rng(neighbours)
+    seen = set()
+    for i in range(120):
+        n = int(rng.integers(2, 34))
+        centres = rng.integers(0, 4000, int(rng.integers(1, 6)))
+        spread = int(rng.choice([10, 90, 700]))
+        x = np.unique(rng.choice(centres, n) + rng.integers(0, spread, n)).astype(np.int64)
+        least, epsilon = int(rng.integers(2, 6)), float(rng.choice([0, 20, 60, 400]))
+        k = min(neighbours, len(x) - 1)
+        assert core_distances(x, neighbours).tolist() == [sorted(abs(x - a))[k] for a in x]
+        got = grouping(density_labels(x, least, neighbours, epsilon))
+        assert got == grouping(plain_density(x.tolist(), least, neighbours, epsilon)), (i, x.tolist(), least, epsilon)
+        seen.add(len(set(got)))
+    assert len(seen) > 3
+
+
+def test_density_of_a_heavy_user_and_odd_rows(spark):
+    from tidemark.operators.density import density_labels, density_sessions
+
+    steps = np.random.default_rng(1).pareto(1.2, 200_000) * 1e6
+    labels = density_labels(np.unique(np.cumsum(steps).astype(np.int64)), 2, 3, 6e7)
+    assert len(set(labels)) > 100
+    rows = [(None, 5), (None, 7), ("a", None), ("a", 0), ("a", 0), ("a", 1_000_000), ("a", 900_000_000), ("a", 901_000_000), ("b", None)]
+    out = density_sessions(spark.createDataFrame(rows, "did string, time_us long")).orderBy("session_start").collect()
+    assert [(r.did, r.session_start, r.session_end) for r in out] == [("a", 0, 1_000_000), ("a", 900_000_000, 901_000_000)]
+    assert density_sessions(spark.createDataFrame([], "did string, time_us long")).count() == 0
