@@ -186,3 +186,56 @@ def test_toxicity_of_odd_rows(spark):
     got = toxicity.judged(docs, labels).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got) and toxicity.judged(docs.limit(0), labels).count() == 0
     assert toxicity.training_rows(docs, labels, labels.doc_id > 0).count() == 3
+
+
+def plain_scores(texts, training):
+    """Scores by sets of n-gram strings, counts and a dense logistic fit; training: (toxic, text)."""
+
+    def grams(text):
+        padded = " " + " ".join((text or "").lower().split()) + " "
+        return {padded[i : i + n] for n in (3, 4, 5, 6) for i in range(len(padded) - n + 1) if " " not in padded[i + 1 : i + n - 1]}
+
+    sets, y = [grams(t) for _, t in training], np.array([float(bool(x)) for x, _ in training])
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    toxic, clean = Counter(), Counter()
+    for s, label in zip(sets, y, strict=True):
+        (toxic if label else clean).update(s)
+    ratios = {}
+    for g in set(toxic) | set(clean):
+        p, q = toxic[g], clean[g]
+        pooled = (p + q) / (n1 + n0)
+        z = abs(p / n1 - q / n0) / max(pooled * (1 - pooled), 1e-12) ** 0.5 / (1 / n1 + 1 / n0) ** 0.5
+        if p + q >= 3 and z >= 5:
+            ratios[g] = np.log((p + 1) / (n1 + 2)) - np.log((q + 1) / (n0 + 2))
+    names = sorted(ratios)
+    scaled = lambda s: np.array([ratios[g] if g in s else 0.0 for g in names])
+    x = np.column_stack([np.array([scaled(s) for s in sets]), np.ones(len(y))])
+    w, m, v, penalty = np.zeros(len(names) + 1), 0.0, 0.0, np.append(np.full(len(names), 1e-4), 0)
+    for t in range(1, 401):
+        g = x.T @ (1 / (1 + np.exp(-(x @ w))) - y) / len(y) + penalty * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+    return len(names), [1 / (1 + np.exp(-(scaled(grams(t)) @ w[:-1] + w[-1]))) for t in texts]
+
+
+def test_toxicity_equals_plain_python(spark):
+    import zlib
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    toxic, least = {}, {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.toxic is not None and not held(r.doc_id):
+            toxic[r.doc_id] = max(r.toxic, toxic.get(r.doc_id, r.toxic))
+    rows = docs.select("doc_id", "text").collect()
+    for r in rows:
+        if r.doc_id in toxic and r.text is not None:
+            least[r.doc_id] = min(r.text, least.get(r.doc_id, r.text))
+    width, want = plain_scores([r.text for r in rows], [(toxic[i], least.get(i)) for i in toxic if any(r.doc_id == i for r in rows)])
+    assert width > 10
+    got = {r.doc_id: r for r in toxicity.judged(docs, labels).collect()}
+    assert len(got) == len(rows)
+    for r, score in zip(rows, want, strict=True):
+        assert abs(got[r.doc_id].score - score) < 1e-6 and got[r.doc_id].held_out == held(r.doc_id)
+        assert got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.7)
