@@ -147,7 +147,7 @@ OPERATORS = (
 
 OPERATORS += (
     O("g12_best_fit_breakdown", "Users by best family.", ("g11_fit_gaps",), "SELECT best, count(*) AS users, round(100.0E0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM {g11_fit_gaps} GROUP BY best"),
-    O("g13_param_summary", "Parameters of users by best family: mean, median and deviation; for Weibull the share of shapes under 1, for the exponential the mean wait, for the lognormal the median's median.", ("g11_fit_gaps",), " UNION ALL ".join(f"SELECT '{f}' AS best, '{c}' AS param, count({c}) AS users, round(avg({c}), 4) AS mean, round($P({c}, 0.5), 4) AS median, round(stddev_samp({c}), 4) AS sd, {extra} AS extra FROM {{g11_fit_gaps}} WHERE best = '{f}'"
+    O("g13_param_summary", "Parameters of users by best family: mean, median and deviation; for Weibull the share of shapes under 1, for the exponential the mean wait, for the lognormal the median's median.", ("g11_fit_gaps",), " UNION ALL ".join(f"SELECT '{f}' AS best, '{c}' AS param, count({c}) AS users, round(avg({c}), 4) AS mean, round($P({c}, 0.5), 6) AS median, round(stddev_samp({c}), 4) AS sd, {extra} AS extra FROM {{g11_fit_gaps}} WHERE best = '{f}'"
       for f, c, extra in (("powerlaw", "alpha", "CAST(NULL AS DOUBLE)"), ("powerlaw", "xmin", "CAST(NULL AS DOUBLE)"), ("exponential", "rate", "round(avg(1 / nullif(rate, 0)), 3)"), ("lognormal", "meanlog", "round(exp($P(meanlog, 0.5)), 4)"), ("lognormal", "sdlog", "CAST(NULL AS DOUBLE)"),
         ("weibull", "weibull_shape", "round(avg(CASE WHEN weibull_shape < 1 THEN 1.0E0 ELSE 0.0E0 END), 6)"), ("weibull", "weibull_scale", "CAST(NULL AS DOUBLE)"), ("gamma", "gamma_shape", "CAST(NULL AS DOUBLE)"), ("gamma", "gamma_rate", "CAST(NULL AS DOUBLE)")))),
     O("g4_lognormal_curve", "Density and distribution of the fitted lognormal at each distinct value, next to the shares of values.", ("c18_ecdf", "g3_lognormal_fit"), """WITH z AS (SELECT e.x, e.ecdf, f.sigma, (ln(cast(e.x AS DOUBLE)) - f.mu) / f.sigma AS z FROM {c18_ecdf} AS e CROSS JOIN {g3_lognormal_fit} AS f WHERE e.x > 0 AND f.sigma > 0),
