@@ -140,11 +140,11 @@ def density_sessions(events: DataFrame, least: int = 2, neighbours: int = 1, eps
     """(did, session_start, session_end, duration_s, is_singleton): runs of stamps of one cluster, and each stamp of none as a session of its own. Users with one stamp have none.
 
     Distances are whole microseconds, so equal gaps are equal. Rows without a user or a stamp don't count. A user is one task:
-    memory is about 1 KB a distinct stamp.
+    its memory grows with the stamps.
     """
 
     def sessions(rows: pd.DataFrame) -> pd.DataFrame:
-        stamps = np.sort(rows.time_us.to_numpy())
+        stamps = np.unique(rows.time_us.to_numpy())
         if len(stamps) < 2:
             return pd.DataFrame({"did": pd.Series([], dtype=object)} | {c: pd.Series([], dtype=t) for c, t in (("session_start", "int64"), ("session_end", "int64"), ("duration_s", "float64"), ("is_singleton", "int32"))})
         labels = density_labels(stamps - stamps[0], least, neighbours, epsilon_s * 1e6)
@@ -152,7 +152,7 @@ def density_sessions(events: DataFrame, least: int = 2, neighbours: int = 1, eps
         ends = np.append(begins[1:], len(stamps)) - 1
         return pd.DataFrame({"did": rows.did.iloc[0], "session_start": stamps[begins], "session_end": stamps[ends], "duration_s": np.round((stamps[ends] - stamps[begins]) / 1e6, 3), "is_singleton": (labels[begins] == -1).astype("int32")})
 
-    return events.select("did", "time_us").dropna().distinct().groupBy("did").applyInPandas(sessions, "did string, session_start long, session_end long, duration_s double, is_singleton int")
+    return events.select("did", "time_us").dropna().groupBy("did").applyInPandas(sessions, "did string, session_start long, session_end long, duration_s double, is_singleton int")
 
 
 OPERATORS = (
