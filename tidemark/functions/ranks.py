@@ -56,8 +56,30 @@ def spearman(sessions: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), F.round(F.corr("rx", "ry"), 6).alias("rho"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many digits as DuckDB rounds doubles: x times a power of ten to the nearest whole number, halves away from nought.
+
+    Spark's own ``round`` takes the shortest decimals of x, so it goes the other way at some halves.
+    """
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c, rounded once: what a * b loses is taken from the halves of its factors."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        return high, x - high
+
+    (ah, al), (bh, bl), product = halves(a), halves(b), a * b
+    lost = ((ah * bh - product) + ah * bl + al * bh) + al * bl
+    total = product + c
+    grown = total - product
+    return F.when(F.abs(a) < 1e290, total + (((product - (total - grown)) + (c - grown)) + lost)).otherwise(total)
+
+
 def quantiles(values: DataFrame, keys: Sequence[str], wanted: Mapping[str, float], x: str = "x") -> DataFrame:
-    """keys and, for each name wanted, that quantile of x by linear interpolation, as ``percentile`` gives it; nulls don't count.
+    """keys and, for each name wanted, that quantile of x by linear interpolation, as ``quantile_cont`` gives it to the last digit; nulls don't count.
 
     Value counts are summed up by ranges, so no task holds all values of a key, as one that runs ``percentile`` must.
     """
@@ -68,4 +90,4 @@ def quantiles(values: DataFrame, keys: Sequence[str], wanted: Mapping[str, float
     picks = [f(p).alias(f"_{side}_{n}") for n, p in at.items() for side, f in (("lo", lambda p: holds(F.floor(p))), ("hi", lambda p: holds(F.ceil(p))))]
     picked = rows.groupBy(*keys).agg(F.max("_c_of").alias("_c_of"), *picks)
     part = {n: p - F.floor(p) for n, p in at.items()}
-    return picked.select(*keys, *[((1 - part[n]) * F.col(f"_lo_{n}") + part[n] * F.col(f"_hi_{n}")).alias(n) for n in wanted])
+    return picked.select(*keys, *[fused(F.col(f"_lo_{n}"), 1 - part[n], part[n] * F.col(f"_hi_{n}")).alias(n) for n in wanted])

@@ -64,9 +64,9 @@ def spread(name: str, doc: str, inputs: tuple[str, ...], rows: str, keys: tuple[
             own = [(n, d) for n, (w, _, d) in picks.items() if w == v]
             part = found.where(F.col("_what") == i)
             if keys:
-                out = out.join(part.select(*keys, *[F.round(n, d).alias(n) for n, d in own]), list(keys), "left")
+                out = out.join(part.select(*keys, *[ranks.rounded(F.col(n), d).alias(n) for n, d in own]), list(keys), "left")
             else:  # one row on either side
-                out = out.crossJoin(part.agg(*[F.round(F.max(n), d).alias(n) for n, d in own]))
+                out = out.crossJoin(part.agg(*[ranks.rounded(F.max(n), d).alias(n) for n, d in own]))
         return out
 
     return Operator(name, doc, inputs, whole, params, work)
