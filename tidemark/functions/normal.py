@@ -7,34 +7,46 @@ is no greatest likelihood.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 TERMS, HALVINGS, FIRST = 60, 44, 20.0
 _LN_2PI = "1.8378770664093453E0"
 
 
-def _excess(z: Column) -> Column:
+def _excess(z: np.ndarray) -> np.ndarray:
     """hazard(z) - z: a continued fraction from 1 up, else by the series of the distribution."""
-    down = F.transform(F.sequence(F.lit(TERMS), F.lit(2), F.lit(-1)), lambda k: k.cast("double"))
-    far = 1 / F.aggregate(down, z, lambda c, k: z + k / c)
-    low = F.greatest(z, F.lit(-8.0))
-    odd = F.transform(F.sequence(F.lit(2 * TERMS + 1), F.lit(3), F.lit(-2)), lambda k: k.cast("double"))
-    top = F.exp(-low * low / 2) / 2.5066282746310002
-    return F.when(z >= 1, far).otherwise(top / (0.5 - top * low * F.aggregate(odd, F.lit(1.0), lambda c, k: 1 + low * low * c / k)) - z)
+    far, low = z, np.maximum(z, -8.0)
+    for k in range(TERMS, 1, -1):
+        far = z + k / far
+    near, top = np.ones_like(z), np.exp(-low * low / 2) / 2.5066282746310002
+    for k in range(2 * TERMS + 1, 1, -2):
+        near = 1 + low * low * near / k
+    return np.where(z >= 1, 1 / far, top / (0.5 - top * low * near) - z)
 
 
-def truncated(moments: DataFrame) -> DataFrame:
-    """(did, mu, sigma, ln_q) of moments (did, a, m1, q): normal over a, where m1 is the mean of y = value - a and q that of y^2 over m1^2; ln_q is the logarithm of what lies over a. No row without a greatest likelihood."""
-    steps = F.transform(F.sequence(F.lit(0), F.lit(HALVINGS - 1)), lambda i: FIRST / F.pow(F.lit(2.0), i))
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """z and d(z) of rows with q, all rows of a batch at once."""
+    for batch in batches:
+        q = batch.column("q").to_numpy(zero_copy_only=False)
+        with np.errstate(all="ignore"):
+            z, h = np.zeros(len(q)), FIRST
+            for _ in range(HALVINGS):
+                d = _excess(z)
+                z, h = z + np.where((1 - z * d) / (d * d) < q, h, -h), h / 2
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(z), pa.array(_excess(z))], [*batch.schema.names, "z", "d"])
 
-    def step(z: Column, h: Column) -> Column:
-        d = _excess(z)
-        return z + F.when((1 - z * d) / (d * d) < F.col("q"), h).otherwise(-h)
 
+def truncated(moments: DataFrame) -> DataFrame:
+    """(did, mu, sigma, ln_q) of moments (did, a, m1, q): normal over a, where m1 is the mean of y = value - a and q that of y^2 over m1^2; ln_q is the logarithm of what lies over a. No row without a greatest likelihood."""
     # A row takes some thousands of steps, so even few rows are dealt to all cores.
-    dealt = moments.where("q < 2").repartition(moments.sparkSession.sparkContext.defaultParallelism, "did")
-    found = dealt.withColumn("z", F.aggregate(steps, F.lit(0.0), step)).withColumn("d", _excess(F.col("z")))
+    dealt = moments.where("q < 2").select("did", "a", "m1", "q").repartition(moments.sparkSession.sparkContext.defaultParallelism, "did")
+    found = dealt.mapInArrow(_halved, StructType([*dealt.schema.fields, StructField("z", DoubleType()), StructField("d", DoubleType())]))
     sigma = F.col("m1") / F.col("d")
     ln_q = F.when(F.col("z") < -8, 0.0).otherwise(F.expr(f"-z * z / 2 - {_LN_2PI} / 2 - ln(d + z)"))
     return found.select("did", F.round(F.col("a") - F.col("z") * sigma, 5).alias("mu"), F.round(sigma, 6).alias("sigma"), F.round(ln_q, 7).alias("ln_q"))
