@@ -4,6 +4,8 @@ import duckdb
 import numpy as np
 import pandas as pd
 
+from tidemark.functions import weibull
+from tidemark.operators import fits
 from tidemark.plans.operator import spread
 
 
@@ -14,3 +16,21 @@ def test_quantiles_round_halves_as_the_statement_does(spark):
     want = duckdb.sql(o.text(1).replace("{t}", "df")).df().sort_values("k", ignore_index=True)
     got = o(spark.createDataFrame(df)).toPandas().sort_values("k", ignore_index=True)
     pd.testing.assert_frame_equal(got[list(want.columns)], want, check_dtype=False, rtol=1e-12)
+
+
+def test_weibull_of_keys_in_one_task_and_over_all_tasks(spark):
+    rng = np.random.default_rng(5)
+    sizes = [3, 9, 10, 11, 400, 25_000]
+    did = np.repeat([f"u{i}" for i in range(len(sizes))], sizes)
+    d1_gaps = pd.DataFrame({"did": did, "gap": (rng.weibull(0.8, len(did)) * 3e7).astype(np.int64) + 1})
+    d1_gaps = pd.concat([d1_gaps, pd.DataFrame({"did": ["flat"] * 20 + [None] * 20 + ["u4"] * 2, "gap": [5] * 20 + list(range(1, 21)) + [0, -3]})], ignore_index=True)
+    o = {o.name: o for o in fits.OPERATORS}["g8_weibull_fits"]
+    want = duckdb.sql(o.text(1).replace("{d1_gaps}", "d1_gaps")).df().sort_values("did", ignore_index=True)
+    frame = spark.createDataFrame(d1_gaps.sample(frac=1, random_state=1))
+    for got in (o(frame), weibull.fits(frame, 10, most_alone=300)):
+        pd.testing.assert_frame_equal(got.toPandas().sort_values("did", ignore_index=True), want, check_dtype=False, rtol=1e-9)
+
+
+def test_weibull_joins_no_steps(spark):
+    frame = spark.range(1000).selectExpr("concat('u', id % 7) AS did", "id * id + 1 AS gap")
+    assert weibull.fits(frame, 10)._jdf.queryExecution().executedPlan().toString().count("Join") == 1

@@ -5,7 +5,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import normal, powerlaw
+from tidemark.functions import normal, powerlaw, weibull
 from tidemark.functions.lineage import checkpointed
 from tidemark.functions.ranks import running
 from tidemark.operators import activity
@@ -55,7 +55,7 @@ def _gamma(steps: int = 4) -> str:
 
 
 def _weibull(steps: int = 7) -> str:
-    """Newton's steps on ln of the shape, each one aggregation of partial sums per user; values are taken over the user's mean."""
+    """The statement of ``weibull.fits``: Newton's steps on the shape, each one aggregation of partial sums per user; values are taken over the user's mean."""
     ctes = [
         "m AS (SELECT did, count(*) AS n, avg(x) AS mean FROM g GROUP BY did HAVING count(*) >= :least)",
         "v AS (SELECT g.did, m.n, m.mean, ln(g.x / m.mean) AS l FROM g JOIN m ON g.did = m.did)",
@@ -136,7 +136,7 @@ OPERATORS = (
       p AS (SELECT n, total, t * (0.254829592E0 + t * (-0.284496736E0 + t * (1.421413741E0 + t * (-1.453152027E0 + t * 1.061405429E0)))) * exp(-u * u) AS p FROM q)
       SELECT n, round(total, 4) AS log_ratio, round(p, 6) AS p, CASE WHEN p >= 0.05E0 THEN 'undecided' WHEN total > 0 THEN 'powerlaw' ELSE 'lognormal' END AS winner FROM p"""),
     O("g8_gamma_fits", "Gamma fits per user: shape by Newton's steps from the mean and the mean logarithm.", ("d1_gaps",), _gamma(), {"least": 10}),
-    O("g8_weibull_fits", "Weibull fits per user.", ("d1_gaps",), _weibull(), {"least": 10}),
+    _cut(O("g8_weibull_fits", "Weibull fits per user.", ("d1_gaps",), _weibull(), {"least": 10}, lambda gaps, least=10: weibull.fits(checkpointed(gaps.select("did", "gap")), least))),
     O("g10_least_aic", "The family with the least AIC of exponential, lognormal, gamma and Weibull, per user.", ("d1_gaps", "g8_gamma_fits", "g8_weibull_fits"), f"""WITH v AS (SELECT did, gap / 1e6 AS x FROM {{d1_gaps}} WHERE gap > 0),
       s AS (SELECT v.did, count(*) AS n, avg(x) AS mean, avg(ln(x)) AS lm, stddev_pop(ln(x)) AS sd, min(g.shape) AS gk, min(g.rate) AS gr, min(w.shape) AS wk, min(w.scale) AS ws, sum(pow(x / w.scale, w.shape)) AS wsum FROM v JOIN {{g8_gamma_fits}} AS g ON v.did = g.did JOIN {{g8_weibull_fits}} AS w ON v.did = w.did GROUP BY v.did),
       a AS (SELECT did, n, 2 - 2 * n * (-ln(mean) - 1) AS exponential, 4 - 2 * n * (-lm - ln(sd) - 0.5E0 * ln(2 * 3.141592653589793E0) - 0.5E0) AS lognormal,
@@ -167,7 +167,7 @@ OPERATORS += (
     _cut(O("lifetimes", "Lifetimes of posts in whole microseconds, those outside P0.1 to P99.9 left out.", ("i2_post_engagement", "lifetime_limits"), "SELECT 'all' AS did, last_us - created_us AS gap FROM {i2_post_engagement} CROSS JOIN {lifetime_limits} WHERE last_us > created_us AND last_us - created_us BETWEEN lo AND hi")),
     O("lifetime_ranks", "Distinct lifetimes in seconds with how many there are, up to each and in all.", ("lifetimes",), "SELECT x, n, sum(n) OVER (ORDER BY x) AS c, sum(n) OVER () AS total FROM (SELECT gap / 1e6 AS x, count(*) AS n FROM {lifetimes} GROUP BY gap) AS v", {}, _ranks),
     O("lifetime_counts", "The same in whole seconds.", ("lifetimes",), "SELECT did, greatest(cast(round(gap / 1e6) AS BIGINT), 1) AS x FROM {lifetimes}"),
-    _cut(O("lifetime_weibull", "Weibull fit of lifetimes.", ("lifetimes",), _weibull().replace("{d1_gaps}", "{lifetimes}"), {"least": 10})),
+    _cut(O("lifetime_weibull", "Weibull fit of lifetimes.", ("lifetimes",), _weibull().replace("{d1_gaps}", "{lifetimes}"), {"least": 10}, lambda gaps, least=10: weibull.fits(gaps, least))),
     _cut(O("lifetime_powerlaw", "Power law of lifetimes, xmin by KS distance.", ("lifetime_counts",), activity.powerlaw_sql("lifetime_counts"), {"k": 50}, activity.powerlaw)),
     O("g17_rank_families", "Families of lifetimes by log-likelihood, with KS distance; the Pareto on its tail from xmin.", ("lifetime_ranks", "lifetime_weibull", "lifetime_powerlaw"), """WITH p AS (SELECT w.shape, w.scale, q.xmin, q.alpha FROM {lifetime_weibull} AS w CROSS JOIN {lifetime_powerlaw} AS q),
       f AS (SELECT sum(n * x) / sum(n) AS mean, sum(n * ln(x)) / sum(n) AS mu, sqrt(greatest(sum(n * ln(x) * ln(x)) / sum(n) - pow(sum(n * ln(x)) / sum(n), 2), 0.0E0)) AS sd, sum(CASE WHEN x < xmin THEN n ELSE 0 END) AS below, shape, scale, xmin, alpha FROM {lifetime_ranks} CROSS JOIN p GROUP BY shape, scale, xmin, alpha),

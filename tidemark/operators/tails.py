@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import normal, powerlaw
+from tidemark.functions import normal, powerlaw, weibull
 from tidemark.functions.lineage import checkpointed
 from tidemark.operators.fits import _cut, _gamma, _ln_gamma, _weibull
 from tidemark.plans.operator import Operator as O
@@ -46,7 +46,7 @@ _STEPS = (
       SELECT g.did, g.gap FROM {gaps} AS g JOIN u ON u.did = g.did LEFT JOIN {powerlaw} AS p ON p.did = g.did WHERE g.gap > 0 AND (p.xmin IS NULL OR g.gap / 1e6 >= p.xmin)""", {"least": 10}, None),
     ("closed", "Exponential and lognormal of each user's tail, in closed form.", ("tail",), "SELECT did, count(*) AS n, round(1e6 / avg(gap), 9) AS rate, round(avg(ln(gap / 1e6)), 6) AS meanlog, round(stddev_pop(ln(gap / 1e6)), 6) AS sdlog FROM {tail} GROUP BY did", {}, None),
     ("gamma", "Gamma fits of tails.", ("tail",), _gamma().replace("{d1_gaps}", "{tail}"), {"least": 5}, None),
-    ("weibull", "Weibull fits of tails.", ("tail",), _weibull().replace("{d1_gaps}", "{tail}"), {"least": 5}, None),
+    ("weibull", "Weibull fits of tails.", ("tail",), _weibull().replace("{d1_gaps}", "{tail}"), {"least": 5}, lambda tail, least=5: weibull.fits(tail, least)),
     ("lognormal", "Lognormals of tails cut at xmin, by maximum likelihood; none where the power law is its limit.", ("tail", "powerlaw"), normal.truncated_sql("SELECT t.did, ln(p.xmin) AS a, avg(ln(t.gap / 1e6) - ln(p.xmin)) AS m1, avg(pow(ln(t.gap / 1e6) - ln(p.xmin), 2)) / pow(avg(ln(t.gap / 1e6) - ln(p.xmin)), 2) AS q FROM {tail} AS t JOIN {powerlaw} AS p ON p.did = t.did GROUP BY t.did, p.xmin HAVING avg(ln(t.gap / 1e6) - ln(p.xmin)) > 1e-9"), {}, _cut_lognormal),
     ("vuong", "Vuong's tests of each user's power law against an exponential and a lognormal cut at xmin: statistic (above 0: the power law) and two-sided p; 0 and 1 where the power law is the lognormal's limit.", ("tail", "powerlaw", "lognormal"), f"""WITH t AS (SELECT g.did, g.gap / 1e6 AS x, p.alpha, p.xmin FROM {{tail}} AS g JOIN {{powerlaw}} AS p ON p.did = g.did),
       f AS (SELECT did, avg(x) - min(xmin) AS beyond FROM t GROUP BY did HAVING avg(x) - min(xmin) > 1e-9 AND stddev_pop(ln(x)) > 1e-9),
@@ -87,9 +87,9 @@ OPERATORS = (
       CASE best WHEN 'powerlaw' THEN xmin WHEN 'lognormal' THEN sdlog WHEN 'weibull' THEN weibull_scale WHEN 'gamma' THEN gamma_rate END AS second_param FROM {g11_fit_gaps}
       WHERE best = 'exponential' OR best = 'powerlaw' AND alpha BETWEEN 1 AND 10 AND xmin / 3600 BETWEEN 0.001E0 AND 24 OR best = 'lognormal' AND sdlog BETWEEN 0 AND 10 OR best = 'weibull' AND weibull_shape BETWEEN 0.01E0 AND 5 OR best = 'gamma' AND gamma_shape BETWEEN 0.01E0 AND 5"""),
     O("g15_pareto_params", "Power-law parameters of the users they fit best.", ("g11_fit_gaps",), "SELECT did, 'gap' AS quantity, 'd1_gaps' AS source, alpha, xmin FROM {g11_fit_gaps} WHERE best = 'powerlaw' AND alpha IS NOT NULL AND xmin IS NOT NULL"),
-    O("g11_vectors", "Durations and gaps to the next session over nought, in microseconds, of sessions of all events, of all but likes, and of those cut at six hours; did tells source, quantity and user.", ("d4_sessions_rich", "d4_sessions_engaged", "d5_wide_sessions"), """WITH s AS (SELECT 'all' AS source, did, session_end - session_start AS d, next_session_start - session_end AS g FROM {d4_sessions_rich} UNION ALL SELECT 'engaged', did, session_end - session_start, next_session_start - session_end FROM {d4_sessions_engaged} UNION ALL SELECT 'six_hours', did, session_end - session_start, next_session_start - session_end FROM {d5_wide_sessions}),
+    _cut(O("g11_vectors", "Durations and gaps to the next session over nought, in microseconds, of sessions of all events, of all but likes, and of those cut at six hours; did tells source, quantity and user.", ("d4_sessions_rich", "d4_sessions_engaged", "d5_wide_sessions"), """WITH s AS (SELECT 'all' AS source, did, session_end - session_start AS d, next_session_start - session_end AS g FROM {d4_sessions_rich} UNION ALL SELECT 'engaged', did, session_end - session_start, next_session_start - session_end FROM {d4_sessions_engaged} UNION ALL SELECT 'six_hours', did, session_end - session_start, next_session_start - session_end FROM {d5_wide_sessions}),
       e AS (SELECT source, did, d, g, $EACH(2) AS i FROM s)
-      SELECT concat(source, CASE i WHEN 0 THEN '|duration|' ELSE '|gap|' END, did) AS did, CASE i WHEN 0 THEN d ELSE g END AS gap FROM e WHERE CASE i WHEN 0 THEN d ELSE g END > 0"""),
+      SELECT concat(source, CASE i WHEN 0 THEN '|duration|' ELSE '|gap|' END, did) AS did, CASE i WHEN 0 THEN d ELSE g END AS gap FROM e WHERE CASE i WHEN 0 THEN d ELSE g END > 0""")),
     *_fits("g11_vectors", {role: f"g11_sessions_{role}" for role in ("powerlaw", "tail", "closed", "gamma", "weibull", "lognormal", "vuong", "fits")}),
     O("g11_fit_sessions", "All fits of session durations and gaps by source, quantity and user.", ("g11_sessions_fits", "g11_sessions_powerlaw"), """SELECT split_part(f.did, '|', 1) AS source, split_part(f.did, '|', 2) AS quantity, regexp_replace(f.did, '^[^|]*[|][^|]*[|]', '') AS did, f.n, p.n_tail, f.alpha, f.xmin, f.ks, f.rate, f.meanlog, f.sdlog, f.gamma_shape, f.gamma_rate, f.weibull_shape, f.weibull_scale,
       f.r_exponential, f.p_exponential, f.r_lognormal, f.p_lognormal, f.aic_powerlaw, f.aic_exponential, f.aic_lognormal, f.aic_weibull, f.aic_gamma, f.best FROM {g11_sessions_fits} AS f LEFT JOIN {g11_sessions_powerlaw} AS p ON p.did = f.did"""),
