@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 
 from tidemark.functions import weibull
-from tidemark.operators import fits
+from tidemark.operators import fits, tails
 from tidemark.plans.operator import spread
 
 
@@ -34,3 +34,18 @@ def test_weibull_of_keys_in_one_task_and_over_all_tasks(spark):
 def test_weibull_joins_no_steps(spark):
     frame = spark.range(1000).selectExpr("concat('u', id % 7) AS did", "id * id + 1 AS gap")
     assert weibull.fits(frame, 10)._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+
+
+def test_power_laws_of_users_in_one_task_and_by_ranges(spark):
+    rng = np.random.default_rng(6)
+    sizes = [4, 9, 10, 60, 300, 3000]
+    did = np.repeat([f"u{i}" for i in range(len(sizes))], sizes)
+    gaps = pd.DataFrame({"did": did, "gap": (rng.pareto(1.1, len(did)) * 4e6).astype(np.int64) + 1_000_000})
+    gaps = pd.concat([gaps, pd.DataFrame({"did": ["flat"] * 20 + [None] * 20 + ["tied"] * 40 + ["tiny"] * 30, "gap": [5_000_000] * 20 + list(range(1, 21)) + [2_000_000, 3_000_000, 3_000_000, 90_000_000] * 10 + list(range(1, 31))})], ignore_index=True)
+    o = {o.name: o for o in tails.OPERATORS}["g6_user_powerlaw"]
+    want = duckdb.sql(o.text(1).replace("{d1_gaps}", "gaps")).df().sort_values("did", ignore_index=True)
+    assert len(want) > 3
+    frame = spark.createDataFrame(gaps.sample(frac=1, random_state=1))
+    for most in (10_000, 50):
+        got = o(frame, most_alone=most).toPandas()[list(want.columns)].sort_values("did", ignore_index=True)
+        pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +14,10 @@ from tidemark.functions.ranks import running
 def candidates_by_log(counts: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     """(keys, xmin): k values evenly spaced by logarithm from the least of counts (keys, x) to the greatest, rounded to whole numbers, each once."""
     ends = counts.groupBy(*keys).agg(F.log(F.min("x")).alias("_lo"), F.log(F.max("x")).alias("_hi"))
-    each = ends.select(*keys, "_lo", "_hi", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_i"))
-    return each.select(*keys, F.round(F.exp(F.col("_lo") + F.col("_i") * (F.col("_hi") - F.col("_lo")) / (k - 1))).alias("xmin")).where("xmin > 0").distinct()
+    place = lambda i: F.round(F.exp(F.col("_lo") + i * (F.col("_hi") - F.col("_lo")) / (k - 1)))
+    # Keys are few bytes and k candidates each, so they are dealt to all cores; each key's list is freed of repeats by itself.
+    dealt = ends.repartition(counts.sparkSession.sparkContext.defaultParallelism, *keys) if keys else ends
+    return dealt.select(*keys, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), place))).alias("xmin")).where("xmin > 0")
 
 
 def candidates_to_median(counts: DataFrame, k: int) -> DataFrame:
@@ -57,6 +60,37 @@ def fits(counts: DataFrame, candidates: DataFrame, keys: Sequence[str] = (), shi
     return rows.groupBy(*keys, "xmin", "t", "s", "alpha").agg(F.max(d).alias("ks"))
 
 
+def _best_of(x: np.ndarray, k: int) -> tuple[float, ...] | None:
+    """(xmin, t, s, alpha, ks) of rising x, over nought: of k candidates the first with the least distance, as of ``candidates_by_log``, ``fits`` and ``best``."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    values, n = x[first], np.diff(np.append(first, len(x))).astype(float)
+    ln, lo, hi = np.log(values), np.log(x[0]), np.log(x[-1])
+    xmin = np.unique(np.floor(np.exp(lo + np.arange(k) * (hi - lo) / (k - 1)) + 0.5))
+    at = np.searchsorted(values, xmin)
+    xmin, at = (a[(xmin > 0) & (at < len(values))] for a in (xmin, at))
+    up = np.cumsum(n[::-1])[::-1]
+    t = up[at]
+    s = np.cumsum((n * ln)[::-1])[::-1][at] - t * np.log(xmin)
+    good = (t >= 2) & (s > 1e-9)
+    if not good.any():
+        return None
+    xmin, t, s = xmin[good], t[good], s[good]
+    alpha = 1 + t / s
+    column = lambda a: a[:, None]
+    d = np.abs((column(t) - up + n) / column(t) - (1 - (values / column(xmin)) ** (1 - column(alpha))))
+    ks = np.where(values >= column(xmin), d, 0.0).max(axis=1)
+    i = np.argmin(np.round(ks, 9))
+    return xmin[i], t[i], s[i], alpha[i], ks[i]
+
+
+def best_of_runs(x: np.ndarray, starts: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For ``in_runs``: the power law of each run with ``least`` values."""
+    ends = np.append(starts[1:], len(x))
+    found = {i: _best_of(x[a:b], k) for i, (a, b) in enumerate(zip(starts, ends, strict=True)) if b - a >= least}
+    found = {i: f for i, f in found.items() if f}
+    return np.array(list(found), int), np.array(list(found.values()), float).reshape(-1, 5).T.copy()
+
+
 def best(found: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Of each key's fits the one of least ks, then least xmin."""
     first = F.min(F.struct(F.round("ks", 9).alias("_k"), "xmin", "t", "s", "alpha", "ks")).alias("_b")

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import chain
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.runs import in_runs
+
 #: Values of one key that a task fits on its own at most; keys with more are fitted by sums over all tasks.
 MOST_ALONE, STEPS = 50_000, 7
 
 
-def _solved(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """n, shape and scale of each run of x; no number where a run's values are all alike."""
+def _solved(x: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The runs of x with ``least`` values that aren't all alike; their n, shape and scale."""
     n = np.diff(np.append(starts, len(x)))
     mean_of = lambda v: np.add.reduceat(v, starts) / n
     mean = mean_of(x)
@@ -27,31 +25,9 @@ def _solved(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
         e = np.exp(np.repeat(k, n) * ln)
         s0, s1, s2 = mean_of(e), mean_of(e * ln), mean_of(e * ln * ln)
         k = np.maximum(k - (s1 / s0 - 1 / k - ln_mean) / (s2 / s0 - (s1 / s0) ** 2 + 1 / (k * k)), k / 4)
-    return n, k, mean * mean_of(np.exp(np.repeat(k, n) * ln)) ** (1 / k)
-
-
-def _alone(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Fits of rows (did, gap) sorted by did; a run that a batch ends in waits for the next."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, gaps = np.empty(0, object), np.empty(0)
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                names = np.concatenate((names, batch.column(0).to_numpy(zero_copy_only=False)))
-                gaps = np.concatenate((gaps, batch.column(1).to_numpy(zero_copy_only=False) / 1e6))
-            if not len(names):
-                continue
-            starts = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
-            cut = len(names) if batch is None else starts[-1]
-            starts = starts[starts < cut]
-            if len(starts):
-                with np.errstate(all="ignore"):
-                    n, shape, scale = _solved(gaps[:cut], starts)
-                kept = (n >= least) & ~np.isnan(shape)
-                yield pa.RecordBatch.from_arrays([pa.array(names[starts][kept], pa.string()), pa.array(n[kept], pa.int64()), pa.array(shape[kept]), pa.array(scale[kept])], ["did", "n", "shape", "scale"])
-            names, gaps = names[cut:], gaps[cut:]
-
-    return run
+    scale = mean * mean_of(np.exp(np.repeat(k, n) * ln)) ** (1 / k)
+    kept = np.flatnonzero((n >= least) & ~np.isnan(k))
+    return kept, [n[kept], k[kept], scale[kept]]
 
 
 def _together(rows: DataFrame, least: int) -> DataFrame:
@@ -71,9 +47,7 @@ def _together(rows: DataFrame, least: int) -> DataFrame:
 def fits(gaps: DataFrame, least: int, most_alone: int = MOST_ALONE) -> DataFrame:
     """(did, n, shape, scale) of the values over nought of gaps (did, gap), in seconds, of the keys that have ``least`` of them. gaps is read three times."""
     rows = gaps.where("gap > 0 AND did IS NOT NULL").select("did", "gap")
-    # As many as the rows over most_alone, so few.
-    large = rows.groupBy("did").count().where(F.col("count") > most_alone).select("did")
-    found = rows.join(F.broadcast(large), "did", "left_anti").repartition("did").sortWithinPartitions("did").mapInArrow(_alone(least), "did string, n long, shape double, scale double")
-    if not large.isEmpty():
-        found = found.unionByName(_together(rows.join(F.broadcast(large), "did", "left_semi"), least))
+    found, rest = in_runs(rows, lambda x, starts: _solved(x, starts, least), "n long, shape double, scale double", most_alone)
+    if rest is not None:
+        found = found.unionByName(_together(rest, least))
     return found.select("did", "n", F.round("shape", 5).alias("shape"), F.round("scale", 4).alias("scale"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import normal, powerlaw, weibull
 from tidemark.functions.lineage import checkpointed
+from tidemark.functions.runs import in_runs
 from tidemark.operators.fits import _cut, _gamma, _ln_gamma, _weibull
 from tidemark.plans.operator import Operator as O
 from tidemark.plans.operator import spread
@@ -19,9 +20,14 @@ def _two_sided(z: str) -> str:
 
 
 
-def _user_powerlaw(gaps: DataFrame, k: int = 50, least: int = 10) -> DataFrame:
-    counts = checkpointed(powerlaw.value_counts(gaps, F.col("gap") / 1e6, ["did"], least))
-    found = powerlaw.best(powerlaw.fits(counts, powerlaw.candidates_by_log(counts, ["did"], k), ["did"], least=2), ["did"]).where("t >= 5")
+def _user_powerlaw(gaps: DataFrame, k: int = 50, least: int = 10, most_alone: int = 10_000) -> DataFrame:
+    """Users of ``most_alone`` values at most in one sorted pass, others by ranges."""
+    rows = checkpointed(gaps.select("did", "gap").where("gap > 0 AND did IS NOT NULL"))
+    found, rest = in_runs(rows, lambda x, starts: powerlaw.best_of_runs(x, starts, k, least), "xmin double, t double, s double, alpha double, ks double", most_alone)
+    if rest is not None:
+        counts = checkpointed(powerlaw.value_counts(rest, F.col("gap") / 1e6, ["did"], least))
+        found = found.unionByName(powerlaw.best(powerlaw.fits(counts, powerlaw.candidates_by_log(counts, ["did"], k), ["did"], least=2), ["did"]))
+    found = found.where("t >= 5")
     log_lik = F.expr("round(t * ln(t / s) - t * ln(xmin) - (1 + t / s) * s, 4)")
     return found.select("did", F.col("t").cast("long").alias("n_tail"), "xmin", F.round("alpha", 6).alias("alpha"), F.round("ks", 6).alias("ks"), log_lik.alias("log_lik"))
 
