@@ -4,8 +4,8 @@ import duckdb
 import numpy as np
 import pandas as pd
 
-from tidemark.functions import weibull
-from tidemark.operators import fits, tails
+from tidemark.functions import lineage, weibull
+from tidemark.operators import fits, sessions, tails
 from tidemark.plans.operator import spread
 
 
@@ -49,3 +49,10 @@ def test_power_laws_of_users_in_one_task_and_by_ranges(spark):
     for most in (10_000, 50):
         got = o(frame, most_alone=most).toPandas()[list(want.columns)].sort_values("did", ignore_index=True)
         pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9)
+
+
+def test_a_task_of_session_steps_holds_no_more_rows_of_a_larger_table(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "ROWS_A_TASK", 100)
+    ev = spark.range(3000).selectExpr("concat('u', id % 300) AS did", "id * 1000 AS time_us", "'x' AS event_type")
+    for o in (o for o in sessions.OPERATORS if o.name in ("d1_gaps", "d4_sessions_rich", "d4_sessions_engaged")):
+        assert o(ev).rdd.getNumPartitions() == 30

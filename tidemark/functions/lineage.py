@@ -1,10 +1,14 @@
-"""Cutting lineage in iterative operators."""
+"""Cutting lineage in iterative operators, and dealing rows to tasks."""
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task takes of a table that several sorts and sums of one stage then hold.
+ROWS_A_TASK = 250_000
+
 
 def set_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; without one only a local master gets a folder of its own."""
@@ -25,3 +29,11 @@ def new_folder(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     set_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df with the rows of a key together, in as many partitions as keep a task at ROWS_A_TASK on average, one a core at least.
+
+    Adaptive execution sizes partitions by compressed bytes or by cores, so a task's rows would grow with the table.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / ROWS_A_TASK)), *keys)

@@ -1,6 +1,9 @@
 """Sessions, gaps between posts, and the regularity of gaps."""
 
+from dataclasses import replace
+
 from tidemark.functions import ranks
+from tidemark.functions.lineage import dealt
 from tidemark.plans.operator import Operator as O
 from tidemark.plans.operator import spread
 
@@ -12,17 +15,22 @@ def _entropy(symbol: str) -> str:
       SELECT did, cast(sum(n) AS BIGINT) AS num_gaps, count(*) AS num_unique_gaps, round(greatest(ln(cast(sum(n) AS DOUBLE)) / ln(2.0E0) - sum(n * ln(cast(n AS DOUBLE)) / ln(2.0E0)) / sum(n), 0.0E0), 6) AS entropy_bits FROM s GROUP BY did HAVING sum(n) >= 5"""
 
 
+def _dealt(op: O) -> O:
+    """op, its rows dealt by user in Spark: it sorts and sums them several times in one stage."""
+    return replace(op, work=lambda ev, **params: op(dealt(ev, "did"), **params))
+
+
 OPERATORS = (
-    O("d1_gaps", "Gaps between a user's distinct stamps.", ("ev",), """SELECT did, time_us, time_us - lag(time_us) OVER (PARTITION BY did ORDER BY time_us) AS gap FROM (SELECT DISTINCT did, time_us FROM {ev}) AS s"""),
+    _dealt(O("d1_gaps", "Gaps between a user's distinct stamps.", ("ev",), """SELECT did, time_us, time_us - lag(time_us) OVER (PARTITION BY did ORDER BY time_us) AS gap FROM (SELECT DISTINCT did, time_us FROM {ev}) AS s""")),
     O("d2_tukey_threshold", "Q3 + 1.5 (Q3 - Q1) of a user's gaps, in whole microseconds.", ("d1_gaps",), "SELECT did, cast(floor($P(gap, 0.75) + 1.5E0 * ($P(gap, 0.75) - $P(gap, 0.25))) AS BIGINT) AS limit_us FROM {d1_gaps} GROUP BY did HAVING count(*) >= :least", {"least": 5}),
     O("d3_tukey_sessions", "Sessions cut where a gap is over the user's own threshold.", ("d1_gaps", "d2_tukey_threshold"), "SELECT did, min(time_us) AS session_start, max(time_us) AS session_end, round((max(time_us) - min(time_us)) / 1e6, 3) AS duration_s, 0 AS is_singleton FROM (" + _ISLANDS + " FROM {d1_gaps} AS g JOIN {d2_tukey_threshold} AS t USING (did)) AS i GROUP BY did, island"),
-    O("d4_sessions_rich", "Sessions with floor and fallback thresholds, act counts and the next start.", ("ev",), """WITH g AS (SELECT did, time_us, event_type, time_us - lag(time_us) OVER (PARTITION BY did ORDER BY time_us, event_type) AS gap FROM {ev}),
+    _dealt(O("d4_sessions_rich", "Sessions with floor and fallback thresholds, act counts and the next start.", ("ev",), """WITH g AS (SELECT did, time_us, event_type, time_us - lag(time_us) OVER (PARTITION BY did ORDER BY time_us, event_type) AS gap FROM {ev}),
       t AS (SELECT did, count(gap) AS gaps, CASE WHEN count(gap) < 4 THEN 3600000000 ELSE greatest(120000000, cast(floor($P(gap, 0.75) + 1.5E0 * ($P(gap, 0.75) - $P(gap, 0.25))) AS BIGINT)) END AS limit_us FROM g GROUP BY did HAVING count(*) >= 2),
       i AS (SELECT did, time_us, event_type, gaps, limit_us, sum(CASE WHEN gap > limit_us THEN 1 ELSE 0 END) OVER (PARTITION BY did ORDER BY time_us, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM g JOIN t USING (did))
       SELECT did, session_start, session_end, lead(session_start) OVER (PARTITION BY did ORDER BY session_start) AS next_session_start, round((session_end - session_start) / 1e6, 3) AS duration_s, likes, reposts, posts_authored, replies, follows, likes + reposts AS interactions, total_actions,
         round(limit_us / 1e6, 6) AS user_threshold_s, CASE WHEN gaps < 4 THEN 1 ELSE 0 END AS user_threshold_fallback, gaps AS user_gap_count
       FROM (SELECT did, island, limit_us, gaps, min(time_us) AS session_start, max(time_us) AS session_end, count(CASE WHEN event_type = 'feed_like' THEN 1 END) AS likes, count(CASE WHEN event_type = 'feed_repost' THEN 1 END) AS reposts,
-        count(CASE WHEN event_type = 'post_top' THEN 1 END) AS posts_authored, count(CASE WHEN event_type = 'post_reply' THEN 1 END) AS replies, count(CASE WHEN event_type = 'graph_follow' THEN 1 END) AS follows, count(*) AS total_actions FROM i GROUP BY did, island, limit_us, gaps) AS s"""),
+        count(CASE WHEN event_type = 'post_top' THEN 1 END) AS posts_authored, count(CASE WHEN event_type = 'post_reply' THEN 1 END) AS replies, count(CASE WHEN event_type = 'graph_follow' THEN 1 END) AS follows, count(*) AS total_actions FROM i GROUP BY did, island, limit_us, gaps) AS s""")),
     O("d5_threshold_sessions", "Sessions cut at a fixed gap.", ("d1_gaps",), "SELECT did, min(time_us) AS session_start, max(time_us) AS session_end, count(*) AS events FROM (" + _ISLANDS.replace("limit_us", ":gap_us") + " FROM {d1_gaps}) AS i GROUP BY did, island", {"gap_us": 265000000}),
     O("d5_wide_sessions", "Sessions cut at a gap of :gap_us, with the next start.", ("d1_gaps",), "SELECT did, session_start, session_end, lead(session_start) OVER (PARTITION BY did ORDER BY session_start) AS next_session_start FROM (SELECT did, min(time_us) AS session_start, max(time_us) AS session_end FROM (" + _ISLANDS.replace("limit_us", ":gap_us") + " FROM {d1_gaps}) AS i GROUP BY did, island) AS s", {"gap_us": 21600000000}),
     spread("d7_session_summary", "Durations over sessions.", ("d3_tukey_sessions",), "SELECT duration_s FROM {d3_tukey_sessions}", (), {"n": "count(*)", "mean": "round(avg(duration_s), 3)"}, {n: ("duration_s", p, 6) for n, p in (("median", 0.5), ("p25", 0.25), ("p75", 0.75), ("p90", 0.9))}),
@@ -74,7 +82,7 @@ OPERATORS = (
 
 _RICH = next(o for o in OPERATORS if o.name == "d4_sessions_rich")
 OPERATORS += (
-    O("d4_sessions_engaged", "Rich sessions over events but likes.", ("ev_engaged",), _RICH.sql.replace("{ev}", "{ev_engaged}")),
+    _dealt(O("d4_sessions_engaged", "Rich sessions over events but likes.", ("ev_engaged",), _RICH.sql.replace("{ev}", "{ev_engaged}"))),
     O("d20_session_types_engaged", "Sessions over events but likes by the acts they hold.", ("d4_sessions_engaged",), """SELECT type, count(*) AS n, round(100.0E0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM (
         SELECT CASE WHEN p + r + f = 0 THEN 'empty' WHEN r + f = 0 THEN 'posts/replies only' WHEN p + f = 0 THEN 'reposts only' WHEN p + r = 0 THEN 'follows/blocks only' ELSE 'mixed' END AS type
         FROM (SELECT posts_authored + replies AS p, reposts AS r, follows AS f FROM {d4_sessions_engaged}) AS s) AS t GROUP BY type"""),
