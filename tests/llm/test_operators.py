@@ -216,6 +216,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert wide and {(r.doc_id, r.group_id) for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
 
 
+def test_what_is_apart_from_a_large_label_joins_it_at_once(spark):
+    labels = spark.range(80).selectExpr("id AS row", "IF(id < 50, 0L, id) AS label", "IF(id < 50, 50L, 1L) AS size")
+    rows = labels.selectExpr("*", "100 AS n", *(f"0L AS {o}" for o in simhash.ODD), "explode(sequence(1L, 40L)) AS s")
+    for seed in range(simhash.ROUNDS):
+        found = simhash.hubs(rows, seed)
+        assert {(r.a < 50, r.b) for r in found.collect()} == {(True, b) for b in range(50, 80)}
+        assert {tuple(r) for r in simhash.merged(labels, found, seed).collect()} == {(i, 0, 80) for i in range(80)}
+
+
 def test_near_duplicates_of_odd_rows(odd):
     assert {(r.doc_id, r.group_id) for r in simhash.near_duplicates(odd).collect()} == {(2, 1), (3, 1)}
 

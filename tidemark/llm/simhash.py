@@ -362,30 +362,42 @@ def _reaching(pairs: DataFrame) -> DataFrame:
     return met.where("9 * (shared - 1 + least(rest_a, rest_b)) >= 4 * both").select("a", "b")
 
 
+def _place(label: str, size: str, seed: int) -> Column:
+    """The place of a label of so many rows among all: larger ones first, equal ones by hash."""
+    return F.struct((-F.col(size)).alias("size"), F.xxhash64(label, F.lit(seed)).alias("h"))
+
+
+def _sized(labels: DataFrame) -> DataFrame:
+    """labels (row, label) with size, the number of rows of the label; only labels of several rows are joined."""
+    sizes = settled(labels.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    return settled(labels.join(sizes, "label", "left").select("row", "label", F.coalesce("size", F.lit(1)).alias("size")))
+
+
 def hubs(rows: DataFrame, seed: int) -> DataFrame:
     """(a, b): for a row b, of the rows of other labels that head one of its shingles and may be similar, that which differs in the least bits of ODD.
 
-    rows: those of ``_labelled``. A shingle is headed by a row, another for each shingle, of the label that
-    hashes least, so that labels have few partners and rows may choose among many.
+    rows: those of ``_labelled``. A shingle is headed by a row, another for each shingle, of the label that comes first as of
+    ``_place``, so that labels have few partners and rows may choose among many. Most rows first: what is still apart from a
+    large label meets that, not the large label's rows one of what is apart.
     """
     own = ["row", "n", *ODD]
-    first = F.struct(F.xxhash64("label", F.lit(seed)).alias("h"), "label", F.xxhash64("row", "s", F.lit(seed)).alias("k"), *own)
+    first = F.struct(_place("label", "size", seed).alias("h"), "label", F.xxhash64("row", "s", F.lit(seed)).alias("k"), *own)
     heads = settled(rows.groupBy("s").agg(F.min(first).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s", "x"))
     pairs = rows.select("s", "label", F.struct(*own).alias("y")).join(heads, "s").where((F.col("label") != F.col("x.label")) & _can_meet("x", "y"))
     return pairs.groupBy(F.col("y.row").alias("b")).agg(F.min(F.struct(_turned("x", "y").alias("turned"), F.col("x.row").alias("a"))).alias("m")).select("m.a", "b")
 
 
 def merged(labels: DataFrame, found: DataFrame, seed: int, jumps: int = 2) -> DataFrame:
-    """labels (row, label) after the labels that the pairs found (a, b) of ``hubs`` join are made one, but for chains longer than the jumps settle.
+    """labels (row, label, size) after the labels that the pairs found (a, b) of ``hubs`` join are made one, but for chains longer than the jumps settle.
 
-    A label goes to one that hashes less, so there are no rings; labels that stay apart only cost comparisons.
+    A label goes to one that comes before it as of ``_place``, so there are no rings; labels that stay apart only cost comparisons.
     """
-    pairs = found.join(labels.select(F.col("row").alias("a"), F.col("label").alias("to")), "a").join(labels.select(F.col("row").alias("b"), F.col("label").alias("of")), "b")
-    up = settled(pairs.groupBy("of").agg(F.min(F.struct(F.xxhash64("to", F.lit(seed)).alias("h"), "to")).alias("m")).select(F.col("of").alias("label"), F.col("m.to").alias("up")))
+    pairs = found.join(labels.select(F.col("row").alias("a"), F.col("label").alias("to"), "size"), "a").join(labels.select(F.col("row").alias("b"), F.col("label").alias("of")), "b")
+    up = settled(pairs.groupBy("of").agg(F.min(F.struct(_place("to", "size", seed).alias("h"), "to")).alias("m")).select(F.col("of").alias("label"), F.col("m.to").alias("up")))
     for _ in range(jumps):
         then = up.select(F.col("label").alias("up"), F.col("up").alias("top"))
         up = settled(up.join(then, "up", "left").select("label", F.coalesce("top", "up").alias("up")))
-    return settled(labels.join(up, "label", "left").select("row", F.coalesce("up", "label").alias("label")))
+    return _sized(settled(labels.join(up, "label", "left").select("row", F.coalesce("up", "label").alias("label"))))
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -400,8 +412,8 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 
 def _labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """(s, place, row, n, ODD, label) of the rows of ``shared_shingles``: lists move, not their shingles one by one."""
-    return met.join(sorted_side(labels), "row").select("row", "n", *ODD, "label", F.inline("shared"))
+    """(s, place, row, n, ODD, label, size) of the rows of ``shared_shingles``: lists move, not their shingles one by one."""
+    return met.join(sorted_side(labels), "row").select("row", "n", *ODD, "label", "size", F.inline("shared"))
 
 
 def _near(docs: DataFrame, words: int) -> DataFrame:
@@ -419,7 +431,7 @@ def _near(docs: DataFrame, words: int) -> DataFrame:
     nodes = sets.select("row", "node")
     heads = _grouped(sets.select("row", "fp"), "row", 3)
     links = similar(heads.where("row <> component_id").select(F.col("component_id").alias("a"), F.col("row").alias("b")), nodes, docs, words)
-    labels = settled(sorted_side(sets.select("row")).join(links.select(F.col("b").alias("row"), F.col("a").alias("head")), "row", "left").select("row", F.coalesce("head", "row").alias("label")))
+    labels = _sized(settled(sorted_side(sets.select("row")).join(links.select(F.col("b").alias("row"), F.col("a").alias("head")), "row", "left").select("row", F.coalesce("head", "row").alias("label"))))
     met, met_path = shared_shingles(sorted_side(marks.select("row", "n", "prefix", *ODD)).join(sets.select("row"), "row"))
     for seed in range(ROUNDS):
         found = similar(hubs(_labelled(met, labels), seed), nodes, docs, words)
