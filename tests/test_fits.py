@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 
-from tidemark.functions import lineage, weibull
+from tidemark.functions import lineage, runs, weibull
 from tidemark.operators import fits, sessions, tails
 from tidemark.plans.operator import spread
 
@@ -56,3 +56,11 @@ def test_a_task_of_session_steps_holds_no_more_rows_of_a_larger_table(spark, mon
     ev = spark.range(3000).selectExpr("concat('u', id % 300) AS did", "id * 1000 AS time_us", "'x' AS event_type")
     for o in (o for o in sessions.OPERATORS if o.name in ("d1_gaps", "d4_sessions_rich", "d4_sessions_engaged")):
         assert o(ev).rdd.getNumPartitions() == 30
+
+
+def test_a_task_of_sorted_passes_holds_no_more_rows_of_a_larger_table(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "ROWS_A_TASK", 100)
+    rows = spark.range(3000).selectExpr("concat('u', id % 300) AS did", "id + 1 AS gap")
+    found, rest = runs.in_runs(rows, lambda x, starts: (np.arange(len(starts)), [np.diff(np.append(starts, len(x)))]), "n long", 50)
+    assert rest is None and found.rdd.getNumPartitions() == 30
+    assert sorted((r.did, r.n) for r in found.collect()) == sorted((f"u{i}", 10) for i in range(300))

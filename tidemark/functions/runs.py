@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import dealt
+
 
 def in_runs(rows: DataFrame, solve: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, Sequence[np.ndarray]]], fields: str, most: int) -> tuple[DataFrame, DataFrame | None]:
     """What solve makes of the keys of rows (did, gap) that have ``most`` values at most: did and fields; and the rows of the other keys, if there are any.
@@ -38,5 +40,5 @@ def in_runs(rows: DataFrame, solve: Callable[[np.ndarray, np.ndarray], tuple[np.
                 yield pa.RecordBatch.from_arrays([pa.array(names[starts[kept]], pa.string()), *map(pa.array, columns)], ["did", *names_of])
             names, x = names[cut:], x[cut:]
 
-    few = rows.join(F.broadcast(large), "did", "left_anti").repartition("did").sortWithinPartitions("did", "gap").mapInArrow(run, f"did string, {fields}")
+    few = dealt(rows.join(F.broadcast(large), "did", "left_anti"), "did").sortWithinPartitions("did", "gap").mapInArrow(run, f"did string, {fields}")
     return few, None if large.isEmpty() else rows.join(F.broadcast(large), "did", "left_semi")
