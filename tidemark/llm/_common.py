@@ -83,11 +83,19 @@ def deleted(spark: SparkSession, *folders: str) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Whether Spark deletes the shuffle files of a query once it has ended, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, *gone: str) -> tuple[DataFrame, str]:
-    """df as written to a new folder under ``spark.checkpoint.dir`` and read again, and that folder; then the folders of gone are deleted."""
+    """df as written to a new folder under ``spark.checkpoint.dir`` and read again, and that folder; then its shuffle files and the folders of gone are deleted."""
     spark = df.sparkSession
-    path = new_folder(spark)
-    df.write.parquet(path)
+    path, before = new_folder(spark), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     deleted(spark, *gone)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -14,7 +14,9 @@ row, and a group's id is the least that is not null; repeated rows stay rows; ex
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,18 @@ SEED = 42
 BASE, STEP = 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
 #: Cells in which shingles are counted: 2^CELL_BITS. Nodes that are broadcast at most. Rounds of comparing with heads.
 CELL_BITS, MOST_SENT, ROUNDS = 20, 200_000, 3
+#: What would take several times the disk of the texts in one shuffle moves a slice at a time: shingles, shingles with what tells of their rows, or pairs of a slice, and slices at most.
+SHINGLES, LISTED, PAIRS, SLICES = 4_000_000, 1_000_000, 100_000, 8
+
+
+def in_slices(rows: DataFrame, key: str | Column, n: int, most: int) -> list[DataFrame]:
+    """rows, of which n make the shuffle, dealt by key into tables of most of these, but SLICES at most."""
+    of = max(1, min(SLICES, math.ceil(n / most)))
+    return [rows.where(F.pmod(F.xxhash64(key), F.lit(of)) == k) for k in range(of)] if of > 1 else [rows]
+
+
+def one_table(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -302,6 +316,7 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = 5,
     a thousand shingles is taken for more alike than it is by one shingle in some thousands of pairs.
     """
     pairs, pairs_path = written(pairs)
+    n = pairs.count()
     ends = [pairs.select(F.col(end).alias("row")).distinct() for end in ("a", "b")]
     wanted = ends[0].union(ends[1]).distinct().join(sorted_side(nodes), "row")
     unsigned, signed, kind = (np.uint16, np.int16, "smallint") if bits == 16 else (np.uint32, np.int32, "int")
@@ -313,25 +328,41 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = 5,
             sets = [np.unique((h >> np.uint64(64 - bits)).astype(unsigned)).view(signed) for h in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in found], pa.int32()), pa.array(sets, pa.list_(pa.from_numpy_dtype(signed)))], ["row", "n", "of"])
 
-    texts = few_or_many(docs.select("node", F.col("text").cast("binary").alias("text")), wanted, "node", "inner").select("row", "text")
-    sets, path = written(texts.mapInArrow(hashed, f"row long, n int, of array<{kind}>"))
-    for end, x in (("a", "x"), ("b", "y")):
-        pairs = pairs.join(sets.select(F.col("row").alias(end), F.struct("n", "of").alias(x)), end)
+    # Few rows are sent to the texts; else the texts move.
+    wanted, wanted_path = written(wanted)
+    whole, rows = docs.select("node", F.col("text").cast("binary").alias("text")), wanted.count()
+    sent = rows <= MOST_SENT
+    made = []
+    for some, few in zip(*(in_slices(x, "node", 0 if sent else rows, MOST_SENT) for x in (whole, wanted)), strict=True):
+        texts = some.join(F.broadcast(few) if sent else few, "node").select("row", "text")
+        made.append(written(texts.mapInArrow(hashed, f"row long, n int, of array<{kind}>")))
+    sets = one_table([x for x, _ in made])
     shared = F.size(F.array_intersect("x.of", "y.of")) + F.least(F.col("x.n") - F.size("x.of"), F.col("y.n") - F.size("y.of"))
-    out = settled(pairs.where(shared >= least * (F.col("x.n") + F.col("y.n") - shared)).select("a", "b"))
-    deleted(docs.sparkSession, path, pairs_path)
-    return out
+    found, parts = [], in_slices(pairs, F.struct("a", "b"), n, PAIRS)
+    for both in parts:
+        for end, x in (("a", "x"), ("b", "y")):
+            own = sets if len(parts) == 1 else few_or_many(sets, both.select(F.col(end).alias("row")).distinct(), "row", "left_semi")
+            both = both.join(own.select(F.col("row").alias(end), F.struct("n", "of").alias(x)), end)
+        found.append(settled(both.where(shared >= least * (F.col("x.n") + F.col("y.n") - shared)).select("a", "b")))
+    deleted(docs.sparkSession, pairs_path, wanted_path, *(path for _, path in made))
+    return one_table(found)
 
 
-def shared_shingles(sets: DataFrame) -> tuple[DataFrame, str]:
-    """(row, n, ODD, shared) of sets (row, n, prefix, ODD) as a written table, and its folder: shared lists (s, place), each shingle of the prefix that another row's prefix has too, and its place in its own.
+def shared_shingles(sets: DataFrame, sets_path: str) -> tuple[DataFrame, str, int]:
+    """(row, n, ODD, shared) of the written table sets (row, n, prefix, ODD), which is deleted, as a written table, its folder, and how many shingles it lists: shared lists (s, place), each shingle of the prefix that another row's prefix has too, and its place in its own.
 
     Which shingles are shared is counted before the rows meet them, so that a shingle in very many rows is a plain join on one row, which adaptive execution splits.
     """
-    rows = sets.select("row", F.posexplode("prefix").alias("place", "s"))
-    more, gone = written(rows.groupBy("s").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("s"))
-    of = rows.join(more, "s").groupBy("row").agg(F.collect_list(F.struct("s", "place")).alias("shared"))
-    return written(of.join(sorted_side(sets.select("row", "n", *ODD)), "row").select("row", "n", *ODD, "shared"), gone)
+    rows, made = sets.select("row", F.posexplode("prefix").alias("place", "s")), []
+    for own in in_slices(rows, "s", sets.agg(F.sum(F.size("prefix"))).first()[0] or 0, SHINGLES):
+        more, gone = written(own.groupBy("s").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi").select("s"))
+        made.append(written(own.join(more, "s").groupBy("row").agg(F.collect_list(F.struct("s", "place")).alias("shared")), gone))
+    about, about_path = written(sets.select("row", "n", *ODD), sets_path)
+    of = one_table([x for x, _ in made])
+    if len(made) > 1:
+        of = of.groupBy("row").agg(F.flatten(F.collect_list("shared")).alias("shared"))
+    met, path = written(of.join(sorted_side(about), "row").select("row", "n", *ODD, "shared"), about_path, *(x for _, x in made))
+    return met, path, met.agg(F.sum(F.size("shared"))).first()[0] or 0
 
 
 def _turned(x: str, y: str) -> Column:
@@ -351,14 +382,23 @@ def _first_can_be(x: str, y: str) -> Column:
     return 9 * rest >= 4 * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
 
-def _reaching(pairs: DataFrame) -> DataFrame:
-    """(a, b) of pairs (x, y), each (row, n, place) of one shingle in two prefixes: those that can reach a similarity of 0.8.
+def _summed(rows: DataFrame) -> DataFrame:
+    """Of each pair (a, b) and shingles that their prefixes share: how many these are, and what follows the last of them in either."""
+    return rows.groupBy("a", "b").agg(F.min("both").alias("both"), F.sum("shared").alias("shared"), F.min("rest_a").alias("rest_a"), F.min("rest_b").alias("rest_b"))
+
+
+def _sharing(pairs: DataFrame) -> DataFrame:
+    """(a, b, both, shared, rest_a, rest_b) of pairs (x, y), each (row, n, place) of one shingle in two prefixes."""
+    rows = pairs.select(F.col("x.row").alias("a"), F.col("y.row").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"), (F.col("x.n") - F.col("x.place")).alias("rest_a"), (F.col("y.n") - F.col("y.place")).alias("rest_b"))
+    return _summed(rows.withColumn("shared", F.lit(1).cast("long")))
+
+
+def _reaching(met: DataFrame) -> DataFrame:
+    """(a, b) of what ``_summed`` tells of whole prefixes: those that can reach a similarity of 0.8.
 
     What two sets share of their prefixes, and what is left of them after the last of it, must be enough for that. Shared
     shingles that ``_first_can_be`` leaves out follow the others, so they are among what is left.
     """
-    rows = pairs.select(F.col("x.row").alias("a"), F.col("y.row").alias("b"), (F.col("x.n") + F.col("y.n")).alias("both"), (F.col("x.n") - F.col("x.place")).alias("rest_a"), (F.col("y.n") - F.col("y.place")).alias("rest_b"))
-    met = rows.groupBy("a", "b").agg(F.min("both").alias("both"), F.count(F.lit(1)).alias("shared"), F.min("rest_a").alias("rest_a"), F.min("rest_b").alias("rest_b"))
     return met.where("9 * (shared - 1 + least(rest_a, rest_b)) >= 4 * both").select("a", "b")
 
 
@@ -373,18 +413,24 @@ def _sized(labels: DataFrame) -> DataFrame:
     return settled(labels.join(sizes, "label", "left").select("row", "label", F.coalesce("size", F.lit(1)).alias("size")))
 
 
-def hubs(rows: DataFrame, seed: int) -> DataFrame:
+def hubs(rows: DataFrame, seed: int, n: int = 0) -> DataFrame:
     """(a, b): for a row b, of the rows of other labels that head one of its shingles and may be similar, that which differs in the least bits of ODD.
 
-    rows: those of ``_labelled``. A shingle is headed by a row, another for each shingle, of the label that comes first as of
+    rows: those of ``_listed``, about n of them. A shingle is headed by a row, another for each shingle, of the label that comes first as of
     ``_place``, so that labels have few partners and rows may choose among many. Most rows first: what is still apart from a
     large label meets that, not the large label's rows one of what is apart.
     """
     own = ["row", "n", *ODD]
     first = F.struct(_place("label", "size", seed).alias("h"), "label", F.xxhash64("row", "s", F.lit(seed)).alias("k"), *own)
-    heads = settled(rows.groupBy("s").agg(F.min(first).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s", "x"))
-    pairs = rows.select("s", "label", F.struct(*own).alias("y")).join(heads, "s").where((F.col("label") != F.col("x.label")) & _can_meet("x", "y"))
-    return pairs.groupBy(F.col("y.row").alias("b")).agg(F.min(F.struct(_turned("x", "y").alias("turned"), F.col("x.row").alias("a"))).alias("m")).select("m.a", "b")
+    made = []
+    for some in in_slices(rows, "s", n, LISTED):
+        heads, gone = written(some.groupBy("s").agg(F.min(first).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("s", "x"))
+        pairs = some.select("s", "label", F.struct(*own).alias("y")).join(heads, "s").where((F.col("label") != F.col("x.label")) & _can_meet("x", "y"))
+        made.append(written(pairs.groupBy(F.col("y.row").alias("b")).agg(F.min(F.struct(_turned("x", "y").alias("turned"), F.col("x.row").alias("a"))).alias("m")), gone))
+    best = one_table([x for x, _ in made])
+    if len(made) > 1:
+        best = best.groupBy("b").agg(F.min("m").alias("m"))
+    return written(best.select("m.a", "b"), *(x for _, x in made))[0]
 
 
 def merged(labels: DataFrame, found: DataFrame, seed: int, jumps: int = 2) -> DataFrame:
@@ -400,20 +446,28 @@ def merged(labels: DataFrame, found: DataFrame, seed: int, jumps: int = 2) -> Da
     return _sized(settled(labels.join(up, "label", "left").select("row", F.coalesce("up", "label").alias("label"))))
 
 
-def candidates(rows: DataFrame) -> DataFrame:
+def candidates(rows: DataFrame, n: int = 0) -> DataFrame:
     """(a, b) of each pair of rows of unlike labels whose sets can reach a similarity of 0.8.
 
-    rows: those of ``_labelled``. What cannot reach it is left out in the join itself, by size, by place and by bits, so pairs are written
-    for texts that are alike, or are long, and not yet of one label.
+    rows: those of ``_listed``, about n of them. What cannot reach it is left out in the join itself, by size, by place and by bits, so
+    pairs are written for texts that are alike, or are long, and not yet of one label.
     """
-    one = F.struct("row", "n", "place", *ODD)
-    both = rows.select("s", "label", one.alias("x")).join(rows.select("s", F.col("label").alias("label_b"), one.alias("y")), "s")
-    return _reaching(both.where((F.col("label") < F.col("label_b")) & _first_can_be("x", "y") & _can_meet("x", "y")))
+    one, made = F.struct("row", "n", "place", *ODD), []
+    for some in in_slices(rows, "s", n, LISTED):
+        both = some.select("s", "label", one.alias("x")).join(some.select("s", F.col("label").alias("label_b"), one.alias("y")), "s")
+        made.append(written(_sharing(both.where((F.col("label") < F.col("label_b")) & _first_can_be("x", "y") & _can_meet("x", "y")))))
+    met = one_table([x for x, _ in made])
+    return written(_reaching(_summed(met) if len(made) > 1 else met), *(x for _, x in made))[0]
+
+
+def _labelled(met: DataFrame, labels: DataFrame, path: str) -> tuple[DataFrame, str]:
+    """The rows of ``shared_shingles`` with label and size, written in place of those of path: lists move, not their shingles one by one."""
+    return written(met.select("row", "n", *ODD, "shared").join(sorted_side(labels), "row"), path)
 
 
-def _labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """(s, place, row, n, ODD, label, size) of the rows of ``shared_shingles``: lists move, not their shingles one by one."""
-    return met.join(sorted_side(labels), "row").select("row", "n", *ODD, "label", "size", F.inline("shared"))
+def _listed(met: DataFrame) -> DataFrame:
+    """(s, place, row, n, ODD, label, size) of the rows of ``_labelled``."""
+    return met.select("row", "n", *ODD, "label", "size", F.inline("shared"))
 
 
 def _near(docs: DataFrame, words: int) -> DataFrame:
@@ -426,18 +480,22 @@ def _near(docs: DataFrame, words: int) -> DataFrame:
     shingle are compared. A component is named by its least node.
     """
     # Numbers of rows are short keys; the table settles them.
-    marks = settled(_features(docs, words).withColumn("row", F.monotonically_increasing_id()))
+    marks, marks_path = written(_features(docs, words).withColumn("row", F.monotonically_increasing_id()))
     sets = settled(marks.groupBy("same").agg(F.min(F.struct("row", "node", "fp", "n")).alias("m")).select("same", "m.*"))
     nodes = sets.select("row", "node")
+    prefixes, prefixes_path = written(sorted_side(marks.select("row", "n", "prefix", *ODD)).join(sets.select("row"), "row"))
+    marks, _ = written(marks.select("row", "node", "same"), marks_path)
     heads = _grouped(sets.select("row", "fp"), "row", 3)
     links = similar(heads.where("row <> component_id").select(F.col("component_id").alias("a"), F.col("row").alias("b")), nodes, docs, words)
     labels = _sized(settled(sorted_side(sets.select("row")).join(links.select(F.col("b").alias("row"), F.col("a").alias("head")), "row", "left").select("row", F.coalesce("head", "row").alias("label"))))
-    met, met_path = shared_shingles(sorted_side(marks.select("row", "n", "prefix", *ODD)).join(sets.select("row"), "row"))
+    met, met_path, n = shared_shingles(prefixes, prefixes_path)
     for seed in range(ROUNDS):
-        found = similar(hubs(_labelled(met, labels), seed), nodes, docs, words)
+        met, met_path = _labelled(met, labels, met_path)
+        found = similar(hubs(_listed(met), seed, n), nodes, docs, words)
         links, labels = links.unionByName(found), merged(labels, found, seed)
     # Sixteen bits leave few pairs that aren't alike, so whole sets of few texts move.
-    maybe = similar(candidates(_labelled(met, labels)), nodes, docs, words, bits=16)
+    met, met_path = _labelled(met, labels, met_path)
+    maybe = similar(candidates(_listed(met), n), nodes, docs, words, bits=16)
     deleted(docs.sparkSession, met_path)
     alike = similar(maybe, nodes, docs, words)
     copies = marks.select(F.col("row").alias("a"), "same").join(sets.select("same", F.col("row").alias("b")), "same").where("a <> b").select("a", "b")
