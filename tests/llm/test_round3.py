@@ -113,6 +113,22 @@ def test_subspace_join_of_nulls_repeats_and_nothing(spark):
     assert subspace.near_vectors(df.limit(0)).collect() == []
 
 
+def test_subspace_join_in_passes_equals_all_pairs(spark, monkeypatch):
+    for name, value in (("TILE", 25), ("SMALL_TILE", 25), ("MOVED", 1)):
+        monkeypatch.setattr(subspace, name, value)
+    folds, summed, dealt, passes = [], subspace.summed, [], subspace.passes
+    monkeypatch.setattr(subspace, "summed", lambda found: folds.append(len(found)) or summed(found))
+    monkeypatch.setattr(subspace, "passes", lambda tiles, rows: dealt.append((passes(tiles, rows), tiles, rows)) or dealt[-1][0])
+    rng = np.random.default_rng(6)
+    rows = [*clumps(rng, 64, [100], 0.05), *clumps(rng, 64, [20], 0.22), *clumps(rng, 64, [1] * 30, 0)]
+    vectors = list(zip(rng.permutation(len(rows)).tolist(), rows, strict=True))
+    got = subspace.near_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == plain_links(vectors) and len(got) == len(rows)
+    (groups, of), tiles, n = dealt[0]
+    moved = [r.rows for r in groups.join(tiles, "tile").groupBy("pass").agg({"rows": "sum"}).toDF("pass", "rows").collect()]
+    assert of >= 3 and max(moved) < 5 * n < sum(moved) + 2 * n and len(folds) >= 2
+
+
 def plain_centroids(vectors, k=40, rounds=5):
     kept = {i: [math.floor(256 * x) for x in v] for i, v in vectors if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)}
     mark = lambda i: hashlib.sha256(f"2:{i}".encode()).hexdigest()

@@ -1,14 +1,16 @@
-"""Embedding near-duplicates by a pigeonhole join of subspaces.
-
-Unit vectors with a cosine of ``least`` or more have a squared distance of ``2 - 2 least`` at most. Vectors are rotated by a
-fixed random rotation, so that no component matters more than others, and split into blocks of components; a block's share of
-the squared distance is in proportion to its components. Two near vectors are within its share in one block at least. Each
-block is a range join: space is cut into cells as wide as twice the block's radius by the block's first two components; a
-vector has a home cell and is copied to each later cell that its ball reaches, so each pair within the radius meets in one cell.
-The rows of a cell are dealt into tiles and every two tiles are one group, so no task holds a hot cell. Inside a group, pairs
-within the block's share are found by products of small matrices, those that an earlier block finds too are left to it, and
-the rest are verified exactly. No pair leaves the group: it tells, for each vector, how many it is linked with, and a head of
-those linked here; so what moves grows with the vectors, also where thousands are near each other.
+"""Embedding near-duplicates by a join of tiles in a subspace.
+
+Unit vectors with a cosine of ``least`` or more have a squared distance of ``2 - 2 least`` at most, in any subspace too.
+Vectors are rotated by a fixed random rotation, so that no component matters more than others. Space is cut into cells, as wide
+as that distance, by the first two components, so near vectors are in one cell or in cells side by side. The rows of a
+cell are dealt into tiles, and every two tiles of such cells are one group, so no task holds a hot cell. Inside a group, pairs
+within the distance in the first components are found by products of small matrices and verified exactly. No pair leaves the
+group: it tells, for each vector, how many it is linked with, and a head of those linked here.
+
+A vector is in as many groups as there are tiles near its own, and these grow with the vectors. So groups are dealt to passes,
+in each of which a vector moves about twice, as it was given, and a pass's shuffle is deleted before the next. What passes tell is
+summed up whenever it outgrows the vectors. So disk grows with the vectors, also where thousands are near each other, and time as
+their square where they are spread evenly.
 
 Equal vectors count once, with their number. Cosines are in doubles, of the rotated unit vectors, which differ from those of
 the given ones by less than 1e-14. Vectors that are null, empty, zero, or hold a null or non-finite component link with
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import deleted, small_batches, written
+from tidemark.llm._common import small_batches, written
 from tidemark.llm.simhash import components
 
-LEAST, BLOCKS = 0.95, 4
-#: Rows of a tile; rows and columns of the matrices in it; pairs verified at once.
-TILE, ROWS, COLUMNS, AT_ONCE = 16384, 1024, 4096, 16384
+LEAST = 0.95
+#: Rows of a tile at most and at least, and the tiles aimed at between; rows that a pass may always move; the narrowest cell.
+TILE, SMALL_TILE, TILES, MOVED, NARROW = 32768, 512, 16, 500_000, 0.1
+#: Components that the products take; rows and columns of the matrices in them; pairs verified at once.
+FIRST, ROWS, COLUMNS, AT_ONCE = 24, 512, 2048, 16384
 
 
 @lru_cache
@@ -41,86 +45,82 @@ def rotation(dims: int) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(dims).standard_normal((dims, dims)))[0]
 
 
-def blocks(dims: int, least: float) -> list[tuple[int, int, float]]:
-    """(first component, end, squared distance allowed) of each block."""
-    n = min(BLOCKS, dims)
-    cuts = [dims * i // n for i in range(n + 1)]
-    whole = max(2 - 2 * least, 0) * (1 + 1e-9) + 1e-12
-    return [(a, b, whole * (b - a) / dims) for a, b in zip(cuts, cuts[1:], strict=False)]
+def reach(least: float) -> float:
+    """The squared distance allowed."""
+    return max(2 - 2 * least, 0) * (1 + 1e-9) + 1e-12
 
 
-def turned(column: pa.Array) -> tuple[list[bytes | None], list[np.ndarray | None]]:
-    """For each list of doubles the digest of the vector and the rotated unit vector; None where it links with nothing."""
-    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    keys, out = [None] * len(sizes), [None] * len(sizes)
-    for dims in np.unique(sizes[sizes > 0]):
-        at = np.flatnonzero(sizes == dims)
-        x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dims) + 0.0
-        fit = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
-        at, x = at[fit], x[fit]
-        unit = x / np.abs(x).max(axis=1, keepdims=True)  # neither too large nor too small to be squared
-        unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-        unit = unit @ rotation(int(dims))
-        for i, v, u in zip(at.tolist(), x, unit, strict=True):
-            keys[i], out[i] = xxhash.xxh3_128_digest(v.tobytes()), u
-    return keys, out
+def rotated(x: np.ndarray) -> np.ndarray:
+    """The rotated unit vectors, as doubles."""
+    x = x.astype(np.float64)
+    unit = x / np.abs(x).max(axis=1, keepdims=True)  # neither too large nor too small to be squared
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    return unit @ rotation(x.shape[1])
 
 
 def marked(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, key, u): key is equal for equal vectors, u the rotated unit vector; both null where it links with nothing."""
+    """(id, key, v): key is equal for equal vectors, v the bytes of its numbers; both null where it links with nothing."""
     small_batches(vectors.sparkSession)
+    number = number_of(vectors, vector_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, units = turned(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(units, pa.list_(pa.float64()))], ["id", "key", "u"])
+            column = batch.column(1)
+            sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            keys, out = [None] * len(sizes), [None] * len(sizes)
+            for dims in np.unique(sizes[sizes > 0]):
+                at = np.flatnonzero(sizes == dims)
+                x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(number).reshape(len(at), dims) + number(0)
+                fit = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+                for i, v in zip(at[fit].tolist(), x[fit], strict=True):
+                    out[i] = v.tobytes()
+                    keys[i] = xxhash.xxh3_128_digest(out[i])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(out, pa.binary())], ["id", "key", "v"])
+
+    kind = "float" if number is np.float32 else "double"
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(f"array<{kind}>"))
+    return rows.mapInArrow(run, f"id {vectors.schema[id_col].dataType.simpleString()}, key binary, v binary")
+
 
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>"))
-    return rows.mapInArrow(run, f"id {vectors.schema[id_col].dataType.simpleString()}, key binary, u array<double>")
+def number_of(vectors: DataFrame, vector_col: str) -> type:
+    """Floats move as floats, which halves what moves; all else as doubles."""
+    return np.float32 if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else np.float64
 
 
-def placed(points: DataFrame, least: float) -> DataFrame:
-    """points (row, copies, u) once for each cell of each block that their ball reaches: with dims, block, x, y, home."""
+def matrix(column: pa.Array, number: type) -> np.ndarray:
+    """The rotated unit vectors of a column of bytes of one length."""
+    return rotated(np.frombuffer(b"".join(column.to_pylist()), number).reshape(len(column), -1))
+
+
+def placed(points: DataFrame, number: type, least: float) -> DataFrame:
+    """points, whose last column is v, with dims and the cell x, y."""
     small_batches(points.sparkSession)
+    wide = max(math.sqrt(reach(least)), NARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
-            for dims in np.unique(sizes):
-                rows = batch.take(pa.array(np.flatnonzero(sizes == dims)))
-                u = rows.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                for b, (first, end, most) in enumerate(blocks(int(dims), least)):
-                    wide = 2 * math.sqrt(most)
-                    at = u[:, first : min(end, first + 2)] / wide
-                    cell = np.floor(at)
-                    inside = at - cell
-                    cell, inside = (np.pad(z, ((0, 0), (0, 2 - z.shape[1])), constant_values=v) for z, v in ((cell, 0), (inside, 0.5)))
-                    # Distances to the cells on either side, in cells; half a cell is the radius. An absent component is in the middle of its only cell.
-                    gap = {-1: inside, 0: np.zeros_like(inside), 1: 1 - inside}
-                    for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1)):
-                        near = np.flatnonzero(gap[i][:, 0] ** 2 + gap[j][:, 1] ** 2 <= 0.25 + 1e-9)
-                        if len(near):
-                            n, home = len(near), i == j == 0
-                            x, y = (cell[near] + (i, j)).astype(np.int64).T
-                            some = rows.take(pa.array(near))
-                            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(n, dims, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(x), pa.array(y), pa.array(np.full(n, home))], ["row", "copies", "u", "dims", "block", "x", "y", "home"])
-
-    return points.mapInArrow(run, "row long, copies long, u array<double>, dims int, block int, x long, y long, home boolean")
+            sizes = np.array([len(v) for v in batch.column(batch.num_columns - 1).to_pylist()], np.int64)
+            for size in np.unique(sizes):
+                rows = batch.take(pa.array(np.flatnonzero(sizes == size)))
+                cell = np.floor(matrix(rows.column(rows.num_columns - 1), number)[:, :2] / wide).astype(np.int32)
+                cell = np.pad(cell, ((0, 0), (0, 2 - cell.shape[1])))
+                dims = np.full(len(cell), size // np.dtype(number).itemsize, np.int32)
+                yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, (dims, cell[:, 0], cell[:, 1]))], [*rows.schema.names, "dims", "x", "y"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
+    return points.mapInArrow(run, f"{fields}, dims int, x int, y int")
 
 
 class Links:
     """What the rows of two tiles tell of their links."""
 
-    def __init__(self, u: np.ndarray, copies: np.ndarray, block: int, least: float) -> None:
-        self.u, self.copies, self.block, self.least = u, copies, block, least
-        parts = blocks(u.shape[1], least)
-        self.starts, self.most = [p[0] for p in parts], np.array([p[2] for p in parts])
-        first, end, most = parts[block]
-        own = u[:, first:end].astype(np.float32)
+    def __init__(self, u: np.ndarray, copies: np.ndarray, least: float) -> None:
+        self.u, self.copies, self.least = u, copies, least
+        own = u[:, :FIRST].astype(np.float32)
         half = (own * own).sum(axis=1, keepdims=True) / 2
         one = np.ones_like(half)
-        # The product of a row of left and one of right is minus half the squared distance of their blocks.
-        self.left, self.right, self.limit = np.hstack([own, -half, one]), np.hstack([own, one, -half]), -most / 2 - 4e-6
+        # The product of a row of left and one of right is minus half the squared distance of their first components.
+        self.left, self.right, self.limit = np.hstack([own, -half, one]), np.hstack([own, one, -half]), -reach(least) / 2 - 1e-5
         self.linked, self.head = np.zeros(len(u), np.int64), np.arange(len(u))
 
     def compare(self, a: np.ndarray, b: np.ndarray, rising: bool) -> None:
@@ -137,9 +137,6 @@ class Links:
                     self.verify(*((x[x < y], y[x < y]) if rising else (x, y)))
 
     def verify(self, a: np.ndarray, b: np.ndarray) -> None:
-        within = np.add.reduceat((self.u[a] - self.u[b]) ** 2, self.starts, axis=1) <= self.most
-        first = within.any(axis=1) & (within.argmax(axis=1) == self.block)
-        a, b = a[first], b[first]
         near = (self.u[a] * self.u[b]).sum(axis=1) >= self.least
         a, b = a[near], b[near]
         np.add.at(self.linked, a, self.copies[b])
@@ -153,55 +150,79 @@ class Links:
                 self.head = up
 
 
-def tiles(cells: DataFrame) -> DataFrame:
-    """cells once for each pair of tiles (i, j), i <= j, of their cell that they are in, with their own tile."""
-    key = ["dims", "block", "x", "y"]
-    large = cells.groupBy(*key).count().where(F.col("count") > TILE).select(*key, F.ceil(F.col("count") / TILE).alias("of"))
-    rows = cells.join(large, key, "left").withColumn("of", F.coalesce("of", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("row"), F.col("of")))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
-    return rows.withColumn("i", F.least("tile", "with")).withColumn("j", F.greatest("tile", "with")).drop("of", "with")
+def tiled(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """points with tile, a struct (dims, x, y, no), and (tile, rows) of each tile. There are as many tiles as cells, besides one for each TILE rows."""
+    cells, _ = written(points.groupBy("dims", "x", "y").count())
+    most = min(TILE, max(SMALL_TILE, math.ceil((cells.agg(F.sum("count")).first()[0] or 0) / TILES)))
+    rows = points.join(F.broadcast(cells.withColumn("of", F.ceil(F.col("count") / most)).drop("count")), ["dims", "x", "y"])
+    rows = rows.withColumn("tile", F.struct("dims", "x", "y", F.pmod(F.xxhash64("row"), F.col("of")).alias("no"))).drop("dims", "x", "y", "of")
+    return rows, written(rows.groupBy("tile").agg(F.count("*").alias("rows")))[0]
 
 
-def linked(cells: DataFrame, least: float) -> DataFrame:
-    """(row, links, head): for rows of cells linked in some group of two tiles, with how many vectors there, and the head of those."""
+def passes(tiles: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """(tile, i, j, pass): each tile with every group i, j of tiles in cells side by side that it is in, and how many passes there are; in a pass its rows move about twice, or MOVED rows do."""
+    i, j = (tiles.select(F.col("tile").alias(x), F.col("rows").alias(f"rows_{x}")) for x in "ij")
+    side = (F.abs(F.col("i.x") - F.col("j.x")) <= 1) & (F.abs(F.col("i.y") - F.col("j.y")) <= 1)
+    groups, _ = written(i.join(j, (F.col("i.dims") == F.col("j.dims")) & side & (F.col("i") <= F.col("j"))))
+    moved = groups.agg(F.sum(F.col("rows_i") + F.when(F.col("i") < F.col("j"), F.col("rows_j")).otherwise(0))).first()[0] or 0
+    of = max(1, math.ceil(moved / max(2 * rows, MOVED)))
+    dealt = groups.select("i", "j", F.pmod(F.xxhash64("i", "j"), F.lit(of)).alias("pass"))
+    return written(dealt.select(F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"), "i", "j", "pass"))[0], of
+
+
+def linked(rows: DataFrame, groups: DataFrame, number: type, least: float) -> DataFrame:
+    """(row, links, head): for rows (row, copies, v, tile) linked in some of the groups, with how many vectors there, and the head of those."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        block, i, j = (key[k].as_py() for k in (1, 4, 5))
         group = group.combine_chunks()
-        column = lambda name: group.column(name).to_numpy()
-        rows, home, tile = column("row"), column("home"), column("tile")
-        u = group.column("u").combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
-        found = Links(u, column("copies"), block, least)
-        own, other = (np.flatnonzero(home & (tile == t)) for t in (i, j))
-        guests, others = (np.flatnonzero(~home & (tile == t)) for t in (i, j))
-        if i == j:
-            found.compare(own, own, True)
-            found.compare(own, guests, False)
-        else:
-            found.compare(own, np.concatenate([other, others]), False)
-            found.compare(guests, other, False)
+        row, first = group.column("row").to_numpy(), group.column("first").to_numpy(zero_copy_only=False)
+        found = Links(matrix(group.column("v"), number), group.column("copies").to_numpy(), least)
+        a, b = np.flatnonzero(first), np.flatnonzero(~first)
+        found.compare(a, b if len(b) else a, not len(b))
         at = np.flatnonzero(found.linked)
-        return pa.table({"row": rows[at], "links": found.linked[at], "head": rows[found.head[at]]})
+        return pa.table({"row": row[at], "links": found.linked[at], "head": row[found.head[at]]})
+
+    both = rows.join(F.broadcast(groups.select("tile", "i", "j")), "tile").withColumn("first", F.col("tile") == F.col("i"))
+    return both.select("i", "j", "row", "copies", "v", "first").groupBy("i", "j").applyInArrow(run, "row long, links long, head long")
+
+
+def summed(found: list[DataFrame]) -> DataFrame:
+    """(row, links, head) of what passes tell: the links of each row summed up, and as its head that of all that it is joined with."""
+    told = reduce(DataFrame.unionByName, found)
+    heads = components(told.where("row <> head").select(F.col("head").alias("a"), F.col("row").alias("b")).distinct())
+    counts = told.groupBy("row").agg(F.sum("links").alias("links"))
+    return counts.join(heads.select(F.col("node").alias("row"), F.col("component").alias("head")), "row")
+
 
-    return tiles(cells).groupBy("dims", "block", "x", "y", "i", "j").applyInArrow(run, "row long, links long, head long")
+def all_linked(points: DataFrame, n: int, number: type, least: float) -> DataFrame:
+    """(row, links, head), one of each linked row of the n points: with how many vectors, and the head of all that it is joined with."""
+    rows, tiles = tiled(points.select("row", "copies", "v", "dims", "x", "y"))
+    groups, of = passes(tiles, n)
+    made, told = [], 0
+    for k in range(of):
+        made.append(written(linked(rows, groups.where(F.col("pass") == k), number, least)))
+        told += made[-1][0].count()
+        if told > 2 * n:
+            made = [written(summed([x for x, _ in made]), *(path for _, path in made))]
+            told = made[0][0].count()
+    return written(summed([x for x, _ in made]), *(path for _, path in made))[0]
 
 
 def near_vectors(vectors: DataFrame, least: float = LEAST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id_col, n_links, component_id, kept): how many other vectors have a cosine of ``least`` or more with it, the smallest id that such links reach, and whether that is its own."""
-    spark = vectors.sparkSession
-    marks, _ = written(marked(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()))
+    number = number_of(vectors, vector_col)
+    marks = marked(vectors, id_col, vector_col)
     # Of equal vectors one stands for all: what is joined on a key that many rows share is written before.
-    points, _ = written(marks.where("key IS NOT NULL").groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("id").alias("own")))
-    cells, gone = written(placed(points.select("row", "copies").join(marks.select("row", "u"), "row").select("row", "copies", "u"), least))
-    found, _ = written(linked(cells, least), gone)
-    joined = components(found.where("row <> head").select(F.col("head").alias("a"), F.col("row").alias("b")).distinct())
-    joined, path = written(joined.select(F.col("node").alias("row"), "component").join(points.select("row", "own"), "row"))
-    named, name_path = written(joined.groupBy("component").agg(F.min("own").alias("least_id")))
-    counts = found.groupBy("row").agg(F.sum("links").alias("links"))
-    about = points.join(counts, "row", "left").join(joined.select("row", "component").join(named, "component").select("row", "least_id"), "row", "left")
+    once = marks.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("own"), F.first("v").alias("v"))
+    points, points_path = written(placed(once, number, least).withColumn("row", F.monotonically_increasing_id()))
+    found = all_linked(points, points.count(), number, least)
+    points, _ = written(points.select("row", "key", "copies", "own"), points_path)
+    joined, path = written(found.join(points.select("row", "own"), "row"))
+    named, name_path = written(joined.groupBy("head").agg(F.min("own").alias("least_id")))
+    about = points.join(joined.join(named, "head").select("row", "links", "least_id"), "row", "left")
     told, _ = written(about.select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least_id", "own").alias("component_id")), path, name_path)
     # Rows without a vector are dealt by their number, which is longer than a key.
-    own = F.coalesce("key", F.concat(F.lit("no vector in row "), "row").cast("binary"))
+    own = F.coalesce("key", F.concat(F.lit("no vector in row "), F.monotonically_increasing_id()).cast("binary"))
     rows = marks.select("id", own.alias("key")).join(told, "key", "left").withColumn("component_id", F.when(F.col("n_links") > 0, F.col("component_id")).otherwise(F.col("id")))
     return rows.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
